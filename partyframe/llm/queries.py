@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
+from .language_id import identify_languages
+from .lm_scoring import fit_window_network, lm_score
+from .quality import fit_importance, importance_resample
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +29,23 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str, vocabulary: str | None
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score(docs, fit_window_network(docs))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: labelled documents of quality that are not toxic; drawn: as large a share of all documents as of the labelled."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    target = F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))
+    share = labels.agg(F.avg(target.cast("double"))).first()[0] or 0.0
+    return importance_resample(docs, fit_importance(docs, labels, target), round(share * docs.count()))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,7 +62,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe_round_trip": op1_bpe_round_trip, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_bpe_round_trip": op1_bpe_round_trip, "op2_lm_scoring": op2_lm_scoring, "op6_language_id": op6_language_id, "op7_quality_resampling": op7_quality_resampling, "op8_exact_dedup": op8_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
