@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 #: Fragments that a worker remembers, the longest of them in characters, characters of a text cut at a time, ids in an Arrow batch.
 REMEMBERED, LONGEST, WINDOW, BATCH_IDS = 400_000, 48, 1 << 16, 4_000_000
+#: Characters of texts whose unknown fragments are encoded together; a rank above all others.
+TOGETHER, NONE = 1 << 19, 1 << 40
 #: Vocabulary files above this size are refused: their bytes are broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -39,20 +41,42 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-class Remembered(dict):
-    """Fragment to its ids as int32 bytes; starts anew when full, so that its size is bounded."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece), np.int32).tobytes()
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
+class PairTable:
+    """(left, right) to (rank, merged id) for arrays of ids: open addressing, a few vector steps a lookup."""
+
+    def __init__(self, merges: dict[tuple[int, int], tuple[int, int]]):
+        bits = max(4, (4 * len(merges)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ranks, self.ids = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int64), np.full(1 << bits, -1, np.int32)
+        pairs = np.array([a << 32 | b for a, b in merges], np.int64)
+        self.probes = 1
+        for key, at, (rank, new) in zip(pairs.tolist(), self.slots(pairs).tolist(), merges.values(), strict=True):
+            probes = 1
+            while self.keys[at] >= 0:
+                at, probes = (at + 1) & self.mask, probes + 1
+            self.keys[at], self.ranks[at], self.ids[at] = key, rank, new
+            self.probes = max(self.probes, probes)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The slot of each pair, -1 if it is no merge."""
+        keys = left.astype(np.int64) << 32 | right
+        at = self.slots(keys)
+        there = self.keys[at]
+        found = np.where(there == keys, at, -1)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        for _ in range(self.probes - 1):
+            if not len(open_):
+                break
+            at[open_] = (at[open_] + 1) & self.mask
+            there = self.keys[at[open_]]
+            hit = there == keys[open_]
+            found[open_[hit]] = at[open_[hit]]
+            open_ = open_[~hit & (there >= 0)]
+        return found
 
 
 class ByteBPE:
@@ -81,7 +105,9 @@ class ByteBPE:
         self.forced_space = re.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
         if any(self.inside[a << 8 | 32] for a in range(256) if not chr(a).isspace() and a < 128):
             self.forced_space = re.compile(r"(?!)")  # such a vocabulary joins words: no cut before its pre-tokens are known
-        self.remembered = Remembered(self.encode_piece)
+        self.pairs = PairTable(self.merges)
+        self.byte_ids = np.array(self.id_of_byte, np.int32)
+        self.remembered: dict[str, bytes] = {}
         size = max(self.bytes_of) + 1
         self.token_len = np.zeros(size, np.int64)
         for i, token in self.bytes_of.items():
@@ -144,17 +170,82 @@ class ByteBPE:
             start = cut.start()
         yield text[start:] if start else text
 
+    def merged_together(self, pieces: list[str]) -> list[bytes]:
+        """The ids of short pieces as int32 bytes, all at once: in each round every fragment merges its best pair."""
+        raw = [p.encode() for p in pieces]
+        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
+        ends = np.cumsum([len(r) for r in raw])
+        cut = np.zeros(len(data), np.int64)
+        cut[1:] = ~self.inside[data[:-1] << 8 | data[1:]]
+        cut[ends[:-1]] = 1
+        fragment, ids = np.cumsum(cut), self.byte_ids[data]
+        done_ids, done_fragments = [], []
+        while len(ids):
+            slot = self.pairs(ids[:-1], ids[1:])
+            rank = np.full(len(ids), NONE, np.int64)
+            rank[:-1] = np.where((slot >= 0) & (fragment[:-1] == fragment[1:]), self.pairs.ranks[slot], NONE)
+            first = np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1])))
+            best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+            over = best == NONE
+            if over.any():
+                done_ids.append(ids[over])
+                done_fragments.append(fragment[over])
+            chosen = np.flatnonzero((rank == best) & ~over)
+            if len(chosen):  # of a run such as aaaa every other pair, from the left
+                starts = np.concatenate(([True], np.diff(chosen) > 1))
+                chosen = chosen[(chosen - np.repeat(chosen[starts], np.diff(np.append(np.flatnonzero(starts), len(chosen))))) % 2 == 0]
+                ids[chosen] = self.pairs.ids[slot[chosen]]
+            keep = ~over
+            keep[chosen + 1] = False
+            ids, fragment = ids[keep], fragment[keep]
+        fragments = np.concatenate(done_fragments)
+        order = np.argsort(fragments, kind="stable")
+        flat, fragments = np.concatenate(done_ids)[order], fragments[order]
+        piece_ends = np.searchsorted(fragments, np.cumsum(cut)[ends - 1], side="right") * 4
+        flat, start, out = flat.tobytes(), 0, []
+        for end in piece_ends.tolist():
+            out.append(flat[start:end])
+            start = end
+        return out
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode the pieces that are not remembered; start anew when the memory would be full."""
+        new = pieces.difference(self.remembered)
+        if len(self.remembered) + len(new) > REMEMBERED:
+            self.remembered.clear()
+            new = pieces
+        short = [p for p in new if len(p) <= LONGEST]
+        if short:
+            self.remembered.update(zip(short, self.merged_together(short), strict=True))
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """ids of each text as int32; the strings of special tokens become those tokens."""
+        parts: list[list] = []  # of each text: lists of pieces, and ids of special tokens
+        for text in texts:
+            own: list = []
+            for k, part in enumerate(self.split_special.split(text) if self.split_special and any(s in text for s in self.special) else [text]):
+                if k % 2:
+                    own.append(np.array([self.special[part]], np.int32).tobytes())
+                else:
+                    own += [(self.pieces if self.not_plain(w) else self.plain_pieces)(w) for w in self.windows(part)]
+            parts.append(own)
+        self.learn(set().union(*(x for own in parts for x in own if type(x) is list)))
+        get, out = self.remembered.get, []
+        for own in parts:
+            ids = []
+            for x in own:
+                if type(x) is list:
+                    try:
+                        ids.append(b"".join(map(get, x)))
+                    except TypeError:  # some are too long to be remembered
+                        ids += [get(p) or np.array(self.encode_piece(p), np.int32).tobytes() for p in x]
+                else:
+                    ids.append(x)
+            out.append(np.frombuffer(b"".join(ids), np.int32))
+        return out
+
     def encode(self, text: str) -> np.ndarray:
-        """ids as int32; the strings of special tokens become those tokens."""
-        out = []
-        for k, part in enumerate(self.split_special.split(text) if self.split_special and any(s in text for s in self.special) else [text]):
-            if k % 2:
-                out.append(np.array([self.special[part]], np.int32).tobytes())
-            else:
-                for window in self.windows(part):
-                    find = self.pieces if self.not_plain(window) else self.plain_pieces
-                    out.append(b"".join(map(self.remembered.__getitem__, find(window))))
-        return np.frombuffer(b"".join(out), np.int32)
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; bytes that form no UTF-8 become U+FFFD. Unknown ids are left out."""
@@ -202,11 +293,17 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         for batch in batches:
             keys, texts, start = batch.column(0), batch.column(1), 0
             flat: list[np.ndarray] = []
-            held = 0
+            group: list[str] = []
+            chars = held = 0
             for k in range(len(texts)):
-                flat.append(bpe.encode(texts[k].as_py() or ""))
-                held += len(flat[-1])
-                if held > BATCH_IDS or k + 1 == len(texts):
+                group.append(texts[k].as_py() or "")
+                chars += len(group[-1])
+                if chars >= TOGETHER or k + 1 == len(texts):
+                    ids = bpe.encode_batch(group)
+                    flat += ids
+                    held += sum(map(len, ids))
+                    group, chars = [], 0
+                if (held > BATCH_IDS and not group) or k + 1 == len(texts):
                     ends = np.concatenate(([0], np.cumsum([len(x) for x in flat]))).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat), pa.int32()))
                     yield pa.RecordBatch.from_arrays([keys.slice(start, k + 1 - start), lists], ["id", "ids"])
