@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .chat import chat_packs, read_back
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .language_id import identify_languages
+from .line_dedup import line_dedup
 from .lm_scoring import fit_window_network, lm_score
+from .ngram_join import ngram_jaccard_components
 from .quality import fit_importance, importance_resample
 from .warc import warc_round_trip
 
@@ -36,6 +39,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(docs, fit_window_network(docs))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -65,6 +72,10 @@ GROUP BY conv_id
 """
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -113,10 +124,41 @@ FROM base32
 """
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
+
+
+OP10_SQL = """
+WITH split AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+    SELECT doc_id, no, list_filter(string_split(parts[no], ' '), lambda w: w <> '') AS words
+    FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS no FROM split)
+), firsts AS (
+    SELECT words, min((doc_id, no)) AS first FROM lines WHERE len(words) > 0 GROUP BY words
+), variants AS (
+    SELECT first, len(words) AS n, i, words[:i - 1] || words[i + 1:] AS rest
+    FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM firsts WHERE len(words) >= 5)
+), pairs AS (
+    SELECT b.first AS later FROM variants a JOIN variants b ON a.n = b.n AND a.i = b.i AND a.rest = b.rest AND a.first < b.first
+    UNION SELECT greatest(a.first, v.first) FROM firsts a JOIN variants v ON a.words = v.rest AND len(a.words) >= 5
+), kept AS (
+    SELECT first FROM firsts WHERE first NOT IN (SELECT later FROM pairs)
+), shown AS (
+    SELECT s.doc_id, s.parts, list_filter(range(1, len(s.parts) + 1), lambda k: NOT list_contains(coalesce(g.gone, []), k)) AS stay
+    FROM split s LEFT JOIN (
+        SELECT doc_id, list(no) AS gone FROM lines WHERE len(words) > 0 AND (doc_id, no) NOT IN (SELECT first FROM kept) GROUP BY doc_id
+    ) g USING (doc_id)
+)
+SELECT doc_id, len(parts)::BIGINT AS n_lines, len(stay)::BIGINT AS n_kept, sha256(coalesce(list_aggregate(list_transform(stay, lambda k: parts[k]), 'string_agg', chr(10)), '')) AS text_sha256
+FROM shown
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_bpe_round_trip, op2_lm_scoring, op4_chat_prefix_tree, op6_language_id, op7_quality_resampling, op8_exact_dedup, op9_warc_archives)
+    found = (op1_bpe_round_trip, op2_lm_scoring, op3_decontamination, op4_chat_prefix_tree, op5_ngram_jaccard, op6_language_id, op7_quality_resampling, op8_exact_dedup, op9_warc_archives, op10_line_dedup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_prefix_tree": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc_archives": OP9_SQL}
+    return {"op4_chat_prefix_tree": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc_archives": OP9_SQL, "op10_line_dedup": OP10_SQL}
