@@ -1,19 +1,65 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read back as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read back as the next one's input.
+
+Every stage keeps the columns of documents but the last, which returns (doc_id, ids). Stages decide by doc_id; a null
+doc_id is never dropped by a stage that compares documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from partyframe.llm.bpe import bpe_encode
+from partyframe.llm.decontaminate import contaminated
 from partyframe.llm.exact_dedup import exact_dedup
-from partyframe.llm.shared import written
+from partyframe.llm.language_id import UNKNOWN, identify_languages
+from partyframe.llm.ngram_join import ngram_jaccard_components
+from partyframe.llm.shared import bounded, written
+
+#: A document is rejected if no language can be told, or if its most probable language has less than this posterior.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """docs whose doc_id is not in dropped; the few that go are broadcast while they are proven to be few."""
+    return docs.join(bounded(written(dropped.select("doc_id").distinct(), f"pipeline-{name}")), "doc_id", "left_anti")
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = identify_languages(docs)
+    return without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE)), "languages")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The document with the largest doc_id of equal texts stays."""
+    return without(docs, exact_dedup(docs).where("NOT kept"), "copies")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of linked documents stays."""
+    return without(docs, ngram_jaccard_components(docs).where("doc_id <> component_id"), "near")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, contaminated(docs, benchmark), "leaks")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every document that is left."""
+    encoded = bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("exact_dedup", drop_exact_copies),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_leaks),
+    ("bpe_encoding", encode),
+]
+#: SQL can state neither the language model nor BPE; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
