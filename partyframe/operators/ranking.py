@@ -54,3 +54,44 @@ def exact_share(df: DataFrame, fraction: float, order: Column, name: str, total:
     """df with a boolean that is true for exactly round(n * fraction) rows, those first by hash (half to even)."""
     n = df.count() if total is None else total
     return hash_rank(df, order, "_rank").withColumn(name, F.col("_rank") <= round(n * fraction)).drop("_rank")
+
+
+#: Input size (as Spark estimates it) up to which one aggregate finds quantiles; beyond it they are found by counting.
+QUANTILE_BYTES = 1 << 30
+
+
+def order_statistic(df: DataFrame, col: str, k: int) -> float:
+    """The k-th smallest value of a double column (k from 0, NULL left out), exactly: counts of BUCKETS ever narrower
+    ranges reach the driver, never values."""
+    low, high = df.agg(F.min(col), F.max(col)).first()
+    while low < high:
+        step = (high - low) / BUCKETS
+        if step == 0 or low + step == low:
+            break
+        inside = df.where(F.col(col).between(low, high)).groupBy(F.least(F.floor((F.col(col) - low) / step), F.lit(BUCKETS - 1)).alias("b"))
+        for row in sorted(inside.agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).collect(), key=lambda x: x.lo):
+            if k < row.n:
+                low, high = row.lo, row.hi
+                break
+            k -= row.n
+    return low if low == high else sorted(r[0] for r in df.where(F.col(col).between(low, high)).select(col).distinct().collect())[0]
+
+
+def quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, list[float | None]]:
+    """Linear quantiles (as of percentile) of the columns."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= QUANTILE_BYTES:
+        row = df.agg(*(F.percentile(c, F.array(*map(F.lit, qs))).alias(c) for c in cols)).first()
+        return {c: list(row[c]) if row[c] is not None else [None] * len(qs) for c in cols}
+    return {c: counted_quantiles(df, c, qs) for c in cols}
+
+
+def counted_quantiles(df: DataFrame, col: str, qs: list[float]) -> list[float | None]:
+    """quantiles() of one column by order_statistic(), for tables of any size."""
+    n, out = df.select(F.count(col)).first()[0], []
+    for q in qs if n else []:
+        at = q * (n - 1)
+        low = order_statistic(df, col, int(at))
+        high = order_statistic(df, col, int(at) + 1) if at > int(at) else low
+        out.append(low + (high - low) * (at - int(at)))
+    return out or [None] * len(qs)

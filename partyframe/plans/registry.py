@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .views import VIEWS, used_tables, with_views
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -21,19 +23,24 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+    def view(self, name: str) -> DataFrame:
+        """A view of plans.views over the tables."""
+        return self.spark.sql(VIEWS[name], **{t: getattr(self, t) for t in used_tables(name)})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function of Tables under the operator's id."""
+def query(name: str, sql: str | None = None, views: str = ""):
+    """Register a function of Tables under the operator's id; its oracle may name views."""
 
     def add(f: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
-            ORACLES[name] = sql
+            ORACLES[name] = with_views(views, sql) if views else sql
         return f
 
     return add
