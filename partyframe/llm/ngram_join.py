@@ -20,9 +20,11 @@ from .components import connected_components
 from .shared import bounded, written
 from .words import WordHashes, mixed, shingle_hashes, split_words
 
-#: Shingles of a corpus share counters, some SHARED to one, between 2**LEAST_BITS and 2**MOST_BITS of them (a byte each
-#: when broadcast); shingles whose counter is FREQUENT times the mean, and FREQUENT_COUNT at least, are frequent.
-SHARED, LEAST_BITS, MOST_BITS, FREQUENT, FREQUENT_COUNT = 128, 14, 26, 8, 4096
+#: Shingles of a corpus share 2**COUNTER_BITS counters (as many whatever the corpus, so that what tasks send grows with
+#: their number alone); shingles whose counter is FREQUENT times the mean, and FREQUENT_COUNT at least, are frequent.
+COUNTER_BITS, FREQUENT, FREQUENT_COUNT = 17, 8, 4096
+#: Signatures under which more than so many pairs of components could meet look at their sets' private shingles first.
+CROWDED = 10_000
 #: Buckets of the histograms by which hopeless candidates are told.
 HISTOGRAM = 128
 
@@ -50,6 +52,15 @@ class JaccardRule:
         """SQL over sizes na, nb and the intersection size both."""
         return f"{self.den} * both >= {self.num} * (na + nb - both)"
 
+    def core(self, n: int) -> int:
+        """How many of its first shingles a set of n has to show to partners of its size or larger: all that it may
+        lack of them, and one more."""
+        return n - -(-2 * self.num * n // (self.num + self.den)) + 1
+
+    def within(self, reach: str) -> str:
+        """SQL over sizes: whether sets of na and nb can link if they share `reach` shingles at most."""
+        return f"{self.num + self.den} * ({reach}) >= {self.num} * (na + nb)"
+
     def possible(self) -> str:
         """SQL over sizes: whether sets of na and nb can link at all."""
         return f"{self.den} * least(na, nb) >= {self.num} * greatest(na, nb)"
@@ -66,15 +77,19 @@ def groups_of_frequent(n: int, rule: JaccardRule) -> list[tuple[int, int]]:
     return [(level, max(1, (1 << level) * (rule.den - rule.num) // (8 * rule.den))) for level in range(low.bit_length() - 1, high.bit_length())]
 
 
-def signatures(shingles: np.ndarray, classes: np.ndarray, frequent_class: int, rule: JaccardRule) -> np.ndarray:
-    """The hashes under which a set is indexed."""
+def classes_of(shingles: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    return classes[(shingles >> np.uint64(64 - int(len(classes)).bit_length() + 1)).astype(np.int64)]
+
+
+def signatures(shingles: np.ndarray, classes: np.ndarray, frequent_class: int, rule: JaccardRule) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes under which a set is indexed, and which of them it shows to sets of its size or larger."""
     n = len(shingles)
-    c = classes[(shingles >> np.uint64(64 - int(len(classes)).bit_length() + 1)).astype(np.int64)]
+    c = classes_of(shingles, classes)
     order = np.lexsort((shingles, c))
     prefix = n - rule.overlap(n) + 1
     first, kinds = shingles[order], c[order]
     if kinds[prefix - 1] < frequent_class:
-        return mixed(first[:prefix])
+        return mixed(first[:prefix]), np.arange(prefix) < rule.core(n)
     groups = groups_of_frequent(n, rule)
     rare = first[: prefix + max(m for _, m in groups)][kinds[: prefix + max(m for _, m in groups)] < frequent_class]
     out = [mixed(rare)]
@@ -87,7 +102,8 @@ def signatures(shingles: np.ndarray, classes: np.ndarray, frequent_class: int, r
                 x = np.sort(often[group == g])
                 a, b = np.triu_indices(len(x), 1)
                 out.append(mixed(mixed(x[a]) * np.uint64(3) + mixed(x[b]) + np.uint64(level)))
-    return np.unique(np.concatenate(out))
+    found = np.unique(np.concatenate(out))
+    return found, np.ones(len(found), bool)
 
 
 def read_sets(docs: DataFrame, id_col: str, text_col: str, rule: JaccardRule, bits: int) -> tuple[DataFrame, DataFrame]:
@@ -128,8 +144,8 @@ def frequency_classes(counters: DataFrame, bits: int) -> tuple[np.ndarray, int]:
 
 
 def index_sets(docs: DataFrame, rule: JaccardRule, classes: np.ndarray, frequent_class: int) -> DataFrame:
-    """(sig, node, n, before, n_before) for signatures that several sets have; before is the next smaller set of the
-    signature's (null for the first). Rows are dealt out by ranges of signature and size, so a very common signature
+    """(sig, node, n, core, before, n_before) for signatures that several sets have; core is whether the set shows it to
+    larger ones, before the next smaller set of the signature's (null for the first). Rows are dealt out by ranges of signature and size, so a very common signature
     spreads over tasks; where a range ends, its last signature stays even if it is alone."""
     sent = docs.sparkSession.sparkContext.broadcast((classes, frequent_class))
 
@@ -141,9 +157,10 @@ def index_sets(docs: DataFrame, rule: JaccardRule, classes: np.ndarray, frequent
                 for text in batch.column(0).slice(k, 1024):
                     s = rule.shingles(text.as_py(), hashes)
                     if len(s):
-                        sig.append(signatures(s, classes, frequent, rule))
-                        node.append(np.full(len(sig[-1]), set_name(s), np.int64))
-                        size.append(np.full(len(sig[-1]), len(s), np.int32))
+                        found, core = signatures(s, classes, frequent, rule)
+                        sig.append(found)
+                        node.append(np.full(len(found), set_name(s), np.int64))
+                        size.append((2 * len(s) + core).astype(np.int32))  # core in the lowest bit
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(size))], ["sig", "node", "n"])
 
     def shared(batches):
@@ -176,20 +193,22 @@ def index_sets(docs: DataFrame, rule: JaccardRule, classes: np.ndarray, frequent
 
     all_ = written(docs.select("text").mapInArrow(emit, "sig long, node long, n int"), "join-signatures")
     sorted_ = all_.repartitionByRange("sig", "n", "node").sortWithinPartitions("sig", "n", "node")
-    return written(sorted_.mapInArrow(shared, "sig long, node long, n int, before long, n_before int"), "join-index")
+    index = written(sorted_.mapInArrow(shared, "sig long, node long, n int, before long, n_before int"), "join-index")
+    return index.withColumns({"core": F.col("n") % 2 == 1, "n": F.shiftright("n", 1), "n_before": F.shiftright("n_before", 1)})
 
 
-def verify(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
-    """The pairs (a, b) whose sets link. Histograms of both sets bound the intersection from above and sort out most
-    other pairs before sets are compared."""
-    a, b = (sets.select(*(F.col(c).alias(f"{c}{x}") for c in ("node", "n", "histogram"))) for x in "ab")
+def verify(pairs: DataFrame, sketches: DataFrame, sets, rule: JaccardRule) -> DataFrame:
+    """The pairs (a, b) whose sets link. Histograms of both sets bound the intersection from above; what they do not sort
+    out, mostly real links, is compared by the sets themselves, which sets(nodes) gives for these pairs' nodes only."""
+    a, b = (sketches.select(*(F.col(c).alias(f"{c}{x}") for c in ("node", "n", "histogram"))) for x in "ab")
     seen = pairs.join(a, F.col("a") == F.col("nodea")).join(b, F.col("b") == F.col("nodeb"))
     most = F.aggregate(F.zip_with("histograma", "histogramb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda t, x: t + x)
     hopeful = seen.withColumns({"na": F.col("na"), "nb": F.col("nb"), "both": most}).where(rule.possible()).where(rule.linked()).select("a", "b", "na", "nb")
     hopeful = written(hopeful, "join-hopeful")
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    compared = hopeful.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return compared.where(rule.linked()).select("a", "b")
+    compared = sets(hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    left, right = (compared.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    met = hopeful.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return met.where(rule.linked()).select("a", "b")
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: JaccardRule | None = None) -> DataFrame:
@@ -200,17 +219,16 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
        The verified ones give first components.
     3. Where sets of different components share a signature, those outside the signature's largest component meet all
        sets of other components; candidates that were not tested yet are verified. No link between components is
-       lost, and sets that are connected already are not paired.
+       lost, and sets that are connected already are not paired. In crowded signatures, what a set has alone bounds
+       what it can share, so near copies that are too far from each other do not become candidates.
     Null and empty texts have no shingles and are alone. Rows that share an id count as that id; null ids are alone in
     the sense that they never name a component unless it has no other id. Sets are compared by 64-bit shingle hashes.
     Other columns are ignored; an empty table gives no rows.
     """
     rule = rule or JaccardRule()
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    chars = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, (chars // (6 * SHARED)).bit_length()))
-    of_doc, counters = read_sets(source, "id", "text", rule, bits)
-    classes, frequent_class = frequency_classes(counters, bits)
+    of_doc, counters = read_sets(source, "id", "text", rule, COUNTER_BITS)
+    classes, frequent_class = frequency_classes(counters, COUNTER_BITS)
 
     named = of_doc.where("node IS NOT NULL")
     nodes = written(named.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id")).alias("who"), F.count(F.lit(1)).alias("copies")).select("node", "who.id", "copies"), "join-nodes")
@@ -220,26 +238,43 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     standing = source.join(bounded(spare), "id", "left_anti")
     index = index_sets(standing, rule, classes, frequent_class)
 
-    stars = index.groupBy("sig").agg(F.min("node").alias("hub"))
+    # standing rows of one node are several only where ids repeat or are null
+    repeated = written(named.join(bounded(spare), "id", "left_anti").groupBy("node").count().where("count > 1").select("node"), "join-repeated")
+    several = repeated.limit(1).count() > 0
+
+    def read(of_nodes: DataFrame, shingles: bool) -> DataFrame:
+        ids = written(nodes.join(of_nodes, "node", "left_semi").select("id").distinct(), "join-members")
+        texts = standing.alias("d").join(bounded(ids).alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")), "left_semi")
+        found = sets_of(texts, rule, None if shingles else classes)
+        if several:
+            again = found.join(bounded(repeated), "node", "left_semi").dropDuplicates(["node"])
+            found = found.join(bounded(repeated), "node", "left_anti").unionByName(again)
+        return written(found, "join-shingles" if shingles else "join-sketches")
+
+    sketches, sets = read(index.select("node").distinct(), False), lambda of_nodes: read(of_nodes, True)
+    # the hub of a signature is the set with the most usual shingles: copies with edits of their own are near to it
+    stars = index.select("sig", "node").join(sketches.select("node", "usual"), "node").groupBy("sig").agg(F.max(F.struct("usual", "node")).alias("hub")).select("sig", F.col("hub.node").alias("hub"))
     chained = index.where("before IS NOT NULL").select(F.col("node").alias("x"), F.col("before").alias("y"), F.col("n").alias("na"), F.col("n_before").alias("nb")).where(rule.possible()).select("x", "y")
     starred = index.select("sig", "node").join(stars, "sig").select(F.col("node").alias("x"), F.col("hub").alias("y"))
     ordered = lambda p: p.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     first = written(ordered(chained.unionByName(starred)), "join-candidates")
-
-    members = written(nodes.join(index.select("node").distinct(), "node", "left_semi").select("id").distinct(), "join-members")
-    texts = standing.alias("d").join(bounded(members).alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")), "left_semi")
-    sets = written(sets_of(texts, rule), "join-shingles")
-    links = written(verify(first, sets, rule), "join-links")
+    links = written(verify(first, sketches, sets, rule), "join-links")
     roots = connected_components(links)
 
-    placed = index.select("sig", "node", "n").join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = index.select("sig", "node", "n", "core").join(roots, "node", "left").select("sig", "node", "n", "core", F.coalesce("root", "node").alias("root"))
     mixed_ = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
     open_ = written(placed.join(mixed_, "sig", "left_semi"), "join-open")
-    largest = open_.groupBy("sig", "root").count().groupBy("sig").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-    few = open_.join(largest, "sig").where("root <> most").select("sig", F.col("node").alias("x"), F.col("n").alias("na"), F.col("root").alias("rx"))
-    met = few.join(open_.select("sig", F.col("node").alias("y"), F.col("n").alias("nb"), F.col("root").alias("ry")), "sig").where("rx <> ry").where(rule.possible())
-    second = written(ordered(met.select("x", "y")).join(first, ["a", "b"], "left_anti"), "join-candidates")
-    links = links.unionByName(verify(second, sets, rule))
+    by_root = open_.groupBy("sig", "root").count()
+    largest = by_root.groupBy("sig").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("inside"))
+    marked = open_.join(largest, "sig").withColumn("crowded", (F.col("all") - F.col("inside")) * F.col("all") > CROWDED)
+    reach = written(shared_at_most(marked.where("crowded").select("node").distinct(), sets), "join-reach")
+    able = marked.join(reach, "node", "left").withColumn("reach", F.when(F.col("crowded"), F.coalesce("reach", F.lit(0))).otherwise(F.col("n"))).where("reach > 0")
+    able = written(able.select("sig", "node", "n", "core", "root", "most", "reach"), "join-able")
+    side = lambda df, k: df.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "core", "root", "reach")))
+    met = side(able.where("root <> most"), "a").join(side(able, "b"), "sig").where("roota <> rootb").where(rule.possible()).where(rule.within("least(reacha, reachb)"))
+    met = met.where("if(struct(na, nodea) < struct(nb, nodeb), corea, coreb)").select(F.col("nodea").alias("x"), F.col("nodeb").alias("y"))
+    second = written(ordered(met).join(first, ["a", "b"], "left_anti"), "join-candidates")
+    links = links.unionByName(verify(second, sketches, sets, rule))
     roots = connected_components(written(links, "join-links"))
 
     whole = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
@@ -248,18 +283,30 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return of_doc.join(final, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def sets_of(docs: DataFrame, rule: JaccardRule) -> DataFrame:
-    """(node, n, histogram, shingles) for the sets of column text, one row for each node."""
+def shared_at_most(nodes: DataFrame, sets) -> DataFrame:
+    """(node, reach) for nodes (node): how many of its shingles any other of them has."""
+    found = sets(nodes)
+    each = found.select("node", F.explode("shingles").alias("shingle"))
+    private = each.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("private"))
+    return found.join(private, "node", "left").select("node", (F.size("shingles") - F.coalesce("private", F.lit(0))).cast("int").alias("reach"))
+
+
+def sets_of(docs: DataFrame, rule: JaccardRule, classes: np.ndarray | None) -> DataFrame:
+    """(node, shingles), or given frequency classes (node, n, usual, histogram), for the sets of column text: a row for
+    each text that has words. usual is the mean class of the shingles."""
+    kind = "node long, shingles array<long>" if classes is None else "node long, n int, usual double, histogram array<int>"
+    sent = docs.sparkSession.sparkContext.broadcast(classes)
 
     def read(batches):
         hashes = WordHashes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 sets = [x for t in batch.column(0).slice(k, 256) if len(x := rule.shingles(t.as_py(), hashes))]
-                counts = [np.bincount((x & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM).astype(np.int32) for x in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), pa.array(counts, pa.list_(pa.int32())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                    ["node", "n", "histogram", "shingles"],
-                )
-
-    return docs.select("text").mapInArrow(read, "node long, n int, histogram array<int>, shingles array<long>").dropDuplicates(["node"])
+                names = pa.array([set_name(x) for x in sets], pa.int64())
+                if sent.value is None:
+                    yield pa.RecordBatch.from_arrays([names, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+                else:
+                    counts = [np.bincount((x & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM).astype(np.int32) for x in sets]
+                    yield pa.RecordBatch.from_arrays([names, pa.array([len(x) for x in sets], pa.int32()), pa.array([float(classes_of(x, sent.value).mean()) for x in sets], pa.float64()), pa.array(counts, pa.list_(pa.int32()))], ["node", "n", "usual", "histogram"])
+
+    return docs.select("text").mapInArrow(read, kind)
