@@ -16,8 +16,9 @@ from .shared import bounded, two_columns, written
 WINDOW, SUBSTITUTIONS = 13, 2
 # Fixed masks for (13, 2): token positions that count. Found by trying all masks of weight 6; tests prove them lossless.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-#: Item positions that are verified together with a hit.
-BLOCK = 64
+#: Item positions that are verified together with a hit, and tokens of a document that are met together; what a
+#: verification reads beyond a stretch is less than PAD.
+BLOCK, STRETCH, PAD = 64, 512, 128
 
 
 def tolerated(length: int) -> int:
@@ -91,14 +92,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     wanted = bounded(aligned.select("id").distinct())
     texts = own.alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id")), "left_semi").select(F.col("id").alias("doc"), tokens("text").alias("doc_tok"))
-    pairs = aligned.join(texts, F.col("id").eqNullSafe(F.col("doc"))).withColumn("first", F.greatest(F.lit(0), -F.col("shift"), F.col("block") * BLOCK - WINDOW + 1))
+    # a document with many hits is met in stretches, so that no row carries all of a very long text
+    cut = F.expr(f"transform(sequence(0, cast((size(doc_tok) - 1) div {STRETCH} as int)), k -> slice(doc_tok, k * {STRETCH} + 1, {STRETCH + PAD}))")
+    parts = texts.select("doc", F.size("doc_tok").alias("n_doc"), F.posexplode(cut).alias("stretch", "part"))
+    placed = aligned.withColumn("first", F.greatest(F.lit(0), -F.col("shift"), F.col("block") * BLOCK - WINDOW + 1))
+    placed = placed.withColumn("at", F.expr(f"cast((first + shift) div {STRETCH} as int)"))
+    pairs = placed.join(parts, F.col("id").eqNullSafe(F.col("doc")) & (F.col("at") == F.col("stretch")))
     both = pairs.alias("p").join(bounded(items).alias("i"), F.col("p.item").eqNullSafe(F.col("i.item")))
-    size = F.least(F.size("tok"), F.size("doc_tok") - F.col("shift"), (F.col("block") + 1) * BLOCK + 2 * WINDOW) - F.col("first")
+    size = F.least(F.size("tok"), F.col("n_doc") - F.col("shift"), (F.col("block") + 1) * BLOCK + 2 * WINDOW) - F.col("first")
     compared = both.where(size > 0).select(
         "p.id",
         "p.item",
         F.least(F.size("tok"), F.lit(WINDOW)).alias("window"),
-        F.zip_with(F.slice("tok", F.col("first") + 1, size), F.slice("doc_tok", F.col("first") + F.col("shift") + 1, size), lambda a, b: (a == b).cast("int")).alias("same"),
+        F.zip_with(F.slice("tok", F.col("first") + 1, size), F.slice("part", F.col("first") + F.col("shift") - F.col("at") * STRETCH + 1, size), lambda a, b: (a == b).cast("int")).alias("same"),
     )
     windows = F.expr("transform(sequence(0, size(same) - window), k -> aggregate(slice(same, k + 1, window), 0, (n, x) -> n + x))")
     verified = compared.where(F.size("same") >= F.col("window")).select("id", "item", "window", F.array_max(windows).alias("matched"))
