@@ -58,4 +58,5 @@ def table(found) -> list[tuple]:
         v = float(v)
         return None if v != v else float(f"{v:.6g}")
 
-    return [tuple(columns), *sorted((tuple(plain(row[k]) for k in at) for row in rows), key=repr)]
+    order = lambda row: ["" if v is None else v if isinstance(v, str) else f"{float(v):.17g}" for v in row]
+    return [tuple(columns), *sorted((tuple(plain(row[k]) for k in at) for row in rows), key=order)]
