@@ -14,11 +14,13 @@ from partyframe.llm.bpe import bpe_encode
 from partyframe.llm.decontaminate import contaminated
 from partyframe.llm.exact_dedup import exact_dedup
 from partyframe.llm.language_id import UNKNOWN, identify_languages
-from partyframe.llm.ngram_join import ngram_jaccard_components
+from partyframe.llm.ngram_join import JaccardRule, ngram_jaccard_components
 from partyframe.llm.shared import bounded, written
 
 #: A document is rejected if no language can be told, or if its most probable language has less than this posterior.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Near copies share 0.8 of their five-word shingles; the four words and 0.85 of op5 are the contract of that query alone.
+NEAR_COPIES = JaccardRule(words=5, num=80, den=100)
 
 
 def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
@@ -38,7 +40,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of linked documents stays."""
-    return without(docs, ngram_jaccard_components(docs).where("doc_id <> component_id"), "near")
+    return without(docs, ngram_jaccard_components(docs, rule=NEAR_COPIES).where("doc_id <> component_id"), "near")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,11 @@ def test_stages_keep_the_columns_and_take_awkward_rows(spark, small):
     assert 3 not in kept and 4 not in kept and 1 not in kept and kept.count(2) == 2 and 5 in kept
     for _, stage in cp.STAGES:
         assert stage(spark, frame(spark).limit(0), small).count() == 0
+
+
+def test_near_copies_at_five_words_and_eight_tenths(spark, small):
+    """94 different words, two of them changed: 80 of 100 five-word shingles are shared, but 83 of 99 of four words; a third change is too much."""
+    words = [f"word{k}" for k in range(94)]
+    changed = lambda *at: " ".join(f"other{k}" if k in at else w for k, w in enumerate(words))
+    docs = spark.createDataFrame([(1, changed()), (2, changed(30, 60)), (3, changed(20, 45, 70))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.drop_near_copies(spark, docs, small).collect()) == [1, 3]
