@@ -1,10 +1,14 @@
-"""Masked pseudo-likelihood: a network over the words on both sides predicts every token of a text."""
+"""Masked pseudo-likelihood: a network over the words on both sides predicts every token of a text.
+
+Tokens are words, p(word | sides) = p(class | sides) p(word | class). The network predicts the class; how a class divides
+among its words is counted. Classes, windows and words that are kept all grow with the corpus.
+"""
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -12,48 +16,142 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .words import split_words
-
-#: Token classes: 0 is the edge of a text, then the most frequent words of the corpus, then HASHED classes that share the other words.
-CLASSES, HASHED = 128, 32
-#: Width of the network, its training steps and learning rate.
-WIDTH, STEPS, RATE = 32, 120, 0.03
+from .shared import written
+from .words import WordHashes, split_words
+
+#: Classes at least; there are as many as the cube root of the running words, so there can be as many windows as words.
+LEAST_CLASSES = 128
+#: Words that occur so often are kept one by one. All others occur once, so one number for each class is exact for them.
+KEPT_COUNT = 2
+#: Width of the network, its learning rate, rounds over all windows, and steps of a task in a round.
+WIDTH, RATE, ROUNDS, STEPS = 32, 0.03, 6, 20
+#: Parts that a task divides its contexts into, unless they are few; a step takes one part.
+PARTS, FEW_CONTEXTS = 4, 1024
 #: Words counted, or windows held, before a task sends what it has.
 HELD = 2_000_000
+#: Networks of all tasks are summed by so many tasks before they reach the driver.
+MERGED = 8
+#: Words scored at a time.
+SCORED = 16_384
+PARAMS = ("left", "right", "bias", "class_out", "class_bias")
+
+
+class WordClasses:
+    """Class 0 is the edge of a text, then come the known words with a class each, then classes that share all other words by hash."""
+
+    def __init__(self, known: dict[bytes, int]):
+        self.known, self.first, self.hashed = known, len(known) + 1, max(1, (len(known) + 1) // 3)
+        self.count = self.first + self.hashed
+        own = WordHashes().of(list(known))
+        order = np.argsort(own)
+        self.own, self.own_class = own[order], np.fromiter(known.values(), np.int64, len(known))[order]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        shared = self.first + (hashes % np.uint64(self.hashed)).astype(np.int64)
+        if not len(self.own):
+            return shared
+        at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
+        return np.where(self.own[at] == hashes, self.own_class[at], shared)
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """How classes divide among words: hashes (sorted) and log p(word | class) of the words kept, and by class how many
+    words occur once and log p of each of them. A class of many words has one such word more, for any not in the corpus."""
+
+    words: WordClasses
+    hashes: np.ndarray
+    log_p: np.ndarray
+    single: np.ndarray
+    single_log_p: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place among the words kept, and whether it is kept."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+    def within(self, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """log p(word | class) of words."""
+        at, kept = self.find(hashes)
+        out = self.single_log_p[classes]
+        out[kept] = self.log_p[at[kept]]
+        return out
+
+    @cached_property
+    def token_class(self) -> np.ndarray:
+        """Class of every token: the edge, the words kept, then the words that occur once by class."""
+        return np.concatenate([[0], self.words.of(self.hashes), np.repeat(np.arange(self.words.count), self.single)])
+
+    @cached_property
+    def token_log_p(self) -> np.ndarray:
+        return np.concatenate([[0.0], self.log_p, np.repeat(self.single_log_p, self.single)])
+
+    def tokens(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of each word's token; words that occur once in a class have equal columns and go by the first of them."""
+        at, kept = self.find(hashes)
+        firsts = 1 + len(self.hashes) + np.cumsum(self.single) - self.single
+        return np.where(kept, at + 1, firsts[self.words.of(hashes)])
 
 
 @dataclass(frozen=True)
 class WindowNetwork:
-    """log p(token | left, right) = log softmax(tanh(left_in[l] + right_in[r] + bias) @ out + out_bias)."""
+    """log p(class | left, right) = log softmax(tanh(left[l] + right[r] + bias) @ class_out + class_bias).
+
+    With log p(word | class) added to the bias, it is one softmax over all words: left_in, right_in, out and out_bias are
+    those weights by token. Scoring never builds them.
+    """
 
-    words: dict[bytes, int]
-    left_in: np.ndarray
-    right_in: np.ndarray
+    vocabulary: Vocabulary
+    left: np.ndarray
+    right: np.ndarray
     bias: np.ndarray
-    out: np.ndarray
-    out_bias: np.ndarray
+    class_out: np.ndarray
+    class_bias: np.ndarray
 
     def classes(self, words: list[bytes]) -> np.ndarray:
-        """Class of each word, an edge (0) before and after."""
-        return word_classes(words, self.words)
+        """Token of each word, an edge (0) before and after."""
+        return np.concatenate([[0], self.vocabulary.tokens(WordHashes().of(words)), [0]])
+
+    @cached_property
+    def left_in(self) -> np.ndarray:
+        return self.left[self.vocabulary.token_class]
+
+    @cached_property
+    def right_in(self) -> np.ndarray:
+        return self.right[self.vocabulary.token_class]
+
+    @cached_property
+    def out(self) -> np.ndarray:
+        return self.class_out[:, self.vocabulary.token_class]
+
+    @cached_property
+    def out_bias(self) -> np.ndarray:
+        return self.class_bias[self.vocabulary.token_class] + self.vocabulary.token_log_p
 
     def log_table(self) -> np.ndarray:
-        """log p for every (left * CLASSES + right, token): CLASSES**3 numbers whatever the corpus."""
-        hidden = np.tanh(self.left_in[:, None, :] + self.right_in[None, :, :] + self.bias).reshape(CLASSES * CLASSES, -1)
-        logits = hidden @ self.out + self.out_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        """log p(class | left, right) for every pair of classes; for small corpora, as it has the cube of the classes."""
+        pairs = np.arange(len(self.left) ** 2)
+        hidden = self.hidden(pairs // len(self.left), pairs % len(self.left))
+        return hidden @ self.class_out + self.class_bias - self.log_norm(hidden)[:, None]
 
+    def hidden(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.tanh(self.left[left] + self.right[right] + self.bias)
 
-def word_classes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    first, get = CLASSES - HASHED, known.get
-    inner = [c if (c := get(w)) else first + zlib.crc32(w) % HASHED for w in words]
-    return np.array([0, *inner, 0], np.int32)
+    def log_norm(self, hidden: np.ndarray) -> np.ndarray:
+        logits = hidden @ self.class_out + self.class_bias
+        most = logits.max(axis=1)
+        return most + np.log(np.exp(logits - most[:, None]).sum(axis=1))
 
 
-def frequent_words(docs: DataFrame, n: int) -> list[bytes]:
-    """The n most frequent words of all texts, of equals the first in byte order."""
+def class_number(running: int) -> int:
+    """Cube root of the running words, rounded up to a multiple of four; LEAST_CLASSES at least."""
+    return max(LEAST_CLASSES, 4 * int(np.ceil(np.cbrt(running) / 4)))
 
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n): every word of all texts."""
     def count(batches):
         held: Counter[bytes] = Counter()
 
@@ -69,91 +167,254 @@ def frequent_words(docs: DataFrame, n: int) -> list[bytes]:
                     yield sent()
         yield sent()
 
-    counted = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counted: DataFrame, n: int) -> list[bytes]:
     return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(n).collect()]
 
 
-def window_counts(docs: DataFrame, known: dict[bytes, int]) -> np.ndarray:
-    """How often each (left, right, token) occurs in all texts: CLASSES**3 counts, summed before and after the shuffle."""
+def frequent_words(docs: DataFrame, n: int) -> list[bytes]:
+    """The n most frequent words of all texts, of equals the first in byte order."""
+    return most_frequent(count_words(docs), n)
 
-    def count(batches):
+
+def vocabulary_of(counted: DataFrame, known: dict[bytes, int]) -> Vocabulary:
+    """16 bytes reach the driver and 12 the executors for every word kept (names are 64-bit hashes of words)."""
+
+    def named(batches):
+        hashes, words = WordHashes(), WordClasses(known)
+        single = np.zeros(words.count, np.int64)
+        for batch in batches:
+            name, n = hashes.of(batch.column(0).to_pylist()), batch.column(1).to_numpy()
+            single += np.bincount(words.of(name[n < KEPT_COUNT]), minlength=words.count)
+            kept = n >= KEPT_COUNT
+            yield pa.RecordBatch.from_arrays([pa.array(name[kept].view(np.int64)), pa.nulls(int(kept.sum()), pa.int32()), pa.array(n[kept])], ["hash", "single", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(words.count, pa.int64()), pa.array(np.arange(words.count, dtype=np.int32)), pa.array(single)], ["hash", "single", "n"])
+
+    found = written(counted.select("word", "n").mapInArrow(named, "hash long, single int, n long"), "lm-words")
+    words = WordClasses(known)
+    table = found.where("hash IS NOT NULL").select("hash", "n").toArrow()
+    hashes, n = table["hash"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    del table
+    order = np.argsort(hashes)
+    hashes, n = hashes[order], n[order]
+    single = np.zeros(words.count, np.int64)
+    for r in found.where("hash IS NULL").groupBy("single").agg(F.sum("n").alias("n")).collect():
+        single[r.single] = r.n
+    classes = words.of(hashes)
+    total = np.bincount(classes, n, words.count) + single
+    single[words.first :] += 1
+    total[words.first :] += 1
+    log_total = np.log(np.maximum(total, 1))
+    return Vocabulary(words, hashes, (np.log(n) - log_total[classes]).astype(np.float32), single, (-log_total).astype(np.float32) * (np.arange(words.count) >= words.first))
+
+
+@dataclass(frozen=True)
+class WindowCounts:
+    """(context, token, n) with context = left * classes + right: every window of all texts; a context is in one part."""
+
+    frame: DataFrame
+
+    def sum(self) -> int:
+        return self.frame.agg(F.sum("n")).first()[0] or 0
+
+
+def summed(key: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of each."""
+    key, n = np.concatenate(key), np.concatenate(n)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def held(batches):
+    """Key (context * classes + token) and n of windows, HELD at a time, each key once in what is held."""
+    key, n, size = [], [], 0
+    for batch in batches:
+        key.append(batch.column(0).to_numpy())
+        n.append(batch.column(1).to_numpy())
+        size += len(key[-1])
+        if size > HELD:
+            yield summed(key, n)
+            key, n, size = [], [], 0
+    if size:
+        yield summed(key, n)
+
+
+def window_counts(docs: DataFrame, known: dict[bytes, int], parts: int = 1) -> WindowCounts:
+    """How often each (left, right, token) class occurs in all texts: only those that occur, in so many parts by context."""
+    count = WordClasses(known).count
+
+    def windows(batches):
+        hashes, words = WordHashes(), WordClasses(known)
         keys: list[np.ndarray] = []
         size = 0
 
         def sent():
-            key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.int32), np.empty(0, np.int64))
+            key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
             keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(n.astype(np.int64))], ["key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                c = word_classes(split_words(text.as_py()), known)
-                keys.append((c[:-2] * CLASSES + c[2:]) * CLASSES + c[1:-1])
+                c = np.concatenate([[0], words.of(hashes.of(split_words(text.as_py()))), [0]])
+                keys.append((c[:-2] * count + c[2:]) * count + c[1:-1])
                 size += len(c)
                 if size > HELD:
                     yield sent()
                     size = 0
         yield sent()
 
-    table = docs.select("text").mapInArrow(count, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(CLASSES**3)
-    counts[table["key"].to_numpy()] = table["n"].to_numpy()
-    return counts.reshape(CLASSES * CLASSES, CLASSES)
-
-
-def train(network: WindowNetwork, counts: np.ndarray, steps: int = STEPS, rate: float = RATE) -> WindowNetwork:
-    """Minimise the cross entropy of all counted windows by full-batch Adam; the same counts give the same network."""
-    used = np.flatnonzero(counts.sum(axis=1))
-    if not len(used):
-        return network
-    left, right, target = used // CLASSES, used % CLASSES, (counts[used] / counts.sum()).astype(np.float32)
-    mass = target.sum(axis=1, keepdims=True)
-    names = ("left_in", "right_in", "bias", "out", "out_bias")
-    params = {k: getattr(network, k) for k in names}
+    def merged(batches):
+        for key, n in held(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+    dealt = docs.select("text").mapInArrow(windows, "key long, n long").repartition(parts, F.expr(f"key div {count}"))
+    return WindowCounts(written(dealt.mapInArrow(merged, "key long, n long"), "lm-windows"))
+
+
+def descend(params: dict[str, np.ndarray], key: np.ndarray, n: np.ndarray, rate: float, seed: int) -> dict[str, np.ndarray]:
+    """STEPS steps of Adam or one pass, whichever is more, over windows whose keys are in order."""
+    count = len(params["left"])
+    context, token = key // count, key % count
+    starts = np.flatnonzero(np.diff(context, prepend=-1))
+    ends = np.append(starts[1:], len(key))
+    pairs = context[starts]
+    parts = min(PARTS, -(-len(pairs) // FEW_CONTEXTS)) if len(pairs) < PARTS * FEW_CONTEXTS else max(PARTS, len(pairs) // (16 * FEW_CONTEXTS))
+    share = n * (parts / n.sum())
+    draw = np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(v) for k, v in params.items()} for _ in range(2))
-    by_left, by_right = (np.eye(CLASSES, dtype=np.float32)[x].T for x in (left, right))
-    for step in range(1, steps + 1):
-        hidden = np.tanh(params["left_in"][left] + params["right_in"][right] + params["bias"])
-        logits = hidden @ params["out"] + params["out_bias"]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        d_logits = p * (mass / p.sum(axis=1, keepdims=True)) - target
-        d_hidden = (d_logits @ params["out"].T) * (1 - hidden * hidden)
-        grads = {"left_in": by_left @ d_hidden, "right_in": by_right @ d_hidden, "bias": d_hidden.sum(axis=0), "out": hidden.T @ d_logits, "out_bias": d_logits.sum(axis=0)}
-        for k in names:
-            first[k] = 0.9 * first[k] + 0.1 * grads[k]
-            second[k] = 0.99 * second[k] + 0.01 * grads[k] ** 2
-            params[k] = (params[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    step = 0
+    while step < STEPS:
+        for part in np.array_split(draw.permutation(len(pairs)), parts):
+            step += 1
+            part = np.sort(part)
+            left, right = pairs[part] // count, pairs[part] % count
+            sizes = ends[part] - starts[part]
+            rows = np.repeat(starts[part] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            target = np.zeros((len(part), count), np.float32)
+            target[np.repeat(np.arange(len(part)), sizes), token[rows]] = share[rows]
+            hidden = np.tanh(params["left"][left] + params["right"][right] + params["bias"])
+            logits = hidden @ params["class_out"] + params["class_bias"]
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            d_logits = p * (target.sum(axis=1, keepdims=True) / p.sum(axis=1, keepdims=True)) - target
+            d_hidden = (d_logits @ params["class_out"].T) * (1 - hidden * hidden)
+            by = lambda side: np.stack([np.bincount(side, d_hidden[:, w], count) for w in range(d_hidden.shape[1])], axis=1)  # noqa: E731, B023
+            grads = {"left": by(left), "right": by(right), "bias": d_hidden.sum(axis=0), "class_out": hidden.T @ d_logits, "class_bias": d_logits.sum(axis=0)}
+            for k in PARAMS:
+                first[k] = 0.9 * first[k] + 0.1 * grads[k]
+                second[k] = 0.99 * second[k] + 0.01 * grads[k] ** 2
+                params[k] = (params[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    return params
+
+
+def train(network: WindowNetwork, windows: WindowCounts) -> WindowNetwork:
+    """Minimise the cross entropy of all counted windows: in each round every task descends over its contexts, and the
+    networks of all tasks are averaged by how many windows they saw."""
+    params = {k: getattr(network, k) for k in PARAMS}
+    shapes = {k: v.shape for k, v in params.items()}
+    flat = lambda p: np.concatenate([p[k].ravel() for k in PARAMS]).astype(np.float64)
+    row = lambda seen, sums: pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([sums.tobytes()], pa.binary())], ["seen", "sums"])
+
+    def merged(batches):
+        seen, sums = 0.0, 0.0
+        for batch in batches:
+            for n, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen, sums = seen + n, sums + np.frombuffer(x, np.float64)
+        if seen:
+            yield row(seen, sums)
+
+    for k in range(ROUNDS):
+        rate, start = RATE * (1 - k / (ROUNDS + 1)), params
+
+        def task(batches, rate=rate, start=start, seed=k):
+            params, seen = dict(start), 0
+            for key, n in held(batches):
+                params = descend(params, key, n, rate, seed)
+                seen += n.sum()
+            if seen:
+                yield row(seen, seen * flat(params))
+
+        found = windows.frame.mapInArrow(task, "seen double, sums binary").repartition(MERGED).mapInArrow(merged, "seen double, sums binary").collect()
+        if not found:
+            return network
+        mean = sum(np.frombuffer(r.sums, np.float64) for r in found) / sum(r.seen for r in found)
+        cuts = np.split(mean.astype(np.float32), np.cumsum([int(np.prod(shapes[x])) for x in PARAMS])[:-1])
+        params = {x: part.reshape(shapes[x]) for x, part in zip(PARAMS, cuts, strict=True)}
     return replace(network, **params)
 
 
 def fit_window_network(docs: DataFrame, text_col: str = "text", seed: int = 0) -> WindowNetwork:
-    """Vocabulary and windows come from all texts; only sums of bounded size (see the constants) reach the driver."""
+    """Vocabulary and windows come from all texts. The driver holds the words that occur twice or more, 16 bytes each,
+    and the network; windows stay with the executors."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    known = {w: k for k, w in enumerate(frequent_words(texts, CLASSES - HASHED - 1), 1)}
+    counted = written(count_words(texts), "lm-counts")
+    running = counted.agg(F.sum("n")).first()[0] or 0
+    known = {w: k for k, w in enumerate(most_frequent(counted, class_number(running) * 3 // 4 - 1), 1)}
+    vocabulary = vocabulary_of(counted, known)
+    count = vocabulary.words.count
     draw = np.random.default_rng(seed)
     start = lambda *shape: (draw.standard_normal(shape) * 0.1).astype(np.float32)
-    network = WindowNetwork(known, start(CLASSES, WIDTH), start(CLASSES, WIDTH), np.zeros(WIDTH, np.float32), start(WIDTH, CLASSES), np.zeros(CLASSES, np.float32))
-    return train(network, window_counts(texts, known))
+    network = WindowNetwork(vocabulary, start(count, WIDTH), start(count, WIDTH), np.zeros(WIDTH, np.float32), start(WIDTH, count), np.zeros(count, np.float32))
+    return train(network, window_counts(texts, known, 1 + running // HELD))
+
+
+class Scorer:
+    """Sums of log p for words of whole texts. The norm of a context is worked out once a task: 4 bytes for each pair of classes."""
+
+    def __init__(self, network: WindowNetwork):
+        self.network, self.hashes = network, WordHashes()
+        self.count = len(network.left)
+        self.norm = np.full(self.count**2, np.nan, np.float32)
+        self.columns = np.ascontiguousarray(network.class_out.T)
+
+    def sums(self, texts: list[list[bytes]]) -> np.ndarray:
+        """log-likelihood of each text that has words."""
+        net, sizes = self.network, np.array([len(x) for x in texts])
+        names = self.hashes.of([w for x in texts for w in x])
+        token = net.vocabulary.words.of(names)
+        starts = np.cumsum(sizes) - sizes
+        left, right = np.roll(token, 1), np.roll(token, -1)
+        left[starts], right[starts + sizes - 1] = 0, 0
+        log_p = net.vocabulary.within(names, token).astype(np.float64)
+        for k in range(0, len(token), SCORED):
+            l, r, t = left[k : k + SCORED], right[k : k + SCORED], token[k : k + SCORED]
+            pair = l * self.count + r
+            new = np.unique(pair[np.isnan(self.norm[pair])])
+            for at in range(0, len(new), 4096):
+                x = new[at : at + 4096]
+                self.norm[x] = net.log_norm(net.hidden(x // self.count, x % self.count))
+            log_p[k : k + SCORED] += np.einsum("ij,ij->i", net.hidden(l, r), self.columns[t]) + net.class_bias[t] - self.norm[pair]
+        return np.add.reduceat(log_p, starts)
 
 
 def lm_score(docs: DataFrame, network: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, log_likelihood, mean_log_likelihood) for every row; no shuffle.
 
     Each word of the whole text is masked in turn and predicted from its neighbours; log_likelihood is the sum of
-    their conditional log-probabilities. Texts that are null or have no word: 0 tokens, sum 0, mean null. Other
+    their conditional log-probabilities as words, not as classes. Texts that are null or have no word: 0 tokens, sum 0, mean null. Other
     columns are ignored; repeated rows are scored each.
     """
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
     def score(batches):
-        network = sent.value
-        table = network.log_table()
+        scorer = Scorer(sent.value)
         for batch in batches:
-            n, total = [], []
-            for text in batch.column(1):
-                c = network.classes(split_words(text.as_py()))
-                n.append(len(c) - 2)
-                total.append(float(table[c[:-2] * CLASSES + c[2:], c[1:-1]].sum(dtype=np.float64)))
+            n, total = [], np.zeros(batch.num_rows)
+            some, at, size = [], [], 0
+            for k, text in enumerate(batch.column(1)):
+                words = split_words(text.as_py())
+                n.append(len(words))
+                if words:
+                    some.append(words)
+                    at.append(k)
+                    size += len(words)
+                if size > 8 * SCORED or some and k == batch.num_rows - 1:
+                    total[at] = scorer.sums(some)
+                    some, at, size = [], [], 0
+            total = total.tolist()
             mean = pa.array([t / k if k else None for t, k in zip(total, n, strict=True)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], ["id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 

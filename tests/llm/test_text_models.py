@@ -82,6 +82,30 @@ def test_lm_scores_of_awkward_texts(spark):
     assert lm_scoring.lm_score(empty(spark), lm_scoring.fit_window_network(empty(spark))).count() == 0
 
 
+def test_rare_words_are_scored_as_words(spark):
+    """Two words that share a class differ by how often each occurs; all words of the corpus sum up to one."""
+    rare = [f"rare{k}" for k in range(400)]
+    texts = [" ".join([*(f"usual{k % 130}" for k in range(j, j + 130)), *(w for w in rare[j::20] for _ in range(1 + 2 * (rare.index(w) % 3)))]) for j in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    network = lm_scoring.fit_window_network(docs)
+    alone = spark.createDataFrame(list(enumerate([*rare, *(f"usual{k}" for k in range(130))])), "doc_id long, text string")
+    p = {r.doc_id: r.log_likelihood for r in lm_scoring.lm_score(alone, network).collect()}
+    words = network.vocabulary.words
+    of = lambda k: int(words.of(lm_scoring.WordHashes().of([rare[k].encode()]))[0])
+    a, b = next((a, b) for a in range(0, 400, 3) for b in range(2, 400, 3) if of(a) == of(b))
+    assert math.isclose(p[b] - p[a], math.log(5), rel_tol=1e-4)
+    edge_and_unseen = np.exp(network.log_table()[0]) * (np.arange(words.count) == 0) + np.exp(network.log_table()[0] + network.vocabulary.single_log_p) * (np.arange(words.count) >= words.first)
+    assert math.isclose(sum(map(math.exp, p.values())) + edge_and_unseen.sum(), 1, rel_tol=1e-3)
+
+
+def test_classes_and_words_kept_grow_with_the_corpus(spark, small):
+    assert lm_scoring.class_number(10**6) == 128 and lm_scoring.class_number(10**9) == 1000 and lm_scoring.class_number(10**12) == 10_000
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("text")
+    counts = Counter(w for r in docs.collect() for w in split_words(r.text))
+    kept = lm_scoring.fit_window_network(docs).vocabulary
+    assert len(kept.hashes) == sum(n > 1 for n in counts.values()) and kept.single.sum() - kept.words.hashed == sum(n == 1 for n in counts.values())
+
+
 def labels(spark):
     return spark.createDataFrame([(1, 1), (2, 0), (2, 1), (5, 0), (None, 1), (8, None)], "doc_id long, quality int")
 
