@@ -8,6 +8,7 @@ import math
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,11 +211,16 @@ def t_two_sided(t: float, df: int) -> float:
 def interval_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, n, mean, std, ci95_low, ci95_high): Student intervals; one value has width 0, none gives NULLs."""
     sums = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-    sizes = [r.n for r in sums.select("n").where("n > 1").distinct().limit(10_000).collect()]
-    table = df.sparkSession.createDataFrame([(n, t_critical(n - 1)) for n in sizes] or [(0, 0.0)], "n long, _t double")
+
+    def quantiles(batches):
+        for batch in batches:
+            t = pa.array([t_critical(n - 1) for n in batch.column(0).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), t], ["n", "_t"])
+
+    table = sums.select("n").where("n > 1").distinct().mapInArrow(quantiles, "n long, _t double")
     half = F.coalesce(F.col("_t") * F.col("std") / F.sqrt("n"), F.lit(0.0))
     std = F.when(F.col("n") == 1, 0.0).otherwise(F.col("std"))
-    return sums.join(F.broadcast(table), "n", "left").select(*by, "n", "mean", std.alias("std"), (F.col("mean") - half).alias("ci95_low"), (F.col("mean") + half).alias("ci95_high"))
+    return sums.join(table, "n", "left").select(*by, "n", "mean", std.alias("std"), (F.col("mean") - half).alias("ci95_low"), (F.col("mean") + half).alias("ci95_high"))
 
 
 def clip_support(df: DataFrame, low: str, high: str, support: tuple[float, float]) -> DataFrame:

@@ -245,3 +245,9 @@ def test_streams(spark, tmp_path):
     assert spark.table("once").count() == 2
     assert spark.table("rate").agg(F.max("requests")).first()[0] == 3 and spark.table("rate").where("NOT allowed").count() > 0
     assert {(r.direction, r.bytes) for r in spark.table("traffic").collect()} == {("forward", 16), ("backward", 16)}
+
+
+def test_intervals_of_more_than_ten_thousand_group_sizes(spark):
+    x = spark.range(10_100).select("id", F.explode(F.sequence(F.lit(1), F.col("id") + 2)).alias("v"))
+    rows = privacy.interval_summary(x, ["id"], "v").where("n > 1 AND ci95_low < mean AND mean < ci95_high")
+    assert rows.count() == 10_100
