@@ -1,9 +1,13 @@
 """Jaccard self-join of word n-gram sets, by prefixes with token combinations.
 
-Any order of the shingles works; here those in frequent classes come last. A set of n shingles that links with another
-shares j shingles with it within its first n - ceil(t n) + j. Within that prefix rare shingles are indexed alone.
-Where frequent ones reach into it, it is extended by m, frequent shingles fall into m groups by hash, and two of the
-m + 1 shared ones fall into one group: pairs within a group are indexed. Candidates are then verified.
+Any order of the shingles works; here rarer ones come first. A set of n shingles that links with another shares j
+shingles with it within its first n - ceil(t n) + j. Within that prefix rare shingles are indexed alone. Where frequent
+ones reach into it, it is extended by m, frequent shingles fall into m groups by hash, and two of the m + 1 shared ones
+fall into one group: pairs within a group are indexed.
+
+The index is built twice. Over all sets, prefixes are extended so that a set that links shows several signatures that
+others have too; sets that do not are done. Over the others, shingles are counted one by one; those with too few shared
+shingles are done, and the rest are indexed under their rarest shingles. Candidates of that index are verified.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -23,10 +28,8 @@ from .words import WordHashes, mixed, shingle_hashes, split_words
 #: Shingles of a corpus share 2**COUNTER_BITS counters (as many whatever the corpus, so that what tasks send grows with
 #: their number alone); shingles whose counter is FREQUENT times the mean, and FREQUENT_COUNT at least, are frequent.
 COUNTER_BITS, FREQUENT, FREQUENT_COUNT = 17, 8, 4096
-#: Signatures under which more than so many pairs of components could meet look at their sets' private shingles first.
-CROWDED = 10_000
 #: Buckets of the histograms by which hopeless candidates are told.
-HISTOGRAM = 128
+HISTOGRAM = 256
 
 
 @dataclass(frozen=True)
@@ -48,18 +51,22 @@ class JaccardRule:
         """What a set of n shares with any partner at least."""
         return -(-self.num * n // self.den)
 
-    def linked(self) -> str:
-        """SQL over sizes na, nb and the intersection size both."""
-        return f"{self.den} * both >= {self.num} * (na + nb - both)"
+    def alone(self, n: int) -> bool:
+        """Whether a set of n links with equal sets only."""
+        return self.overlap(n) == n == n * self.den // self.num
 
-    def core(self, n: int) -> int:
-        """How many of its first shingles a set of n has to show to partners of its size or larger: all that it may
-        lack of them, and one more."""
-        return n - -(-2 * self.num * n // (self.num + self.den)) + 1
+    def extension(self, n: int) -> int:
+        """By how much the first index extends the prefix of a set of n."""
+        return (n - self.overlap(n) + 1) // 4
 
-    def within(self, reach: str) -> str:
-        """SQL over sizes: whether sets of na and nb can link if they share `reach` shingles at most."""
-        return f"{self.num + self.den} * ({reach}) >= {self.num} * (na + nb)"
+    def shown(self, n: int) -> int:
+        """How many shared signatures a set of n that links shows at least: a smaller partner extends its prefix less."""
+        return self.extension(self.overlap(n)) + 1
+
+    def needed(self) -> str:
+        """SQL over sizes na and nb: the intersection of linked sets at least."""
+        both = self.num + self.den
+        return f"(({self.num} * (na + nb) + {both - 1}) div {both})"
 
     def possible(self) -> str:
         """SQL over sizes: whether sets of na and nb can link at all."""
@@ -81,34 +88,31 @@ def classes_of(shingles: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return classes[(shingles >> np.uint64(64 - int(len(classes)).bit_length() + 1)).astype(np.int64)]
 
 
-def signatures(shingles: np.ndarray, classes: np.ndarray, frequent_class: int, rule: JaccardRule) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes under which a set is indexed, and which of them it shows to sets of its size or larger."""
-    n = len(shingles)
-    c = classes_of(shingles, classes)
-    order = np.lexsort((shingles, c))
+def signatures(first: np.ndarray, kinds: np.ndarray, frequent: int, n: int, rule: JaccardRule, more: int, private: int = 0) -> tuple[np.ndarray, np.ndarray | None]:
+    """The hashes under which a set of n is indexed, and the places of its shingles in its order; no places if frequent
+    shingles reach into its prefix, which is extended by `more`. first and kinds: its shingles and their classes in that
+    order, behind `private` ones that no other set has."""
     prefix = n - rule.overlap(n) + 1
-    first, kinds = shingles[order], c[order]
-    if kinds[prefix - 1] < frequent_class:
-        return mixed(first[:prefix]), np.arange(prefix) < rule.core(n)
+    length = prefix + more - private
+    if length <= len(first) and (length <= 0 or kinds[length - 1] < frequent):
+        return mixed(first[: max(length, 0)]), np.arange(private, private + max(length, 0))
     groups = groups_of_frequent(n, rule)
-    rare = first[: prefix + max(m for _, m in groups)][kinds[: prefix + max(m for _, m in groups)] < frequent_class]
-    out = [mixed(rare)]
+    length = max(length, prefix + max(m for _, m in groups) - private)
+    out = [mixed(first[:length][kinds[:length] < frequent])]
     with np.errstate(over="ignore"):
         for level, m in groups:
-            length = min(n, prefix + m)
-            often = first[:length][kinds[:length] >= frequent_class]
+            often = first[: prefix + m - private][kinds[: prefix + m - private] >= frequent]
             group = mixed(often) % np.uint64(m)
             for g in np.unique(group).tolist():
                 x = np.sort(often[group == g])
                 a, b = np.triu_indices(len(x), 1)
                 out.append(mixed(mixed(x[a]) * np.uint64(3) + mixed(x[b]) + np.uint64(level)))
-    found = np.unique(np.concatenate(out))
-    return found, np.ones(len(found), bool)
+    return np.unique(np.concatenate(out)), None
 
 
-def read_sets(docs: DataFrame, id_col: str, text_col: str, rule: JaccardRule, bits: int) -> tuple[DataFrame, DataFrame]:
-    """One pass over all texts: (id, n, node) for every document, node being a name of its set (null if empty); and
-    (counter, n), how many shingles of all sets fall to each counter."""
+def read_sets(docs: DataFrame, rule: JaccardRule, bits: int) -> tuple[DataFrame, DataFrame]:
+    """One pass over all texts (id, text): (id, n, node) for every document, node being a name of its set (null if
+    empty); and (counter, n), how many shingles of all sets fall to each counter."""
 
     def read(batches):
         hashes, counts = WordHashes(), np.zeros(1 << bits, np.int64)
@@ -129,8 +133,7 @@ def read_sets(docs: DataFrame, id_col: str, text_col: str, rule: JaccardRule, bi
         none = pa.nulls(len(at), pa.int64())
         yield pa.RecordBatch.from_arrays([none, pa.array(counts[at]), none, pa.array(at.astype(np.int32))], ["id", "n", "node", "counter"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    both = written(source.mapInArrow(read, "id long, n long, node long, counter int").withColumn("kind", F.col("counter").isNotNull().cast("int")), "join-sets", ("kind",))
+    both = written(docs.mapInArrow(read, "id long, n long, node long, counter int").withColumn("kind", F.col("counter").isNotNull().cast("int")), "join-sets", ("kind",))
     return both.where("kind = 0").select("id", "n", "node"), both.where("kind = 1").groupBy("counter").agg(F.sum("n").alias("n"))
 
 
@@ -143,91 +146,181 @@ def frequency_classes(counters: DataFrame, bits: int) -> tuple[np.ndarray, int]:
     return classes, int(np.ceil(2 * np.log2(max(FREQUENT_COUNT, FREQUENT * counts.mean()))))
 
 
-def index_sets(docs: DataFrame, rule: JaccardRule, classes: np.ndarray, frequent_class: int) -> DataFrame:
-    """(sig, node, n, core, before, n_before) for signatures that several sets have; core is whether the set shows it to
-    larger ones, before the next smaller set of the signature's (null for the first). Rows are dealt out by ranges of signature and size, so a very common signature
-    spreads over tasks; where a range ends, its last signature stays even if it is alone."""
+def showing_enough(docs: DataFrame, rule: JaccardRule, classes: np.ndarray, frequent_class: int) -> DataFrame:
+    """(node) of the sets of column text that show as many shared signatures as a set that links has to.
+
+    Signatures are dealt out by ranges of signature and set, so a very common one spreads over tasks; where a range
+    ends, its last signature counts as shared even if it is alone."""
     sent = docs.sparkSession.sparkContext.broadcast((classes, frequent_class))
 
     def emit(batches):
         hashes, (classes, frequent) = WordHashes(), sent.value
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
-                sig, node, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+                sig, node, least = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
                 for text in batch.column(0).slice(k, 1024):
                     s = rule.shingles(text.as_py(), hashes)
-                    if len(s):
-                        found, core = signatures(s, classes, frequent, rule)
+                    if len(s) and not rule.alone(len(s)):
+                        c = classes_of(s, classes)
+                        order = np.lexsort((s, c))
+                        found, plain = signatures(s[order], c[order], frequent, len(s), rule, rule.extension(len(s)))
                         sig.append(found)
                         node.append(np.full(len(found), set_name(s), np.int64))
-                        size.append((2 * len(s) + core).astype(np.int32))  # core in the lowest bit
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(size))], ["sig", "node", "n"])
+                        least.append(np.full(len(found), 1 if plain is None else rule.shown(len(s)), np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(least))], ["sig", "node", "least"])
 
     def shared(batches):
-        last = None  # the row before the batch, and whether it was alone so far
+        last = None  # signature, set and least of the row before the batch, and whether its signature is shared
+        row = lambda node, least: pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(least, pa.int32())], ["node", "least"])
         for batch in batches:
-            sig, node, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            sig, node, least = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             if not len(sig):
                 continue
-            if last is not None:
-                sig, node, n = (np.concatenate(([x], y)) for x, y in zip(last[:3], (sig, node, n), strict=True))
-            same = np.concatenate(([False], sig[1:] == sig[:-1]))
-            if last is not None and last[3]:
-                same[0] = True
-            follows = np.append(sig[1:] == sig[:-1], False)
-            keep = same | follows
-            keep[0] |= last is None
-            before = np.where(same, np.concatenate(([0], node[:-1])), 0)
-            n_before = np.where(same, np.concatenate(([0], n[:-1])), 0)
-            if last is not None and last[3]:
-                before[0], n_before[0] = last[4], last[5]
-            at = np.flatnonzero(keep[:-1])  # the last row waits for the next batch
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[at]), pa.array(node[at]), pa.array(n[at].astype(np.int32)), pa.array(before[at], mask=~same[at]), pa.array(n_before[at].astype(np.int32), mask=~same[at])], ["sig", "node", "n", "before", "n_before"]
-            )
-            last = (sig[-1], node[-1], n[-1], bool(same[-1]), before[-1], n_before[-1])
+            same = np.concatenate(([last is None or last[0] == sig[0]], sig[1:] == sig[:-1]))
+            if last is not None and (last[3] or same[0]):
+                yield row([last[1]], [last[2]])
+            both = same.copy()
+            both[:-1] |= same[1:]
+            yield row(node[:-1][both[:-1]], least[:-1][both[:-1]])
+            last = (sig[-1], node[-1], least[-1], bool(same[-1]))
         if last is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([last[0]]), pa.array([last[1]]), pa.array([last[2]], pa.int32()), pa.array([last[4] if last[3] else None], pa.int64()), pa.array([last[5] if last[3] else None], pa.int32())], ["sig", "node", "n", "before", "n_before"]
-            )
+            yield row([last[1]], [last[2]])
+
+    all_ = written(docs.select("text").mapInArrow(emit, "sig long, node long, least int"), "join-signatures")
+    met = all_.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node").mapInArrow(shared, "node long, least int")
+    return met.groupBy("node", "least").count().where("count >= least").select("node").distinct()
+
+
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """(node, n, tokens, counts, usual) from sets (node, n, least, shingles): the shingles that several of the sets
+    have, rarest first, and in how many; only sets with `least` of them. usual: how common its shingles are."""
+    each = sets.select("node", "n", "least", F.explode("shingles").alias("token"))
+    met = each.withColumn("count", F.count(F.lit(1)).over(W.partitionBy("token"))).where("count > 1")
+    ranked = met.groupBy("node", "n", "least").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("t")).where("size(t) >= least")
+    return ranked.select("node", "n", F.col("t.token").alias("tokens"), F.col("t.count").cast("array<int>").alias("counts"), (F.aggregate("t", F.lit(0.0), lambda s, t: s + t["count"]) / F.col("n")).alias("usual"))
+
+
+def index_sets(sets: DataFrame, rule: JaccardRule, frequent: int) -> DataFrame:
+    """(sig, node, n, at) from (node, n, tokens, counts): at is the place of the shingle in its set's order, 0 for
+    combinations and for sets that have frequent shingles in their prefix."""
+
+    def emit(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                sig, node, size, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+                for name, n, tokens, counts in zip(*(batch.column(c).slice(k, 256) for c in range(4)), strict=True):
+                    n = n.as_py()
+                    found, places = signatures(tokens.values.to_numpy().view(np.uint64), counts.values.to_numpy(), frequent, n, rule, 0, n - len(tokens))
+                    sig.append(found)
+                    node.append(np.full(len(found), name.as_py(), np.int64))
+                    size.append(np.full(len(found), n, np.int32))
+                    at.append(np.zeros(len(found), np.int32) if places is None else places.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (node, size, at))], ["sig", "node", "n", "at"])
 
-    all_ = written(docs.select("text").mapInArrow(emit, "sig long, node long, n int"), "join-signatures")
-    sorted_ = all_.repartitionByRange("sig", "n", "node").sortWithinPartitions("sig", "n", "node")
-    index = written(sorted_.mapInArrow(shared, "sig long, node long, n int, before long, n_before int"), "join-index")
-    return index.withColumns({"core": F.col("n") % 2 == 1, "n": F.shiftright("n", 1), "n_before": F.shiftright("n_before", 1)})
+    return sets.select("node", "n", "tokens", "counts").mapInArrow(emit, "sig long, node long, n int, at int")
 
 
-def verify(pairs: DataFrame, sketches: DataFrame, sets, rule: JaccardRule) -> DataFrame:
+def ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def verify(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
     """The pairs (a, b) whose sets link. Histograms of both sets bound the intersection from above; what they do not sort
-    out, mostly real links, is compared by the sets themselves, which sets(nodes) gives for these pairs' nodes only."""
-    a, b = (sketches.select(*(F.col(c).alias(f"{c}{x}") for c in ("node", "n", "histogram"))) for x in "ab")
-    seen = pairs.join(a, F.col("a") == F.col("nodea")).join(b, F.col("b") == F.col("nodeb"))
-    most = F.aggregate(F.zip_with("histograma", "histogramb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda t, x: t + x)
-    hopeful = seen.withColumns({"na": F.col("na"), "nb": F.col("nb"), "both": most}).where(rule.possible()).where(rule.linked()).select("a", "b", "na", "nb")
-    hopeful = written(hopeful, "join-hopeful")
-    compared = sets(hopeful.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    left, right = (compared.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    met = hopeful.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return met.where(rule.linked()).select("a", "b")
+    out, mostly real links, is compared by the sets themselves."""
+
+    def histogram(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                node, n, tokens = (batch.column(c).slice(k, 1024) for c in range(3))
+                counts = [np.minimum(np.bincount(x.values.to_numpy().view(np.uint64).astype(np.int64) & (HISTOGRAM - 1), minlength=HISTOGRAM), 255).astype(np.uint8).tobytes() for x in tokens]
+                lost = [max(0, len(x) - sum(h)) for x, h in zip(tokens, counts, strict=True)]  # beyond 255 in a bucket
+                yield pa.RecordBatch.from_arrays([node, n, pa.array(counts, pa.binary()), pa.array(lost, pa.int32())], ["node", "n", "h", "lost"])
+
+    def hopeful(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                ha, hb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, HISTOGRAM) for c in (4, 5))
+                na, nb, lost = (part.column(c).to_numpy().astype(np.int64) for c in (2, 3, 6))
+                most = np.minimum(ha, hb).sum(axis=1, dtype=np.int64) + lost
+                keep = np.flatnonzero((rule.num + rule.den) * most >= rule.num * (na + nb))
+                yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(keep)) for c in range(4)], ["a", "b", "na", "nb"])
+
+    sketches = sets.select("node", "n", "tokens").mapInArrow(histogram, "node long, n int, h binary, lost int")
+    a, b = (sketches.select(*(F.col(c).alias(f"{c}{x}") for c in ("node", "n", "h", "lost"))) for x in "ab")
+    met = pairs.join(a, F.col("a") == F.col("nodea")).join(b, F.col("b") == F.col("nodeb")).where(rule.possible())
+    maybe = written(met.select("a", "b", "na", "nb", "ha", "hb", F.least("losta", "lostb").alias("lost")).mapInArrow(hopeful, "a long, b long, na int, nb int"), "join-hopeful")
+    left, right = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
+    compared = maybe.join(left, "a").join(right, "b").where(f"size(array_intersect(ta, tb)) >= {rule.needed()}")
+    return compared.select("a", "b")
+
+
+def hubs_of(index: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Under every signature the set with the most usual shingles is the hub: (x, y) for sets and hubs they meet, and
+    (node, hub) for the one that a set meets most often. Edits of their own make copies less usual than what they copy."""
+    stars = index.join(sets.select("node", "usual"), "node").groupBy("sig").agg(F.max(F.struct("usual", "node")).alias("hub"))
+    met = index.select("sig", "node").join(stars.select("sig", F.col("hub.node").alias("hub")), "sig").groupBy("node", "hub").count()
+    met = written(met, "join-stars")
+    first = met.groupBy("node").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
+    again = first.select(F.col("node").alias("hub"), F.col("hub").alias("own"))
+    homes = written(first.join(again, "hub").select("node", F.col("own").alias("hub")), "join-homes")
+    return met.select(F.col("node").alias("x"), F.col("hub").alias("y")), homes
+
+
+def apart(placed: DataFrame, index: DataFrame, rule: JaccardRule) -> DataFrame:
+    """(x, y) of sets with different hubs and roots that can link by the place of a shingle in both prefixes."""
+    rows = index.join(placed.select("node", "hub", "root"), "node")
+    spread = rows.groupBy("sig").agg(F.min("hub").alias("h1"), F.max("hub").alias("h2"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("h1 < h2 AND r1 < r2")
+    rows = written(rows.join(spread.select("sig"), "sig", "left_semi"), "join-apart")
+    a, b = (rows.select("sig", *(F.col(c).alias(f"{c}{x}") for c in ("node", "hub", "root", "n", "at"))) for x in "ab")
+    near = a.join(b, "sig").where("nodea < nodeb AND huba <> hubb AND roota <> rootb").where(rule.possible())
+    return near.where(f"ata <= na - {rule.needed()} AND atb <= nb - {rule.needed()}").select(F.col("nodea").alias("x"), F.col("nodeb").alias("y"))
+
+
+def around_hubs(placed: DataFrame, sets: DataFrame, links: DataFrame, rule: JaccardRule) -> DataFrame:
+    """(x, y) of sets with the same hub and different roots that can link by what tells them from their hub.
+
+    Let dx be the size of the symmetric difference of x and the hub. x and y link only if at least (dx + dy - d) / 2
+    shingles tell both from it, d being the most by which linked sets of their sizes differ. Where one of them does not
+    link with the hub that is more than share * max(dx, dy) for those that do not, num / (num + den) being the share, and
+    never below 1: so the differences are joined by prefixes as sets are. Copies with edits of their own have few
+    differences in common, however many they are. First come the private shingles of x, which no other set has, then its
+    other shingles that the hub lacks, then what it lacks, what most others have first.
+    """
+    split = placed.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hub")
+    members = placed.join(split, "hub", "left_semi").join(sets.select("node", "n", "tokens"), "node")
+    names = F.expr("transform(sequence(1, n - size(tokens)), k -> xxhash64(node, k))")
+    core = sets.join(split, F.col("node") == F.col("hub"), "left_semi").select(F.col("node").alias("hub"), F.reverse(F.when(F.expr("n > size(tokens)"), F.concat(names, "tokens")).otherwise(F.col("tokens"))).alias("core"))
+    near = links.select(F.col("a").alias("node"), F.col("b").alias("hub")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("hub"))).withColumn("near", F.lit(True))
+    told = members.where("node <> hub").join(core, "hub").join(near, ["node", "hub"], "left")
+    told = told.withColumn("differ", F.concat(F.array_except("tokens", "core"), F.array_except("core", "tokens"))).withColumn("private", F.expr("n - size(tokens)"))
+    told = told.withColumn("d", F.expr("private + size(differ)"))
+    last = F.when(F.col("near"), F.expr(f"d - d * {rule.num} div {rule.num + rule.den} - 1")).otherwise(F.col("d") - 1)  # the last place that is of use
+    shown = told.withColumn("last", last).where("last >= private").select("hub", "node", "root", "n", "d", "private", F.posexplode(F.expr("slice(differ, 1, cast(last - private + 1 as int))")).alias("k", "token"))
+    rows = written(shown.select("hub", "node", "root", "n", "d", F.expr("k + private").alias("at"), "token"), "join-around")
+    a, b = (rows.select("hub", "token", *(F.col(c).alias(f"{c}{x}") for c in ("node", "root", "n", "d", "at"))) for x in "ab")
+    common = f"((da + db - na - nb + 2 * {rule.needed()} + 1) div 2)"
+    met = a.join(b, ["hub", "token"]).where("nodea < nodeb AND roota <> rootb").where(rule.possible())
+    return met.where(f"ata <= da - {common} AND atb <= db - {common}").select(F.col("nodea").alias("x"), F.col("nodeb").alias("y"))
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: JaccardRule | None = None) -> DataFrame:
     """(id_col, n_shingles, component_id) for every document; component_id is the smallest id that links reach.
 
-    1. Documents with equal sets are one node. Nodes are indexed under their signatures.
-    2. Every signature links its sets in a chain by size and with one of them: candidates in proportion to the index.
-       The verified ones give first components.
-    3. Where sets of different components share a signature, those outside the signature's largest component meet all
-       sets of other components; candidates that were not tested yet are verified. No link between components is
-       lost, and sets that are connected already are not paired. In crowded signatures, what a set has alone bounds
-       what it can share, so near copies that are too far from each other do not become candidates.
-    Null and empty texts have no shingles and are alone. Rows that share an id count as that id; null ids are alone in
-    the sense that they never name a component unless it has no other id. Sets are compared by 64-bit shingle hashes.
-    Other columns are ignored; an empty table gives no rows.
+    1. Documents with equal sets are one node. Sets that show too few signatures that others have too, or too few shared
+       shingles, link with no other set.
+    2. The rest are indexed. Under every signature sets are candidates with one hub, and each set with the hub that it
+       meets most often: candidates in proportion to the index. The verified ones give first components.
+    3. Sets of different components that have the same hub meet by what tells them from it, those with different hubs by
+       their signatures. No link between components is lost, sets that are connected already are not paired, and
+       copies of one text with edits of their own do not become candidates merely as they share that text.
+    Null and empty texts have no shingles and are alone; a text is held whole by one task at a time, however long. Rows
+    that share an id count as that id; null ids are alone in the sense that they never name a component unless it has no
+    other id. Sets are compared by 64-bit shingle hashes. Other columns are ignored; an empty table gives no rows.
     """
     rule = rule or JaccardRule()
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    of_doc, counters = read_sets(source, "id", "text", rule, COUNTER_BITS)
+    of_doc, counters = read_sets(source, rule, COUNTER_BITS)
     classes, frequent_class = frequency_classes(counters, COUNTER_BITS)
 
     named = of_doc.where("node IS NOT NULL")
@@ -236,45 +329,28 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     copies = named.join(nodes.where("copies > 1").select("node"), "node", "left_semi").select("id").distinct()
     spare = written(copies.join(nodes.select("id"), "id", "left_anti").where("id IS NOT NULL"), "join-spare")
     standing = source.join(bounded(spare), "id", "left_anti")
-    index = index_sets(standing, rule, classes, frequent_class)
+    able = written(showing_enough(standing, rule, classes, frequent_class), "join-able")
 
+    ids = written(nodes.join(able, "node", "left_semi").select("id").distinct(), "join-members")
+    texts = standing.alias("d").join(bounded(ids).alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")), "left_semi")
+    found = sets_of(texts, rule)
     # standing rows of one node are several only where ids repeat or are null
     repeated = written(named.join(bounded(spare), "id", "left_anti").groupBy("node").count().where("count > 1").select("node"), "join-repeated")
-    several = repeated.limit(1).count() > 0
-
-    def read(of_nodes: DataFrame, shingles: bool) -> DataFrame:
-        ids = written(nodes.join(of_nodes, "node", "left_semi").select("id").distinct(), "join-members")
-        texts = standing.alias("d").join(bounded(ids).alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")), "left_semi")
-        found = sets_of(texts, rule, None if shingles else classes)
-        if several:
-            again = found.join(bounded(repeated), "node", "left_semi").dropDuplicates(["node"])
-            found = found.join(bounded(repeated), "node", "left_anti").unionByName(again)
-        return written(found, "join-shingles" if shingles else "join-sketches")
-
-    sketches, sets = read(index.select("node").distinct(), False), lambda of_nodes: read(of_nodes, True)
-    # the hub of a signature is the set with the most usual shingles: copies with edits of their own are near to it
-    stars = index.select("sig", "node").join(sketches.select("node", "usual"), "node").groupBy("sig").agg(F.max(F.struct("usual", "node")).alias("hub")).select("sig", F.col("hub.node").alias("hub"))
-    chained = index.where("before IS NOT NULL").select(F.col("node").alias("x"), F.col("before").alias("y"), F.col("n").alias("na"), F.col("n_before").alias("nb")).where(rule.possible()).select("x", "y")
-    starred = index.select("sig", "node").join(stars, "sig").select(F.col("node").alias("x"), F.col("hub").alias("y"))
-    ordered = lambda p: p.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    first = written(ordered(chained.unionByName(starred)), "join-candidates")
-    links = written(verify(first, sketches, sets, rule), "join-links")
+    if repeated.limit(1).count():
+        again = found.join(bounded(repeated), "node", "left_semi").dropDuplicates(["node"])
+        found = found.join(bounded(repeated), "node", "left_anti").unionByName(again)
+    sets = written(shared_shingles(found), "join-shared")
+
+    index = written(index_sets(sets, rule, FREQUENT_COUNT), "join-index")
+    stars, homes = hubs_of(index, sets)
+    first = written(ordered(stars.unionByName(homes.select(F.col("node").alias("x"), F.col("hub").alias("y")))), "join-candidates")
+    links = written(verify(first, sets, rule), "join-links")
     roots = connected_components(links)
 
-    placed = index.select("sig", "node", "n", "core").join(roots, "node", "left").select("sig", "node", "n", "core", F.coalesce("root", "node").alias("root"))
-    mixed_ = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
-    open_ = written(placed.join(mixed_, "sig", "left_semi"), "join-open")
-    by_root = open_.groupBy("sig", "root").count()
-    largest = by_root.groupBy("sig").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("inside"))
-    marked = open_.join(largest, "sig").withColumn("crowded", (F.col("all") - F.col("inside")) * F.col("all") > CROWDED)
-    reach = written(shared_at_most(marked.where("crowded").select("node").distinct(), sets), "join-reach")
-    able = marked.join(reach, "node", "left").withColumn("reach", F.when(F.col("crowded"), F.coalesce("reach", F.lit(0))).otherwise(F.col("n"))).where("reach > 0")
-    able = written(able.select("sig", "node", "n", "core", "root", "most", "reach"), "join-able")
-    side = lambda df, k: df.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("node", "n", "core", "root", "reach")))
-    met = side(able.where("root <> most"), "a").join(side(able, "b"), "sig").where("roota <> rootb").where(rule.possible()).where(rule.within("least(reacha, reachb)"))
-    met = met.where("if(struct(na, nodea) < struct(nb, nodeb), corea, coreb)").select(F.col("nodea").alias("x"), F.col("nodeb").alias("y"))
-    second = written(ordered(met).join(first, ["a", "b"], "left_anti"), "join-candidates")
-    links = links.unionByName(verify(second, sketches, sets, rule))
+    placed = written(homes.join(roots, "node", "left").select("node", "hub", F.coalesce("root", "node").alias("root")), "join-placed")
+    second = ordered(around_hubs(placed, sets, links, rule).unionByName(apart(placed, index, rule)))
+    second = written(second.join(first, ["a", "b"], "left_anti"), "join-candidates")
+    links = links.unionByName(verify(second, sets, rule))
     roots = connected_components(written(links, "join-links"))
 
     whole = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
@@ -283,30 +359,16 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return of_doc.join(final, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def shared_at_most(nodes: DataFrame, sets) -> DataFrame:
-    """(node, reach) for nodes (node): how many of its shingles any other of them has."""
-    found = sets(nodes)
-    each = found.select("node", F.explode("shingles").alias("shingle"))
-    private = each.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("private"))
-    return found.join(private, "node", "left").select("node", (F.size("shingles") - F.coalesce("private", F.lit(0))).cast("int").alias("reach"))
-
-
-def sets_of(docs: DataFrame, rule: JaccardRule, classes: np.ndarray | None) -> DataFrame:
-    """(node, shingles), or given frequency classes (node, n, usual, histogram), for the sets of column text: a row for
-    each text that has words. usual is the mean class of the shingles."""
-    kind = "node long, shingles array<long>" if classes is None else "node long, n int, usual double, histogram array<int>"
-    sent = docs.sparkSession.sparkContext.broadcast(classes)
+def sets_of(docs: DataFrame, rule: JaccardRule) -> DataFrame:
+    """(node, n, least, shingles) for the sets of column text that can link: a row for each text that has words."""
 
     def read(batches):
         hashes = WordHashes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 sets = [x for t in batch.column(0).slice(k, 256) if len(x := rule.shingles(t.as_py(), hashes))]
-                names = pa.array([set_name(x) for x in sets], pa.int64())
-                if sent.value is None:
-                    yield pa.RecordBatch.from_arrays([names, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"])
-                else:
-                    counts = [np.bincount((x & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM).astype(np.int32) for x in sets]
-                    yield pa.RecordBatch.from_arrays([names, pa.array([len(x) for x in sets], pa.int32()), pa.array([float(classes_of(x, sent.value).mean()) for x in sets], pa.float64()), pa.array(counts, pa.list_(pa.int32()))], ["node", "n", "usual", "histogram"])
-
-    return docs.select("text").mapInArrow(read, kind)
+                names, sizes = pa.array([set_name(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())
+                least = pa.array([rule.overlap(len(x)) for x in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([names, sizes, least, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "n", "least", "shingles"])
+
+    return docs.select("text").mapInArrow(read, "node long, n int, least int, shingles array<long>")
