@@ -54,13 +54,13 @@ def pseudonym(col: str | Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{salt}:"), x.cast("string")), 256)
 
 
-def hash_order(*cols: str | Column, seed: int = 0) -> Column:
+def hash_order(*cols: str | Column, seed: int | str = 0) -> Column:
     """60 bits of SHA-256 over seed and columns: an order that neither partitions nor engines change."""
     parts = [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]
     return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *parts), 256), 1, 15), 16, 10).cast("bigint")
 
 
-def hash_uniform(*cols: str | Column, seed: int = 0) -> Column:
+def hash_uniform(*cols: str | Column, seed: int | str = 0) -> Column:
     """A number in [0, 1) that depends on seed and columns only."""
     return hash_order(*cols, seed=seed) / float(1 << 60)
 
