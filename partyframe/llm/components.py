@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import forget, written
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").unionByName(low.select("a", F.col("least").alias("b")))
-        now = written(small.distinct(), "links")
+        last, now = now, written(small.distinct(), "links")
+        forget(last)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break

@@ -1,28 +1,17 @@
-"""What the operators of this subpackage share: the cluster's shared folder, ids and column guards."""
+"""What the operators of this subpackage share: tables written to the cluster's shared folder, column guards, bounded broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A broadcast built here holds at most this many rows; beyond it the same step runs as a shuffled join.
-BROADCAST_ROWS = 500_000
+from partyframe.functions.session import shared_path as shared_dir
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the session names none (tests on one machine), a temporary folder is set as checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="partyframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+#: A broadcast built here holds at most so many rows and bytes; beyond that the same step runs as a shuffled join.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -30,7 +19,16 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of written() frames that nothing will read again: what was made of them is written too."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -38,7 +36,18 @@ def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if a count proves that it has at most `rows` rows, else df as it is."""
-    rows = BROADCAST_ROWS if rows is None else rows
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def width(df: DataFrame, name: str) -> Column:
+    """About how many bytes a value takes in a broadcast."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.size(name), F.lit(0)) * 8 + 24
+    return F.lit(8)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if counting proves that it is within BROADCAST_ROWS and BROADCAST_BYTES, else df as it
+    is. df is a written table or cheap to read, as it is read once more for this."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(reduce(Column.__add__, (width(df, c).cast("long") for c in df.columns)))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
