@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bounded, written
+from .shared import bounded, forget, written
 from .words import WordHashes, mixed, shingle_hashes, split_words
 
 #: Shingles of a corpus share 2**COUNTER_BITS counters (as many whatever the corpus, so that what tasks send grows with
@@ -188,16 +188,18 @@ def showing_enough(docs: DataFrame, rule: JaccardRule, classes: np.ndarray, freq
 
     all_ = written(docs.select("text").mapInArrow(emit, "sig long, node long, least int"), "join-signatures")
     met = all_.repartitionByRange("sig", "node").sortWithinPartitions("sig", "node").mapInArrow(shared, "node long, least int")
-    return met.groupBy("node", "least").count().where("count >= least").select("node").distinct()
+    able = written(met.groupBy("node", "least").count().where("count >= least").select("node").distinct(), "join-able")
+    forget(all_)
+    return able
 
 
 def shared_shingles(sets: DataFrame) -> DataFrame:
     """(node, n, tokens, counts, usual) from sets (node, n, least, shingles): the shingles that several of the sets
     have, rarest first, and in how many; only sets with `least` of them. usual: how common its shingles are."""
     each = sets.select("node", "n", "least", F.explode("shingles").alias("token"))
-    met = each.withColumn("count", F.count(F.lit(1)).over(W.partitionBy("token"))).where("count > 1")
+    met = each.withColumn("count", F.count(F.lit(1)).over(W.partitionBy("token")).cast("int")).where("count > 1")
     ranked = met.groupBy("node", "n", "least").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("t")).where("size(t) >= least")
-    return ranked.select("node", "n", F.col("t.token").alias("tokens"), F.col("t.count").cast("array<int>").alias("counts"), (F.aggregate("t", F.lit(0.0), lambda s, t: s + t["count"]) / F.col("n")).alias("usual"))
+    return ranked.select("node", "n", F.col("t.token").alias("tokens"), F.col("t.count").alias("counts"), (F.aggregate("t", F.lit(0.0), lambda s, t: s + t["count"]) / F.col("n")).alias("usual"))
 
 
 def index_sets(sets: DataFrame, rule: JaccardRule, frequent: int) -> DataFrame:
@@ -329,7 +331,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     copies = named.join(nodes.where("copies > 1").select("node"), "node", "left_semi").select("id").distinct()
     spare = written(copies.join(nodes.select("id"), "id", "left_anti").where("id IS NOT NULL"), "join-spare")
     standing = source.join(bounded(spare), "id", "left_anti")
-    able = written(showing_enough(standing, rule, classes, frequent_class), "join-able")
+    able = showing_enough(standing, rule, classes, frequent_class)
 
     ids = written(nodes.join(able, "node", "left_semi").select("id").distinct(), "join-members")
     texts = standing.alias("d").join(bounded(ids).alias("m"), F.col("d.id").eqNullSafe(F.col("m.id")), "left_semi")

@@ -17,9 +17,9 @@ def shingles(text: str | None, n: int = 4) -> set[tuple[str, ...]]:
     return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+def components(rows: list[tuple[int, str | None]], n: int = 4, percent: int = 85) -> dict[int, tuple[int, int]]:
     """doc_id: (shingles, smallest id reachable by links)."""
-    sets = {k: shingles(t) for k, t in rows}
+    sets = {k: shingles(t, n) for k, t in rows}
     root = {k: k for k in sets}
 
     def find(k):
@@ -32,7 +32,7 @@ def components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]
     for i, a in enumerate(keys):
         for b in keys[i + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {k: (len(s), find(k)) for k, s in sets.items()}
