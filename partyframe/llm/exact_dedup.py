@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import BROADCAST_ROWS, bounded, two_columns, written
+from .shared import bounded, two_columns, written
 
-#: Rows that a bucket of the index holds before it splits, and how many buckets the index aims at when it is large.
-BUCKET_ROWS, BUCKETS = 16_384, 4_096
-#: Bits by which one counting job looks below an overfull bucket: 2**STEP counts for each at most.
-STEP = 12
+#: Rows that a bucket of the index holds before it splits, and how many buckets the index aims at when it is large: then
+#: a bucket holds twice the mean, so that few split once more.
+BUCKET_ROWS, BUCKETS = 1_024, 4_096
+#: Bits by which the first counting job looks below the root, and later ones below an overfull bucket.
+ROOT_BITS, SPLIT_BITS = 12, 3
+#: The directory has 2**MOST_DEPTH pointers at most: buckets of that depth do not split, their chains grow.
+MOST_DEPTH = 18
 
 
 @dataclass(frozen=True)
@@ -39,12 +42,13 @@ def key_prefix(depth: int):
 def grow_directory(entries: DataFrame, bucket_rows: int) -> Directory:
     """Split overfull buckets until none holds over bucket_rows keys, doubling the directory where a bucket is as deep as it.
 
-    The driver sees counts by key prefix only: 2**STEP for the root, then for the buckets that are still overfull.
+    The driver sees counts by key prefix only: 2**ROOT_BITS for the root, then 2**SPLIT_BITS for each bucket that is still
+    overfull, of which there are fewer than keys / bucket_rows.
     """
     done: list[tuple[int, int]] = []
     overfull, depth = [0], 0
     while overfull:
-        below = min(STEP, 64 - depth)
+        below = min(SPLIT_BITS if depth else ROOT_BITS, MOST_DEPTH - depth)
         rows = entries.where(key_prefix(depth).isin(overfull)) if depth else entries
         counts = {r[0]: r[1] for r in rows.groupBy(key_prefix(depth + below).alias("p")).count().collect()}
         sums = [counts]
@@ -56,7 +60,7 @@ def grow_directory(entries: DataFrame, bucket_rows: int) -> Directory:
         todo, deeper = [(p, 0) for p in overfull], []
         while todo:
             p, down = todo.pop()
-            if sums[below - down].get(p, 0) <= bucket_rows or depth + down == 64:
+            if sums[below - down].get(p, 0) <= bucket_rows or depth + down == MOST_DEPTH:
                 done.append((p, depth + down))
             elif down == below:
                 deeper.append(p)
@@ -72,15 +76,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     1. Each text becomes a 64-bit key; keys are counted before they are shuffled, so a group of copies is one entry
        for each task however large it is.
-    2. The entries go to the bucket files of an extendible-hash index in the shared folder.
-    3. For keys met more than once, the texts themselves are grouped under their key: a chain with one cell for each
-       distinct text, compared byte by byte. A key whose chain has one cell needs no more; for the others (collisions)
-       documents find their cell by text.
-    4. Documents look their key up in the index.
-
-    Null text counts as empty. A null id never becomes keep_id unless its group has no other; such rows are not kept
-    in a group with ids, and kept otherwise. Repeated rows with the winning id are all kept. An empty table gives no
-    rows. Other columns of docs are ignored.
+    2. For keys met more than once the texts themselves are grouped, counted before they are shuffled too: a chain with
+       one cell for each distinct text, compared byte by byte. Most chains have one cell; where texts collide, the cells
+       keep their text.
+    3. The cells go to the bucket files of an extendible-hash index in the shared folder, each bucket's key range to one
+       owner task.
+    4. Documents find the bucket of their key by the directory, and in it their cell by key, and by text where the
+       chain has several cells.
+
+    Null text counts as empty; a text is held whole by one task at a time, however long. A null id never becomes keep_id
+    unless its group has no other; such rows are not kept in a group with ids, and kept otherwise. Repeated rows with the
+    winning id are all kept. An empty table gives no rows. Other columns of docs are ignored.
     """
     source = two_columns(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     prints = written(source.select("id", "key", F.unhex(F.sha2("text", 256)).alias("sha")), "dedup-prints")
@@ -89,18 +95,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = entries.where("group_size > 1").select("key")
     chained = written(source.join(bounded(repeated), "key", "left_semi"), "dedup-texts")
     cells = written(chained.groupBy("key", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-cells")
-    chains = cells.groupBy("key").agg(F.count(F.lit(1)).alias("cells"))
-    collided = written(chains.where("cells > 1").select("key"), "dedup-collided")
-
-    index = build_index(entries.join(bounded(collided), "key", "left_anti"), bucket_rows)
-    plain = prints.join(index, "key").select("id", "sha", "keep_id", "group_size")
-    own_cell = (
-        chained.join(bounded(collided), "key", "left_semi")
-        .join(cells, ["key", "text"])
-        .select("id", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size")
-    )
-    both = plain.unionByName(own_cell) if collided.limit(1).count() else plain
-    return both.select(
+    collided = written(cells.groupBy("key").agg(F.count(F.lit(1)).alias("cells")).where("cells > 1").select("key"), "dedup-collided")
+    several = collided.limit(1).count() > 0
+
+    keyed = entries.withColumn("text", F.lit(None).cast("string"))
+    if several:
+        keyed = keyed.join(bounded(collided), "key", "left_anti").unionByName(cells.join(bounded(collided), "key", "left_semi"))
+    directory, index = build_index(keyed, bucket_rows)
+    found = in_bucket(prints, directory).join(index.where("text IS NULL").drop("text"), ["bucket", "key"]).select("id", "sha", "keep_id", "group_size")
+    if several:
+        of_chains = in_bucket(chained.join(bounded(collided), "key", "left_semi"), directory).join(index.where("text IS NOT NULL"), ["bucket", "key", "text"])
+        found = found.unionByName(of_chains.select("id", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size"))
+    return found.select(
         F.col("id").alias(id_col),
         "keep_id",
         F.col("group_size").cast("long").alias("group_size"),
@@ -109,15 +115,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def build_index(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """entries (key, ...) as bucket files, one owner task for each bucket's key range; adds bucket and local_depth.
+def in_bucket(rows: DataFrame, directory: Directory) -> DataFrame:
+    """rows (key, ...) with the bucket that the directory has for the key."""
+    schema = T.StructType([T.StructField("pointer", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    slots = rows.sparkSession.createDataFrame([(p, b) for p, b, _ in directory.pointers()], schema)  # 2**MOST_DEPTH at most
+    return rows.withColumn("pointer", key_prefix(directory.global_depth)).join(F.broadcast(slots), "pointer").drop("pointer")
+
+
+def build_index(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[Directory, DataFrame]:
+    """The directory, and entries (key, ...) as bucket files with a column bucket: one owner task for each bucket's key range.
 
     Large tables get larger buckets, so that the index stays at some BUCKETS files.
     """
-    spark = entries.sparkSession
-    directory = grow_directory(entries, max(bucket_rows, entries.count() // BUCKETS))
-    schema = T.StructType([T.StructField("pointer", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("local_depth", T.IntegerType())])
-    slots = spark.createDataFrame(directory.pointers(), schema)
-    slots = F.broadcast(slots) if 1 << directory.global_depth <= BROADCAST_ROWS else slots
-    owned = entries.withColumn("pointer", key_prefix(directory.global_depth)).join(slots, "pointer").drop("pointer")
-    return written(owned.repartition("bucket"), "dedup-index", ("bucket",))
+    directory = grow_directory(entries, max(bucket_rows, 2 * entries.count() // BUCKETS))
+    return directory, written(in_bucket(entries, directory).repartition("bucket"), "dedup-index", ("bucket",))
