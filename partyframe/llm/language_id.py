@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,24 +14,21 @@ from pyspark.sql import types as T
 
 #: Buckets of the hashed n-grams (1 to 3 characters), added count, characters taken at a time, languages at most:
 #: the matrix that is broadcast has MAX_LANGUAGES * BUCKETS float32 at most.
-BUCKETS, SMOOTHING, WINDOW, MAX_LANGUAGES = 1 << 16, 0.5, 1 << 20, 512
+BUCKETS, SMOOTHING, WINDOW, MAX_LANGUAGES = 1 << 16, 0.5, 1 << 18, 512
 UNKNOWN = "und"
 letter = regex.compile(r"\p{L}").search
 
 
-def ngram_buckets(text: str) -> np.ndarray:
-    """The bucket of each 1-, 2- and 3-gram of the lower-cased text, a space on both sides."""
-    out = []
+def ngram_buckets(text: str) -> Iterator[np.ndarray]:
+    """The bucket of each 1-, 2- and 3-gram of the lower-cased text with a space on both sides, WINDOW places at a time."""
+    whole = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
     with np.errstate(over="ignore"):
-        for start in range(0, len(text) or 1, WINDOW):
-            part = text[max(0, start - 2) : start + WINDOW].lower()
-            code = np.frombuffer(f" {part} ".encode("utf-32-le", "replace"), np.uint32)
+        for start in range(0, len(whole), WINDOW):
+            code = whole[start : start + WINDOW + 2]
             one = code * np.uint32(2654435761)
             two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(2246822519) + code[1:] * np.uint32(3266489917)
             three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(668265263) + code[2:] * np.uint32(374761393)
-            for h in (one, two, three):
-                out.append(((h ^ (h >> np.uint32(16))) * np.uint32(2246822519)) >> np.uint32(16))
-    return np.concatenate(out)
+            yield np.concatenate([((h ^ (h >> np.uint32(16))) * np.uint32(2246822519)) >> np.uint32(16) for h in (one[:WINDOW], two[:WINDOW], three[:WINDOW])])
 
 
 @dataclass(frozen=True)
@@ -40,10 +38,9 @@ class LanguageModel:
     log_prob: np.ndarray  # buckets x languages, float32
 
     def posteriors(self, texts: list[str]) -> np.ndarray:
-        """texts x languages: a sparse row of buckets for each text times the matrix, then normalised."""
-        rows = [ngram_buckets(t) for t in texts]
-        starts = np.concatenate(([0], np.cumsum([len(r) for r in rows])[:-1]))
-        scores = np.add.reduceat(self.log_prob[np.concatenate(rows)], starts, axis=0, dtype=np.float64) + self.log_prior
+        """texts x languages: a sparse row of buckets for each text times the matrix, then normalised. Memory is bounded
+        by WINDOW x languages, however long a text is."""
+        scores = np.stack([sum(self.log_prob[b].sum(axis=0, dtype=np.float64) for b in ngram_buckets(t)) for t in texts]) + self.log_prior
         scores = np.exp(scores - scores.max(axis=1, keepdims=True))
         return scores / scores.sum(axis=1, keepdims=True)
 
@@ -58,7 +55,8 @@ def fit_language_id(docs: DataFrame, text_col: str = "text", lang_col: str = "la
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if lang not in held:
                     held[lang] = np.zeros(BUCKETS + 1, np.int64)
-                held[lang] += np.bincount(ngram_buckets(text.as_py()), minlength=BUCKETS + 1)
+                for buckets in ngram_buckets(text.as_py()):
+                    held[lang] += np.bincount(buckets, minlength=BUCKETS + 1)
                 held[lang][BUCKETS] += 1
         for lang, counts in held.items():
             at = np.flatnonzero(counts)
@@ -83,7 +81,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
     """(id_col, lang_pred, score) for every row; no shuffle, the matrix is broadcast.
 
     Texts that are null or have no letter, and all texts if nothing could be learned, get `und` with score 0.
-    score is the posterior of the predicted language; of equals the first by name wins. Other columns are ignored.
+    score is the posterior of the predicted language; of equals the first by name wins. Texts count whole, in windows;
+    repeated rows are predicted each; an empty table gives no rows. Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -99,7 +98,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
                 if model.languages and text and letter(text):
                     group.append(k)
                     size += len(text)
-                if group and (size > WINDOW // 4 or k + 1 == len(texts)):
+                if group and (size > WINDOW or k + 1 == len(texts)):
                     posterior = model.posteriors([texts[g].as_py() for g in group])
                     best = posterior.argmax(axis=1)
                     score[group] = posterior.max(axis=1)
