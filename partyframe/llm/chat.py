@@ -42,6 +42,13 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
+def joined(spans: list[dict], start: int, end: int) -> list[dict]:
+    """spans and one more behind them; spans that touch are one, so a conversation without branches has one however long."""
+    if spans and spans[-1]["end"] == start:
+        return [*spans[:-1], {"start": spans[-1]["start"], "end": end}]
+    return [*spans, {"start": start, "end": end}]
+
+
 class Pack:
     def __init__(self):
         self.text: list[str] = []
@@ -72,7 +79,7 @@ class Pack:
                     "position": above["position"] + above["end"] - above["start"] if above else 0,
                     "loss_start": inner,
                     "loss_end": inner + len(body) if role == "assistant" else inner,
-                    "ancestors": [*above["ancestors"], {"start": above["start"], "end": above["end"]}] if above else [],
+                    "ancestors": joined(above["ancestors"], above["start"], above["end"]) if above else [],
                 }
             )
             self.path.append((role, text, len(self.nodes) - 1))
