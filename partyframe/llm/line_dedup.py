@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .shared import bounded, two_columns, written
@@ -126,10 +125,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = distinct.join(bounded(near).withColumn("everywhere", F.lit(True)), LINE, "left").where("first < last OR everywhere").select(*LINE, "first", "everywhere")
     gone = lines.select("id", "row", "no", *LINE).join(bounded(written(marked, "lines-marked")), LINE).where((order("id", "no") > F.col("first")) | F.col("everywhere"))
     by_doc = written(gone.groupBy("id", "row").agg(F.collect_set("no").alias("gone")), "lines-gone")
-    left, right = source.withColumn("row", F.xxhash64("text")).alias("d"), bounded(by_doc).alias("g")
-    joined = left.join(right, F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.row") == F.col("g.row")), "left")
-    parts = F.split("d.text", "\n")
-    none = F.lit(None).cast(T.ArrayType(T.IntegerType()))
-    stay = F.filter(parts, lambda line, k: ~F.array_contains(F.coalesce(F.col("g.gone"), F.array().cast("array<int>")), k))
-    text = F.when(F.col("g.gone").eqNullSafe(none), F.col("d.text")).otherwise(F.array_join(stay, "\n"))
-    return joined.select(F.col("d.id").alias(id_col), F.size(parts).cast("long").alias("n_lines"), (F.size(parts) - F.coalesce(F.size(F.col("g.gone")), F.lit(0))).cast("long").alias("n_kept"), text.alias("text"))
+    # split below the join, so that the lines kept are looked up and not split again
+    left, right = source.select("id", F.xxhash64("text").alias("row"), F.split("text", "\n").alias("parts")).alias("d"), bounded(by_doc).alias("g")
+    joined = left.join(right, F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.row") == F.col("g.row")), "left").select("d.id", "parts", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    stay = F.expr("transform(array_except(sequence(0, size(parts) - 1), gone), k -> parts[k])")
+    return joined.select(
+        F.col("id").alias(id_col),
+        F.size("parts").cast("long").alias("n_lines"),
+        (F.size("parts") - F.size("gone")).cast("long").alias("n_kept"),
+        F.array_join(F.when(F.size("gone") == 0, F.col("parts")).otherwise(stay), "\n").alias("text"),
+    )

@@ -136,12 +136,18 @@ WITH split AS (
     FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS no FROM split)
 ), firsts AS (
     SELECT words, min((doc_id, no)) AS first FROM lines WHERE len(words) > 0 GROUP BY words
+), each AS (
+    SELECT first, len(words) AS n, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM firsts WHERE len(words) >= 5
+), named AS (
+    SELECT first, n, i, hash(word, i) AS here, bit_xor(hash(word, i)) OVER line AS all_here, bit_xor(hash(word, i - 1)) OVER line AS all_shifted,
+           bit_xor(hash(word, i)) OVER upto AS to_here, bit_xor(hash(word, i - 1)) OVER upto AS to_shifted
+    FROM each
+    WINDOW line AS (PARTITION BY first), upto AS (PARTITION BY first ORDER BY i)
 ), variants AS (
-    SELECT first, len(words) AS n, i, words[:i - 1] || words[i + 1:] AS rest
-    FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM firsts WHERE len(words) >= 5)
+    SELECT first, n, i, all_here, xor(all_here, here) AS masked, xor(xor(to_here, here), xor(all_shifted, to_shifted)) AS rest FROM named
 ), pairs AS (
-    SELECT b.first AS later FROM variants a JOIN variants b ON a.n = b.n AND a.i = b.i AND a.rest = b.rest AND a.first < b.first
-    UNION SELECT greatest(a.first, v.first) FROM firsts a JOIN variants v ON a.words = v.rest AND len(a.words) >= 5
+    SELECT b.first AS later FROM variants a JOIN variants b ON a.n = b.n AND a.i = b.i AND a.masked = b.masked AND a.first < b.first
+    UNION SELECT greatest(a.first, v.first) FROM variants a JOIN variants v ON a.i = 1 AND a.n = v.n - 1 AND a.all_here = v.rest
 ), kept AS (
     SELECT first FROM firsts WHERE first NOT IN (SELECT later FROM pairs)
 ), shown AS (
