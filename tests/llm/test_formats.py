@@ -40,7 +40,16 @@ def test_shared_turns_are_written_once(spark):
             spans = [(a.start, a.end) for a in n.ancestors]
             assert n.position == sum(b - a for a, b in spans)
             assert all(b <= n.start for _, b in spans) and spans == sorted(spans)
-            assert n.parent == -1 or (p.nodes[n.parent].start, p.nodes[n.parent].end) == spans[-1]
+            assert n.parent == -1 or p.nodes[n.parent].end == spans[-1][1]
+            assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_many_turns_take_memory_in_proportion():
+    pack = chat.Pack()
+    pack.add(1, [("user", str(k)) for k in range(5000)])
+    assert max(len(n["ancestors"]) for n in pack.nodes) == 1
+    pack.add(2, [("user", str(k)) for k in range(2500)] + [("user", "other")])
+    assert [len(n["ancestors"]) for n in pack.nodes[-1:]] == [1] and pack.nodes[-1]["position"] == pack.nodes[2499]["end"]
 
 
 def test_attention_reaches_the_conversation_and_no_other(spark):

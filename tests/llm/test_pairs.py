@@ -103,6 +103,30 @@ def test_components_of_near_copies(spark, monkeypatch, frequent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == components(rows)
 
 
+def family(seed: int) -> list[tuple[int, str]]:
+    """Copies of three texts with so many edits that most link with few others: half the edits are a copy's own, the
+    others are shared by some, so that copies which do not link with the original link with each other."""
+    draw = random.Random(seed)
+    rows = []
+    for base in range(3):
+        words = [f"b{base}w{k}" for k in range(120)]
+        for k in range(70):
+            text = list(words)
+            for at in draw.sample(range(120), draw.randrange(12)):
+                text[at] = draw.choice([f"own{base}x{k}x{at}", f"shared{at}", f"shared{at}", ""])
+            if draw.random() < 0.3:
+                text[30:38] = [f"passage{j}" for j in range(8)]
+            rows.append((1000 * k + base, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize(("words", "percent"), [(4, 85), (5, 80)])
+def test_components_of_far_copies(spark, words, percent):
+    rows = family(words)
+    found = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), rule=ngram_join.JaccardRule(words, percent, 100))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == components(rows, words, percent)
+
+
 def test_components_of_awkward_texts(spark):
     rows = ngram_join.ngram_jaccard_components(frame(spark)).collect()
     assert len(rows) == 11
@@ -147,7 +171,7 @@ def test_exact_dedup(spark, duck, small, bucket_rows):
 
 
 def test_directory_doubles_until_buckets_fit(spark):
-    keys = [k << 40 for k in range(64)] + [1 << 62, 3 << 61]  # most share a long prefix
+    keys = [k << 48 for k in range(64)] + [1 << 62, 3 << 61]  # most share a long prefix
     entries = spark.createDataFrame([(k,) for k in keys], "key long")
     directory = exact_dedup.grow_directory(entries, 4)
     pointers = directory.pointers()
