@@ -1,19 +1,20 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet and read back as the next one's input.
 
-Every stage keeps the columns of documents but the last, which returns (doc_id, ids). Stages decide by doc_id; a null
-doc_id is never dropped by a stage that compares documents.
+Every stage keeps the columns of documents but the last, which returns (doc_id, n_tokens, ids). Stages decide row by row,
+by a name made of id and text: rows without id and rows that share one are judged by their own text. Of wholly repeated
+rows one stays, null texts go at the first stage, and an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partyframe.llm.bpe import bpe_encode
 from partyframe.llm.decontaminate import contaminated
 from partyframe.llm.exact_dedup import exact_dedup
-from partyframe.llm.language_id import UNKNOWN, identify_languages
+from partyframe.llm.language_id import UNKNOWN, fit_language_id, held_out, predict_language
 from partyframe.llm.ngram_join import JaccardRule, ngram_jaccard_components
 from partyframe.llm.shared import bounded, written
 
@@ -23,29 +24,51 @@ LEAST_LANGUAGE_SCORE = 0.5
 NEAR_COPIES = JaccardRule(words=5, num=80, den=100)
 
 
-def without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """docs whose doc_id is not in dropped; the few that go are broadcast while they are proven to be few."""
-    return docs.join(bounded(written(dropped.select("doc_id").distinct(), f"pipeline-{name}")), "doc_id", "left_anti")
+def row_name(text_sha: Column | None = None) -> Column:
+    """A 64-bit name of a row by its id and text."""
+    return F.xxhash64(F.col("doc_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256) if text_sha is None else text_sha)
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    return docs.select(row_name().alias("name"), "doc_id", "text")
+
+
+def without(docs: DataFrame, dropped: DataFrame, stage: str) -> DataFrame:
+    """docs without the rows whose name is in dropped; the few that go are broadcast while they are proven to be few."""
+    gone = bounded(written(dropped.select(F.col("name").alias("gone_name")).distinct(), f"pipeline-{stage}"))
+    return docs.join(gone, row_name() == F.col("gone_name"), "left_anti")
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify_languages(docs)
+    model = fit_language_id(docs.where(~held_out("doc_id")))
+    found = predict_language(rows_of(docs), model, "name")
     return without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE)), "languages")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the largest doc_id of equal texts stays."""
-    return without(docs, exact_dedup(docs).where("NOT kept"), "copies")
+    """The document with the largest doc_id of equal texts stays, and one of its rows if they repeat."""
+    found = written(exact_dedup(docs).select(row_name(F.col("text_sha256")).alias("name"), "kept"), "pipeline-copies")
+    left = without(docs, found.where("NOT kept"), "copies")
+    repeated = written(found.where("kept").groupBy("name").count().where("count > 1").select("name"), "pipeline-repeated")
+    if repeated.isEmpty():
+        return left
+    again = left.join(bounded(repeated), row_name() == F.col("name"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return without(left, repeated, "repeated").unionByName(again)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of linked documents stays."""
-    return without(docs, ngram_jaccard_components(docs, rule=NEAR_COPIES).where("doc_id <> component_id"), "near")
+    rows = rows_of(docs)
+    linked = ngram_jaccard_components(rows, "name", rule=NEAR_COPIES).select("name", "component_id")
+    groups = linked.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = written(linked.join(groups, "component_id"), "pipeline-members").join(rows.select("name", "doc_id"), "name")
+    stays = members.groupBy("component_id").agg(F.min_by("name", F.struct(F.col("doc_id").isNull(), "doc_id", "name")).alias("stays"))
+    return without(docs, members.join(stays, "component_id").where("name <> stays"), "near")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return without(docs, contaminated(docs, benchmark), "leaks")
+    return without(docs, contaminated(rows_of(docs), benchmark, "name"), "leaks")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
