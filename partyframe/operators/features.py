@@ -11,11 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from partyframe.functions.scalar import contains_flags, fractional_days, normalised_npi, number, row_mean, row_median, row_std, safe_ratio
+from partyframe.operators.ranking import quantile_frame
 from partyframe.operators.relational import MINIMUM_ENTITIES, AlignmentError, assert_unique, keep_first, resolve_columns, select_required
 
 BILLS = tuple(f"BILL_AMT{k}" for k in range(1, 7))
 PAYMENTS = tuple(f"PAY_AMT{k}" for k in range(1, 7))
 DELAYS = ("PAY_0", *(f"PAY_{k}" for k in range(2, 7)))
+# Fixed genres that have a feature.
 GENRES = ("Action", "Comedy", "Drama", "Romance", "Sci-Fi", "Thriller", "Crime", "Adventure")
 
 
@@ -108,7 +110,7 @@ def retail_features(frame: DataFrame, cutoff: Column, key: str = "CustomerID") -
     """Recency, frequency and value per customer over transactions up to the cutoff, which must be given: without one the
     features would see the whole future. The 0.9 quantile of line values is one row, joined by broadcast."""
     rows = clean_transactions(frame, cutoff)
-    top = rows.agg(F.percentile("line_value", F.lit(0.9)).alias("_top"))
+    top = quantile_frame(rows, "line_value", 0.9, "_top")
     value = F.col("line_value")
     grouped = (
         rows.crossJoin(F.broadcast(top))
@@ -148,7 +150,7 @@ def payments_by_provider(payments: DataFrame, least: int = 1, npi: str = "npi",
 
 def quantile_label(sums: DataFrame, value: str, q: float = 0.75, name: str = "target") -> DataFrame:
     """1 where the value reaches the q-quantile of all values (one row, joined by broadcast)."""
-    cut = sums.agg(F.percentile(value, F.lit(q)).alias("_cut"))
+    cut = quantile_frame(sums, value, q, "_cut")
     return sums.crossJoin(F.broadcast(cut)).withColumn(name, (F.col(value) >= F.col("_cut")).cast("int")).drop("_cut")
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Buckets that the order is cut into, at most; their totals are all that meets in one task.
 BUCKETS = 4096
+#: Quantile ranges that these fall into evenly.
+PARTS = 64
 
 
 def running(df: DataFrame, order: str, sums: dict[str, Column], bucket: Column, descending: bool = False) -> DataFrame:
@@ -28,11 +30,24 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], bucket: Column,
 
 
 def value_bucket(df: DataFrame, col: str) -> Column:
-    """A bucket that grows with a number, between the smallest and the largest of the table (one small job)."""
-    low, high = df.agg(F.min(col), F.max(col)).first()
-    if low is None or low == high:
+    """A bucket that grows with a number (one small job): PARTS approximate quantiles, each range cut evenly into as many
+    more. An outlier widens the last range only, so the others still spread over their buckets."""
+    x = F.col(col).cast("double")
+    found = df.agg(F.percentile_approx(x, F.array(*(F.lit(k / PARTS) for k in range(PARTS + 1))), F.lit(100 * PARTS))).first()[0]
+    edges = sorted(set(found or []))
+    if len(edges) < 2:
         return F.lit(0)
-    return F.least(F.floor((F.col(col) - F.lit(low)) / (F.lit(high) - F.lit(low)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    fine = BUCKETS // PARTS
+
+    def within(low: int, high: int) -> Column:
+        """The bucket, the range being known to be one from low to high - 1: a tree of comparisons, in generated code."""
+        if high - low == 1:
+            place = F.floor((x - F.lit(edges[low])) / F.lit(edges[low + 1] - edges[low]) * fine)
+            return F.lit(low * fine) + F.least(F.greatest(place, F.lit(0)), F.lit(fine - 1))
+        middle = (low + high) // 2
+        return F.when(x < edges[middle], within(low, middle)).otherwise(within(middle, high))
+
+    return within(0, len(edges) - 1).cast("int")
 
 
 def hash_rank(df: DataFrame, order: Column, name: str = "rank") -> DataFrame:
@@ -66,26 +81,41 @@ def order_statistic(df: DataFrame, col: str, k: int) -> float:
     low, high = df.agg(F.min(col), F.max(col)).first()
     while low < high:
         step = (high - low) / BUCKETS
-        if step == 0 or low + step == low:
-            break
+        if step == 0 or low + step == low:  # neighbouring numbers: few distinct ones are left
+            for row in df.where(F.col(col).between(low, high)).groupBy(col).count().orderBy(col).toLocalIterator():
+                if k < row["count"]:
+                    return row[0]
+                k -= row["count"]
+            return high
         inside = df.where(F.col(col).between(low, high)).groupBy(F.least(F.floor((F.col(col) - low) / step), F.lit(BUCKETS - 1)).alias("b"))
         for row in sorted(inside.agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).collect(), key=lambda x: x.lo):
             if k < row.n:
                 low, high = row.lo, row.hi
                 break
             k -= row.n
-    return low if low == high else sorted(r[0] for r in df.where(F.col(col).between(low, high)).select(col).distinct().collect())[0]
+    return low
+
+
+def input_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, list[float | None]]:
     """Linear quantiles (as of percentile) of the columns."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size <= QUANTILE_BYTES:
+    if input_bytes(df) <= QUANTILE_BYTES:
         row = df.agg(*(F.percentile(c, F.array(*map(F.lit, qs))).alias(c) for c in cols)).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(qs) for c in cols}
     return {c: counted_quantiles(df, c, qs) for c in cols}
 
 
+def quantile_frame(df: DataFrame, col: str, q: float, name: str) -> DataFrame:
+    """One row with the linear q-quantile of a double column. Small tables find it in the same plan; for large ones it is
+    counted first, as an exact aggregate would gather all their values in one task."""
+    if input_bytes(df) <= QUANTILE_BYTES:
+        return df.agg(F.percentile(col, F.lit(q)).alias(name))
+    return df.sparkSession.createDataFrame([(counted_quantiles(df, col, [q])[0],)], f"{name} double")
+
+
 def counted_quantiles(df: DataFrame, col: str, qs: list[float]) -> list[float | None]:
     """quantiles() of one column by order_statistic(), for tables of any size."""
     n, out = df.select(F.count(col)).first()[0], []
