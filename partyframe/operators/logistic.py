@@ -33,6 +33,7 @@ class LogisticOptions:
     tolerance: float = 0.0
     patience: int | None = None
     noise: float = 0.0  # deviation of the noise on what passive parties receive
+    noise_secret: str | None = field(default=None, repr=False)  # what the noise is drawn from; without it anyone who knows the seed can repeat it
     residual_clip: float | None = None  # bound of a residual that a passive party receives
     seed: int = 42
 
@@ -109,12 +110,13 @@ def fit_logistic(df: DataFrame, parties: dict[str, list[str]], y: str = "y", key
                 inside = frame if options.batches == 1 else frame.where(hash_order(key, seed=options.seed + epoch) % options.batches == batch)
                 own = (sigmoid(z) - F.col(y)) * F.col("_w")
                 sent = clipped(own, -options.residual_clip, options.residual_clip) if options.residual_clip else own
-                if options.noise:
-                    sent = sent + normal_quantile(clipped(hash_uniform(key, seed=options.seed + 7919 * epoch), 1e-12, 1 - 1e-12)) * options.noise
+                # every passive party gets noise of its own
+                draw = lambda p, at=(epoch, batch): normal_quantile(clipped(hash_uniform(key, seed=":".join(map(str, (options.noise_secret or options.seed, p, *at)))), 1e-12, 1 - 1e-12)) * options.noise
+                received = {p: own if p == active else sent + draw(p) if options.noise else sent for p in parties}
                 scale = F.sum("_w")
                 row = inside.agg(
                     scale.alias("_n"), (F.sum(own) / scale).alias("_b"), mean_loss(z, y, F.col("_w")).alias("_loss"),
-                    *((F.sum(F.col(c) * (own if p == active else sent)) / scale).alias(c) for p, cs in parties.items() for c in cs),
+                    *((F.sum(F.col(c) * received[p]) / scale).alias(c) for p, cs in parties.items() for c in cs),
                 ).first()
                 if row["_n"] is None:
                     continue

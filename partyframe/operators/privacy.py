@@ -5,18 +5,20 @@ from __future__ import annotations
 import hashlib
 import hmac
 import math
+import secrets
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partyframe.functions.scalar import clipped, hash_uniform
+from partyframe.functions.scalar import clipped, hash_order, hash_uniform
 from partyframe.operators.evaluate import EPSILON, curve_points, ranking_metrics, score_table
 from partyframe.operators.linkage import normal_quantile
-from partyframe.operators.logistic import LogisticOptions, fit_logistic
-from partyframe.operators.relational import psi_align
+from partyframe.operators.logistic import LogisticOptions, fit_logistic, score_logistic
+from partyframe.operators.relational import psi_align, sample_rows
 
 # Fixed value: the Mersenne prime of the field.
 PRIME = 2**61 - 1
@@ -100,21 +102,58 @@ def clip_rows(df: DataFrame, columns: list[str], bound: float) -> DataFrame:
     return df.withColumns({c: F.col(c) * shrink for c in columns})
 
 
-def gaussian_release(df: DataFrame, columns: list[str], key: str, bound: float, noise_multiplier: float, replace_one: bool = True, seed: int = 42) -> tuple[DataFrame, ZCDPAccountant]:
+def secret_key(secret: bytes) -> str:
+    """A secret as text for hash columns; nobody without it can repeat what is drawn from it."""
+    if len(secret) < 16:
+        raise ValueError("a secret needs 16 bytes")
+    return secret.hex()
+
+
+def gaussian_release(df: DataFrame, columns: list[str], key: str, bound: float, noise_multiplier: float, secret: bytes, replace_one: bool = True) -> tuple[DataFrame, ZCDPAccountant]:
     """The columns clipped, with Gaussian noise of deviation sensitivity * multiplier (sensitivity 2 * bound where one
-    row is replaced, bound where it is added). The noise depends on seed and key, so a lost task repeats it."""
+    row is replaced, bound where it is added). The noise depends on the secret, the column and the key: a lost task
+    repeats it, and who lacks the secret cannot take it off again. A secret serves one release."""
     deviation = (2 * bound if replace_one else bound) * noise_multiplier
-    noisy = lambda c, k: F.col(c) + normal_quantile(clipped(hash_uniform(key, seed=seed + 104_729 * k), 1e-12, 1 - 1e-12)) * deviation
-    return clip_rows(df, columns, bound).withColumns({c: noisy(c, k) for k, c in enumerate(columns)}), ZCDPAccountant(noise_multiplier, 1)
+    noisy = lambda c: F.col(c) + normal_quantile(clipped(hash_uniform(key, seed=f"{secret_key(secret)}:{c}"), 1e-12, 1 - 1e-12)) * deviation
+    return clip_rows(df, columns, bound).withColumns({c: noisy(c) for c in columns}), ZCDPAccountant(noise_multiplier, 1)
 
 
-def fit_protected(df: DataFrame, parties: dict[str, list[str]], epochs: int, clip: float, noise_multiplier: float, y: str = "y", key: str = "id", salt: str | None = None, others: list[DataFrame] | None = None, seed: int = 42):
-    """Aligned entities, then training in which passive parties get clipped, noisy residuals; (model, accountant)."""
+def fit_protected(df: DataFrame, parties: dict[str, list[str]], epochs: int, clip: float, noise_multiplier: float, y: str = "y", key: str = "id", salt: str | None = None, others: list[DataFrame] | None = None, secret: bytes | None = None):
+    """Aligned entities, then training in which every passive party gets clipped residuals with noise of its own;
+    (model, accountant). Without a secret a new one is drawn, so no run repeats another's noise."""
     aligned = psi_align([df, *others], key, salt or "align")[0] if others else df
-    options = LogisticOptions(epochs=epochs, residual_clip=clip, noise=2 * clip * noise_multiplier, seed=seed)
+    options = LogisticOptions(epochs=epochs, residual_clip=clip, noise=2 * clip * noise_multiplier, noise_secret=secret_key(secret or secrets.token_bytes(32)))
     return fit_logistic(aligned, parties, y, key, options), ZCDPAccountant(noise_multiplier, epochs * (len(parties) - 1))
 
 
+def privacy_audit(train: DataFrame, holdout: DataFrame, model, y: str = "y") -> DataFrame:
+    """(attack, measure, value): how well a model's outputs tell training rows, and how well residuals tell labels."""
+    seen, unseen = (score_logistic(df, model) for df in (train, holdout))
+    member = membership_inference(seen, unseen)
+    label = label_inference(seen, F.col("p") - F.col(y), y)
+    rows = [member.select(F.lit("membership").alias("attack"), F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in ("roc_auc", "advantage")]
+    rows += [label.select(F.lit("label").alias("attack"), F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in ("accuracy", "exposed_count", "ambiguous_count")]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def privacy_grid(df: DataFrame, parties: dict[str, list[str]], sizes: list[int], rounds: list[int], l2: list[float], seeds: list[int], y: str = "y", key: str = "id") -> DataFrame:
+    """(size, rounds, l2, measure, n, mean, std, ci95_low, ci95_high): audits over a grid, each cell for every seed, which
+    draws the rows and deals them to training and holdout by hash; intervals are Student's across seeds."""
+    if len(seeds) < 2:
+        raise ValueError("uncertainty needs two seeds")
+    rows = []
+    for size in sizes:
+        for seed in seeds:
+            drawn = sample_rows(df, size, key, seed).withColumn("_half", hash_order(key, seed=seed + 1) % 2)
+            train, holdout = drawn.where("_half = 0"), drawn.where("_half = 1")
+            for epochs in rounds:
+                for penalty in l2:
+                    model = fit_logistic(train, parties, y, key, LogisticOptions(0.5, epochs, penalty, seed=seed))
+                    found = privacy_audit(train, holdout, model, y).where("measure IN ('roc_auc', 'advantage', 'accuracy')")
+                    rows.append(found.select(F.lit(size).alias("size"), F.lit(epochs).alias("rounds"), F.lit(penalty).alias("l2"), "measure", "value"))
+    return interval_summary(reduce(DataFrame.unionByName, rows), ["size", "rounds", "l2", "measure"], "value")
+
+
 # ---- exact sums modulo the prime
 
 
@@ -162,11 +201,13 @@ def secure_sum(updates: list[DataFrame], index: str, value: str) -> DataFrame:
     return all_.groupBy(index).agg(from_field((total % F.lit(PRIME).cast("decimal(38,0)")).cast("bigint")).alias(value))
 
 
-def additive_shares(df: DataFrame, index: str, value: str, shares: int, seed: int) -> DataFrame:
-    """(index, share, value): shares that sum up to the value in the field; all but the last are hashes."""
+def additive_shares(df: DataFrame, index: str, value: str, shares: int, secret: bytes) -> DataFrame:
+    """(index, share, value): shares that sum up to the value in the field; all but the last are drawn from the secret by
+    HMAC as masks are, so a lost task repeats them."""
     if shares < 2:
         raise ValueError("two shares at least")
-    draw = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col(index)), F.lit(PRIME))
+    draws = [pair_masks(f"share {k}", secret) for k in range(shares - 1)]
+    draw = lambda k: draws[k](F.col(index))
     last = to_field(F.col(value))
     for k in range(shares - 1):
         last = F.pmod(last - draw(k), F.lit(PRIME))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from partyframe.functions.scalar import hash_order, number
+from partyframe.operators.ranking import quantile_frame
 
 MINIMUM_ENTITIES = 100
 
@@ -54,15 +55,14 @@ def not_null(df: DataFrame, *columns: str) -> DataFrame:
     return df.dropna("any", subset=list(columns))
 
 
-def time_quantile(df: DataFrame, col: str, q: float) -> Column:
-    """Linear quantile of a timestamp column, in microseconds, as a one-row frame's column value."""
-    return F.percentile(F.unix_micros(F.col(col).cast("timestamp")), F.lit(q))
+def cutoff_of(df: DataFrame, col: str, q: float = 0.70) -> DataFrame:
+    """One row with the linear q-quantile of a time column in microseconds."""
+    return quantile_frame(df.select(F.unix_micros(F.col(col).cast("timestamp")).cast("double").alias("_t")), "_t", q, "_cut")
 
 
 def until_cutoff(df: DataFrame, col: str, q: float = 0.70) -> DataFrame:
     """Rows up to the q-quantile of their time. The quantile is one row, joined by broadcast."""
-    cut = df.agg(time_quantile(df, col, q).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).where(F.unix_micros(F.col(col).cast("timestamp")) <= F.col("_cut")).drop("_cut")
+    return df.crossJoin(F.broadcast(cutoff_of(df, col, q))).where(F.unix_micros(F.col(col).cast("timestamp")) <= F.col("_cut")).drop("_cut")
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
@@ -107,7 +107,14 @@ def keep_first(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 def psi_align(frames: list[DataFrame], key: str, salt: str) -> list[DataFrame]:
     """Each frame reduced to the entities that all hold, found by salted digests of the ids; no id but the caller's own
-    is compared in clear. Ids must be unique and not NULL; an empty intersection fails."""
+    is compared in clear. A party whose ids repeat or are NULL, and an empty intersection, fail. The first party is the
+    active one: its order is the canonical one, and as rows are joined by key no other is needed."""
+    if not salt:
+        raise ValueError("the salt must not be empty")
+    for k, f in enumerate(frames):
+        bad = f.groupBy(key).count().agg(F.count_if(F.col(key).isNull()).alias("nulls"), F.count_if(F.col("count") > 1).alias("repeated")).first()
+        if bad.nulls or bad.repeated:
+            raise AlignmentError(f"party {k}: ids must be there and unique; {bad.repeated} repeat" + ", some are NULL" * bool(bad.nulls))
     digests = [f.select(F.sha2(F.concat(F.lit(f"{salt}:"), F.col(key).cast("string")), 256).alias("_d")) for f in frames]
     common = digests[0]
     for d in digests[1:]:
@@ -118,6 +125,17 @@ def psi_align(frames: list[DataFrame], key: str, salt: str) -> list[DataFrame]:
     return [own(f).join(common, "_d", "left_semi").drop("_d") for f in frames]
 
 
+def require_bound(digests: dict[str, str | None], required: bool = False) -> None:
+    """Order digests by party: all missing is fine unless they are required, some missing or different ones are not."""
+    bound = {p: d for p, d in digests.items() if d is not None}
+    if not bound and not required:
+        return
+    if len(bound) < len(digests):
+        raise AlignmentError(f"no order digest of {', '.join(sorted(set(digests) - set(bound)))}")
+    if len(set(bound.values())) > 1:
+        raise AlignmentError("the parties' entities differ in number or order")
+
+
 def order_digest(df: DataFrame, key: str, order: str, blocks: int = 1024) -> DataFrame:
     """One row with `digest`, which changes with the ids or their order: SHA-256 over the digests of blocks of
     consecutive rows, so that no task holds more than one block's ids (rows / blocks of them)."""

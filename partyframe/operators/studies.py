@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from partyframe.functions.scalar import hash_order, hash_uniform
 from partyframe.operators.evaluate import binary_metrics
 from partyframe.operators.logistic import LogisticOptions, fit_logistic, score_logistic
-from partyframe.operators.ranking import exact_share, hash_rank
+from partyframe.operators.ranking import exact_share, hash_rank, quantiles
 
 Parties = dict[str, list[str]]
 
@@ -108,6 +108,72 @@ def dropout_study(train: DataFrame, test: DataFrame, parties: Parties, options:
     return rows
 
 
+# Fixed scenarios of the drift study: party, then what numeric_drift() is told, or None for drift of codes.
+DRIFT = {
+    "baseline": ("", {}),
+    "telecom_mean_shift": ("telecom", {"shift": 0.75}),
+    "insurance_variance_shift": ("insurance", {"scale": 1.5}),
+    "retail_missingness_shift": ("retail", {"missing": 0.2}),
+    "retail_categorical_frequency_shift": ("retail", None),
+    "bank_repayment_proxy_shift": ("bank", {"shift": 0.5, "scale": 1.2}),
+}
+
+
+def drift_study(test: DataFrame, model, parties: Parties, key: str, scenarios: dict | None = None, levels: int = 5, y: str = "y", seed: int = 42) -> DataFrame:
+    """(scenario, metrics..., roc_auc_delta): a fitted model on rows whose columns of one party have drifted. Drift of
+    codes cuts the party's first column into levels of equal numbers, draws levels anew, and puts each level's mean."""
+    rows, before = None, None
+    for name, (party, how) in (scenarios or DRIFT).items():
+        columns, moved = parties.get(party, []), test
+        if party and how is not None:
+            moved = numeric_drift(test, columns, key, seed=seed, **how).fillna(0.0, columns)
+        elif party:
+            moved = code_drift(test, columns[0], key, levels, seed)
+        row = binary_metrics(score_logistic(moved, model), y=y)
+        before = row.select(F.col("roc_auc").alias("_before")) if before is None else before
+        row = row.crossJoin(F.broadcast(before)).select(F.lit(name).alias("scenario"), *row.columns, (F.col("roc_auc") - F.col("_before")).alias("roc_auc_delta"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def code_drift(df: DataFrame, column: str, key: str, levels: int, seed: int = 42) -> DataFrame:
+    edges = quantiles(df, [column], [k / levels for k in range(1, levels)])[column]
+    level = sum((F.when(F.col(column) > e, 1).otherwise(0) for e in edges if e is not None), F.lit(0))
+    marked = df.withColumn("_level", F.when(F.col(column).isNotNull(), level.cast("string")))
+    means = marked.where("_level IS NOT NULL").groupBy("_level").agg(F.avg(column).alias("_mean"))
+    drawn = categorical_drift(marked, "_level", key, seed=seed).join(F.broadcast(means), "_level", "left")
+    return drawn.withColumn(column, F.col("_mean")).drop("_level", "_mean")
+
+
+# Fixed shares of the overlap study.
+OVERLAPS = (1.0, 0.9, 0.75, 0.5, 0.25)
+
+
+def overlap_study(df: DataFrame, parties: Parties, key: str, train: Column, options: LogisticOptions, shares: tuple[float, ...] = OVERLAPS, methods: tuple[str, ...] = ("intersection_only", "zero_contribution"), y: str = "y", seed: int = 42) -> DataFrame:
+    """(method, overlap, metrics...): passive parties that hold one and the same share of the entities. The split is the
+    boolean column `train` and fixed before, so no entity changes sides between methods."""
+    passive = list(parties)[1:]
+    marked, rows = df.withColumn("_train", train), None
+    for k, share in enumerate(shares):
+        held = exact_share(marked, share, hash_order(key, seed=seed + 1000 + k), "_has")
+        for method in methods:
+            kept, columns = prepare_missing(held, parties, dict.fromkeys(passive, "_has"), method)
+            scored = score_logistic(kept.where("NOT _train"), fit_logistic(kept.where("_train"), columns, y, key, options))
+            row = binary_metrics(scored, y=y).select(F.lit(method).alias("method"), F.lit(share).alias("overlap"), "*")
+            rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def permutation_contribution(df: DataFrame, model, parties: Parties, key: str, y: str = "y", seed: int = 42) -> DataFrame:
+    """(party, roc_auc_drop): what the model loses where a party's columns are dealt to other rows."""
+    whole, rows = binary_metrics(score_logistic(df, model), y=y).select(F.col("roc_auc").alias("_whole")), None
+    for party, columns in parties.items():
+        dealt = binary_metrics(score_logistic(permute_party(df, columns, key, seed), model), y=y)
+        row = dealt.crossJoin(F.broadcast(whole)).select(F.lit(party).alias("party"), (F.col("_whole") - F.col("roc_auc")).alias("roc_auc_drop"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 def numeric_drift(df: DataFrame, columns: list[str], key: str, shift: float = 0.0, scale: float = 1.0, missing: float = 0.0, seed: int = 42) -> DataFrame:
     """mean + scale * (x - mean) + shift; then a share of the values becomes NULL, chosen by a hash of column and key."""
     if scale <= 0 or not 0 <= missing <= 1:
@@ -154,17 +220,34 @@ def distributed_signal(df: DataFrame, parties: Parties, key: str, noise: Column
     return joined.withColumn("target", (hash_uniform(key, seed=seed) < p).cast("int")).select(*df.columns, "target")
 
 
-def pooled_baseline(df: DataFrame, columns: list[str], key: str, y: str, l2: float = 1e-3, iterations: int = 100) -> DataFrame:
-    """(key, p) of a pooled, non-federated logistic model of Spark ML."""
-    from pyspark.ml.classification import LogisticRegression
+def pooled_baseline(df: DataFrame, columns: list[str], key: str, y: str, l2: float = 1e-3, iterations: int = 100, boosting: bool = False, learn: Column | None = None) -> DataFrame:
+    """(key, p) of a pooled, non-federated model of Spark ML: logistic, or boosted trees (one for each iteration). It
+    learns from the rows for which the column `learn` holds, or from all."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    x = VectorAssembler(inputCols=columns, outputCol="_x").transform(df.select(key, F.col(y).cast("double").alias("_y"), *columns)).cache()
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=l2, maxIter=iterations, standardization=False).fit(x)
+    x = VectorAssembler(inputCols=columns, outputCol="_x").transform(df.select(key, F.col(y).cast("double").alias("_y"), (F.lit(True) if learn is None else learn).alias("_learn"), *columns)).persist()
+    kind = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=iterations, maxDepth=3, seed=42) if boosting else LogisticRegression(featuresCol="_x", labelCol="_y", regParam=l2, maxIter=iterations, standardization=False)
+    model = kind.fit(x.where("_learn"))
+    x.unpersist()
     return model.transform(x).select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
 
 
+def pooled_subsets(train: DataFrame, test: DataFrame, parties: Parties, key: str, y: str = "y", iterations: int = 20) -> DataFrame:
+    """(subset, model, metrics...) of pooled models over every subset that holds the active (first) party."""
+    active, *passive = parties
+    rows, both = None, train.withColumn("_train", F.lit(True)).unionByName(test.withColumn("_train", F.lit(False)))
+    for chosen in subsets(passive):
+        columns = [c for p in (active, *chosen) for c in parties[p]]
+        for model in ("logistic", "boosting"):
+            scored = pooled_baseline(both, columns, key, y, iterations=iterations, boosting=model == "boosting", learn=F.col("_train"))
+            held = test.select(key, y).join(scored, key)
+            row = binary_metrics(held, y=y).select(F.lit("+".join((active, *chosen))).alias("subset"), F.lit(model).alias("model"), "*")
+            rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 def drift_summary(df: DataFrame, by: str, delta: str) -> DataFrame:
     """Per phase: the smallest and the largest change, and the scenario that moved most."""
     return df.groupBy(by).agg(F.min(delta).alias("least"), F.max(delta).alias("most"), F.max_by("scenario", F.struct(F.abs(delta), F.col("scenario"))).alias("largest"))

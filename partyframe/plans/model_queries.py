@@ -100,7 +100,7 @@ def options(t: Tables):
 def protected(t: Tables):
     from partyframe.operators.privacy import fit_protected
 
-    m = fit_protected(learning(t), PARTIES, epochs=3, clip=1.0, noise_multiplier=0.5)[0]
+    m = fit_protected(learning(t), PARTIES, epochs=3, clip=1.0, noise_multiplier=0.5, secret=b"only for the registered queries")[0]
     return t.spark.createDataFrame([("intercept", m.intercept), *m.weights.items()], "feature string, weight double")
 
 
