@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,3 +127,20 @@ def read_logistic_checkpoint(text: str):
 
     x = json.loads(text)
     return LogisticModel(x["parties"], x["weights"], x["intercept"])
+
+
+def gbdt_checkpoint(model) -> tuple[str, dict[str, str]]:
+    """A boosted model as portable JSON: the trees, in which splits are (feature, bin) without thresholds; and by party the
+    thresholds of its own features, which only their owner needs."""
+    trees = [{str(k): [n.g, n.h, n.n, n.party, n.feature, n.bin, n.gain] for k, n in tree.items()} for tree in model.trees]
+    whole = {"parties": model.parties, "base": model.base, "options": asdict(model.options), "trees": trees}
+    return json.dumps(whole, sort_keys=True), {p: json.dumps({c: list(model.edges[c]) for c in cs}, sort_keys=True) for p, cs in model.parties.items()}
+
+
+def read_gbdt_checkpoint(text: str, routing: dict[str, str]):
+    """The model again, with the thresholds of the parties given; those of others are not known."""
+    from partyframe.operators.gbdt import GBDTModel, GBDTOptions, Node
+
+    x = json.loads(text)
+    edges = {c: e for part in routing.values() for c, e in json.loads(part).items()}
+    return GBDTModel(x["parties"], edges, x["base"], GBDTOptions(**x["options"]), [{int(k): Node(*n) for k, n in tree.items()} for tree in x["trees"]])
