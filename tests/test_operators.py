@@ -13,7 +13,7 @@ from partyframe.operators import features as fe
 from partyframe.operators import gbdt, linkage, logistic, privacy, ranking, relational, studies
 from partyframe.operators.audit import UnsafeLogFieldError, row_digest, safe_log_fields
 from partyframe.operators.preprocess import LocalPreprocessor
-from partyframe.sources import files, registry, synthetic
+from partyframe.sources import files, parties, registry, runs, synthetic
 from partyframe.streaming import audit as stream
 
 
@@ -82,15 +82,18 @@ def test_message_volume():
 
 
 def test_one_tree_by_hand(spark):
-    df = spark.createDataFrame([(1, 0.0, 0.0, 0), (2, 0.0, 0.0, 0), (3, 0.0, 1.0, 1), (4, 0.0, 1.0, 1)], "id long, own double, theirs double, y int")
-    m = gbdt.fit_gbdt(df, {"active": ["own"], "passive": ["theirs"]}, options=gbdt.GBDTOptions(trees=1, depth=1, bins=2, min_leaf=1))
+    """Base score ln(1/2), as two of six labels are 1. With p = 1/3 rows have g = -2/3 (label 1) or 1/3 and h = 2/9; the
+    split below 3 has G = -4/3, H = 4/9 on its left and G = 4/3, H = 8/9 on its right."""
+    df = spark.createDataFrame([(k, 7.0, v, y) for k, (v, y) in enumerate([(1.0, 1), (1.0, 1), (5.0, 0), (5.0, 0), (9.0, 0), (9.0, 0)])], "id long, own double, theirs double, y int")
+    m = gbdt.fit_gbdt(df, {"active": ["own"], "passive": ["theirs"]}, options=gbdt.GBDTOptions(trees=1, depth=1, bins=3, min_leaf=1))
     root = m.trees[0][1]
-    assert (root.party, root.feature, root.bin) == ("passive", "theirs", 0) and math.isclose(root.gain, 2 / 3)
+    assert (root.party, root.feature, root.bin) == ("passive", "theirs", 0) and math.isclose(root.gain, 8 / 13 + 8 / 17)
+    base = math.log(0.5)
     margins = [r.margin for r in gbdt.score_gbdt(df, m).orderBy("id").collect()]
-    assert np.allclose(margins, [-1 / 15, -1 / 15, 1 / 15, 1 / 15])
-    new = spark.createDataFrame([(1, 0.0, -100.0), (2, 0.0, 100.0), (3, 0.0, None)], "id long, own double, theirs double")
-    assert [r.margin > 0 for r in gbdt.score_gbdt(new, m).orderBy("id").collect()] == [False, True, True]
-    assert {r.margin for r in gbdt.score_gbdt(df.drop("theirs"), m, "zero_contribution").collect()} == {0.0}
+    assert np.allclose(margins, [base + 0.1 * 12 / 13] * 2 + [base - 0.1 * 12 / 17] * 4)
+    new = spark.createDataFrame([(1, 7.0, -30.0), (2, 7.0, 400.0), (3, 7.0, None)], "id long, own double, theirs double")
+    assert [r.margin > base for r in gbdt.score_gbdt(new, m).orderBy("id").collect()] == [True, False, False]
+    assert np.allclose([r.margin for r in gbdt.score_gbdt(df.drop("theirs"), m, "zero_contribution").collect()], base)
 
 
 def test_trees_take_options(spark):
@@ -117,7 +120,11 @@ def test_accountant_and_release(spark):
     with pytest.raises(ValueError):
         privacy.ZCDPAccountant(0.0)
     df = spark.range(4000).select("id", F.lit(3.0).alias("x"))
-    noisy, _ = privacy.gaussian_release(df, ["x"], "id", 1.0, 0.5)
+    noisy, _ = privacy.gaussian_release(df, ["x"], "id", 1.0, 0.5, b"sixteen bytes or more")
+    other, _ = privacy.gaussian_release(df, ["x"], "id", 1.0, 0.5, b"another secret of bytes")
+    assert noisy.join(other, ["id", "x"]).count() == 0
+    with pytest.raises(ValueError, match="16 bytes"):
+        privacy.gaussian_release(df, ["x"], "id", 1.0, 0.5, b"short")
     mean, std = noisy.agg(F.avg("x"), F.stddev("x")).first()
     assert abs(mean - 1) < 0.1 and abs(std - 1) < 0.1 and sorted(noisy.collect()) == sorted(noisy.repartition(7).collect())
     with pytest.raises(privacy.UnavailableBackendError):
@@ -127,11 +134,13 @@ def test_accountant_and_release(spark):
 
 
 def test_attacks_by_hand(spark):
+    """Confidences 0.9, 0.8, 0.7 of training rows against 0.6, 0.65, 0.85: 7 of 9 pairs are in order, and from 0.7 on all
+    training rows and one other are told."""
     p = lambda xs: spark.createDataFrame([(x,) for x in xs], "p double")
-    r = privacy.membership_inference(p([0.99, 0.98, 0.02, 0.01, 0.95, 0.05]), p([0.55, 0.45, 0.60, 0.40, 0.52, 0.48])).first()
-    assert r.roc_auc == 1.0 and r.advantage == 1.0
-    r = privacy.routing_exposure(spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 1, 3, 5)], "entity int"), 6).first()
-    assert (r.events, r.unique_entities) == (7, 5) and math.isclose(r.exposed_fraction, 5 / 6)
+    r = privacy.membership_inference(p([0.9, 0.2, 0.7]), p([0.6, 0.35, 0.85])).first()
+    assert math.isclose(r.roc_auc, 7 / 9) and math.isclose(r.advantage, 2 / 3)
+    r = privacy.routing_exposure(spark.createDataFrame([(k,) for k in (10, 10, 12, 14, 14, 14, 18, 19)], "entity int"), 20).first()
+    assert (r.events, r.unique_entities, r.exposed_fraction) == (8, 5, 0.25)
 
 
 def test_nearest_donor_by_brute_force(spark):
@@ -155,24 +164,28 @@ def test_copula_link_keeps_order_at_full_correlation(spark):
 
 
 def test_temporal_parties(spark):
-    users = spark.createDataFrame([(u, "M" if u % 2 else "F", 25, 12, "560001") for u in range(1, 121)], "UserID int, Gender string, Age int, Occupation int, ZipCode string")
-    movies = spark.createDataFrame([(1, "Action|Comedy"), (2, "Drama"), (3, "Sci-Fi|Thriller"), (4, "Romance|Crime")], "MovieID int, Genres string")
-    ratings = spark.createDataFrame([(u, k % 4 + 1, 3 if k < 16 else (5 if u % 2 == 0 else 2), 1_000_000 + k) for u in range(1, 121) for k in range(20)], "UserID int, MovieID int, Rating int, Timestamp long")
-    rows = fe.temporal_parties(users, ratings, movies).collect()
-    assert len(rows) == 120 and all(r.target == (r.UserID % 2 == 0) and r.mean_rating == 3 and r.genre_drama_fraction == 0.25 for r in rows)
+    """Ten ratings each, listed from the last to the first: eight early ones with mean 2.5, half of them of a drama, and
+    two late ones with mean 4.5 for every fifth user, 2.5 for the others."""
+    ids = [2000 + 3 * k for k in range(110)]
+    late = lambda k: (4, 5) if k % 5 == 0 else (1, 4)
+    users = spark.createDataFrame([(u, "F" if k % 3 else "M", 18 + k % 40, k % 7, f"Z{k}") for k, u in enumerate(ids)], "UserID int, Gender string, Age int, Occupation int, ZipCode string")
+    movies = spark.createDataFrame([(10, "Horror|Drama"), (11, "War"), (12, "Western")], "MovieID int, Genres string")
+    rated = [(u, 10 + at % 2, 1 + at % 4 if at < 8 else late(k)[at - 8], 500 + 60 * at) for k, u in enumerate(ids) for at in reversed(range(10))]
+    rows = fe.temporal_parties(users, spark.createDataFrame(rated, "UserID int, MovieID int, Rating int, Timestamp long"), movies).collect()
+    assert {r.UserID for r in rows if r.target} == set(ids[::5]) and len(rows) == 110
+    assert {(r.mean_rating, r.genre_drama_fraction) for r in rows} == {(2.5, 0.5)}
     with pytest.raises(relational.AlignmentError):
-        fe.temporal_parties(users.limit(50), ratings, movies)
+        fe.temporal_parties(users.limit(60), spark.createDataFrame(rated, "UserID int, MovieID int, Rating int, Timestamp long"), movies)
 
 
 def test_small_features(spark):
-    bank = spark.createDataFrame([(1, 100.0, 80.0, 20.0, 10.0, 0, 0, 1000.0), (2, 200.0, 150.0, 40.0, 30.0, 2, 1, 2000.0)], "id int, BILL_AMT1 double, BILL_AMT2 double, PAY_AMT1 double, PAY_AMT2 double, PAY_0 int, PAY_2 int, LIMIT_BAL double")
-    rows = {r.id: r for r in fe.bank_features(bank, "id").collect()}
-    assert (rows[1].mean_bill_amount, rows[2].mean_bill_amount, rows[1].credit_utilization_proxy, rows[2].bill_trend, rows[2].repayment_delay_count) == (90, 175, 0.1, 50, 2)
-    retail = spark.createDataFrame([("1", "a", 1, "2020-01-01", 10.0, 1), ("2", "b", 10, "2021-01-01", 100.0, 1), ("3", "b", 10, "never", 100.0, 1)], "InvoiceNo string, StockCode string, Quantity int, InvoiceDate string, UnitPrice double, CustomerID int")
-    r = fe.retail_features(retail, F.lit("2020-06-01").cast("timestamp")).first()
-    assert (r.total_spend, r.purchase_count) == (10.0, 1)
-    empty = fe.bank_features(bank.limit(0), "id")
-    assert empty.count() == 0
+    bank = spark.createDataFrame([(7, 300.0, 180.0, 60.0, 0.0, 1, 3, 1200.0), (8, 50.0, 90.0, 5.0, 15.0, -1, 0, 500.0)], "id int, BILL_AMT1 double, BILL_AMT2 double, PAY_AMT1 double, PAY_AMT2 double, PAY_0 int, PAY_2 int, LIMIT_BAL double")
+    rows = {r.id: (r.mean_bill_amount, r.credit_utilization_proxy, r.bill_trend, r.repayment_delay_count) for r in fe.bank_features(bank, "id").collect()}
+    assert rows == {7: (240, 0.25, 120, 2), 8: (70, 0.1, -40, 0)}
+    retail = spark.createDataFrame([("A1", "p", 3, "2019-03-05", 2.5, 9), ("A1", "q", 2, "2019-03-05", 4.0, 9), ("A9", "p", 50, "2019-12-01", 9.0, 9), ("B2", "r", 7, "one day", 1.0, 9)], "InvoiceNo string, StockCode string, Quantity int, InvoiceDate string, UnitPrice double, CustomerID int")
+    r = fe.retail_features(retail, F.lit("2019-06-30").cast("timestamp")).first()
+    assert (r.total_spend, r.purchase_count, r.invoice_count, r.unique_products, r.active_days) == (15.5, 2, 1, 2, 1)
+    assert fe.bank_features(bank.limit(0), "id").count() == 0
 
 
 def test_preprocessor_guards(spark):
@@ -251,3 +264,73 @@ def test_intervals_of_more_than_ten_thousand_group_sizes(spark):
     x = spark.range(10_100).select("id", F.explode(F.sequence(F.lit(1), F.col("id") + 2)).alias("v"))
     rows = privacy.interval_summary(x, ["id"], "v").where("n > 1 AND ci95_low < mean AND mean < ci95_high")
     assert rows.count() == 10_100
+
+
+def test_quantile_buckets_spread_despite_an_outlier(spark):
+    df = spark.range(4000).select(F.col("id").cast("double").alias("v")).unionAll(spark.createDataFrame([(1e15,)], "v double"))
+    marked = df.withColumn("b", ranking.value_bucket(df, "v"))
+    rows = marked.orderBy("v").collect()
+    assert [r.b for r in rows] == sorted(r.b for r in rows) and len({r.b for r in rows}) > 1000
+    assert {r["rank"] for r in ranking.average_rank(df, "v").collect()} == {k + 1.0 for k in range(4001)}
+
+
+def test_psi_refuses_bad_ids(spark):
+    good, twice, null = (spark.createDataFrame(x, "id string") for x in ([("a",), ("b",)], [("a",), ("a",)], [("a",), (None,)]))
+    assert [[r.id for r in f.collect()] for f in relational.psi_align([good, good.where("id = 'b'")], "id", "s")] == [["b"], ["b"]]
+    for bad in (twice, null):
+        with pytest.raises(relational.AlignmentError, match="unique"):
+            relational.psi_align([good, bad], "id", "s")
+    relational.require_bound({"a": None, "b": None})
+    for digests in ({"a": "x", "b": None}, {"a": "x", "b": "y"}):
+        with pytest.raises(relational.AlignmentError):
+            relational.require_bound(digests)
+
+
+def test_run_bundles_tell_what_changed(spark, tmp_path):
+    tables = {name: spark.createDataFrame([(1, 0.5)], "id int, x double") for name in runs.TABLES}
+    documents = {"config": {"a": 1}, "dataset_provenance": {}, "linkage_manifest": {}, "metrics": {"roc_auc": 0.75}}
+    folder = runs.write_run(spark, f"file://{tmp_path}", 1, documents, tables)
+    assert runs.changed_files(spark, folder).count() == 0 and runs.read_run(spark, folder)[0]["environment"]["seed"] == 1
+    assert [tuple(r) for r in runs.main_results(spark, {"r": folder}).collect()] == [("r", 0.75, None, None)]
+    with pytest.raises(ValueError, match="documents"):
+        runs.write_run(spark, f"file://{tmp_path}", 1, {}, tables)
+    part = next((tmp_path / folder.rpartition("/")[2] / "metrics.json").glob("part-*"))
+    part.write_text("{}")
+    (part.parent / f".{part.name}.crc").unlink()
+    assert [r.problem for r in runs.changed_files(spark, folder).collect()] == ["changed"]
+    with pytest.raises(FileNotFoundError):
+        runs.read_run(spark, f"file://{tmp_path}/no-run")
+
+
+def test_unknown_parties_and_cutoffs(spark, tmp_path):
+    with pytest.raises(ValueError, match="unknown party"):
+        parties.read_party(spark, "nobody", "x")
+    rows = [("A", "p", 1, f"2020-01-{d:02d}", 2.0, 1) for d in range(1, 11)] + [("B", "p", 1, None, 2.0, 1)]
+    spark.createDataFrame(rows, "InvoiceNo string, StockCode string, Quantity int, InvoiceDate string, UnitPrice double, CustomerID int").write.parquet(f"{tmp_path}/retail")
+    found = parties.read_party(spark, "retail", f"{tmp_path}/retail", cutoff="2020-01-04")
+    assert (found.rows.count(), found.facts["later"], found.facts["undated"]) == (4, 6, 1)
+    assert parties.read_party(spark, "retail", f"{tmp_path}/retail", q=0.5).rows.count() == 5
+
+
+def test_checkpoints_keep_thresholds_with_their_owner(spark):
+    df, _, _ = learning(spark, 120)
+    m = gbdt.fit_gbdt(df, PARTIES, options=gbdt.GBDTOptions(trees=2, depth=2, bins=4, min_leaf=5))
+    text, routing = files.gbdt_checkpoint(m)
+    assert "edges" not in text and set(routing) == {"active", "passive"}
+    again = files.read_gbdt_checkpoint(text, routing)
+    scored = lambda model: sorted((r.id, r.margin) for r in gbdt.score_gbdt(df, model).collect())
+    assert scored(again) == scored(m)
+
+
+def test_drift_study_and_overlap(spark):
+    df, _, _ = learning(spark, 300)
+    named = {"bank": ["a"], "telecom": ["b"], "insurance": ["c"], "retail": ["d", "e"]}
+    options = logistic.LogisticOptions(0.5, 3)
+    model = logistic.fit_logistic(df, named, options=options)
+    rows = {r.scenario: r for r in studies.drift_study(df, model, named, "id").collect()}
+    assert set(rows) == set(studies.DRIFT) and rows["baseline"].roc_auc_delta == 0
+    assert rows["telecom_mean_shift"].roc_auc_delta == pytest.approx(0, abs=1e-9)  # a constant moves no rank
+    drop = {r.party: r.roc_auc_drop for r in studies.permutation_contribution(df, model, named, "id").collect()}
+    assert set(drop) == set(named) and max(drop.values()) > 0
+    found = {(r.method, r.overlap): r.rows if "rows" in r else None for r in studies.overlap_study(df, PARTIES, "id", F.col("id") % 2 == 0, options, shares=(1.0, 0.5)).collect()}
+    assert len(found) == 4
