@@ -1,8 +1,9 @@
 """WARC records in ZIP-packaged archives, written by tasks and read back by ranges, without extraction.
 
-An archive is a ZIP file whose members are stored, not compressed: archive/data.warc.gz (one gzip member a record) and
-indexes/index.cdxj (a line a record: offset and length in the WARC member). A reader takes the end of the file, the
-central directory (ZIP64 where sizes ask for it) and the index, then reads the ranges of the records it wants.
+An archive is a ZIP file whose members are stored, not compressed: WARC files below archive/ (one gzip member a record)
+and CDXJ indexes below indexes/ (a line a record: key, time, and JSON with file name, offset and length). A reader takes
+the end of the file, the central directory (ZIP64 where sizes ask for it) and the indexes, then reads the ranges of the
+records it wants. Indexes may name several WARC files, skip records, and be in any order, as other writers' are.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import struct
 import zipfile
 import zlib
@@ -28,6 +30,8 @@ from .shared import bounded, shared_dir, written
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of WARC data after which a task starts its next archive, bytes of records read at a time, records in an Arrow batch.
 ARCHIVE_BYTES, READ_BYTES, BATCH = 512 << 20, 4 << 20, 256
+#: Bytes of records that a reading task gets, about.
+TASK_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 # Fixed values of the ZIP format: signatures and layouts of its structures.
@@ -58,6 +62,15 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def cdxj_line(url: str | None, offset: int, length: int) -> str:
+    """Host parts in reverse before the path, so that a sorted index keeps a site together; time; where the record is."""
+    scheme, _, rest = (url or "").partition("://")
+    host, slash, path = (rest if rest else scheme).partition("/")
+    key = ",".join(reversed(host.lower().split("."))) + ")" + slash + path
+    fields = {"url": url, "filename": WARC_MEMBER.rpartition("/")[2], "offset": str(offset), "length": str(length)}
+    return f"{re.sub(r'[\x00-\x20\x7f]', '', key)} {re.sub(r'[^0-9]', '', DATE)} {json.dumps(fields)}"
+
+
 class ArchiveWriter:
     """One archive: records as they come, the index after them. It appears under its name when it is whole."""
 
@@ -75,12 +88,12 @@ class ArchiveWriter:
     def add(self, page_id: int | None, url: str | None, record: bytes) -> None:
         data = gzip.compress(record, 1, mtime=0)
         self.member.write(data)
-        self.index.append(json.dumps({"page": page_id, "url": url, "offset": self.offset, "length": len(data)}))
+        self.index.append(cdxj_line(url, self.offset, len(data)))
         self.offset += len(data)
 
     def close(self) -> tuple[str, int]:
         self.member.close()
-        self.zip.writestr(INDEX_MEMBER, "\n".join(self.index))
+        self.zip.writestr(INDEX_MEMBER, "".join(f"{line}\n" for line in sorted(self.index)))
         self.zip.close()
         self.stream.close()
         self.files.move(self.part, self.path)
@@ -154,8 +167,9 @@ class RangeFile:
         return data
 
 
-def stored_members(file: RangeFile) -> dict[str, Member]:
-    """The members of a ZIP file by name, from its central directory; compressed ones raise ValueError."""
+def stored_members(file: RangeFile, below: tuple[str, ...] = ("",)) -> dict[str, Member]:
+    """The members of a ZIP file in the folders `below`, by name, from its central directory; compressed ones among them
+    raise ValueError, others are passed over."""
     tail_size = min(file.size, 22 + 65535 + 20)
     tail = file.read(file.size - tail_size, tail_size)
     at = tail.rfind(END)
@@ -187,61 +201,82 @@ def stored_members(file: RangeFile) -> dict[str, Member]:
                 if local == 0xFFFFFFFF:
                     local = struct.unpack_from("<Q", wide)[0]
             extra = extra[4 + length :]
+        at += 46 + n_name + n_extra + n_comment
+        if not name.startswith(below):
+            continue
         if method != 0 or packed != full:
             raise ValueError(f"member {name} is compressed; only stored members can be read by ranges")
         head = struct.unpack(LOCAL_LAYOUT, file.read(local, 30))
         if head[0] != LOCAL:
             raise ValueError(f"member {name} is not where the central directory says")
         out[name] = Member(name, local + 30 + head[9] + head[10], full)
-        at += 46 + n_name + n_extra + n_comment
     return out
 
 
+def index_entries(file: RangeFile, members: dict[str, Member]) -> Iterator[tuple[str, int, int]]:
+    """(name of the WARC member, offset, length) of each line of all indexes; their JSON starts at the first brace."""
+    for name, member in members.items():
+        if not (name.startswith("indexes/") and re.search(r"\.cdxj?(\.gz)?$", name)):
+            continue
+        data = file.read(member.offset, member.size) if member.size else b""
+        for line in (gzip.decompress(data) if name.endswith(".gz") and data else data).splitlines():
+            at = line.find(b"{")
+            if at >= 0 and not line.startswith(b"!"):
+                x = json.loads(line[at:])
+                yield f"archive/{x.get('filename') or WARC_MEMBER.rpartition('/')[2]}", int(x["offset"]), int(x["length"])
+
+
 def record_ranges(uri: str) -> Iterator[dict]:
-    """Ranges of consecutive records, some READ_BYTES each: where they start in the file and how long each record is."""
+    """Ranges of consecutive records, some READ_BYTES each: where they start in the file and how long each record is.
+    An archive that has WARC data but no index of it raises ValueError."""
     file = RangeFile(uri)
-    members = stored_members(file)
-    warc, index = members[WARC_MEMBER], members[INDEX_MEMBER]
-    start, lengths = 0, []
-    for line in file.read(index.offset, index.size).split(b"\n") if index.size else []:
-        x = json.loads(line)
-        if lengths and x["offset"] != start + sum(lengths):
-            raise ValueError(f"{uri}: the index has a gap")
-        if not lengths:
-            start = x["offset"]
-        if x["offset"] + x["length"] > warc.size:
-            raise ValueError(f"{uri}: the index points beyond its archive")
-        lengths.append(x["length"])
-        if sum(lengths) >= READ_BYTES:
-            yield {"path": uri, "offset": warc.offset + start, "lengths": lengths}
+    members = stored_members(file, ("archive/", "indexes/"))
+    found = sorted(set(index_entries(file, members)))
+    held = {name for name, m in members.items() if name.startswith("archive/") and m.size}
+    if held - {name for name, _, _ in found}:
+        raise ValueError(f"{uri}: no index of {', '.join(sorted(held - {name for name, _, _ in found}))}")
+    now, end, lengths = ("", 0), 0, []
+    for name, offset, length in found:
+        if name not in members or offset + length > members[name].size:
+            raise ValueError(f"{uri}: the index points beyond {name}")
+        if lengths and (name != now[0] or offset != end or end - now[1] >= READ_BYTES):
+            yield {"path": uri, "offset": members[now[0]].offset + now[1], "lengths": lengths}
             lengths = []
+        if not lengths:
+            now = (name, offset)
+        lengths.append(length)
+        end = offset + length
     if lengths:
-        yield {"path": uri, "offset": warc.offset + start, "lengths": lengths}
+        yield {"path": uri, "offset": members[now[0]].offset + now[1], "lengths": lengths}
 
 
-def parse_record(data: bytes) -> dict:
-    """One gzip member as a WARC record; a payload that does not match its digest raises ValueError."""
-    record = zlib.decompress(data, 31)
+def parse_record(data: bytes) -> dict | None:
+    """One record, gzipped or not; None for what is neither a response nor a revisit. A payload that does not match its
+    digest raises ValueError. Records of other writers have no page_id."""
+    record = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
     head, _, rest = record.partition(b"\r\n\r\n")
     version, *lines = head.decode("utf-8", "replace").split("\r\n")
-    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    block = rest[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    stated = int(next(x for x in http.decode().split("\r\n") if x.startswith("Content-Length: "))[16:])
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    whole = fields["WARC-Type"] == "response"
-    if whole and (len(payload) != stated or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
-        raise ValueError(f"the payload of {fields['WARC-Record-ID']} does not match its digest or length")
-    number = lambda urn: int(n) if (n := urn.removeprefix("<urn:page:").removesuffix(">")) else None
+    if fields.get("warc-type") not in ("response", "revisit"):
+        return None
+    http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
+    stated = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+    algorithm, _, digest = fields.get("warc-payload-digest", "").rpartition(":")
+    whole = fields["warc-type"] == "response"
+    own = base64.b32encode(hashlib.sha1(payload).digest()).decode() if whole else digest
+    # digests are of what a transfer encoding holds
+    if whole and algorithm == "sha1" and own != digest.upper() and b"\ntransfer-encoding:" not in http.lower():
+        raise ValueError(f"the payload of {fields.get('warc-record-id')} does not match its digest")
+    number = lambda urn: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", urn)) else None
     return {
-        "page_id": number(fields["WARC-Record-ID"]),
-        "url": fields["WARC-Target-URI"],
-        "record_type": fields["WARC-Type"],
-        "payload_digest": digest,
-        "payload_bytes": stated,
-        "refers_to": number(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None,
+        "page_id": number(fields.get("warc-record-id", "")),
+        "url": fields.get("warc-target-uri", "").strip("<>"),
+        "record_type": fields["warc-type"],
+        "payload_digest": own,
+        "payload_bytes": len(payload) if whole else int(stated[1]) if stated else None,
+        "refers_to": number(fields.get("warc-refers-to", "")),
         "payload": payload if whole else None,
     }
 
@@ -268,7 +303,8 @@ def read_archives(archives: DataFrame, columns: tuple[str, ...] = ("page_id", "u
                 data, at, rows = RangeFile(x["path"]).read(x["offset"], sum(x["lengths"])), 0, []
                 for n in x["lengths"]:
                     row = parse_record(data[at : at + n])
-                    rows.append({c: row[c] for c in columns})
+                    if row is not None:
+                        rows.append({c: row[c] for c in columns})
                     at += n
                     if len(rows) == BATCH:
                         yield pa.RecordBatch.from_pylist(rows, arrow)
@@ -276,17 +312,21 @@ def read_archives(archives: DataFrame, columns: tuple[str, ...] = ("page_id", "u
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    found = archives.select("path").repartition("path").mapInArrow(ranges, "path string, offset long, lengths array<long>")
+    found = written(archives.select("path").repartition("path").mapInArrow(ranges, "path string, offset long, lengths array<long>"), "warc-ranges")
     kinds = dict(x.strip().split(" ") for x in RECORD.split(","))
-    return found.repartition("path", "offset").mapInArrow(records, ", ".join(f"{c} {kinds[c]}" for c in columns))
+    # a number of tasks of its own: by their own size the rows, which only say where to read, would all go to one
+    n, size = found.agg(F.count(F.lit(1)), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x))).first()
+    tasks = max(1, min(n, max(archives.sparkSession.sparkContext.defaultParallelism, (size or 0) // TASK_BYTES)))
+    return found.repartition(tasks, "path", "offset").mapInArrow(records, ", ".join(f"{c} {kinds[c]}" for c in columns))
 
 
 def warc_round_trip(pages: DataFrame, least_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """Every page as a WARC record in archives below folder (the shared folder if not given), then read back from them.
 
     Null html is an empty payload; a null page_id comes back null and never is what others refer to unless all ids
-    of its group are null (then all are responses); repeated rows with the largest id are all responses; an empty
-    table writes nothing and gives no rows. Other columns are ignored.
+    of its group are null (then all are responses); repeated rows with the largest id are all responses; a payload is
+    held whole by one task at a time, however long; an empty table writes nothing and gives no rows. Other columns are
+    ignored.
     """
     archives = write_archives(mark_revisits(pages, least_bytes), folder or shared_dir(pages.sparkSession, "warc"))
     return read_archives(archives, ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))

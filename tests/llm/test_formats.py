@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import io
+import json
 import random
 import struct
 import zipfile
@@ -93,6 +95,39 @@ def test_small_payloads_are_all_responses(spark):
     assert {r.record_type for r in warc.warc_round_trip(pages(spark), least_bytes=5).where("payload_bytes < 5").collect()} == {"response"}
 
 
+def test_packages_of_other_writers(spark, tmp_path):
+    """Two WARC files, an index in another order that leaves a request record out, other members compressed."""
+    record = lambda kind, uri, block: f"WARC/1.0\r\nwarc-type: {kind}\r\nWARC-Record-ID: <urn:uuid:{uri}>\r\nWARC-Target-URI: <{uri}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    answer = lambda text: b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + text
+    first = [gzip.compress(record("response", "http://b.org/1", answer(b"one"))), gzip.compress(record("request", "http://b.org/1", b"GET / HTTP/1.1\r\n\r\n")), gzip.compress(record("response", "http://b.org/2", answer(b"two")))]
+    second = [record("response", "http://a.org/", answer(b"")), record("revisit", "http://a.org/x", b"HTTP/1.1 200 OK\r\ncontent-length: 7\r\n\r\n")]
+    line = lambda key, name, parts, k: f'{key} 20240101000000 {json.dumps({"filename": name, "offset": str(sum(map(len, parts[:k]))), "length": len(parts[k]), "status": "200"})}'
+    index = [line("org,a)/x", "two.warc", second, 1), line("org,a)/", "two.warc", second, 0), line("org,b)/2", "one.warc.gz", first, 2), line("org,b)/1", "one.warc.gz", first, 0)]
+    with zipfile.ZipFile(tmp_path / "y.wacz", "w") as z:
+        z.writestr("datapackage.json", "{}" * 50, zipfile.ZIP_DEFLATED)
+        z.writestr("archive/one.warc.gz", b"".join(first))
+        z.writestr("archive/two.warc", b"".join(second))
+        z.writestr("indexes/index.cdx.gz", gzip.compress("\n".join(index).encode()))
+    rows = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/y.wacz",)], "path string")).collect()
+    assert {(r.url, r.record_type, r.payload_bytes, bytes(r.payload) if r.payload is not None else None, r.page_id) for r in rows} == {
+        ("http://b.org/1", "response", 3, b"one", None), ("http://b.org/2", "response", 3, b"two", None), ("http://a.org/", "response", 0, b"", None), ("http://a.org/x", "revisit", 7, None, None)
+    }
+    with zipfile.ZipFile(tmp_path / "z.wacz", "w") as z:
+        z.writestr("archive/one.warc.gz", b"".join(first))
+    with pytest.raises(ValueError, match="no index"):
+        list(warc.record_ranges(f"file://{tmp_path}/z.wacz"))
+
+
+def test_several_archives_and_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    monkeypatch.setattr(warc, "READ_BYTES", 500)
+    many = spark.range(40).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.concat(F.lit("page "), "id").alias("html"))
+    archives = warc.write_archives(warc.mark_revisits(many.coalesce(2)), f"file://{tmp_path}/out")
+    assert archives.count() > 3
+    found = warc.read_archives(archives)
+    assert {r.page_id: bytes(r.payload).decode() for r in found.collect()} == {k: f"page {k}" for k in range(40)} and found.rdd.getNumPartitions() > 1
+
+
 def test_zip64_and_comments(tmp_path):
     path = tmp_path / "x.zip"
     with zipfile.ZipFile(path, "w") as z:
