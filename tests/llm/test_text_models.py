@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shapes import empty, frame
 
 from partyframe.llm import lm_scoring, queries
-from partyframe.llm.language_id import UNKNOWN, identify_languages
+from partyframe.llm.language_id import UNKNOWN, identify_languages, ngram_buckets
 from partyframe.llm.quality import fit_importance, importance_resample, importance_weights, kth_largest
 from partyframe.llm.words import split_words
 
@@ -26,6 +26,51 @@ def test_language_on_the_held_out_fold(spark, small):
     assert all(0 <= r.score <= 1 and r.lang_pred in {*langs.values(), UNKNOWN} for r in rows)
 
 
+def gram_buckets(text: str) -> list[int]:
+    """The buckets of all 1-, 2- and 3-grams in plain integers."""
+    low, out = 0xFFFFFFFF, []
+    code = [ord(c) for c in f" {text.lower()} "]
+    one = [c * 2654435761 & low for c in code]
+    two = [((a ^ a >> 15) * 2246822519 + c * 3266489917) & low for a, c in zip(one, code[1:], strict=False)]
+    three = [((a ^ a >> 13) * 668265263 + c * 374761393) & low for a, c in zip(two, code[2:], strict=False)]
+    for h in [*one, *two, *three]:
+        out.append(((h ^ h >> 16) * 2246822519 & low) >> 16)
+    return out
+
+
+def test_posteriors_by_brute_force(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    letters = {"aa": "etaoin shrdlu", "bb": "enisrat dhulc", "cc": "aeionl rstcd"}
+    rows = [(k, "".join(draw.choice(list(letters[lang]), 30 + k)), lang) for k, lang in enumerate(["aa", "bb", "cc"] * 12)] + [(90, "Ünd ß İ", "aa"), (91, None, "bb"), (92, "no tongue", None)]
+    held = lambda k: zlib.crc32(str(k).encode()) % 5 == 0
+    learned = [(t, lang) for k, t, lang in rows if t is not None and lang is not None and not held(k)]
+    counts = {lang: Counter(b for t, x in learned if x == lang for b in gram_buckets(t)) for lang in letters}
+    total = {lang: sum(c.values()) + 0.5 * 65536 for lang, c in counts.items()}
+    monkeypatch.setattr("partyframe.llm.language_id.WINDOW", 16)  # several windows a text
+    for text in ("", "x", "fourteen signs", "fifteen  signs!", "a text of more than sixteen signs, and of more than twice as many"):
+        assert Counter(np.concatenate(list(ngram_buckets(text))).tolist()) == Counter(gram_buckets(text))
+    for r in identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect():
+        text = rows[[k for k, _, _ in rows].index(r.doc_id)][1]
+        if text is None:
+            assert (r.lang_pred, r.score) == (UNKNOWN, 0.0)
+            continue
+        log = {lang: math.log(sum(x == lang for _, x in learned) / len(learned)) + sum(math.log((counts[lang][b] + 0.5) / total[lang]) for b in gram_buckets(text)) for lang in letters}
+        best = max(log, key=log.get)
+        assert r.lang_pred == best and math.isclose(r.score, 1 / sum(math.exp(v - log[best]) for v in log.values()), rel_tol=1e-3)
+
+
+def test_a_text_of_megabytes_takes_bounded_memory():
+    import tracemalloc
+
+    from partyframe.llm.language_id import LanguageModel
+
+    model = LanguageModel(("a", "b"), np.log([0.5, 0.5]), np.zeros((65536, 2), np.float32))
+    tracemalloc.start()
+    assert np.allclose(model.posteriors(["word and word " * 200_000]), 0.5)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
 def test_language_of_awkward_texts(spark):
     rows = identify_languages(frame(spark)).collect()
     assert len(rows) == 11
