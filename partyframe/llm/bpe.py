@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fragments that a worker remembers, the longest of them in characters, characters of a text cut at a time, ids in an Arrow batch.
-REMEMBERED, LONGEST, WINDOW, BATCH_IDS = 400_000, 48, 1 << 16, 4_000_000
+REMEMBERED, LONGEST, WINDOW, BATCH_IDS = 100_000, 48, 1 << 16, 1 << 19
 #: Characters of texts whose unknown fragments are encoded together; a rank above all others.
 TOGETHER, NONE = 1 << 19, 1 << 40
 #: Vocabulary files above this size are refused: their bytes are broadcast.

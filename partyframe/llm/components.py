@@ -18,6 +18,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Loops and repeated edges are harmless; an empty table gives no rows.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     state = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

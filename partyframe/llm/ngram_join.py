@@ -352,10 +352,12 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     placed = written(homes.join(roots, "node", "left").select("node", "hub", F.coalesce("root", "node").alias("root")), "join-placed")
     second = ordered(around_hubs(placed, sets, links, rule).unionByName(apart(placed, index, rule)))
     second = written(second.join(first, ["a", "b"], "left_anti"), "join-candidates")
-    links = links.unionByName(verify(second, sets, rule))
-    roots = connected_components(written(links, "join-links"))
+    more = written(verify(second, sets, rule), "join-links")
+    ends = [placed.select(F.col("node").alias(x), F.col("root").alias(f"root{x}")) for x in "ab"]
+    joined = connected_components(more.join(ends[0], "a").join(ends[1], "b").select(F.col("roota").alias("a"), F.col("rootb").alias("b")))
 
-    whole = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    whole = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("first"))
+    whole = whole.join(joined.select(F.col("node").alias("first"), "root"), "first", "left").select("node", "id", F.coalesce("root", "first").alias("root"))
     names = whole.groupBy("root").agg(F.min("id").alias("component_id"))
     final = whole.join(names, "root").select("node", "component_id")
     return of_doc.join(final, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

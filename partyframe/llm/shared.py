@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,13 +13,28 @@ from partyframe.functions.session import shared_path as shared_dir
 
 #: A broadcast built here holds at most so many rows and bytes; beyond that the same step runs as a shuffled join.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
+#: Rows in a batch that goes to Python: texts are long, and both sides hold a batch whole.
+ARROW_ROWS = 2048
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of `rows` rows at most for what is planned inside; the session's own setting holds again after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write df below the shared folder and read it back: the lineage ends there, and lost executors can reread it."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    with arrow_rows(spark, ARROW_ROWS):
+        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out

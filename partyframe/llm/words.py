@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker remembers with their hash; the table starts anew when full.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 
 class WordHashes(dict):
