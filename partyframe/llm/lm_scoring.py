@@ -24,7 +24,7 @@ LEAST_CLASSES = 128
 #: Words that occur so often are kept one by one. All others occur once, so one number for each class is exact for them.
 KEPT_COUNT = 2
 #: Width of the network, its learning rate, rounds over all windows, and steps of a task in a round.
-WIDTH, RATE, ROUNDS, STEPS = 32, 0.03, 6, 20
+WIDTH, RATE, ROUNDS, STEPS = 32, 0.03, 6, 12
 #: Parts that a task divides its contexts into, unless they are few; a step takes one part.
 PARTS, FEW_CONTEXTS = 4, 1024
 #: Words counted, or windows held, before a task sends what it has.
