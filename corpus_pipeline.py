@@ -7,6 +7,8 @@ rows one stays, null texts go at the first stage, and an empty table gives no ro
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from partyframe.llm.decontaminate import contaminated
 from partyframe.llm.exact_dedup import exact_dedup
 from partyframe.llm.language_id import UNKNOWN, fit_language_id, held_out, predict_language
 from partyframe.llm.ngram_join import JaccardRule, ngram_jaccard_components
-from partyframe.llm.shared import bounded, written
+from partyframe.llm.shared import ARROW_ROWS, bounded, written
 
 #: A document is rejected if no language can be told, or if its most probable language has less than this posterior.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -24,6 +26,17 @@ LEAST_LANGUAGE_SCORE = 0.5
 NEAR_COPIES = JaccardRule(words=5, num=80, den=100)
 
 
+def short_batches(stage):
+    """The stage, with short Arrow batches for the session from then on: the pipeline's rows are whole texts."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def row_name(text_sha: Column | None = None) -> Column:
     """A 64-bit name of a row by its id and text."""
     return F.xxhash64(F.col("doc_id"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256) if text_sha is None else text_sha)
@@ -39,12 +52,14 @@ def without(docs: DataFrame, dropped: DataFrame, stage: str) -> DataFrame:
     return docs.join(gone, row_name() == F.col("gone_name"), "left_anti")
 
 
+@short_batches
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_language_id(docs.where(~held_out("doc_id")))
     found = predict_language(rows_of(docs), model, "name")
     return without(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE)), "languages")
 
 
+@short_batches
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the largest doc_id of equal texts stays, and one of its rows if they repeat."""
     found = written(exact_dedup(docs).select(row_name(F.col("text_sha256")).alias("name"), "kept"), "pipeline-copies")
@@ -56,6 +71,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return without(left, repeated, "repeated").unionByName(again)
 
 
+@short_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of linked documents stays."""
     rows = rows_of(docs)
@@ -66,11 +82,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return without(docs, members.join(stays, "component_id").where("name <> stays"), "near")
 
 
+@short_batches
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without(docs, contaminated(rows_of(docs), benchmark, "name"), "leaks")
 
 
+@short_batches
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every document that is left."""
     encoded = bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
