@@ -70,7 +70,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Only seed hashes of documents meet those of the items (a broadcast join while the items' seeds are proven to be
     few, a shuffled one beyond that); texts are read again only for documents with a hit. Texts and items without
     tokens leak nothing; items shorter than WINDOW are compared whole; null ids compare equal to each other; of repeated
-    rows one is reported; other columns are ignored.
+    rows one is reported; very long texts are met in stretches; an empty table on either side gives no rows; other columns
+    are ignored.
     """
     items = written(two_columns(benchmark, item_col, item_text_col).select(F.col("id").alias("item"), tokens("text").alias("tok")).where(F.size("tok") > 0).distinct(), "leak-items")
     short = sorted(r.n for r in items.where(F.size("tok") < WINDOW).select(F.size("tok").alias("n")).distinct().collect())

@@ -395,7 +395,8 @@ def lm_score(docs: DataFrame, network: WindowNetwork, id_col: str = "doc_id", te
 
     Each word of the whole text is masked in turn and predicted from its neighbours; log_likelihood is the sum of
     their conditional log-probabilities as words, not as classes. Texts that are null or have no word: 0 tokens, sum 0, mean null. Other
-    columns are ignored; repeated rows are scored each.
+    columns are ignored; repeated rows are scored each; texts count whole, some words at a time, however long they are;
+    an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(network)
 

@@ -110,7 +110,8 @@ def importance_resample(docs: DataFrame, model: ImportanceModel, k: int, id_col:
     importance weights, as those with the k largest log_weight + Gumbel noise.
 
     The noise is a function of seed and id, so that a rerun draws the same; repeated rows share it, and rows that tie
-    with the k-th key are all kept. k <= 0 keeps none, k beyond the rows all. Null ids draw as one id.
+    with the k-th key are all kept. k <= 0 keeps none, k beyond the rows all. Null ids draw as one id. Texts count whole,
+    null and empty ones with weight 0; an empty table gives no rows; other columns are ignored.
     """
     uniform = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     weighed = importance_weights(docs, model, id_col, text_col)

@@ -219,3 +219,26 @@ def test_line_shapes(spark):
 def test_tokens_ignore_case_and_marks(spark):
     row = spark.createDataFrame([("One, TWO--three_4!",)], "text string").select(decontaminate.tokens("text").alias("t")).first()
     assert len(row.t) == 4
+
+
+# ---- beyond the bounds of broadcasts
+
+
+@pytest.mark.parametrize("name", ["op8_exact_dedup", "op9_warc_archives", "op10_line_dedup"])
+def test_results_do_not_depend_on_the_broadcast(spark, small, monkeypatch, name):
+    want = table(queries.queries()[name](spark, small))
+    monkeypatch.setattr("partyframe.llm.shared.BROADCAST_BYTES", 0)
+    assert table(queries.queries()[name](spark, small)) == want
+
+
+def test_components_do_not_depend_on_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("partyframe.llm.shared.BROADCAST_ROWS", 0)
+    rows = [*family(4), *((900_000 + k, text) for k, (_, text) in enumerate(family(4)[:20]))]
+    found = ngram_join.ngram_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == components(rows)
+
+
+def test_many_lines_in_one_document(spark):
+    text = "\n".join(f"line number {k % 30_000} of a long text" for k in range(60_000))
+    row = line_dedup.line_dedup(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_lines == 60_000 and row.n_kept <= 30_000
