@@ -6,6 +6,7 @@ among its words is counted. Classes, windows and words that are kept all grow wi
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass, replace
 from functools import cached_property
@@ -362,7 +363,7 @@ def fit_window_network(docs: DataFrame, text_col: str = "text", seed: int = 0) -
 
 
 class Scorer:
-    """Sums of log p for words of whole texts. The norm of a context is worked out once a task: 4 bytes for each pair of classes."""
+    """Sums of log p for words of whole texts. The norm of a context is worked out once: 4 bytes for each pair of classes."""
 
     def __init__(self, network: WindowNetwork):
         self.network, self.hashes = network, WordHashes()
@@ -390,6 +391,17 @@ class Scorer:
         return np.add.reduceat(log_p, starts)
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(name: str, sent) -> Scorer:
+    """The worker's scorer for a broadcast network, which keeps the norms of all tasks that the worker runs."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(sent.value)
+    return _scorers[name]
+
+
 def lm_score(docs: DataFrame, network: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_tokens, log_likelihood, mean_log_likelihood) for every row; no shuffle.
 
@@ -398,10 +410,10 @@ def lm_score(docs: DataFrame, network: WindowNetwork, id_col: str = "doc_id", te
     columns are ignored; repeated rows are scored each; texts count whole, some words at a time, however long they are;
     an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(network)
+    sent, name = docs.sparkSession.sparkContext.broadcast(network), uuid.uuid4().hex
 
     def score(batches):
-        scorer = Scorer(sent.value)
+        scorer = scorer_of(name, sent)
         for batch in batches:
             n, total = [], np.zeros(batch.num_rows)
             some, at, size = [], [], 0
