@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
+from .bucket_resampling import target_resample
 from .chat import chat_packs, read_back
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
@@ -139,8 +140,8 @@ WITH split AS (
 ), each AS (
     SELECT first, len(words) AS n, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM firsts WHERE len(words) >= 5
 ), named AS (
-    SELECT first, n, i, hash(word, i) AS here, bit_xor(hash(word, i)) OVER line AS all_here, bit_xor(hash(word, i - 1)) OVER line AS all_shifted,
-           bit_xor(hash(word, i)) OVER upto AS to_here, bit_xor(hash(word, i - 1)) OVER upto AS to_shifted
+    SELECT first, n, i, hash(word || ' ' || i) AS here, bit_xor(hash(word || ' ' || i)) OVER line AS all_here, bit_xor(hash(word || ' ' || (i - 1))) OVER line AS all_shifted,
+           bit_xor(hash(word || ' ' || i)) OVER upto AS to_here, bit_xor(hash(word || ' ' || (i - 1))) OVER upto AS to_shifted
     FROM each
     WINDOW line AS (PARTITION BY first), upto AS (PARTITION BY first ORDER BY i)
 ), variants AS (
@@ -161,10 +162,47 @@ FROM shown
 """
 
 
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = target_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = r"""
+WITH crc_table AS MATERIALIZED (
+    SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), texts AS (
+    SELECT doc_id AS id, TRUE AS own, text FROM documents UNION ALL SELECT item_id, FALSE, text FROM benchmark
+), words AS (
+    SELECT id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), features AS (
+    SELECT id, own, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS feature FROM words
+), counted AS (
+    SELECT feature, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM features GROUP BY feature
+), hashed AS MATERIALIZED (
+    SELECT feature, s, t, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(strlen(feature)), lambda i: ('0x' || substr(hex(encode(feature)), 2 * i + 1, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+    FROM counted, crc_table
+), sums AS (
+    SELECT bucket, sum(s) AS s, sum(t) AS t FROM hashed GROUP BY bucket
+), gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM sums) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM sums) + 10000)::DOUBLE)))::BIGINT AS gain FROM sums
+), weights AS (
+    SELECT f.id, count(*) AS n_features, sum(g.gain)::BIGINT AS weight FROM features f JOIN hashed h USING (feature) JOIN gains g USING (bucket) WHERE f.own GROUP BY f.id
+), scored AS (
+    SELECT w.id AS doc_id, len(w.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+    FROM words w LEFT JOIN weights USING (id) WHERE w.own
+), ranked AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_bpe_round_trip, op2_lm_scoring, op3_decontamination, op4_chat_prefix_tree, op5_ngram_jaccard, op6_language_id, op7_quality_resampling, op8_exact_dedup, op9_warc_archives, op10_line_dedup)
+    found = (op1_bpe_round_trip, op2_lm_scoring, op3_decontamination, op4_chat_prefix_tree, op5_ngram_jaccard, op6_language_id, op7_quality_resampling, op8_exact_dedup, op9_warc_archives, op10_line_dedup, op12_target_resampling)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_prefix_tree": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc_archives": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op4_chat_prefix_tree": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc_archives": OP9_SQL, "op10_line_dedup": OP10_SQL, "op12_target_resampling": OP12_SQL}

@@ -29,12 +29,14 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write df below the shared folder and read it back: the lineage ends there, and lost executors can reread it."""
+def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), row_group: int | None = None) -> DataFrame:
+    """Write df below the shared folder and read it back: the lineage ends there, and lost executors can reread it.
+    row_group bounds the bytes of a Parquet row group, which readers of large rows hold whole."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     with arrow_rows(spark, ARROW_ROWS):
-        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+        writer = df.write.option("parquet.block.size", row_group) if row_group else df.write
+        writer.partitionBy(*partition_by).parquet(path) if partition_by else writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
