@@ -17,6 +17,7 @@ from .language_id import identify_languages
 from .line_dedup import line_dedup
 from .lm_scoring import fit_window_network, lm_score
 from .ngram_join import ngram_jaccard_components
+from .pieces import piece_decode, piece_encode
 from .quality import fit_importance, importance_resample
 from .warc import warc_round_trip
 
@@ -199,8 +200,21 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN p
 """
 
 
+def op13_sentencepiece_round_trip(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """bytes_spanned: the byte of the source at which the last piece ends."""
+    model = model or public_tokenizers.path("piece_bpe_32k.model")
+    encoded = piece_encode(table(spark, sf_dir, "documents"), model).withColumn("bytes_spanned", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long"))
+    return piece_decode(encoded, model, keep=("bytes_spanned",)).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+        "bytes_spanned",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_bpe_round_trip, op2_lm_scoring, op3_decontamination, op4_chat_prefix_tree, op5_ngram_jaccard, op6_language_id, op7_quality_resampling, op8_exact_dedup, op9_warc_archives, op10_line_dedup, op12_target_resampling)
+    found = (op1_bpe_round_trip, op2_lm_scoring, op3_decontamination, op4_chat_prefix_tree, op5_ngram_jaccard, op6_language_id, op7_quality_resampling, op8_exact_dedup, op9_warc_archives, op10_line_dedup, op12_target_resampling, op13_sentencepiece_round_trip)
     return {f.__name__: f for f in found}
 
 
