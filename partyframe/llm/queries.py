@@ -13,6 +13,7 @@ from .bucket_resampling import target_resample
 from .chat import chat_packs, read_back
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .hard_negatives import mine_hard_negatives
 from .language_id import identify_languages
 from .line_dedup import line_dedup
 from .lm_scoring import fit_window_network, lm_score
@@ -163,6 +164,31 @@ FROM shown
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull() & finite)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.transform("embedding", lambda x: F.floor(256 * x.cast("double"))).alias("v"))
+    return mine_hard_negatives(whole, F.col("id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH able AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+    SELECT a.id AS anchor, b.id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM able a JOIN able b ON a.id % 50 = 0 AND a.id <> b.id
+), positives AS (
+    SELECT anchor, id AS positive, score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor AS anchor_id, positive AS positive_id, (row_number() OVER best)::INT AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON p.anchor = n.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+WINDOW best AS (PARTITION BY p.anchor, positive ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER best <= 3
+"""
+
+
 def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = target_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -214,9 +240,9 @@ def op13_sentencepiece_round_trip(spark: SparkSession, sf_dir: str, model: str |
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_bpe_round_trip, op2_lm_scoring, op3_decontamination, op4_chat_prefix_tree, op5_ngram_jaccard, op6_language_id, op7_quality_resampling, op8_exact_dedup, op9_warc_archives, op10_line_dedup, op12_target_resampling, op13_sentencepiece_round_trip)
+    found = (op1_bpe_round_trip, op2_lm_scoring, op3_decontamination, op4_chat_prefix_tree, op5_ngram_jaccard, op6_language_id, op7_quality_resampling, op8_exact_dedup, op9_warc_archives, op10_line_dedup, op11_hard_negatives, op12_target_resampling, op13_sentencepiece_round_trip)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_prefix_tree": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc_archives": OP9_SQL, "op10_line_dedup": OP10_SQL, "op12_target_resampling": OP12_SQL}
+    return {"op4_chat_prefix_tree": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op9_warc_archives": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_target_resampling": OP12_SQL}
