@@ -278,7 +278,8 @@ class Pieces:
 
     def merged_together(self, words: list[str]) -> list[bytes]:
         """The symbols of words as int32 bytes, all words at once: each round merges the best pair of a word wherever it
-        stands. Where one such merge brings up a pair as good or better, the order would matter: those words go one by one."""
+        stands. Where one such merge brings up a pair as good or better, be it with what the next merge takes, the order would
+        matter: those words go one by one."""
         ids = self.symbol_of[code_points("".join(words))]
         word = np.repeat(np.arange(len(words)), [len(w) for w in words])
         best_before, many_before, apart = np.full(len(words), -1), np.zeros(len(words), bool), np.zeros(len(words), bool)
@@ -300,6 +301,9 @@ class Pieces:
             if len(chosen):  # of a run of overlapping pairs every other one, from the left
                 starts = np.concatenate(([True], np.diff(chosen) > 1))
                 chosen = chosen[(chosen - np.repeat(chosen[starts], np.diff(np.append(np.flatnonzero(starts), len(chosen))))) % 2 == 0]
+                next_too = chosen[:-1][np.diff(chosen) == 2]
+                new = self.pairs(self.pairs.ids[slot[next_too]], ids[next_too + 2])
+                apart[word[next_too[(new >= 0) & (self.pairs.ranks[new] <= best[next_too]) & (word[next_too] == word[np.minimum(next_too + 2, len(ids) - 1)])]]] = True
                 ids[chosen] = self.pairs.ids[slot[chosen]]
             best_before[here] = best_each
             many_before = np.bincount(word[chosen], minlength=len(words)) > 1
