@@ -11,9 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from partyframe.functions.scalar import clipped, hash_order
+from partyframe.functions.session import checkpointed
 from partyframe.operators.ranking import hash_rank, running, value_bucket
 
 EPSILON = 2.0**-52
+#: Ranges that the scores of a group fall into.
+RANGES = 64
 
 
 def stratified_split(df: DataFrame, key: str, y: str, train: float = 0.70, validation: float = 0.15, seed: int = 42) -> DataFrame:
@@ -98,6 +101,35 @@ def binary_metrics(df: DataFrame, threshold: float = 0.5, y: str = "y", p: str =
     return ranking_metrics(score_table(df, y, p)).crossJoin(at).crossJoin(proper_scores(df, y, p)).crossJoin(calibration_error(df, 10, y, p))
 
 
+def score_table_by(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """score_table() within each group of `by`, for many groups at once. A group's distinct scores fall into ranges between its
+    own quantiles, so neither a group nor a crowd of like scores is one task's; the counts are written, as they are read twice."""
+    counts = checkpointed(df.where(F.col(p).isNotNull()).groupBy(*by, F.col(p).alias("p")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")))
+    edges = counts.groupBy(*by).agg(F.percentile_approx("p", F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), F.lit(10 * RANGES)).alias("_edges"))
+    placed = counts.join(edges, by).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col("p")))).drop("_edges")
+    totals = placed.groupBy(*by, "_range").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    above = W.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)  # RANGES rows of a group at most
+    offsets = totals.select(*by, "_range", *(F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_{c}") for c in ("pos", "neg")))
+    inside = W.partitionBy(*by, "_range").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
+    joined = placed.join(offsets, [*by, "_range"])
+    return joined.select(*by, "p", "pos", "neg", (F.col("_pos") + F.sum("pos").over(inside)).alias("tp"), (F.col("_neg") + F.sum("neg").over(inside)).alias("fp"))
+
+
+def binary_metrics_by(df: DataFrame, by: list[str], threshold: float = 0.5, bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
+    """The nine metrics of binary_metrics() for each group of `by`, in one plan whatever the number of groups."""
+    hit, one, q = F.col(p) >= threshold, F.col(y) == 1, clipped(F.col(p), EPSILON, 1 - EPSILON)
+    label = F.col(y).cast("double")
+    loss = -(label * F.log(q) + (1 - label) * F.log(1 - q))
+    counts = df.groupBy(*by).agg(
+        *(F.count_if(c).cast("double").alias(n) for n, c in (("tp", hit & one), ("fp", hit & ~one), ("fn", ~hit & one), ("tn", ~hit & ~one))),
+        F.avg(loss).alias("log_loss"), F.avg((F.col(p) - label) * (F.col(p) - label)).alias("brier"),
+    )
+    at = counts.select(*by, *(c.alias(n) for n, c in threshold_metrics(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")).items()), "log_loss", "brier")
+    curve = df.groupBy(*by, bin_of(F.col(p), bins).alias("_bin")).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg(p).alias("_mean"), F.avg(label).alias("_share"))
+    ece = curve.groupBy(*by).agg((F.sum(F.col("_n") * F.abs(F.col("_share") - F.col("_mean"))) / F.sum("_n")).alias("ece"))
+    return ranking_metrics(score_table_by(df, by, y, p), *by).join(at, by).join(ece, by)
+
+
 def select_threshold(df: DataFrame, grid: int = 201, y: str = "y", p: str = "p") -> DataFrame:
     """One row (threshold, f1): the first of the evenly spaced thresholds with the largest F1. Rows are counted by the
     last threshold that they reach, so the grid is not joined with them."""

@@ -7,25 +7,14 @@ collected donor table.
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from partyframe.functions.scalar import clipped, hash_order, hash_uniform
+from partyframe.functions.scalar import clipped, hash_order, hash_uniform, normal_quantile
 from partyframe.operators.ranking import average_rank, quantiles, running, value_bucket
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    """The inverse of the normal distribution function, which Spark SQL lacks."""
-    inverse = NormalDist().inv_cdf
-    return p.map(lambda x: inverse(x) if 0 < x < 1 else None, na_action="ignore")
-
-
 def row_factor(df: DataFrame, key: str, features: list[str], name: str = "factor") -> DataFrame:
     """(key, factor): the mean of tanh((x - median) / MAD) over the features, medians in place of NULLs."""
     middle = {c: q[0] or 0.0 for c, q in quantiles(df, features, [0.5]).items()}

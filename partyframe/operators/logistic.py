@@ -12,8 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partyframe.functions.scalar import clipped, hash_order, hash_uniform, sigmoid
-from partyframe.operators.linkage import normal_quantile
+from partyframe.functions.scalar import clipped, hash_order, hash_uniform, normal_quantile, sigmoid
 
 
 class MissingPartyError(ValueError):

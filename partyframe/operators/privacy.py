@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import math
 import secrets
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partyframe.functions.scalar import clipped, hash_order, hash_uniform
+from partyframe.functions.scalar import clipped, hash_order, hash_uniform, hmac_sha256, normal_quantile, number
 from partyframe.operators.evaluate import EPSILON, curve_points, ranking_metrics, score_table
-from partyframe.operators.linkage import normal_quantile
 from partyframe.operators.logistic import LogisticOptions, fit_logistic, score_logistic
 from partyframe.operators.relational import psi_align, sample_rows
 
@@ -57,13 +54,88 @@ def routing_exposure(events: DataFrame, total: int, entity: str = "entity", appr
     return sums.select("events", "unique_entities", (F.col("unique_entities") / float(total)).alias("exposed_fraction"), F.coalesce(F.try_divide(F.col("events").cast("double"), F.col("unique_entities")), F.lit(0.0)).alias("events_per_entity"))
 
 
-def reconstruct_feature(calibration: DataFrame, evaluation: DataFrame, message: str, feature: str, alpha: float = 1e-3) -> DataFrame:
-    """One row (r2, mae): a ridge attacker that reads a feature from one message column, in closed form."""
-    m, x = F.col(message), F.col(feature)
-    fit = calibration.agg(F.covar_pop(m, x).alias("c"), F.var_pop(m).alias("v"), F.avg(m).alias("mm"), F.avg(x).alias("mx"), F.count(F.lit(1)).alias("n"))
-    slope = F.col("c") / (F.col("v") + alpha / F.col("n"))
-    guess = evaluation.crossJoin(F.broadcast(fit)).select(x.alias("x"), (F.col("mx") + slope * (m - F.col("mm"))).alias("g"))
-    return guess.agg((1 - F.sum((F.col("x") - F.col("g")) ** 2) / (F.var_pop("x") * F.count(F.lit(1)))).alias("r2"), F.avg(F.abs(F.col("x") - F.col("g"))).alias("mae"))
+def moments(df: DataFrame, left: list[str], right: list[str], centres: dict[str, float]) -> np.ndarray:
+    """Sums of products of the centred columns of left with those of left and right: tasks send one matrix each, as
+    (place, value) rows, so what reaches the driver is len(left) * (len(left) + len(right)) numbers for any number of rows."""
+    k, names = len(left), [*left, *right]
+    middle = np.array([centres[c] for c in names])
+
+    def multiply(batches):
+        total = np.zeros((k, len(names)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - middle
+            total += x[:, :k].T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["place", "value"])
+
+    out = np.zeros(k * len(names))
+    for row in df.select(*(F.col(c).cast("double").alias(c) for c in names)).mapInArrow(multiply, "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():
+        out[row.place] = row.value
+    return out.reshape(k, len(names))
+
+
+@dataclass(frozen=True)
+class RidgeAttacker:
+    """Reads features from messages: feature = offset + message . slopes."""
+
+    messages: list[str]
+    features: list[str]
+    slopes: np.ndarray  # messages x features
+    offsets: np.ndarray
+
+
+def fit_attacker(calibration: DataFrame, messages: list[str], features: list[str], alpha: float = 1e-3) -> RidgeAttacker:
+    """A ridge regression of all features on all messages at once: means, then one pass for the Gram matrix and the cross
+    products, solved on the driver. The offset is not shrunk; with alpha 0 a singular system has its smallest solution."""
+    if alpha < 0:
+        raise ValueError("alpha must not be negative")
+    refuse_unfit(calibration, messages, features)
+    means = calibration.agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in (*messages, *features))).first().asDict()
+    k = len(messages)
+    found = moments(calibration, messages, features, means)
+    slopes = np.linalg.lstsq(found[:, :k] + alpha * np.eye(k), found[:, k:], rcond=None)[0]
+    mean = lambda names: np.array([means[c] for c in names])
+    return RidgeAttacker(list(messages), list(features), slopes, mean(features) - mean(messages) @ slopes)
+
+
+def refuse_unfit(df: DataFrame, messages: list[str], features: list[str]) -> int:
+    """The number of rows; fewer than two, or values that are missing or not finite, are refused."""
+    if not messages or not features or set(messages) & set(features):
+        raise ValueError("messages and features must be named, and apart")
+    names = [*messages, *features]
+    found = df.agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(number(c).isNull()).alias(c) for c in names)).first()
+    if found["_n"] < 2:
+        raise ValueError("reconstruction needs two rows on each side")
+    if bad := [c for c in names if found[c]]:
+        raise ValueError(f"not finite: {', '.join(bad)}")
+    return found["_n"]
+
+
+def reconstruct_features(calibration: DataFrame, evaluation: DataFrame, messages: list[str], features: list[str], alpha: float = 1e-3) -> DataFrame:
+    """(feature, r2, mae): how well a ridge attacker that has seen messages with features reads the features of others. A
+    feature that does not vary has r2 1 if it is met exactly, else 0."""
+    attacker = fit_attacker(calibration, messages, features, alpha)
+    refuse_unfit(evaluation, messages, features)
+    k = len(messages)
+
+    def miss(batches):
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            guess = attacker.offsets + x[:, :k] @ attacker.slopes
+            place = np.tile(np.arange(len(features), dtype=np.int32), len(x))
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(x[:, k:].ravel()), pa.array(guess.ravel())], ["place", "x", "g"])
+
+    guessed = evaluation.select(*(F.col(c).cast("double").alias(c) for c in (*messages, *features))).mapInArrow(miss, "place int, x double, g double")
+    off = F.col("x") - F.col("g")
+    sums = guessed.groupBy("place").agg(F.sum(off * off).alias("left"), (F.var_pop("x") * F.count("x")).alias("all"), F.avg(F.abs(off)).alias("mae"))
+    r2 = F.when(F.col("all") > 0, 1 - F.col("left") / F.col("all")).when(F.col("left") > 0, 0.0).otherwise(1.0)
+    return sums.select(F.get(F.array(*map(F.lit, features)), F.col("place")).alias("feature"), r2.alias("r2"), "mae")
+
+
+def reconstruction_summary(calibration: DataFrame, evaluation: DataFrame, messages: list[str], features: list[str], alpha: float = 1e-3) -> DataFrame:
+    """One row: mean and largest r2, mean error, and how many dimensions and rows there were."""
+    each = reconstruct_features(calibration, evaluation, messages, features, alpha)
+    counts = [F.lit(len(messages)).alias("exposed_dimensions"), F.lit(len(features)).alias("reconstructed_features"), F.lit(calibration.count()).alias("calibration_count"), F.lit(evaluation.count()).alias("evaluation_count")]
+    return each.agg(F.avg("r2").alias("mean_r2"), F.max("r2").alias("max_r2"), F.avg("mae").alias("mean_mae")).select("*", *counts)
 
 
 # ---- releases
@@ -166,13 +238,19 @@ def from_field(c: Column) -> Column:
 
 
 def pair_masks(round_id: str, secret: bytes):
-    """A column function: HMAC-SHA256 of round and index under the pair's secret, in the field."""
+    """A column function: HMAC-SHA256 of round and index under the pair's secret, in the field, all in the JVM. The digest is
+    taken 60 bits at a time; twice 2**60 is 1 modulo the prime, so a step is a rotation of 61 bits and a sum."""
     if len(secret) < 16:
         raise ValueError("a pair's secret needs 16 bytes")
 
-    @F.pandas_udf("bigint")
-    def mask(index: pd.Series) -> pd.Series:
-        return index.map(lambda i: int.from_bytes(hmac.new(secret, f"{round_id}:{i}".encode(), hashlib.sha256).digest(), "big") % PRIME)
+    def mask(index: Column) -> Column:
+        digest = hmac_sha256(F.concat(F.lit(f"{round_id}:"), index.cast("string")), secret)
+        part = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("bigint")
+        out = part(1, 4)
+        for at in range(5, 65, 15):
+            turned = F.shiftright(out, 1) + F.shiftleft(out.bitwiseAND(F.lit(1).cast("bigint")), 60)
+            out = F.pmod(turned + part(at, 15), F.lit(PRIME))
+        return out
 
     return mask
 

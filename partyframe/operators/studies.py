@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partyframe.functions.scalar import hash_order, hash_uniform
-from partyframe.operators.evaluate import binary_metrics
-from partyframe.operators.logistic import LogisticOptions, fit_logistic, score_logistic
+from partyframe.functions.session import checkpointed
+from partyframe.operators.evaluate import binary_metrics, binary_metrics_by
+from partyframe.operators.logistic import LogisticModel, LogisticOptions, score_logistic
+from partyframe.operators.many_models import Cell, ManyFrame, by_cell, fit_many_logistic, many_frame, score_many
 from partyframe.operators.ranking import exact_share, hash_rank, quantiles
 
 Parties = dict[str, list[str]]
@@ -20,16 +22,33 @@ def subsets(names: list[str]) -> list[tuple[str, ...]]:
     return [c for k in range(len(names) + 1) for c in combinations(names, k)]
 
 
-def party_subset_scores(train: DataFrame, test: DataFrame, parties: Parties, options: LogisticOptions, y: str = "y") -> DataFrame:
-    """(subset, parties, metrics...) of the model of every subset that holds the active (first) party."""
+def sides(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Both in one frame, told apart by _train."""
+    return train.withColumn("_train", F.lit(True)).unionByName(test.withColumn("_train", F.lit(False)))
+
+
+def side_by_side(frame: ManyFrame, names: list[tuple], schema: str, models: list[LogisticModel], tests: list[str]) -> DataFrame:
+    """(names..., metrics...): each model's metrics over the rows of its test flag, all in one plan; the frame is closed."""
+    scored = checkpointed(by_cell(score_many(frame, models), [frame.pattern(t) for t in tests]).select("cell", "y", "p"))
+    frame.close()
+    labels = scored.sparkSession.createDataFrame([(k, *name) for k, name in enumerate(names)], f"cell int, {schema}")
+    return labels.join(binary_metrics_by(scored, ["cell"]), "cell", "left").drop("cell")
+
+
+def party_subset_scores(train: DataFrame, test: DataFrame, parties: Parties, options: LogisticOptions, y: str = "y", key: str = "id") -> DataFrame:
+    """(subset, mask, metrics...) of the model of every subset that holds the active (first) party, trained side by side."""
     active, *passive = parties
-    rows = None
-    for chosen in subsets(passive):
-        used = {p: parties[p] for p in (active, *chosen)}
-        m = fit_logistic(train, used, y, options=options)
-        row = binary_metrics(score_logistic(test, m), y=y).select(F.lit("+".join(used)).alias("subset"), F.lit(sum(1 << k for k, p in enumerate(passive) if p in chosen)).alias("mask"), "*")
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    chosen = [(active, *c) for c in subsets(passive)]
+    frame = many_frame(sides(train, test), [c for cs in parties.values() for c in cs], {"learn": F.col("_train"), "test": ~F.col("_train")}, y, key)
+    models = fit_many_logistic(frame, [Cell("learn", {p: parties[p] for p in names}, options) for names in chosen])
+    names = [("+".join(c), sum(1 << k for k, p in enumerate(passive) if p in c)) for c in chosen]
+    return side_by_side(frame, names, "subset string, mask int", models, ["test"] * len(models))
+
+
+def contribution_study(train: DataFrame, test: DataFrame, parties: Parties, options: LogisticOptions, metric: str = "roc_auc", y: str = "y", key: str = "id") -> DataFrame:
+    """(party, shapley, leave_one_out) of the passive parties, from the metric of a model trained for every subset of them."""
+    scores = party_subset_scores(train, test, parties, options, y, key).select("mask", F.col(metric).alias("value"))
+    return shapley_values(scores, list(parties)[1:])
 
 
 def shapley_values(utilities: DataFrame, players: list[str], mask: str = "mask", value: str = "value") -> DataFrame:
@@ -93,19 +112,16 @@ def availability(df: DataFrame, key: str, shares: dict[str, float], seed: int =
 DROPOUT = {"none": (), "telecom_absent": ("telecom",), "insurance_absent": ("insurance",), "retail_absent": ("retail",), "telecom_retail_absent": ("telecom", "retail")}
 
 
-def dropout_study(train: DataFrame, test: DataFrame, parties: Parties, options: LogisticOptions, scenarios: dict[str, tuple[str, ...]] | None = None, y: str = "y") -> DataFrame:
-    """Metrics where parties drop out when scoring (they count nothing), and where the model is trained without them."""
-    whole, rows = fit_logistic(train, parties, y, options=options), None
-    for name, gone in (scenarios or DROPOUT).items():
-        if not set(gone) <= set(parties):
-            continue
-        left = {p: cs for p, cs in parties.items() if p not in gone}
-        at_inference = score_logistic(test.drop(*(c for p in gone for c in parties[p])), whole, "zero_contribution")
-        again = score_logistic(test, fit_logistic(train, left, y, options=options))
-        for phase, scored in (("inference", at_inference), ("retrained", again)):
-            row = binary_metrics(scored, y=y).select(F.lit(name).alias("scenario"), F.lit(phase).alias("phase"), "*")
-            rows = row if rows is None else rows.unionByName(row)
-    return rows
+def dropout_study(train: DataFrame, test: DataFrame, parties: Parties, options: LogisticOptions, scenarios: dict[str, tuple[str, ...]] | None = None, y: str = "y", key: str = "id") -> DataFrame:
+    """(scenario, phase, metrics...) where parties drop out when scoring (they count nothing), and where the model is trained
+    without them; all models are trained side by side."""
+    known = {name: gone for name, gone in (scenarios or DROPOUT).items() if set(gone) <= set(parties)}
+    left = {name: {p: cs for p, cs in parties.items() if p not in gone} for name, gone in known.items()}
+    frame = many_frame(sides(train, test), [c for cs in parties.values() for c in cs], {"learn": F.col("_train"), "test": ~F.col("_train")}, y, key)
+    whole, *again = fit_many_logistic(frame, [Cell("learn", dict(parties), options), *(Cell("learn", kept, options) for kept in left.values())])
+    absent = [LogisticModel(kept, {c: whole.weights[c] for cs in kept.values() for c in cs}, whole.intercept) for kept in left.values()]
+    names = [(name, phase) for phase in ("inference", "retrained") for name in known]
+    return side_by_side(frame, names, "scenario string, phase string", [*absent, *again], ["test"] * len(names))
 
 
 # Fixed scenarios of the drift study: party, then what numeric_drift() is told, or None for drift of codes.
@@ -149,19 +165,60 @@ def code_drift(df: DataFrame, column: str, key: str, levels: int, seed: int = 42
 OVERLAPS = (1.0, 0.9, 0.75, 0.5, 0.25)
 
 
-def overlap_study(df: DataFrame, parties: Parties, key: str, train: Column, options: LogisticOptions, shares: tuple[float, ...] = OVERLAPS, methods: tuple[str, ...] = ("intersection_only", "zero_contribution"), y: str = "y", seed: int = 42) -> DataFrame:
-    """(method, overlap, metrics...): passive parties that hold one and the same share of the entities. The split is the
-    boolean column `train` and fixed before, so no entity changes sides between methods."""
-    passive = list(parties)[1:]
-    marked, rows = df.withColumn("_train", train), None
-    for k, share in enumerate(shares):
-        held = exact_share(marked, share, hash_order(key, seed=seed + 1000 + k), "_has")
+def held_columns(df: DataFrame, parties: Parties, has: dict[str, str], tag: str) -> tuple[DataFrame, dict[str, Parties]]:
+    """df with the columns of passive parties as each method sees them, under names with a tag; and by method the columns of
+    each party. The rows stay: intersection_only is a matter of which rows are used."""
+    active, *passive = parties
+    shown = {p: [f"{c}{tag}" for c in parties[p]] for p in passive}
+    there = {p: F.coalesce(F.col(has[p]), F.lit(False)) for p in passive}
+    made = {n: F.when(there[p], F.col(c)).otherwise(0.0) for p in passive for n, c in zip(shown[p], parties[p], strict=True)}
+    made |= {f"has_{p}{tag}": there[p].cast("double") for p in passive} | {f"{p}_missing{tag}": (~there[p]).cast("double") for p in passive}
+    plain = {active: list(parties[active]), **shown}
+    columns = {
+        "intersection_only": plain,
+        "zero_contribution": plain,
+        "availability_indicator": {**plain, active: [*parties[active], *(f"has_{p}{tag}" for p in passive)]},
+        "learned_party_bias": {active: plain[active], **{p: [*shown[p], f"{p}_missing{tag}"] for p in passive}},
+    }
+    return df.withColumns(made), columns
+
+
+def missing_party_study(df: DataFrame, parties: Parties, key: str, train: Column, options: LogisticOptions, conditions: dict[str, dict[str, str]], methods: tuple[str, ...] = METHODS, y: str = "y") -> DataFrame:
+    """(condition, method, train_rows, test_rows, metrics...): a model of each method under each condition. A condition names a
+    boolean column for every passive party: whether it holds the entity. The split is the boolean column `train` and fixed
+    before, so no entity changes sides between methods; all models are trained side by side."""
+    if unknown := set(methods) - set(METHODS):
+        raise ValueError(f"unknown methods {sorted(unknown)}")
+    wide, cells, names, tests = df.withColumn("_train", train), [], [], []
+    flags = {"learn": F.col("_train"), "test": ~F.col("_train")}
+    for k, (condition, has) in enumerate(conditions.items()):
+        wide, columns = held_columns(wide, parties, has, f"@{k}")
+        everyone = F.lit(True)
+        for p in list(parties)[1:]:
+            everyone = everyone & F.coalesce(F.col(has[p]), F.lit(False))
+        flags |= {f"learn@{k}": F.col("_train") & everyone, f"test@{k}": ~F.col("_train") & everyone}
         for method in methods:
-            kept, columns = prepare_missing(held, parties, dict.fromkeys(passive, "_has"), method)
-            scored = score_logistic(kept.where("NOT _train"), fit_logistic(kept.where("_train"), columns, y, key, options))
-            row = binary_metrics(scored, y=y).select(F.lit(method).alias("method"), F.lit(share).alias("overlap"), "*")
-            rows = row if rows is None else rows.unionByName(row)
-    return rows
+            tag = f"@{k}" if method == "intersection_only" else ""
+            cells.append(Cell(f"learn{tag}", columns[method], options))
+            names.append((condition, method))
+            tests.append(f"test{tag}")
+    used = list(dict.fromkeys(c for cell in cells for cs in cell.parties.values() for c in cs))
+    frame = many_frame(wide, used, flags, y, key)
+    models = fit_many_logistic(frame, cells)
+    n = frame.rows.select(F.posexplode("flags").alias("k", "on")).groupBy("k").agg(F.count_if("on").alias("n")).collect()
+    sizes = {frame.flags[row.k]: row.n for row in n}
+    counted = [(*name, sizes.get(cell.learn, 0), sizes.get(test, 0)) for name, cell, test in zip(names, cells, tests, strict=True)]
+    return side_by_side(frame, counted, "condition string, method string, train_rows long, test_rows long", models, tests)
+
+
+def overlap_study(df: DataFrame, parties: Parties, key: str, train: Column, options: LogisticOptions, shares: tuple[float, ...] = OVERLAPS, methods: tuple[str, ...] = METHODS, y: str = "y", seed: int = 42) -> DataFrame:
+    """(method, overlap, train_rows, test_rows, metrics...): passive parties that hold one and the same share of the entities."""
+    marked, conditions = df, {}
+    for k, share in enumerate(shares):
+        marked = exact_share(marked, share, hash_order(key, seed=seed + 1000 + k), f"_has{k}")
+        conditions[str(share)] = dict.fromkeys(list(parties)[1:], f"_has{k}")
+    found = missing_party_study(marked, parties, key, train, options, conditions, methods, y)
+    return found.select("method", F.col("condition").cast("double").alias("overlap"), *found.columns[2:])
 
 
 def permutation_contribution(df: DataFrame, model, parties: Parties, key: str, y: str = "y", seed: int = 42) -> DataFrame:
