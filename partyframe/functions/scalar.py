@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,14 +132,22 @@ def polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that stands in the expression once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normal_quantile(p: Column) -> Column:
     """The inverse of the normal distribution function, to 1e-16 in relative terms; NULL outside (0, 1)."""
-    quotient = lambda part, x: polynomial(NORMAL_QUANTILE[part][0], x) / polynomial(NORMAL_QUANTILE[part][1], x)
-    off = p - 0.5
-    tail = F.sqrt(-F.log(F.least(p, 1 - p)))
-    beyond = F.when(tail <= 5, quotient("near", tail - 1.6)).otherwise(quotient("far", tail - 5))
-    inside = F.when(F.abs(off) <= 0.425, off * quotient("middle", 0.180625 - off * off)).otherwise(F.signum(off) * beyond)
-    return F.when((p > 0) & (p < 1), inside)
+    quotient = lambda part: lambda x: polynomial(NORMAL_QUANTILE[part][0], x) / polynomial(NORMAL_QUANTILE[part][1], x)
+    beyond = lambda t: F.when(t <= 5, let(t - 1.6, quotient("near"))).otherwise(let(t - 5, quotient("far")))
+
+    def inside(q: Column) -> Column:
+        off = q - 0.5
+        tails = F.signum(off) * let(F.sqrt(-F.log(F.least(q, 1 - q))), beyond)
+        return F.when((q > 0) & (q < 1), F.when(F.abs(off) <= 0.425, off * let(0.180625 - off * off, quotient("middle"))).otherwise(tails))
+
+    return let(p, inside)
 
 
 def hmac_sha256(message: Column, secret: bytes) -> Column:

@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partyframe.functions.scalar import clipped, hash_order, hash_uniform, hmac_sha256, normal_quantile, number
+from partyframe.functions.scalar import clipped, hash_order, hash_uniform, hmac_sha256, let, normal_quantile, number
 from partyframe.operators.evaluate import EPSILON, curve_points, ranking_metrics, score_table
 from partyframe.operators.logistic import LogisticOptions, fit_logistic, score_logistic
-from partyframe.operators.relational import psi_align, sample_rows
+from partyframe.operators.relational import psi_align
 
 # Fixed value: the Mersenne prime of the field.
 PRIME = 2**61 - 1
@@ -198,32 +198,30 @@ def fit_protected(df: DataFrame, parties: dict[str, list[str]], epochs: int, cli
     return fit_logistic(aligned, parties, y, key, options), ZCDPAccountant(noise_multiplier, epochs * (len(parties) - 1))
 
 
-def privacy_audit(train: DataFrame, holdout: DataFrame, model, y: str = "y") -> DataFrame:
-    """(attack, measure, value): how well a model's outputs tell training rows, and how well residuals tell labels."""
-    seen, unseen = (score_logistic(df, model) for df in (train, holdout))
-    member = membership_inference(seen, unseen)
-    label = label_inference(seen, F.col("p") - F.col(y), y)
-    rows = [member.select(F.lit("membership").alias("attack"), F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in ("roc_auc", "advantage")]
-    rows += [label.select(F.lit("label").alias("attack"), F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in ("accuracy", "exposed_count", "ambiguous_count")]
-    return reduce(DataFrame.unionByName, rows)
+def measures(df: DataFrame, attack: str, names: tuple[str, ...]) -> DataFrame:
+    """(attack, measure, value) of the named columns of one row."""
+    pairs = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in names))
+    return df.select(F.lit(attack).alias("attack"), F.explode(pairs).alias("e")).select("attack", "e.*")
 
 
-def privacy_grid(df: DataFrame, parties: dict[str, list[str]], sizes: list[int], rounds: list[int], l2: list[float], seeds: list[int], y: str = "y", key: str = "id") -> DataFrame:
-    """(size, rounds, l2, measure, n, mean, std, ci95_low, ci95_high): audits over a grid, each cell for every seed, which
-    draws the rows and deals them to training and holdout by hash; intervals are Student's across seeds."""
-    if len(seeds) < 2:
-        raise ValueError("uncertainty needs two seeds")
-    rows = []
-    for size in sizes:
-        for seed in seeds:
-            drawn = sample_rows(df, size, key, seed).withColumn("_half", hash_order(key, seed=seed + 1) % 2)
-            train, holdout = drawn.where("_half = 0"), drawn.where("_half = 1")
-            for epochs in rounds:
-                for penalty in l2:
-                    model = fit_logistic(train, parties, y, key, LogisticOptions(0.5, epochs, penalty, seed=seed))
-                    found = privacy_audit(train, holdout, model, y).where("measure IN ('roc_auc', 'advantage', 'accuracy')")
-                    rows.append(found.select(F.lit(size).alias("size"), F.lit(epochs).alias("rounds"), F.lit(penalty).alias("l2"), "measure", "value"))
-    return interval_summary(reduce(DataFrame.unionByName, rows), ["size", "rounds", "l2", "measure"], "value")
+def privacy_audit(train: DataFrame, holdout: DataFrame, model, y: str = "y", observed: str | None = None, routed: DataFrame | None = None, entities: int | None = None) -> DataFrame:
+    """(attack, measure, value): how well a model's outputs tell training rows, and how well residuals tell labels. With a
+    passive party `observed`, also how well its logits, which the active party receives, tell its features: an attacker
+    learns from train and reads holdout. With routing events (operators.replay) of passive parties, how many entities they
+    expose among `entities`."""
+    seen, unseen = (score_logistic(df, model) for df in (train, holdout))
+    rows = [
+        measures(membership_inference(seen, unseen), "membership", ("roc_auc", "advantage")),
+        measures(label_inference(seen, F.col("p") - F.col(y), y), "label", ("accuracy", "exposed_count", "ambiguous_count")),
+    ]
+    if observed is not None:
+        columns = model.parties[observed]
+        message = sum((F.col(c) * model.weights[c] for c in columns[1:]), F.col(columns[0]) * model.weights[columns[0]])
+        sides = [df.select(message.alias("_message"), *columns) for df in (train, holdout)]
+        rows.append(measures(reconstruction_summary(*sides, ["_message"], columns), f"reconstruction of {observed}", ("mean_r2", "max_r2", "mean_mae")))
+    if routed is not None:
+        rows.append(measures(routing_exposure(routed, entities or train.count()), "routing", ("events", "unique_entities", "exposed_fraction", "events_per_entity")))
+    return reduce(DataFrame.unionByName, rows)
 
 
 # ---- exact sums modulo the prime
@@ -243,14 +241,14 @@ def pair_masks(round_id: str, secret: bytes):
     if len(secret) < 16:
         raise ValueError("a pair's secret needs 16 bytes")
 
+    def step(out: Column, part: Column) -> Column:
+        turned = F.shiftright(out, 1) + F.shiftleft(out.bitwiseAND(F.lit(1).cast("bigint")), 60)
+        return F.pmod(turned + part, F.lit(PRIME))
+
     def mask(index: Column) -> Column:
         digest = hmac_sha256(F.concat(F.lit(f"{round_id}:"), index.cast("string")), secret)
-        part = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("bigint")
-        out = part(1, 4)
-        for at in range(5, 65, 15):
-            turned = F.shiftright(out, 1) + F.shiftleft(out.bitwiseAND(F.lit(1).cast("bigint")), 60)
-            out = F.pmod(turned + part(at, 15), F.lit(PRIME))
-        return out
+        number_at = lambda h, at, n: F.conv(F.substring(h, at, n), 16, 10).cast("bigint")
+        return let(digest, lambda h: F.aggregate(F.array(*(number_at(h, at, 15) for at in range(5, 65, 15))), number_at(h, 1, 4), step))
 
     return mask
 

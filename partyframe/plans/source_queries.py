@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from partyframe.functions.session import shared_path
 from partyframe.operators import gbdt as gb
 from partyframe.operators import privacy as pv
+from partyframe.operators import privacy_research as pr
+from partyframe.operators import replay
 from partyframe.operators import studies as sd
+from partyframe.operators.audit import communication_breakdown
 from partyframe.operators.logistic import LogisticOptions, fit_logistic, score_logistic
 from partyframe.sources import files, parties, runs
 from partyframe.sources import registry as rg
 
 from .feature_queries import round_doubles, rounds
-from .model_queries import FIXED, OPTIONS, PARTIES, boosted, boosting, fixed_z, learning
+from .model_queries import EPOCHS, FIXED, OPTIONS, PARTIES, boosted, boosting, fixed_z, learning, owner_sql
 from .registry import Tables, query, r, sql_hash
+from .study_queries import FOUR
 
 SHOWN = ["LIMIT_BAL", "AGE", "PAY_0", "BILL_AMT1", "PAY_AMT6"]
 
@@ -136,12 +140,67 @@ def permutation(t: Tables):
     return sd.permutation_contribution(learning(t), FIXED, PARTIES, "id")
 
 
-@query("D9_privacy_audit")  # composed of D3, D4 and D5, each with an oracle of its own
+routes_sql = " UNION ALL ".join(f"SELECT {k} AS tree, b.node, {owner_sql} AS party, x.id AS entity FROM n{k}_{d} x JOIN best{k}_{d} b ON x.node = b.node" for k in range(2) for d in range(2))
+
+
+def tree_routes(t: Tables):
+    x = t.view("learning")
+    return replay.routing_events(x, *files.gbdt_checkpoint(boosted(t, OPTIONS)))
+
+
+@query("K9_replay", boosting() + f" SELECT id, {r('m')} AS margin, {r('1 / (1 + exp(-m))')} AS p FROM m2", "learning")
+def replayed(t: Tables):
+    return round_doubles(replay.replay_scores(t.view("learning"), *files.gbdt_checkpoint(boosted(t, OPTIONS))))
+
+
+@query("T5_routing_events", boosting() + f", routes AS ({routes_sql}) SELECT tree::INT AS tree, node::INT AS node, party, count(*) AS events, count(DISTINCT entity) AS entities, sum(entity)::BIGINT AS checked FROM routes GROUP BY ALL", "learning")
+def routing(t: Tables):
+    return tree_routes(t).groupBy("tree", "node", "party").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("entity").alias("entities"), F.sum("entity").alias("checked"))
+
+
+audit_sql = f""", s AS (SELECT id, y, 1 / (1 + exp(-({fixed_z}))) AS p, 0.4 * x2 + 0.6 * x3 AS m, x2, x3 FROM learning),
+src AS (SELECT (id % 2 = 0)::INT AS y, abs(p - 0.5) * 2 AS p FROM s), counts AS (SELECT p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM src GROUP BY p),
+st AS (SELECT *, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp FROM counts), n AS (SELECT sum(pos) AS P, sum(neg) AS N FROM counts),
+long AS (SELECT 'x2' AS f, id, m, x2 AS x FROM s UNION ALL SELECT 'x3', id, m, x3 FROM s),
+fit AS (SELECT f, covar_pop(m, x) / (var_pop(m) + 0.001 / count(*)) AS slope, avg(m) AS mm, avg(x) AS mx FROM long WHERE id % 2 = 0 GROUP BY f),
+read AS (SELECT f, 1 - sum((x - (mx + slope * (m - mm))) ^ 2) / (var_pop(x) * count(*)) AS r2, avg(abs(x - (mx + slope * (m - mm)))) AS mae FROM long JOIN fit USING (f) WHERE id % 2 = 1 GROUP BY f),
+routes AS (SELECT * FROM ({routes_sql}) WHERE party <> 'bank'), met AS (SELECT count(*) AS events, count(DISTINCT entity) AS who FROM routes), every AS (SELECT count(*) AS n FROM learning),
+found AS (
+    SELECT 'membership' AS attack, 'roc_auc' AS measure, (SELECT sum(neg * (tp - pos / 2)) / (sum(pos) * sum(neg)) FROM st) AS value
+    UNION ALL SELECT 'membership', 'advantage', (SELECT greatest(0, max(round(tp / n.P - fp / n.N, 12))) FROM st, n)
+    UNION ALL SELECT 'label', 'accuracy', (SELECT avg(((p - y < 0)::INT = y)::INT) FROM s WHERE id % 2 = 0)
+    UNION ALL SELECT 'label', 'exposed_count', (SELECT count(*) FROM s WHERE id % 2 = 0 AND abs(p - y) > 1e-12)
+    UNION ALL SELECT 'label', 'ambiguous_count', (SELECT count(*) FROM s WHERE id % 2 = 0 AND abs(p - y) <= 1e-12)
+    UNION ALL SELECT 'reconstruction of retail', 'mean_r2', (SELECT avg(r2) FROM read) UNION ALL SELECT 'reconstruction of retail', 'max_r2', (SELECT max(r2) FROM read)
+    UNION ALL SELECT 'reconstruction of retail', 'mean_mae', (SELECT avg(mae) FROM read)
+    UNION ALL SELECT 'routing', 'events', (SELECT events FROM met) UNION ALL SELECT 'routing', 'unique_entities', (SELECT who FROM met)
+    UNION ALL SELECT 'routing', 'exposed_fraction', (SELECT who / n FROM met, every) UNION ALL SELECT 'routing', 'events_per_entity', (SELECT coalesce(events / nullif(who, 0), 0) FROM met)
+) SELECT attack, measure, {r('value')} AS value FROM found"""
+
+
+@query("D9_privacy_audit", boosting() + audit_sql, "learning")
 def privacy_audit(t: Tables):
     x = learning(t)
-    return pv.privacy_audit(x.where("id % 2 = 0"), x.where("id % 2 = 1"), FIXED)
+    routes = tree_routes(t).where("party <> 'bank'")
+    return round_doubles(pv.privacy_audit(x.where("id % 2 = 0"), x.where("id % 2 = 1"), FIXED, observed="retail", routed=routes, entities=x.count()))
 
 
 @query("D8_privacy_grid")
 def privacy_grid(t: Tables):
-    return pv.privacy_grid(learning(t), PARTIES, sizes=[400], rounds=[1, 2], l2=[0.001], seeds=[1, 2])
+    return pr.privacy_research(learning(t), FOUR, pr.Grid(logistic_rounds=(3, 6, 12)))
+
+
+log_sql = f"""WITH p AS (SELECT * FROM (VALUES (0, 'retail'), (1, 'telecom')) x(k, party)), n AS (SELECT count(*) AS rows, count(*) FILTER (id % 5 = 0) AS held FROM learning),
+steps AS (SELECT epoch, i FROM range({EPOCHS}) e(epoch), range(6) s(i)),
+log AS (SELECT party, CASE i WHEN 2 THEN 'backward' WHEN 4 THEN 'backward' ELSE 'forward' END AS direction, CASE i WHEN 0 THEN 'epoch_logits' WHEN 5 THEN 'validation_logits' WHEN 1 THEN 'batch_logits' WHEN 3 THEN 'batch_logits' ELSE 'residuals' END AS stage,
+    CASE WHEN i = 0 THEN rows WHEN i = 5 THEN held WHEN i <= 2 THEN rows - rows // 2 ELSE rows // 2 END AS scalars FROM steps, p, n
+    UNION ALL SELECT party, 'forward', 'final_logits', rows FROM p, n)
+SELECT direction, party, stage, count(*) AS messages, sum(scalars)::BIGINT AS scalars, (8 * sum(scalars))::BIGINT AS bytes FROM log GROUP BY ALL"""
+
+
+@query("T8_communication", log_sql, "learning")
+def communication(t: Tables):
+    """The message log of a run with two batches over all entities, a fifth of them held for validation, by stage."""
+    x = t.view("learning")
+    log = replay.communication_frame(t.spark, x.count(), ["retail", "telecom"], EPOCHS, 2, x.where("id % 5 = 0").count())
+    return communication_breakdown(log).groupBy("direction", "party", "stage").agg(*(F.sum(c).alias(c) for c in ("messages", "scalars", "bytes")))

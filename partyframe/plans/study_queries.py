@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from partyframe.functions.scalar import sigmoid
 from partyframe.functions.session import shared_path
 from partyframe.operators import audit as au
 from partyframe.operators import privacy as pv
@@ -89,6 +90,17 @@ def missing_methods(t: Tables):
     return round_doubles(out.select("id", "x0", "x2", "x4", *columns["bank"][2:]))
 
 
+@query("E7_missing_study")
+def missing_study(t: Tables):
+    """All four methods trained where retail and telecom lack some entities each."""
+    return sd.missing_party_study(with_availability(t), PARTIES, "id", F.col("id") % 2 == 0, FAST, {"some": {"retail": "has_retail", "telecom": "has_telecom"}})
+
+
+@query("E6_contribution")
+def contribution(t: Tables):
+    return sd.contribution_study(*halves(t), FOUR, FAST)
+
+
 @query("E8_overlap")
 def overlap(t: Tables):
     return sd.overlap_study(learning(t), PARTIES, "id", F.col("id") % 2 == 0, FAST)
@@ -191,7 +203,21 @@ g AS (SELECT x0, mx + s * (m - mm) AS g FROM m, f WHERE id % 2 = 1) SELECT {roun
 @query("D5_reconstruction", recon_sql, "learning")
 def reconstruction(t: Tables):
     x = learning(t).withColumn("m", FIXED.logit())
-    return round_doubles(pv.reconstruct_feature(x.where("id % 2 = 0"), x.where("id % 2 = 1"), "m", "x0"))
+    return round_doubles(pv.reconstruct_features(x.where("id % 2 = 0"), x.where("id % 2 = 1"), ["m"], ["x0"]).select("r2", "mae"))
+
+
+many_recon_sql = f"""WITH l AS (SELECT id, {fixed_z} AS m1, 1 / (1 + exp(-({fixed_z}))) - y AS m2, x1, x2, x3 FROM learning),
+long AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, id, m1, m2, {c} AS x FROM l" for c in ("x1", "x2", "x3"))}),
+f AS (SELECT feature, avg(m1) AS a1, avg(m2) AS a2, avg(x) AS ax, count(*) * var_pop(m1) + 0.001 AS g11, count(*) * var_pop(m2) + 0.001 AS g22, count(*) * covar_pop(m1, m2) AS g12,
+    count(*) * covar_pop(m1, x) AS c1, count(*) * covar_pop(m2, x) AS c2 FROM long WHERE id % 2 = 0 GROUP BY feature),
+g AS (SELECT feature, x, ax + (c1 * g22 - c2 * g12) / (g11 * g22 - g12 * g12) * (m1 - a1) + (c2 * g11 - c1 * g12) / (g11 * g22 - g12 * g12) * (m2 - a2) AS g FROM long JOIN f USING (feature) WHERE id % 2 = 1)
+SELECT feature, {rounds(r2='1 - sum((x - g) ^ 2) / (var_pop(x) * count(*))', mae='avg(abs(x - g))')} FROM g GROUP BY feature"""
+
+
+@query("D5_reconstruction_many", many_recon_sql, "learning")
+def reconstruction_many(t: Tables):
+    x = learning(t).withColumn("m1", FIXED.logit()).withColumn("m2", sigmoid(FIXED.logit()) - F.col("y"))
+    return round_doubles(pv.reconstruct_features(x.where("id % 2 = 0"), x.where("id % 2 = 1"), ["m1", "m2"], ["x1", "x2", "x3"]))
 
 
 @query("D6_secure_sum", "SELECT c_custkey AS i, (c_custkey - 700) + (c_nationkey - 10) * 1000 + round(c_acctbal * 100)::BIGINT AS v FROM customer")
