@@ -118,8 +118,8 @@ def missing_files(manifest: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def logistic_checkpoint(model) -> str:
-    """A logistic model as portable JSON."""
-    return json.dumps({"parties": model.parties, "weights": model.weights, "intercept": model.intercept}, sort_keys=True)
+    """A logistic model as portable JSON; parties keep their order, the active one first."""
+    return json.dumps({"parties": model.parties, "weights": model.weights, "intercept": model.intercept})
 
 
 def read_logistic_checkpoint(text: str):
@@ -131,10 +131,10 @@ def read_logistic_checkpoint(text: str):
 
 def gbdt_checkpoint(model) -> tuple[str, dict[str, str]]:
     """A boosted model as portable JSON: the trees, in which splits are (feature, bin) without thresholds; and by party the
-    thresholds of its own features, which only their owner needs."""
+    thresholds of its own features, which only their owner needs. Parties keep their order, the active one first."""
     trees = [{str(k): [n.g, n.h, n.n, n.party, n.feature, n.bin, n.gain] for k, n in tree.items()} for tree in model.trees]
     whole = {"parties": model.parties, "base": model.base, "options": asdict(model.options), "trees": trees}
-    return json.dumps(whole, sort_keys=True), {p: json.dumps({c: list(model.edges[c]) for c in cs}, sort_keys=True) for p, cs in model.parties.items()}
+    return json.dumps(whole), {p: json.dumps({c: list(model.edges[c]) for c in cs}) for p, cs in model.parties.items()}
 
 
 def read_gbdt_checkpoint(text: str, routing: dict[str, str]):
