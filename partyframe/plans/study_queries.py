@@ -269,13 +269,37 @@ def cumulative(t: Tables):
     return au.communication_log(t.view("audit")).select("seq", "bytes", "cumulative_bytes")
 
 
-digest_sql = """WITH h AS (SELECT sha256('{"r_name":"' || r_name || '","r_regionkey":' || r_regionkey || '}') AS h FROM region), b AS (SELECT substr(h, 1, 3) AS b, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1)
-SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest FROM b"""
+def digest_sql(table: str, values: dict[str, str], by: str = "") -> str:
+    """The SQL of audit.row_digest for columns given as SQL texts."""
+    text = " || ".join(f"CASE WHEN {c} IS NULL THEN 'N' ELSE 'V' || length({v}) || ':' || {v} END" for c, v in sorted(values.items()))
+    limbs = ", ".join(f"sum(('0x' || substr(h, {16 * k + 1}, 16))::UBIGINT::HUGEINT)::VARCHAR AS s{k}" for k in range(8))
+    key, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    return f"""SELECT {key}n AS rows, sha256(concat_ws(':', n, {', '.join(f's{k}' for k in range(8))})) AS digest FROM (
+    SELECT {key}count(*) AS n, {limbs} FROM (SELECT {key}sha256('0' || row) || sha256('1' || row) AS h FROM (SELECT {key}{text} AS row FROM {table})){group})"""
 
 
-@query("A18_row_digest", digest_sql)
+#: lineitem's columns as the text that row_digest makes of them.
+LINEITEM = {c: f"{c}::VARCHAR" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")} | {"l_shipdate": "epoch_us(l_shipdate)::VARCHAR"}
+
+
+@query("A18_row_digest", digest_sql("lineitem", LINEITEM))
 def row_digest(t: Tables):
-    return au.row_digest(t.region)
+    return au.row_digest(t.lineitem.select(*LINEITEM))
+
+
+@query("A18_digest_by_part", digest_sql("orders", {"o_orderkey": "o_orderkey::VARCHAR", "o_custkey": "o_custkey::VARCHAR", "o_orderdate": "epoch_us(o_orderdate)::VARCHAR"}, "o_orderstatus"))
+def digest_by_part(t: Tables):
+    return au.row_digest(t.orders.select("o_orderstatus", "o_orderkey", "o_custkey", "o_orderdate"), "o_orderstatus")
+
+
+@query("K2_provenance_bundle", f"SELECT 'retail' AS key, 'CC BY 4.0' AS license, rows AS raw_rows, digest AS checksum, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS processed_rows FROM ({digest_sql('lineitem', LINEITEM)})")
+def provenance_bundle(t: Tables):
+    folder, given = shared_path(t.spark, "provenance"), t.lineitem.select(*LINEITEM)
+    features = given.groupBy("l_partkey").agg(F.sum("l_quantity").alias("quantity"), F.max("l_shipdate").alias("last"))
+    records = rg.provenance(t.spark, [("retail", "quantity", "lineitem", "l_quantity", "aggregated")])
+    rg.save_provenance_bundle(folder, "retail", features, records, {"retail": given})
+    found = rg.read_provenance_bundle(t.spark, folder)[1]["sources"]
+    return t.spark.createDataFrame([(s["key"], s["license"], s["raw_rows"], s["checksum"], s["processed_rows"]) for s in found], "key string, license string, raw_rows long, checksum string, processed_rows long")
 
 
 # ---- sources, sinks, streams
