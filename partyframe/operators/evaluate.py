@@ -33,7 +33,7 @@ def stratified_split(df: DataFrame, key: str, y: str, train: float = 0.70, valid
 
 def score_table(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """(p, pos, neg, tp, fp) for every distinct score: rows with it, and rows with it or a greater one."""
-    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    counts = checkpointed(df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")))
     return running(counts, "p", {"tp": F.col("pos"), "fp": F.col("neg")}, value_bucket(counts, "p"), descending=True)
 
 

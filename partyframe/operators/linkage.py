@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from partyframe.functions.scalar import clipped, hash_order, hash_uniform, normal_quantile
-from partyframe.operators.ranking import average_rank, quantiles, running, value_bucket
+from partyframe.functions.session import checkpointed
+from partyframe.operators.ranking import average_rank, ordered_place, quantiles, value_bucket
 
 
 def row_factor(df: DataFrame, key: str, features: list[str], name: str = "factor") -> DataFrame:
@@ -43,6 +44,7 @@ def nearest(anchors: DataFrame, donors: DataFrame, by: str = "score") -> DataFra
     both = anchors.select(by, "anchor_id", F.lit(None).cast(donors.schema["donor_id"].dataType).alias("donor_id"), F.lit(1).alias("side")).unionByName(
         unique.select(by, F.lit(None).cast(anchors.schema["anchor_id"].dataType).alias("anchor_id"), "donor_id", F.lit(0).alias("side"))
     )
+    both = checkpointed(both)  # read twice
     marked = both.withColumn("b", value_bucket(both, by)).withColumn("d", F.when(F.col("side") == 0, F.struct(by, "donor_id")))
     ends = marked.groupBy("b").agg(F.min("d").alias("first"), F.max("d").alias("last"))
     over = W.orderBy("b")  # BUCKETS rows at most
@@ -81,11 +83,8 @@ def copula_link(anchors: DataFrame, donors: DataFrame, key: str, anchor_features
 
 
 def dense_order(df: DataFrame, key: str, score: str, name: str) -> DataFrame:
-    """df (key, score) with the 0-based place by score and key, ranked within ranges of the score."""
-    tied = df.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
-    upto = running(tied, score, {"_upto": F.col("_n")}, value_bucket(tied, score))
-    place = F.col("_upto") - F.col("_n") + F.row_number().over(W.partitionBy(score).orderBy(key)) - 1
-    return df.join(upto, score).select(key, score, place.alias(name))
+    """df (key, score) with the 0-based place by score and key; a score that many rows share is no task's alone."""
+    return ordered_place(df.select(key, score), [F.col(score), F.col(key)], name)
 
 
 def rank_link(anchors: DataFrame, donors: DataFrame, key: str, anchor_features: list[str], donor_features: list[str], jitter: int = 1, seed: int = 42) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from partyframe.functions.session import checkpointed
+
 #: Buckets that the order is cut into, at most; their totals are all that meets in one task.
 BUCKETS = 4096
 #: Quantile ranges that these fall into evenly.
@@ -30,10 +32,11 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], bucket: Column,
 
 
 def value_bucket(df: DataFrame, col: str) -> Column:
-    """A bucket that grows with a number (one small job): PARTS approximate quantiles, each range cut evenly into as many
-    more. An outlier widens the last range only, so the others still spread over their buckets."""
+    """A bucket that grows with a number (one small job over df, so df is a table that is cheap to read, or written): PARTS
+    approximate quantiles, each range cut evenly into as many more. An outlier widens the last range only, so the others
+    still spread over their buckets."""
     x = F.col(col).cast("double")
-    found = df.agg(F.percentile_approx(x, F.array(*(F.lit(k / PARTS) for k in range(PARTS + 1))), F.lit(100 * PARTS))).first()[0]
+    found = df.agg(F.percentile_approx(x, F.array(*(F.lit(k / PARTS) for k in range(PARTS + 1))), F.lit(10 * PARTS))).first()[0]
     edges = sorted(set(found or []))
     if len(edges) < 2:
         return F.lit(0)
@@ -57,9 +60,23 @@ def hash_rank(df: DataFrame, order: Column, name: str = "rank") -> DataFrame:
     return ranked.drop("_hash")
 
 
+def ordered_place(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with the 0-based place by `order`, a total order. Ranges of it, drawn by Spark's sample, are sorted each in its task
+    and written with the rows' ids within them; a range's rows come after those of the ranges before. No value, however many
+    rows share it, has a range to itself if later columns of the order tell its rows apart."""
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    offset, offsets = 0, []
+    for row in sorted(ranged.groupBy(part.alias("_part")).count().collect()):  # a row for each range
+        offsets.append((row["_part"], offset))
+        offset += row["count"]
+    before = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    return ranged.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + place).drop("_part", "_before", "_at")
+
+
 def average_rank(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
     """df with the rank of a number, equal values sharing the mean of their places; NULL for NULL."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    counts = checkpointed(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n")))
     upto = running(counts, col, {"_upto": F.col("_n")}, value_bucket(counts, col))
     ranks = upto.select(F.col(col).alias("_v"), (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
     return df.join(ranks, F.col(col) == F.col("_v"), "left").drop("_v")
@@ -71,8 +88,8 @@ def exact_share(df: DataFrame, fraction: float, order: Column, name: str, total:
     return hash_rank(df, order, "_rank").withColumn(name, F.col("_rank") <= round(n * fraction)).drop("_rank")
 
 
-#: Input size (as Spark estimates it) up to which one aggregate finds quantiles; beyond it they are found by counting.
-QUANTILE_BYTES = 1 << 30
+#: Rows up to which one aggregate finds quantiles; of more they are found by counting.
+QUANTILE_ROWS = 5_000_000
 
 
 def order_statistic(df: DataFrame, col: str, k: int) -> float:
@@ -96,24 +113,22 @@ def order_statistic(df: DataFrame, col: str, k: int) -> float:
     return low
 
 
-def input_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, list[float | None]]:
-    """Linear quantiles (as of percentile) of the columns."""
-    if input_bytes(df) <= QUANTILE_BYTES:
+    """Linear quantiles (as of percentile) of the columns. The rows are counted first; many are written, so that counting
+    narrower and narrower ranges does not run their plan again each time."""
+    if df.count() <= QUANTILE_ROWS:
         row = df.agg(*(F.percentile(c, F.array(*map(F.lit, qs))).alias(c) for c in cols)).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(qs) for c in cols}
-    return {c: counted_quantiles(df, c, qs) for c in cols}
+    kept = checkpointed(df.select(*cols))
+    return {c: counted_quantiles(kept, c, qs) for c in cols}
 
 
 def quantile_frame(df: DataFrame, col: str, q: float, name: str) -> DataFrame:
-    """One row with the linear q-quantile of a double column. Small tables find it in the same plan; for large ones it is
+    """One row with the linear q-quantile of a double column. Up to QUANTILE_ROWS rows find it in the same plan; of more it is
     counted first, as an exact aggregate would gather all their values in one task."""
-    if input_bytes(df) <= QUANTILE_BYTES:
+    if df.count() <= QUANTILE_ROWS:
         return df.agg(F.percentile(col, F.lit(q)).alias(name))
-    return df.sparkSession.createDataFrame([(counted_quantiles(df, col, [q])[0],)], f"{name} double")
+    return df.sparkSession.createDataFrame([(quantiles(df, [col], [q])[col][0],)], f"{name} double")
 
 
 def counted_quantiles(df: DataFrame, col: str, qs: list[float]) -> list[float | None]:
