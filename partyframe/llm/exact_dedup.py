@@ -40,7 +40,8 @@ def key_prefix(depth: int):
 
 
 def grow_directory(entries: DataFrame, bucket_rows: int) -> Directory:
-    """Split overfull buckets until none holds over bucket_rows keys, doubling the directory where a bucket is as deep as it.
+    """Split overfull buckets until none holds over bucket_rows distinct keys (more where there are so many keys that the index
+    would get over some BUCKETS files), doubling the directory where a bucket is as deep as it.
 
     The driver sees counts by key prefix only: 2**ROOT_BITS for the root, then 2**SPLIT_BITS for each bucket that is still
     overfull, of which there are fewer than keys / bucket_rows.
@@ -50,7 +51,8 @@ def grow_directory(entries: DataFrame, bucket_rows: int) -> Directory:
     while overfull:
         below = min(SPLIT_BITS if depth else ROOT_BITS, MOST_DEPTH - depth)
         rows = entries.where(key_prefix(depth).isin(overfull)) if depth else entries
-        counts = {r[0]: r[1] for r in rows.groupBy(key_prefix(depth + below).alias("p")).count().collect()}
+        counts = {r[0]: r[1] for r in rows.groupBy(key_prefix(depth + below).alias("p")).agg(F.count_distinct("key")).collect()}
+        bucket_rows = bucket_rows if depth else max(bucket_rows, 2 * sum(counts.values()) // BUCKETS)
         sums = [counts]
         for _ in range(below):
             up: dict[int, int] = {}
@@ -74,15 +76,15 @@ def grow_directory(entries: DataFrame, bucket_rows: int) -> Directory:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: id_col, keep_id, group_size, kept, text_sha256. Of identical texts the largest id stays.
 
-    1. Each text becomes a 64-bit key; keys are counted before they are shuffled, so a group of copies is one entry
-       for each task however large it is.
-    2. For keys met more than once the texts themselves are grouped, counted before they are shuffled too: a chain with
-       one cell for each distinct text, compared byte by byte. Most chains have one cell; where texts collide, the cells
-       keep their text.
-    3. The cells go to the bucket files of an extendible-hash index in the shared folder, each bucket's key range to one
-       owner task.
-    4. Documents find the bucket of their key by the directory, and in it their cell by key, and by text where the
-       chain has several cells.
+    1. Each text becomes a 64-bit key; the directory grows over the keys until no bucket is overfull.
+    2. Keys go to the bucket that the directory has for them, each bucket's key range to one owner task, which makes a chain
+       of each key and writes the bucket's file of the index. What goes there was counted by the sending task, so a group of
+       copies is one entry for each task however large it is.
+    3. Texts whose key was met more than once go to the owner of their bucket as well, again counted by their sender. It
+       compares them byte by byte within their chain: a cell for each distinct text, in the bucket's second file. Where all
+       texts of a chain are one, the cell leaves its text out.
+    4. Documents find the bucket of their key by the directory, and in its files their cell by key, and by text where the
+       chain has several cells. Groups and who stays are known to the index alone.
 
     Null text counts as empty; a text is held whole by one task at a time, however long. A null id never becomes keep_id
     unless its group has no other; such rows are not kept in a group with ids, and kept otherwise. Repeated rows with the
@@ -90,21 +92,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     source = two_columns(docs, id_col, text_col).withColumn("key", F.xxhash64("text"))
     prints = written(source.select("id", "key", F.unhex(F.sha2("text", 256)).alias("sha")), "dedup-prints")
-    entries = written(prints.groupBy("key").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-entries")
-
-    repeated = entries.where("group_size > 1").select("key")
-    chained = written(source.join(bounded(repeated), "key", "left_semi"), "dedup-texts")
-    cells = written(chained.groupBy("key", "text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-cells")
-    collided = written(cells.groupBy("key").agg(F.count(F.lit(1)).alias("cells")).where("cells > 1").select("key"), "dedup-collided")
-    several = collided.limit(1).count() > 0
-
-    keyed = entries.withColumn("text", F.lit(None).cast("string"))
-    if several:
-        keyed = keyed.join(bounded(collided), "key", "left_anti").unionByName(cells.join(bounded(collided), "key", "left_semi"))
-    directory, index = build_index(keyed, bucket_rows)
-    found = in_bucket(prints, directory).join(index.where("text IS NULL").drop("text"), ["bucket", "key"]).select("id", "sha", "keep_id", "group_size")
+    directory = grow_directory(prints, bucket_rows)
+    heads = written(owned(in_bucket(sent(prints, "key"), directory), "key"), "dedup-heads", ("bucket",))
+
+    repeated = written(heads.where("group_size > 1").select("bucket", "key"), "dedup-repeated")
+    chained = written(in_bucket(source, directory).join(bounded(repeated), ["bucket", "key"], "left_semi"), "dedup-texts")
+    cells = written(owned(sent(chained, "bucket", "key", "text"), "key", "text"), "dedup-cells", ("bucket",))
+    collided = written(cells.groupBy("bucket", "key").agg(F.count(F.lit(1)).alias("cells")).where("cells > 1").select("bucket", "key"), "dedup-collided")
+    several = not collided.isEmpty()
+
+    plain = cells.join(bounded(collided), ["bucket", "key"], "left_anti") if several else cells
+    index = heads.where("group_size = 1").unionByName(plain.drop("text"))
+    found = in_bucket(prints, directory).join(index, ["bucket", "key"]).select("id", "sha", "keep_id", "group_size")
     if several:
-        of_chains = in_bucket(chained.join(bounded(collided), "key", "left_semi"), directory).join(index.where("text IS NOT NULL"), ["bucket", "key", "text"])
+        of_chains = chained.join(bounded(collided), ["bucket", "key"], "left_semi").join(cells, ["bucket", "key", "text"])
         found = found.unionByName(of_chains.select("id", F.unhex(F.sha2("text", 256)).alias("sha"), "keep_id", "group_size"))
     return found.select(
         F.col("id").alias(id_col),
@@ -115,17 +116,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def sent(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, keep_id, group_size): rows counted within the task that reads them; nothing is known of other tasks yet."""
+    counted = rows.groupBy(*by, F.spark_partition_id().alias("task")).agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    return counted.drop("task")
+
+
+def owned(entries: DataFrame, *chain: str) -> DataFrame:
+    """(bucket, chain, keep_id, group_size): entries at the owners of their buckets, ranges of keys in order, each of which
+    merges the entries of a chain. The aggregate runs where the rows are; there is no further shuffle."""
+    at_owner = entries.repartitionByRange("bucket")
+    return at_owner.groupBy("bucket", *chain).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+
 def in_bucket(rows: DataFrame, directory: Directory) -> DataFrame:
     """rows (key, ...) with the bucket that the directory has for the key."""
     schema = T.StructType([T.StructField("pointer", T.LongType()), T.StructField("bucket", T.IntegerType())])
     slots = rows.sparkSession.createDataFrame([(p, b) for p, b, _ in directory.pointers()], schema)  # 2**MOST_DEPTH at most
     return rows.withColumn("pointer", key_prefix(directory.global_depth)).join(F.broadcast(slots), "pointer").drop("pointer")
-
-
-def build_index(entries: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[Directory, DataFrame]:
-    """The directory, and entries (key, ...) as bucket files with a column bucket: one owner task for each bucket's key range.
-
-    Large tables get larger buckets, so that the index stays at some BUCKETS files.
-    """
-    directory = grow_directory(entries, max(bucket_rows, 2 * entries.count() // BUCKETS))
-    return directory, written(in_bucket(entries, directory).repartition("bucket"), "dedup-index", ("bucket",))

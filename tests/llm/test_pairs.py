@@ -14,6 +14,7 @@ from shapes import LONG, empty, frame
 from partyframe.llm import components as cc
 from partyframe.llm import decontaminate, exact_dedup, line_dedup, ngram_join, queries
 from partyframe.llm.decontaminate import MASKS, SUBSTITUTIONS, WINDOW, contaminated, short_masks, tolerated
+from partyframe.llm.shared import forget, written
 
 
 def read(spark, small, name, *cols):
@@ -188,6 +189,27 @@ def test_exact_dedup_with_colliding_keys(spark, monkeypatch):
     assert {(r.doc_id, r.keep_id) for r in found} == {(k, 19 - (19 - k) % 3) for k in range(20)}
 
 
+def test_groups_are_known_to_the_index_alone(spark):
+    """The owner of a bucket merges what tasks have counted, without a further shuffle; without its file there is no result."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("text")).repartition(6)
+    made = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(exact_dedup, "written", lambda df, name, by=(): made.append((name, written(df, name, by))) or made[-1][1])
+        found = exact_dedup.exact_dedup(rows, bucket_rows=50)
+    tables = dict(made)
+    prints = tables["dedup-prints"]
+    counted = exact_dedup.sent(prints.repartition(6), "key")
+    assert counted.groupBy("key").count().agg(F.max("count")).first()[0] <= 6  # the hot text is an entry for each task
+    directory = exact_dedup.grow_directory(prints, 50)
+    plan = exact_dedup.owned(exact_dedup.in_bucket(counted, directory), "key")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("rangepartitioning(bucket") > 0 and "hashpartitioning(bucket" not in plan
+    assert tables["dedup-heads"].select("bucket").distinct().count() > 10
+    assert {(r.keep_id, r.group_size) for r in found.where("NOT kept").collect()} == {(2997, 1000)}
+    forget(tables["dedup-cells"])
+    with pytest.raises(Exception, match="(?i)not exist|FileNotFound"):
+        found.collect()
+
+
 def test_exact_dedup_of_awkward_texts(spark):
     rows = exact_dedup.exact_dedup(frame(spark)).collect()
     assert len(rows) == 11
