@@ -70,7 +70,7 @@ def digest_of(sums: DataFrame, *by: str) -> DataFrame:
 
 def row_digest(df: DataFrame, *by: str) -> DataFrame:
     """(by, rows, digest): the same for any order of the rows, another one if a row is added, lost, repeated or changed.
-    Columns count by name, in any order. It shows accidents and edits; it is no proof against someone who looks for a
+    Columns may come in any order: they are taken in that of their names. It shows accidents and edits; it is no proof against someone who looks for a
     collision among 2**100 tables."""
     return digest_of(row_sums(df, *by), *by)
 

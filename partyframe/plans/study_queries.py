@@ -11,7 +11,7 @@ from partyframe.operators import privacy as pv
 from partyframe.operators import studies as sd
 from partyframe.operators.gbdt import GBDTOptions, fit_gbdt, score_gbdt
 from partyframe.operators.logistic import LogisticOptions, fit_logistic, score_logistic
-from partyframe.sources import files, synthetic
+from partyframe.sources import archives, files, synthetic
 from partyframe.sources import registry as rg
 
 from .feature_queries import round_doubles, rounds
@@ -328,12 +328,25 @@ def csv_round_trip(t: Tables):
     return round_doubles(x.select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal")))
 
 
-@query("S6_rating_archive", "SELECT UserID::INT AS UserID, MovieID::INT AS MovieID, Rating::INT AS Rating FROM ratings", "ratings")
+archive_sql = """SELECT 'users' AS member, UserID::BIGINT AS id, Gender || ' ' || Age || ' ' || Occupation || ' ' || ZipCode AS fields FROM users
+UNION ALL SELECT 'movies', MovieID, 'Title ' || MovieID || ' ' || Genres FROM movies UNION ALL SELECT 'ratings', UserID, MovieID || ' ' || Rating || ' ' || epoch_us(Timestamp) // 1000000 FROM ratings"""
+
+
+@query("S6_rating_archive", archive_sql, "users movies ratings")
 def rating_archive(t: Tables):
+    """All three tables through ZIP archives in the shared folder."""
     folder = shared_path(t.spark, "ratings")
-    line = F.concat_ws("::", *(F.col(c).cast("string") for c in ("UserID", "MovieID", "Rating")), F.unix_timestamp(F.col("Timestamp").cast("timestamp")).cast("string"))
-    t.view("ratings").select(line.alias("value")).write.text(f"{folder}/ratings.dat")
-    return files.read_csv(t.spark, f"{folder}/ratings.dat", schema=files.RATING_FILES["ratings"], header=False, sep="::", encoding="ISO-8859-1").select("UserID", "MovieID", "Rating")
+    whole = {
+        "users": t.view("users"),
+        "movies": t.view("movies").withColumn("Title", F.concat(F.lit("Title "), F.col("MovieID").cast("string"))),
+        "ratings": t.view("ratings").withColumn("Timestamp", F.unix_timestamp(F.col("Timestamp").cast("timestamp"))),
+    }
+    archives.write_rating_archives(whole, folder, 3)
+    found, out = archives.read_rating_archives(t.spark, folder), None
+    for member, (key, *fields) in {"users": ("UserID", "Gender", "Age", "Occupation", "ZipCode"), "movies": ("MovieID", "Title", "Genres"), "ratings": ("UserID", "MovieID", "Rating", "Timestamp")}.items():
+        rows = found[member].select(F.lit(member).alias("member"), F.col(key).cast("long").alias("id"), F.concat_ws(" ", *(F.col(c).cast("string") for c in fields)).alias("fields"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("K1_bundle", f"SELECT c_custkey, {r('c_acctbal')} AS c_acctbal FROM customer")
