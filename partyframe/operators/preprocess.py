@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partyframe.functions.scalar import bin_code, clipped
+from partyframe.functions.scalar import bin_code, clipped, hash_order
 from partyframe.operators.ranking import quantiles
 from partyframe.operators.relational import MissingColumnsError
 
@@ -120,7 +120,7 @@ def train_zscores(df: DataFrame, columns: list[str], train: Column) -> DataFrame
 def linkage_matrix(df: DataFrame, columns: list[str]) -> dict[str, Column]:
     """Numbers for linkage: missing numbers are 0, texts a hash modulo 1000003 (missing ones that of <missing>)."""
     numeric, _ = column_types(df.select(*columns), [])
-    code = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("<missing>"))), F.lit(1_000_003)).cast("double")
+    code = lambda c: (hash_order(F.coalesce(F.col(c).cast("string"), F.lit("<missing>")), seed="category") % 1_000_003).cast("double")
     return {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) if c in numeric else code(c) for c in columns}
 
 

@@ -60,10 +60,25 @@ def hash_rank(df: DataFrame, order: Column, name: str = "rank") -> DataFrame:
     return ranked.drop("_hash")
 
 
+def ordered_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with running sums by `order`, a total order, each row included. Ranges of the order, drawn by Spark's sample, are sorted
+    each in its task and written with their rows' places; a range's sums begin with those of the ranges before. No value,
+    however many rows share it, has a range to itself if later columns of the order tell its rows apart."""
+    marked = df.withColumns({f"_{k}": v for k, v in sums.items()})
+    ranged = checkpointed(marked.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    rows = sorted(tuple(r) for r in ranged.groupBy("_part").agg(*(F.sum(f"_{k}") for k in sums)).collect())  # a row for each range
+    offsets, upto = [], [0] * len(sums)
+    for part, *totals in rows:
+        offsets.append((part, *upto))
+        upto = [u + (x or 0) for u, x in zip(upto, totals, strict=True)]
+    kinds = [ranged.select(F.sum(f"_{k}").alias("x")).schema["x"].dataType.simpleString() for k in sums]
+    before = df.sparkSession.createDataFrame(offsets, ", ".join(["_part long", *(f"_b_{k} {kind}" for k, kind in zip(sums, kinds, strict=True))]))
+    inside = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(before), "_part").select(*df.columns, *((F.col(f"_b_{k}") + F.sum(f"_{k}").over(inside)).alias(k) for k in sums))
+
+
 def ordered_place(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with the 0-based place by `order`, a total order. Ranges of it, drawn by Spark's sample, are sorted each in its task
-    and written with the rows' ids within them; a range's rows come after those of the ranges before. No value, however many
-    rows share it, has a range to itself if later columns of the order tell its rows apart."""
+    """df with the 0-based place by `order`, a total order; as ordered_sums(), but a row's place in its range is its id there."""
     ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     offset, offsets = 0, []

@@ -13,7 +13,7 @@ from partyframe.functions.session import checkpointed
 from partyframe.operators.evaluate import binary_metrics, binary_metrics_by
 from partyframe.operators.logistic import LogisticModel, LogisticOptions, score_logistic
 from partyframe.operators.many_models import Cell, ManyFrame, by_cell, fit_many_logistic, many_frame, score_many
-from partyframe.operators.ranking import exact_share, hash_rank, quantiles
+from partyframe.operators.ranking import exact_share, hash_rank, ordered_sums, quantiles
 
 Parties = dict[str, list[str]]
 
@@ -138,18 +138,18 @@ DRIFT = {
 def drift_study(test: DataFrame, model, parties: Parties, key: str, scenarios: dict | None = None, levels: int = 5, y: str = "y", seed: int = 42) -> DataFrame:
     """(scenario, metrics..., roc_auc_delta): a fitted model on rows whose columns of one party have drifted. Drift of
     codes cuts the party's first column into levels of equal numbers, draws levels anew, and puts each level's mean."""
-    rows, before = None, None
+    columns_of, rows, first = test.columns, None, next(iter(scenarios or DRIFT))
     for name, (party, how) in (scenarios or DRIFT).items():
         columns, moved = parties.get(party, []), test
         if party and how is not None:
             moved = numeric_drift(test, columns, key, seed=seed, **how).fillna(0.0, columns)
         elif party:
             moved = code_drift(test, columns[0], key, levels, seed)
-        row = binary_metrics(score_logistic(moved, model), y=y)
-        before = row.select(F.col("roc_auc").alias("_before")) if before is None else before
-        row = row.crossJoin(F.broadcast(before)).select(F.lit(name).alias("scenario"), *row.columns, (F.col("roc_auc") - F.col("_before")).alias("roc_auc_delta"))
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+        own = moved.select(F.lit(name).alias("scenario"), *columns_of)
+        rows = own if rows is None else rows.unionByName(own)
+    found = checkpointed(binary_metrics_by(score_logistic(rows, model), ["scenario"], y=y))
+    before = found.where(F.col("scenario") == first).select(F.col("roc_auc").alias("_before"))
+    return found.crossJoin(F.broadcast(before)).select(*found.columns, (F.col("roc_auc") - F.col("_before")).alias("roc_auc_delta"))
 
 
 def code_drift(df: DataFrame, column: str, key: str, levels: int, seed: int = 42) -> DataFrame:
@@ -241,19 +241,30 @@ def numeric_drift(df: DataFrame, columns: list[str], key: str, shift: float = 0.
     return df.crossJoin(F.broadcast(means)).withColumns({c: F.when(gone(k), None).otherwise(moved(c)) if missing else moved(c) for k, c in enumerate(columns)}).drop(*(f"_m_{c}" for c in columns))
 
 
+#: Cells of [0, 1) in which draws meet the categories whose intervals overlap them.
+CELLS = 4096
+
+
 def categorical_drift(df: DataFrame, column: str, key: str, strength: float = 0.25, seed: int = 42) -> DataFrame:
-    """Values drawn anew from (1 - s) p + s on the dominant category (of equals the first by name); NULLs stay NULL."""
+    """Values drawn anew from (1 - s) p + s on the dominant category (of equals the first by name); NULLs stay NULL. Each
+    category has an interval of [0, 1), in the order of names, and a draw falls into one; both sides meet by cells, so there
+    may be as many categories as rows."""
     if not 0 <= strength <= 1:
         raise ValueError("strength must be within [0, 1]")
-    counts = sorted((str(r.v), r.n) for r in df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n")).limit(10_001).collect())
-    if len(counts) > 10_000:
-        raise ValueError(f"{column} has too many categories")
-    total, most = sum(n for _, n in counts), max(counts, key=lambda x: x[1], default=(None, 0))[0]
-    upto, drawn, u = 0.0, None, hash_uniform(key, seed=seed)
-    for v, n in counts:
-        upto += (1 - strength) * n / total + (strength if v == most else 0.0)
-        drawn = F.when(u < upto, v) if drawn is None else drawn.when(u < upto, v)
-    return df.withColumn(column, F.when(F.col(column).isNotNull(), drawn.otherwise(counts[-1][0]))) if counts else df
+    counts = checkpointed(df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.sum("_n")).first()[0]
+    if total is None:
+        return df
+    top = counts.agg(F.max("_n").alias("_n")).join(counts, "_n").agg(F.min("_v")).first()[0]
+    ends = ordered_sums(counts, [F.col("_v")], {"_upto": F.col("_n")})
+    edge = lambda n, beyond: (1 - strength) * n / F.lit(total) + F.when(beyond, strength).otherwise(0.0)
+    low = F.when(F.col("_upto") == F.col("_n"), -1.0).otherwise(edge(F.col("_upto") - F.col("_n"), F.col("_v") > top))
+    high = F.when(F.col("_upto") == total, 2.0).otherwise(edge(F.col("_upto"), F.col("_v") >= top))
+    cell = lambda u: F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), F.floor(u * CELLS))).cast("int")
+    spans = ends.select("_v", low.alias("_low"), high.alias("_high")).withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high")))))
+    drawn = df.withColumn("_u", F.when(F.col(column).isNotNull(), hash_uniform(key, seed=seed))).withColumn("_at", cell(F.col("_u")))
+    met = drawn.join(spans, (F.col("_at") == F.col("_cell")) & (F.col("_u") >= F.col("_low")) & (F.col("_u") < F.col("_high")), "left")
+    return met.select(*(F.col("_v").cast(df.schema[column].dataType).alias(c) if c == column else F.col(c) for c in df.columns))
 
 
 def permute_party(df: DataFrame, columns: list[str], key: str, seed: int = 42) -> DataFrame:

@@ -170,7 +170,7 @@ def metadata(t: Tables):
     return t.spark.createDataFrame(pp.LocalPreprocessor(NUM).fit(t.view("learning")).feature_metadata(), "feature string, source string, transformation string")
 
 
-@query("F10_linkage_matrix")  # hashes differ between engines; tests state the rules
+@query("F10_linkage_matrix", f"SELECT c_custkey AS id, c_acctbal, (({sql_hash('c_mktsegment', seed='category')}) % 1000003)::DOUBLE AS c_mktsegment FROM customer")
 def matrix(t: Tables):
     x = t.customer.select(F.col("c_custkey").alias("id"), "c_acctbal", "c_mktsegment")
     return x.select("id", *(c.alias(n) for n, c in pp.linkage_matrix(x, ["c_acctbal", "c_mktsegment"]).items()))

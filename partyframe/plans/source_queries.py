@@ -18,7 +18,7 @@ from partyframe.sources import registry as rg
 from .feature_queries import round_doubles, rounds
 from .model_queries import EPOCHS, FIXED, OPTIONS, PARTIES, boosted, boosting, fixed_z, learning, owner_sql
 from .registry import Tables, query, r, sql_hash
-from .study_queries import FOUR
+from .study_queries import FOUR, digest_sql
 
 SHOWN = ["LIMIT_BAL", "AGE", "PAY_0", "BILL_AMT1", "PAY_AMT6"]
 
@@ -85,7 +85,8 @@ def a_run(t: Tables, folder: str, slope: float = 1.0) -> str:
     facts = rg.provenance(t.spark, [("bank", "x0", "customers", "c_acctbal", "observed")])
     hits = scored.agg(F.avg(((F.col("logit") > 0).cast("int") == F.col("target")).cast("double"))).first()[0]
     documents = {"config": {"slope": slope}, "dataset_provenance": {"tables": ["customer", "orders"]}, "linkage_manifest": {"key": "id"}, "metrics": {"accuracy": hits}}
-    return runs.write_run(t.spark, folder, 42, documents, {"predictions": scored, "training_history": history, "communication": traffic, "feature_provenance": facts})
+    tables = {"predictions": scored, "training_history": history, "communication": traffic, "feature_provenance": facts}
+    return runs.write_run(t.spark, folder, 42, documents, tables, datasets={"customer": t.customer.select("c_custkey", "c_name"), "orders": t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")})
 
 
 @query("K3_run_bundle", f"SELECT id, y AS target, {r(fixed_z)} AS logit FROM learning", "learning")
@@ -96,6 +97,20 @@ def run_bundle(t: Tables):
     return round_doubles(runs.read_run(t.spark, folder)[1]["predictions"])
 
 
+@query(
+    "K3_dataset_hashes",
+    f"""SELECT 'customer' AS name, * FROM ({digest_sql("customer", {"c_custkey": "c_custkey::VARCHAR", "c_name": "c_name"})})
+    UNION ALL SELECT 'orders', * FROM ({digest_sql("orders", {"o_orderkey": "o_orderkey::VARCHAR", "o_custkey": "o_custkey::VARCHAR", "o_orderstatus": "o_orderstatus"})})""",
+)
+def dataset_hashes(t: Tables):
+    """What a run's manifest says of the tables that it was given."""
+    folder = a_run(t, shared_path(t.spark, "runs"))
+    stated = runs.read_document(t.spark, f"{folder}/{runs.MANIFEST}.json")
+    if not stated["dependency_versions"]["pyspark"] or runs.changed_datasets(t.spark, folder, {}) != ["customer", "orders"]:
+        raise ValueError("the manifest is not complete")
+    return t.spark.createDataFrame([(name, x["rows"], x["digest"]) for name, x in stated["dataset_hashes"].items()], "name string, rows long, digest string")
+
+
 @query("K5_provenance_csv", "SELECT 'bank' AS party, 'x0' AS feature, 'observed' AS kind, 'Default of Credit Card Clients' AS dataset_name")
 def provenance_csv(t: Tables):
     folder = shared_path(t.spark, "provenance")

@@ -14,6 +14,7 @@ from partyframe.operators.logistic import LogisticOptions, fit_logistic, score_l
 from partyframe.sources import archives, files, synthetic
 from partyframe.sources import registry as rg
 
+from .evaluation_queries import AP, AUC, EDGES, at_sql, log_loss
 from .feature_queries import round_doubles, rounds
 from .model_queries import FIXED, PARTIES, fixed_z, learning
 from .registry import Tables, query, r, sql_hash
@@ -33,9 +34,32 @@ def halves(t: Tables):
 # ---- studies
 
 
-@query("E1_ablation")
+def subset_descents(subsets: list[tuple[str, list[str]]], epochs: int = 3, rate: float = 0.5, l2: float = 0.001) -> str:
+    """CTEs that train a model of each subset's columns on even ids by full batches, and `scored` (subset, y, p) of odd ids."""
+    ctes = ["l AS MATERIALIZED (SELECT id, x0, x1, x2, x3, coalesce(x4, 0) AS x4, y FROM learning)"]
+    scored = []
+    for i, (name, columns) in enumerate(subsets):
+        p = lambda k, i=i, columns=columns: f"(1 / (1 + exp(-greatest(-35, least(35, w{i}_{k}.b + {' + '.join(f'l.{c} * w{i}_{k}.{c}' for c in columns)})))))"
+        ctes.append(f"w{i}_0 AS (SELECT 0::DOUBLE AS b, {', '.join(f'0::DOUBLE AS {c}' for c in columns)})")
+        for k in range(epochs):
+            step = ", ".join(f"any_value(w{i}_{k}.{c}) - {rate} * (avg(l.{c} * ({p(k)} - y)) + {l2} * any_value(w{i}_{k}.{c})) AS {c}" for c in columns)
+            ctes.append(f"w{i}_{k + 1} AS MATERIALIZED (SELECT any_value(w{i}_{k}.b) - {rate} * avg({p(k)} - y) AS b, {step} FROM l, w{i}_{k} WHERE id % 2 = 0)")
+        scored.append(f"SELECT '{name}' AS subset, y, {p(epochs)} AS p FROM l, w{i}_{epochs} WHERE id % 2 = 1")
+    return "WITH " + ",\n".join(ctes) + ",\nscored AS MATERIALIZED (" + " UNION ALL ".join(scored) + ")"
+
+
+ABLATION = [("+".join(names), [c for p in names for c in PARTIES[p]]) for names in (("bank",), ("bank", "retail"), ("bank", "telecom"), ("bank", "retail", "telecom"))]
+by_subset_sql = f""", counts AS (SELECT subset, p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM scored GROUP BY ALL),
+st AS (SELECT *, sum(pos) OVER (PARTITION BY subset ORDER BY p DESC) AS tp, sum(neg) OVER (PARTITION BY subset ORDER BY p DESC) AS fp FROM counts),
+ranks AS (SELECT subset, {AUC} AS roc_auc, {AP} AS pr_auc FROM st GROUP BY subset),
+c AS (SELECT subset, count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y = 0) AS fp, count(*) FILTER (p < 0.5 AND y = 1) AS fn, count(*) FILTER (p < 0.5 AND y = 0) AS tn, {log_loss} AS ll, avg((p - y) * (p - y)) AS br FROM scored GROUP BY subset),
+bins AS (SELECT subset, len(list_filter({EDGES}, lambda e: e <= p)) AS bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS share FROM scored GROUP BY ALL), e AS (SELECT subset, sum(n * abs(share - mean_p)) / sum(n) AS ece FROM bins GROUP BY subset)
+SELECT subset, {', '.join(f'{r(v)} AS {k}' for k, v in (*dict(roc_auc='roc_auc', pr_auc='pr_auc').items(), *at_sql.items(), ('log_loss', 'll'), ('brier', 'br'), ('ece', 'ece')))} FROM ranks JOIN c USING (subset) JOIN e USING (subset)"""
+
+
+@query("E1_ablation", subset_descents(ABLATION) + by_subset_sql, "learning")
 def ablation(t: Tables):
-    return sd.party_subset_scores(*halves(t), PARTIES, FAST)
+    return round_doubles(sd.party_subset_scores(*halves(t), PARTIES, FAST).drop("mask"))
 
 
 @query("E2_dropout")
@@ -58,7 +82,13 @@ def drift_study(t: Tables):
     return sd.drift_study(test, model, FOUR, "id")
 
 
-@query("E5_categorical_drift")
+drawn_sql = f"""WITH counts AS (SELECT c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1), top AS (SELECT min(v) AS v FROM counts WHERE n = (SELECT max(n) FROM counts)),
+ends AS (SELECT c.v, n, sum(n) OVER (ORDER BY c.v) AS upto, sum(n) OVER () AS total, (c.v >= top.v)::INT AS beyond, (c.v > top.v)::INT AS above FROM counts c, top),
+spans AS (SELECT v, CASE WHEN upto = n THEN -1 ELSE 0.6 * (upto - n) / total + 0.4 * above END AS low, CASE WHEN upto = total THEN 2 ELSE 0.6 * upto / total + 0.4 * beyond END AS high FROM ends)
+SELECT c_custkey, v AS c_mktsegment FROM (SELECT c_custkey, ({sql_hash('c_custkey', seed=42)}) / 1152921504606846976.0::DOUBLE AS u FROM customer) JOIN spans ON u >= low AND u < high"""
+
+
+@query("E5_categorical_drift", drawn_sql)
 def categorical_drift(t: Tables):
     return sd.categorical_drift(t.customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 0.4)
 
@@ -234,9 +264,12 @@ def additive(t: Tables):
     return pv.secure_sum([shares.select("i", "v")], "i", "v")
 
 
-@query("A17_interval_summary")  # Student's t is not in SQL; tests hold it against known quantiles
+t_sql = " + ".join(f"{term!r} / (n - 1) ^ {k}" for k, term in enumerate(pv.T_EXPANSION))  # groups are large
+
+
+@query("A17_interval_summary", f"SELECT c_mktsegment, n, {rounds(mean='m', std='s', ci95_low=f'm - ({t_sql}) * s / sqrt(n)', ci95_high=f'm + ({t_sql}) * s / sqrt(n)')} FROM (SELECT c_mktsegment, count(*) AS n, avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer GROUP BY 1)")
 def interval_summary(t: Tables):
-    return pv.interval_summary(t.customer, ["c_mktsegment"], "c_acctbal")
+    return round_doubles(pv.interval_summary(t.customer, ["c_mktsegment"], "c_acctbal"))
 
 
 @query("A20_flatten_summary", f"SELECT o_orderstatus, {', '.join(f'{r(f"{f}(o_totalprice) FILTER (o_orderpriority = {chr(39)}{p}{chr(39)})")} AS {p[2:].lower()}_{n}' for p in ('1-URGENT', '5-LOW') for n, f in (('mean', 'avg'), ('most', 'max')))} FROM orders GROUP BY 1")
@@ -364,11 +397,14 @@ def exported(t: Tables):
     return round_doubles(t.spark.read.parquet(f"{folder}/bank").select("id", "x0", "split"))
 
 
-@query("K7_file_manifest")
+@query("K7_file_manifest", "SELECT sum(strlen(line) + 1)::BIGINT AS bytes, sha256(string_agg(line || chr(10), '' ORDER BY o_orderkey)) AS sha256 FROM (SELECT o_orderstatus, o_orderkey, o_orderkey || '|' || o_custkey || '|' || o_orderpriority AS line FROM orders) GROUP BY o_orderstatus")
 def manifest(t: Tables):
+    """The files of all orders, one for each status."""
     folder = shared_path(t.spark, "manifest")
-    t.region.coalesce(1).write.json(folder)
-    return files.file_manifest(t.spark, folder).select("bytes", "sha256")
+    lines = t.orders.select("o_orderstatus", "o_orderkey", F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderpriority").alias("line"))
+    sorted_lines = lines.repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "o_orderkey")
+    sorted_lines.select("o_orderstatus", "line").write.partitionBy("o_orderstatus").text(folder)
+    return files.file_manifest(t.spark, folder).where(F.col("bytes") > 0).select("bytes", "sha256")
 
 
 @query("K9_model_checkpoint", f"SELECT id, {r(fixed_z)} AS logit FROM learning", "learning")

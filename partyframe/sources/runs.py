@@ -10,11 +10,14 @@ import time
 import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
+from importlib.metadata import PackageNotFoundError, version
+from pathlib import Path
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partyframe.operators.audit import row_digest
 from partyframe.sources.files import file_manifest
 
 # Fixed members of a run bundle.
@@ -33,8 +36,41 @@ def json_digest(value) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
 
 
+#: Packages whose versions a run records.
+PACKAGES = ("pyspark", "pyarrow", "numpy", "pandas")
+
+
+def dependency_versions(packages: tuple[str, ...] = PACKAGES) -> dict[str, str | None]:
+    """The installed version of each package; None for one that is not there."""
+    out = {}
+    for name in packages:
+        try:
+            out[name] = version(name)
+        except PackageNotFoundError:
+            out[name] = None
+    return out
+
+
+def code_version(folder: str | None = None) -> str | None:
+    """The commit that the code was taken from, read from its repository's files; None where there is none."""
+    here = Path(folder or __file__).resolve()
+    for place in (here, *here.parents):
+        git = place / ".git"
+        if git.is_dir():
+            head = (git / "HEAD").read_text().strip()
+            if not head.startswith("ref: "):
+                return head
+            name = head[5:]
+            if (git / name).exists():
+                return (git / name).read_text().strip()
+            packed = (git / "packed-refs").read_text().splitlines() if (git / "packed-refs").exists() else []
+            return next((line.split(" ")[0] for line in packed if line.endswith(f" {name}")), None)
+    return None
+
+
 def environment(seed: int) -> dict:
-    return {"seed": seed, "python": platform.python_version(), "spark": pyspark.__version__, "system": platform.system(), "machine": platform.machine()}
+    facts = {"seed": seed, "python": platform.python_version(), "spark": pyspark.__version__, "system": platform.system(), "machine": platform.machine()}
+    return facts | {"dependency_versions": dependency_versions(), "code_version": code_version()}
 
 
 def write_document(spark: SparkSession, path: str, value: dict) -> None:
@@ -46,22 +82,26 @@ def read_document(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
 
 
-def write_run(spark: SparkSession, root: str, seed: int, documents: dict[str, dict], tables: dict[str, DataFrame], run_id: str | None = None) -> str:
+def write_run(spark: SparkSession, root: str, seed: int, documents: dict[str, dict], tables: dict[str, DataFrame], run_id: str | None = None, datasets: dict[str, DataFrame] | None = None) -> str:
     """The folder of a new bundle: DOCUMENTS (all but the environment are given), TABLES, and a manifest with the size and
-    SHA-256 of every file. A missing or unknown member, or a run id that is taken, is refused."""
+    SHA-256 of every file, the versions of code and packages, and the rows and digest of each of the datasets that the run
+    was given. A missing or unknown member, or a run id that is taken, is refused."""
     wanted = {*DOCUMENTS} - {"environment"}
     if set(documents) != wanted or set(tables) != set(TABLES):
         raise ValueError(f"a run has the documents {sorted(wanted)} and the tables {sorted(TABLES)}")
     run_id = run_id or new_run_id()
     folder = f"{root}/{run_id}"
-    for name, value in {**documents, "environment": environment(seed)}.items():
+    given = {name: row_digest(df).first().asDict() for name, df in (datasets or {}).items()}
+    facts = environment(seed)
+    for name, value in {**documents, "environment": facts}.items():
         write_document(spark, f"{folder}/{name}.json", value)
     for name, kind in TABLES.items():
         writer = tables[name].write
         writer.parquet(f"{folder}/{name}.parquet") if kind == "parquet" else writer.option("header", True).csv(f"{folder}/{name}.csv")
     files = member_files(spark, folder).collect()  # a bundle has a few files for each member
-    facts = {"run_id": run_id, "created_at": datetime.now(UTC).isoformat(), "seed": seed, "configuration_hash": json_digest(documents["config"]), "dataset_provenance_hash": json_digest(documents["dataset_provenance"])}
-    write_document(spark, f"{folder}/{MANIFEST}.json", facts | {"artifacts": {r.name: {"bytes": r.bytes, "sha256": r.sha256} for r in files}})
+    manifest = {"run_id": run_id, "created_at": datetime.now(UTC).isoformat(), "seed": seed, "configuration_hash": json_digest(documents["config"]), "dataset_provenance_hash": json_digest(documents["dataset_provenance"])}
+    manifest |= {"dataset_hashes": given, "dependency_versions": facts["dependency_versions"], "code_version": facts["code_version"]}
+    write_document(spark, f"{folder}/{MANIFEST}.json", manifest | {"artifacts": {r.name: {"bytes": r.bytes, "sha256": r.sha256} for r in files}})
     return folder
 
 
@@ -80,6 +120,13 @@ def changed_files(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("name", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def changed_datasets(spark: SparkSession, folder: str, datasets: dict[str, DataFrame]) -> list[str]:
+    """The names of datasets that are missing, unknown to the run, or no longer what it was given."""
+    stated = read_document(spark, f"{folder}/{MANIFEST}.json").get("dataset_hashes", {})
+    now = {name: row_digest(df).first().asDict() for name, df in datasets.items()}
+    return sorted(name for name in stated.keys() | now.keys() if stated.get(name) != now.get(name))
+
+
 def read_run(spark: SparkSession, folder: str) -> tuple[dict[str, dict], dict[str, DataFrame]]:
     """(documents, tables) of a bundle; a member that is not there raises FileNotFoundError."""
     documents, tables = {}, {}
