@@ -6,6 +6,8 @@ ranked within their bucket only.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,11 +69,12 @@ def ordered_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) ->
     marked = df.withColumns({f"_{k}": v for k, v in sums.items()})
     ranged = checkpointed(marked.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
     rows = sorted(tuple(r) for r in ranged.groupBy("_part").agg(*(F.sum(f"_{k}") for k in sums)).collect())  # a row for each range
-    offsets, upto = [], [0] * len(sums)
+    kinds = [ranged.select(F.sum(f"_{k}").alias("x")).schema["x"].dataType.simpleString() for k in sums]
+    zero = [0.0 if kind == "double" else Decimal(0) if kind.startswith("decimal") else 0 for kind in kinds]
+    offsets, upto = [], zero
     for part, *totals in rows:
         offsets.append((part, *upto))
-        upto = [u + (x or 0) for u, x in zip(upto, totals, strict=True)]
-    kinds = [ranged.select(F.sum(f"_{k}").alias("x")).schema["x"].dataType.simpleString() for k in sums]
+        upto = [u + (x or z) for u, x, z in zip(upto, totals, zero, strict=True)]
     before = df.sparkSession.createDataFrame(offsets, ", ".join(["_part long", *(f"_b_{k} {kind}" for k, kind in zip(sums, kinds, strict=True))]))
     inside = W.partitionBy("_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
     return ranged.join(F.broadcast(before), "_part").select(*df.columns, *((F.col(f"_b_{k}") + F.sum(f"_{k}").over(inside)).alias(k) for k in sums))

@@ -417,3 +417,26 @@ def stream_traffic(t: Tables):
     from partyframe.streaming.audit import traffic
 
     return traffic(t.view("audit")).withColumn("start", F.unix_micros("start"))
+
+
+message_sql = """SELECT event_id AS seq, (event_id % 3000)::VARCHAR AS message_id, 'party' || user_id % 4 AS sender, epoch_us(ts) - (event_id % 400) * 1000000 AS sent, epoch_us(ts) AS received, CASE WHEN event_id % 50 = 7 THEN 'x' ELSE 'y' END AS digest FROM events"""
+
+
+@query(
+    "X_replay_window",
+    f"""WITH m AS ({message_sql}), ok AS (SELECT *, first(digest) OVER (PARTITION BY sender, message_id ORDER BY received, seq) AS known, row_number() OVER (PARTITION BY sender, message_id ORDER BY received, seq) AS k FROM m WHERE received - sent <= 300000000)
+    SELECT seq, message_id, sender, CASE WHEN k = 1 THEN 'accepted' WHEN digest = known THEN 'repeat' ELSE 'conflict' END AS verdict FROM ok
+    UNION ALL SELECT seq, message_id, sender, 'expired' FROM m WHERE received - sent > 300000000""",
+)
+def replay_window(t: Tables):
+    """All events as messages in one stream; nothing that was accepted is forgotten, so SQL can say the same."""
+    from partyframe.streaming.replay_window import judged
+
+    folder, ts = shared_path(t.spark, "replay"), F.col("ts").cast("timestamp")
+    t.events.select(
+        F.col("event_id").alias("seq"), (F.col("event_id") % 3000).cast("string").alias("message_id"), F.concat(F.lit("party"), (F.col("user_id") % 4).cast("string")).alias("sender"),
+        F.timestamp_micros(F.unix_micros(ts) - (F.col("event_id") % 400) * 1_000_000).alias("sent_at"), ts.alias("received_at"), F.when(F.col("event_id") % 50 == 7, "x").otherwise("y").alias("digest"),
+    ).write.parquet(f"{folder}/given")
+    given = t.spark.read.parquet(f"{folder}/given")
+    stream = t.spark.readStream.schema(given.schema).parquet(f"{folder}/given")
+    return judged(stream, folder, ttl_seconds=1e9, most_entries=1_000_000).drop("received_at")
