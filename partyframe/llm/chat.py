@@ -99,14 +99,15 @@ def chat_packs(conversations: DataFrame) -> DataFrame:
     turns, which is depth-first order, and dealt out by ranges of it with conv_id last, so that neither a very common
     first turn nor a very common conversation meets in one task; a tree that spans two packs repeats only the path
     where it was cut. Turns are shared where role and text are equal, not merely their hashes. A conversation is one
-    sequence and is held whole. Null role and text count as empty, null conv_id is a conversation of its own, an empty
-    table gives no packs; other columns are ignored.
+    sequence and is held whole. Null role and text count as empty, each row with a null conv_id is a conversation of its
+    own, an empty table gives no packs; other columns are ignored.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"),
     )
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())  # rows of no conversation never meet in one task
+    whole = turns.withColumn("alone", alone).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     path = F.array_join(F.transform("turns", lambda t: F.lpad(F.hex(F.xxhash64(t["role"], t["text"])), 16, "0")), "")
     ordered = whole.withColumn("path", path).repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
 

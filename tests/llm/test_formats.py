@@ -69,6 +69,8 @@ def test_awkward_conversations(spark):
     assert set(found) == {1, 2, 3, 4, None}
     assert (found[1].n_turns, found[2].n_turns, found[4].loss_chars, found[3].loss_chars) == (2, 2, 300_000, 10)
     assert chat.chat_packs(turns(spark, rows).limit(0)).count() == 0
+    lost = chat.read_back(chat.chat_packs(turns(spark, [(None, k, "user", f"row {k % 3}") for k in range(30)]))).collect()
+    assert len(lost) == 30 and all(r.conv_id is None and r.n_turns == 1 for r in lost)
 
 
 def test_warc_oracle(spark, duck, small):
