@@ -126,9 +126,18 @@ def missing_study(t: Tables):
     return sd.missing_party_study(with_availability(t), PARTIES, "id", F.col("id") % 2 == 0, FAST, {"some": {"retail": "has_retail", "telecom": "has_telecom"}})
 
 
-@query("E6_contribution")
+PASSIVE = list(FOUR)[1:]
+CONTRIBUTIONS = [(str(mask), [*FOUR["bank"], *(c for k, p in enumerate(PASSIVE) if mask >> k & 1 for c in FOUR[p])]) for mask in range(8)]
+contribution_sql = f""", counts AS (SELECT subset::INT AS mask, p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM scored GROUP BY ALL),
+st AS (SELECT *, sum(pos) OVER (PARTITION BY mask ORDER BY p DESC) AS tp, sum(neg) OVER (PARTITION BY mask ORDER BY p DESC) AS fp FROM counts), u AS (SELECT mask, {AUC} AS value FROM st GROUP BY mask),
+players AS (SELECT * FROM (VALUES {', '.join(f"({1 << k}, '{p}')" for k, p in enumerate(PASSIVE))}) x(bit, party))
+SELECT party, {rounds(shapley='sum([1/3, 1/6, 1/3][bit_count(a.mask) + 1] * (b.value - a.value))', leave_one_out='max(b.value - a.value) FILTER (b.mask = 7)')}
+FROM players JOIN u a ON a.mask & bit = 0 JOIN u b ON b.mask = a.mask + bit GROUP BY party"""
+
+
+@query("E6_contribution", subset_descents(CONTRIBUTIONS) + contribution_sql, "learning")
 def contribution(t: Tables):
-    return sd.contribution_study(*halves(t), FOUR, FAST)
+    return round_doubles(sd.contribution_study(*halves(t), FOUR, FAST))
 
 
 @query("E8_overlap")
