@@ -23,10 +23,10 @@ BUCKETS, RUN, LEAST_WORDS, SHARE = 10_000, 3, 20, 5
 #: Documents and stored counts in a block at most (a document has BUCKETS counts at most), bytes of a text at a time.
 BLOCK_ROWS, BLOCK_COUNTS, WINDOW = 256, 1 << 16, 1 << 20
 #: Blocks in an Arrow batch, bytes of a Parquet row group: readers hold one of each.
-ARROW_BLOCKS, ROW_GROUP = 32, 16 << 20
+ARROW_BLOCKS, ROW_GROUP = 16, 4 << 20
 #: A-Z to a-z; all other ASCII characters but digits and a-z to a space, which ends a word.
 AS_WORDS = bytes(ord(chr(b).lower()) if b > 127 or chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
-CSR = "words array<bigint>, features array<bigint>, row_start array<int>, buckets array<int>, counts array<bigint>"
+CSR = "words array<bigint>, features array<bigint>, row_start array<int>, buckets array<int>, counts array<int>"
 
 
 def feature_counts(text: str | None, counts: np.ndarray) -> tuple[int, int]:
@@ -66,7 +66,7 @@ def count_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 counts = np.zeros(BUCKETS, np.int64)
                 words, features = feature_counts(texts[k].as_py(), counts)
                 at = np.flatnonzero(counts)
-                rows.append((words, features, at.astype(np.int32), counts[at]))
+                rows.append((words, features, at.astype(np.int32), counts[at].astype(np.int32)))
                 held += len(at)
                 if len(rows) == BLOCK_ROWS or held > BLOCK_COUNTS - BUCKETS or k + 1 == len(texts):
                     yield block(keys.slice(first, len(rows)), rows)
