@@ -6,6 +6,7 @@ import hashlib
 import json
 import platform
 import resource
+import threading
 import time
 import uuid
 from collections.abc import Callable
@@ -152,18 +153,63 @@ def main_results(spark: SparkSession, folders: dict[str, str], metrics: tuple[st
     return spark.createDataFrame(rows, "run string, " + ", ".join(f"{m} double" for m in metrics))
 
 
-def measured(action: Callable[[], object]) -> tuple[object, dict[str, float]]:
-    """What an action returns, its wall time, and the largest resident size of the driver's Python until now."""
-    began = time.perf_counter()
-    out = action()
-    return out, {"seconds": time.perf_counter() - began, "peak_rss_bytes": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024.0}
+class ResourceSampler(threading.Thread):
+    """Looks at the resident size of the driver's Python every few milliseconds; peak and last are bytes."""
+
+    def __init__(self, every: float = 0.02):
+        super().__init__(daemon=True)
+        self.every, self.ended, self.samples, self.peak, self.last = every, threading.Event(), 0, 0, 0
+
+    def look(self) -> None:
+        with open("/proc/self/statm") as f:
+            self.last = int(f.read().split()[1]) * resource.getpagesize()
+        self.samples, self.peak = self.samples + 1, max(self.peak, self.last)
+
+    def run(self) -> None:
+        while not self.ended.wait(self.every):
+            self.look()
+
+    def __enter__(self) -> ResourceSampler:
+        self.look()
+        self.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.ended.set()
+        self.join()
+        self.look()
+
+
+def measured(action: Callable[[], object], spark: SparkSession | None = None) -> tuple[object, dict[str, float]]:
+    """What an action returns, its wall time, and the largest resident size of the driver's Python while it ran, sampled by a
+    thread. With a session also what it asked of Spark: the jobs, stages and tasks of a job group of its own (the caller's
+    group is set again afterwards); stages whose shuffle files were still there count without tasks."""
+    group, name = f"measured-{uuid.uuid4().hex}", "spark.jobGroup.id"
+    before = spark.sparkContext.getLocalProperty(name) if spark else None
+    if spark:
+        spark.sparkContext.setJobGroup(group, "measured")
+    try:
+        with ResourceSampler() as sampler:
+            began = time.perf_counter()
+            out = action()
+            cost = {"seconds": time.perf_counter() - began}
+    finally:
+        if spark:
+            spark.sparkContext.setLocalProperty(name, before)
+    cost |= {"peak_rss_bytes": float(sampler.peak), "rss_samples": sampler.samples}
+    if spark:
+        tracker = spark.sparkContext.statusTracker()
+        jobs = [j for j in (tracker.getJobInfo(k) for k in tracker.getJobIdsForGroup(group)) if j]
+        stages = [x for x in (tracker.getStageInfo(k) for j in jobs for k in j.stageIds) if x]
+        cost |= {"jobs": len(jobs), "stages": len(stages), "tasks": sum(x.numCompletedTasks for x in stages)}
+    return out, cost
 
 
 def scaling_grid(spark: SparkSession, sizes: list[int], make: Callable[[int], DataFrame], train: Callable[[DataFrame], object]) -> DataFrame:
-    """(rows, seconds, peak_rss_bytes): a model trained on frames of each size, one after the other."""
+    """(rows, seconds, peak_rss_bytes, jobs, stages, tasks): a model trained on frames of each size, one after the other."""
     rows = []
     for n in sizes:
         df = make(n)
-        _, cost = measured(lambda df=df: train(df))
-        rows.append((n, cost["seconds"], cost["peak_rss_bytes"]))
-    return spark.createDataFrame(rows, "rows long, seconds double, peak_rss_bytes double")
+        _, cost = measured(lambda df=df: train(df), spark)
+        rows.append((n, cost["seconds"], cost["peak_rss_bytes"], cost["jobs"], cost["stages"], cost["tasks"]))
+    return spark.createDataFrame(rows, "rows long, seconds double, peak_rss_bytes double, jobs int, stages int, tasks int")

@@ -51,6 +51,20 @@ def test_code_version_from_a_repository_s_files(tmp_path):
     assert runs.code_version(str(tmp_path)) == "c" * 40
 
 
+def test_what_an_action_costs(spark):
+    spark.sparkContext.setJobGroup("mine", "mine")
+    try:
+        out, cost = runs.measured(lambda: (bytearray(64 << 20), spark.range(100).repartition(3).count())[1], spark)
+        assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == "mine"
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out == 100 and cost["seconds"] > 0 and cost["jobs"] >= 1 and cost["stages"] >= 1 and cost["tasks"] >= 1 and cost["rss_samples"] >= 2
+    _, small = runs.measured(lambda: None)
+    assert cost["peak_rss_bytes"] > 1 << 20 and set(small) == {"seconds", "peak_rss_bytes", "rss_samples"}
+    grid = runs.scaling_grid(spark, [5, 50], lambda n: spark.range(n), lambda df: df.count()).collect()
+    assert [r.rows for r in grid] == [5, 50] and all(r.jobs >= 1 and r.tasks >= 1 for r in grid)
+
+
 def uniform(key: int, seed: int = 42) -> float:
     return int(hashlib.sha256(f"{seed}:{key}".encode()).hexdigest()[:15], 16) / (1 << 60)
 
