@@ -14,7 +14,7 @@ from partyframe.operators import studies as sd
 from partyframe.operators.audit import communication_breakdown
 from partyframe.operators.logistic import LogisticOptions, fit_logistic, score_logistic
 from partyframe.operators.ranking import hash_rank
-from partyframe.sources import files, parties, runs
+from partyframe.sources import files, parties, published, runs
 from partyframe.sources import registry as rg
 
 from .feature_queries import round_doubles, rounds
@@ -223,3 +223,16 @@ def communication(t: Tables):
     x = t.view("learning")
     log = replay.communication_frame(t.spark, x.count(), ["retail", "telecom"], EPOCHS, 2, x.where("id % 5 = 0").count())
     return communication_breakdown(log).groupBy("direction", "party", "stage").agg(*(F.sum(c).alias(c) for c in ("messages", "scalars", "bytes")))
+
+
+@query("K8_published_dataset", f"SELECT 'bank' AS name, count(*) AS rows, {r('sum(LIMIT_BAL)')} AS total FROM bank UNION ALL SELECT 'telecom', count(*), {r('sum(CustomerValue)')} FROM telecom UNION ALL SELECT 'retail', count(*), {r('sum(Quantity)')} FROM retail UNION ALL SELECT 'policies', count(*), {r('sum(Exposure)')} FROM policies UNION ALL SELECT 'learning', count(*), {r('sum(x0)')} FROM learning", "bank telecom retail policies learning")
+def published_dataset(t: Tables):
+    """Five tables published under one name, read back and summed."""
+    folder = shared_path(t.spark, "published")
+    summed = {"bank": "LIMIT_BAL", "telecom": "CustomerValue", "retail": "Quantity", "policies": "Exposure", "learning": "x0"}
+    published.publish_dataset(folder, {name: t.view(name) for name in summed}, {"name": "parties", "license": "CC BY 4.0"})
+    rows = None
+    for name, df in published.read_dataset(t.spark, folder)[1].items():
+        row = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(summed[name]).cast("double").alias("total")).select(F.lit(name).alias("name"), "rows", "total")
+        rows = row if rows is None else rows.unionByName(row)
+    return round_doubles(rows)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from partyframe.functions.session import shared_path
 from partyframe.operators.audit import digest_of, row_digest, row_sums
-from partyframe.sources import archives
+from partyframe.sources import archives, published
 from partyframe.sources import registry as rg
 
 
@@ -123,3 +123,34 @@ def test_archives_that_lack_a_member_are_refused(spark, tmp_path):
         archives.read_rating_archives(spark, f"file://{tmp_path}/empty")
     with pytest.raises(ValueError, match="members"):
         archives.write_rating_archives({"users": spark.range(1)}, f"file://{tmp_path}")
+
+
+def test_datasets_are_published_whole_or_not_at_all(spark, things):
+    folder = shared_path(spark, "published")
+    tables = {"things": things, "none": things.where("id < 0"), "few": things.select("id").limit(3)}
+    with pytest.raises(published.HalfWrittenError, match="no manifest"):
+        published.read_dataset(spark, folder)
+    manifest = published.publish_dataset(folder, tables, {"name": "x", "license": "CC0"})
+    card, found = published.read_dataset(spark, folder)
+    assert card == {"name": "x", "license": "CC0"} and set(found) == set(tables) and manifest["tables"]["things"]["digest"] == digest(things)
+    assert all(digest(found[n]) == digest(df) for n, df in tables.items())
+    with pytest.raises(FileExistsError):
+        published.publish_dataset(folder, tables, {"license": "CC0"})
+    for bad, card in (({}, {"license": "CC0"}), (tables, {"license": " "}), ({"a/b": things}, {"license": "CC0"})):
+        with pytest.raises(ValueError):
+            published.publish_dataset(shared_path(spark, "other"), bad, card)
+    spark.range(1).write.mode("append").parquet(f"{folder}/few")
+    with pytest.raises(published.HalfWrittenError, match="few is not"):
+        published.read_dataset(spark, folder)
+    assert published.read_dataset(spark, folder, check=False)[1]["few"].count() == 4
+
+
+def test_what_a_failed_writer_leaves_is_not_a_dataset(spark, things):
+    folder = shared_path(spark, "published")
+    broken = things.withColumn("x", F.raise_error(F.lit("no")).cast("double"))
+    with pytest.raises(Exception, match="no"):
+        published.publish_dataset(folder, {"good": things, "bad": broken}, {"license": "CC0"})
+    with pytest.raises(published.HalfWrittenError):
+        published.read_dataset(spark, folder)
+    published.publish_dataset(folder, {"good": things}, {"license": "CC0"})
+    assert published.read_dataset(spark, folder)[1]["good"].count() == 500
