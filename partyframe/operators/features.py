@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from partyframe.functions.scalar import contains_flags, fractional_days, normalised_npi, number, row_mean, row_median, row_std, safe_ratio
+from partyframe.functions.session import checkpointed
 from partyframe.operators.ranking import quantile_frame
 from partyframe.operators.relational import MINIMUM_ENTITIES, AlignmentError, assert_unique, keep_first, resolve_columns, select_required
 
@@ -106,18 +107,28 @@ def clean_transactions(frame: DataFrame, cutoff: Column) -> DataFrame:
     return kept.withColumns({"line_value": F.col("Quantity") * F.col("UnitPrice"), "cancelled": F.coalesce(cancelled, F.lit(False))})
 
 
+def distinct_counts(rows: DataFrame, key: str, kinds: dict[str, Column]) -> DataFrame:
+    """(key, a count of distinct values for each of `kinds`), NULL left out, a row for each key that is not NULL. Values are
+    texts of one column, told apart by their kind, and made distinct in each task before the shuffle."""
+    each = F.array(*(F.struct(F.lit(k).alias("_kind"), c.cast("string").alias("_value")) for k, c in enumerate(kinds.values())))
+    met = rows.where(F.col(key).isNotNull()).select(key, F.inline(each)).distinct()
+    return met.groupBy(key).agg(*(F.count_if((F.col("_kind") == k) & F.col("_value").isNotNull()).alias(name) for k, name in enumerate(kinds)))
+
+
 def retail_features(frame: DataFrame, cutoff: Column, key: str = "CustomerID") -> DataFrame:
     """Recency, frequency and value per customer over transactions up to the cutoff, which must be given: without one the
-    features would see the whole future. The 0.9 quantile of line values is one row, joined by broadcast."""
-    rows = clean_transactions(frame, cutoff)
-    top = quantile_frame(rows, "line_value", 0.9, "_top")
+    features would see the whole future. The cleaned transactions are written, as they are read for the 0.9 quantile of line
+    values (one row, joined by broadcast), for the sums and for the distinct counts; those count (customer, kind, value), so
+    that sums keep one row a customer before the shuffle and a hot customer's values spread over tasks."""
+    wanted = ["InvoiceNo", "StockCode", "Quantity", "InvoiceDate", "line_value", "cancelled"]
+    rows = checkpointed(clean_transactions(frame, cutoff).select(key, *(c for c in wanted if c != key)))
+    top = quantile_frame(rows, "line_value", 0.9, "_top", written=True)
     value = F.col("line_value")
-    grouped = (
+    sums = (
         rows.crossJoin(F.broadcast(top))
         .groupBy(key)
         .agg(
             F.count(F.lit(1)).alias("purchase_count"),
-            F.count_distinct("InvoiceNo").alias("invoice_count"),
             F.coalesce(F.sum(value), F.lit(0.0)).alias("total_spend"),
             F.avg(value).alias("average_order_value"),
             F.percentile(value, F.lit(0.5)).alias("median_order_value"),
@@ -125,13 +136,13 @@ def retail_features(frame: DataFrame, cutoff: Column, key: str = "CustomerID") -
             F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("spend_std"),
             F.coalesce(F.sum("Quantity"), F.lit(0.0)).alias("quantity_sum"),
             F.avg("Quantity").alias("mean_quantity"),
-            F.count_distinct("StockCode").alias("unique_products"),
-            F.count_distinct(F.to_date("InvoiceDate")).alias("active_days"),
             F.count_if("cancelled").alias("cancellation_count"),
             F.max("InvoiceDate").alias("_last"),
             F.avg(F.coalesce(value >= F.col("_top"), F.lit(False)).cast("double")).alias("high_value_purchase_ratio"),
         )
     )
+    kinds = {"invoice_count": F.col("InvoiceNo"), "unique_products": F.col("StockCode"), "active_days": F.to_date("InvoiceDate")}
+    grouped = sums.join(distinct_counts(rows, key, kinds), key)
     derived = {
         "product_diversity": safe_ratio("unique_products", "purchase_count"),
         "purchase_frequency": safe_ratio("purchase_count", "active_days"),

@@ -106,8 +106,12 @@ def exact_share(df: DataFrame, fraction: float, order: Column, name: str, total:
     return hash_rank(df, order, "_rank").withColumn(name, F.col("_rank") <= round(n * fraction)).drop("_rank")
 
 
-#: Rows up to which one aggregate finds quantiles; of more they are found by counting.
-QUANTILE_ROWS = 5_000_000
+#: Rows up to which one aggregate finds quantiles, all distinct values in one task; of more they are bracketed first.
+QUANTILE_ROWS = 100_000
+#: Accuracy of the sketch that brackets a quantile, in parts of the rows; a bracket reaches two parts to both sides.
+SKETCH = 10_000
+#: Rows in a bracket up to which its distinct values are ranked in one task; in fuller ones ever narrower ranges are counted.
+BRACKET_ROWS = 2_000_000
 
 
 def order_statistic(df: DataFrame, col: str, k: int) -> float:
@@ -132,25 +136,62 @@ def order_statistic(df: DataFrame, col: str, k: int) -> float:
 
 
 def quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, list[float | None]]:
-    """Linear quantiles (as of percentile) of the columns. The rows are counted first; many are written, so that counting
-    narrower and narrower ranges does not run their plan again each time."""
+    """Linear quantiles (as of percentile) of the columns. The rows are counted first; many are written, so that bracketing
+    does not run their plan again each time."""
     if df.count() <= QUANTILE_ROWS:
         row = df.agg(*(F.percentile(c, F.array(*map(F.lit, qs))).alias(c) for c in cols)).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(qs) for c in cols}
-    kept = checkpointed(df.select(*cols))
-    return {c: counted_quantiles(kept, c, qs) for c in cols}
+    return bracketed_quantiles(checkpointed(df.select(*cols)), cols, qs)
 
 
-def quantile_frame(df: DataFrame, col: str, q: float, name: str) -> DataFrame:
-    """One row with the linear q-quantile of a double column. Up to QUANTILE_ROWS rows find it in the same plan; of more it is
-    counted first, as an exact aggregate would gather all their values in one task."""
+def quantile_frame(df: DataFrame, col: str, q: float, name: str, written: bool = False) -> DataFrame:
+    """One row with the linear q-quantile of a double column. Few rows find it in the same plan; of more it is bracketed
+    first, over a copy unless df is `written` already, as an exact aggregate would gather all their values in one task."""
     if df.count() <= QUANTILE_ROWS:
         return df.agg(F.percentile(col, F.lit(q)).alias(name))
-    return df.sparkSession.createDataFrame([(quantiles(df, [col], [q])[col][0],)], f"{name} double")
+    kept = df if written else checkpointed(df.select(col))
+    return df.sparkSession.createDataFrame([(bracketed_quantiles(kept, [col], [q])[col][0],)], f"{name} double")
+
+
+def bracketed_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles() of a table that is cheap to read, in three passes for all columns and quantiles together: sketches
+    give two values around each, one aggregate counts the rows before and between, and only those between are ranked.
+    Sketches decide the cost, never the result: a quantile outside its bracket, or in one that holds too many rows, is found by
+    order_statistic()."""
+    reach, wanted = 2 / SKETCH, [(c, q) for c in cols for q in qs]
+    edges = F.array(*(F.lit(min(max(q + side * reach, 0.0), 1.0)) for q in qs for side in (-1, 1)))
+    seen = df.agg(*(x for c in cols for x in (F.count(c), F.percentile_approx(F.col(c).cast("double"), edges, F.lit(SKETCH))))).first()
+    size = {c: seen[2 * k] for k, c in enumerate(cols)}
+    sides = {c: seen[2 * k + 1] for k, c in enumerate(cols)}
+    bracket = {(c, q): sides[c][2 * j : 2 * j + 2] for c in cols if size[c] for j, q in enumerate(qs)}
+    within = {x: F.col(x[0]).between(*(F.lit(e) for e in ends)) for x, ends in bracket.items()}
+    counts = df.agg(F.lit(0), *(n for x, ends in bracket.items() for n in (F.count_if(F.col(x[0]) < F.lit(ends[0])), F.count_if(within[x])))).first()[1:]
+    below, inside = dict(zip(bracket, counts[::2], strict=True)), dict(zip(bracket, counts[1::2], strict=True))
+    places = {x: {int(x[1] * (size[x[0]] - 1)), min(int(x[1] * (size[x[0]] - 1)) + 1, size[x[0]] - 1)} for x in bracket}
+    easy = [x for x in bracket if inside[x] <= BRACKET_ROWS and all(0 <= k - below[x] < inside[x] for k in places[x])]
+    found = {}
+    if easy:
+        each = F.array(*(F.when(within[x], F.struct(F.lit(j).alias("at"), F.col(x[0]).cast("double").alias("v"))) for j, x in enumerate(easy)))
+        met = df.select(F.inline(F.filter(each, lambda e: e.isNotNull()))).groupBy("at", "v").agg(F.count(F.lit(1)).alias("n"))
+        upto = met.withColumn("upto", F.sum("n").over(W.partitionBy("at").orderBy("v").rowsBetween(W.unboundedPreceding, 0)))
+        ks = df.sparkSession.createDataFrame([(j, k, k - below[x]) for j, x in enumerate(easy) for k in places[x]], "at int, k long, rank long")
+        hit = upto.join(F.broadcast(ks), "at").where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        found = {(easy[r["at"]], r["k"]): r["v"] for r in hit.collect()}  # two values of a quantile at most
+    value = lambda x, k: found[x, k] if (x, k) in found else order_statistic(df, x[0], k)
+    out: dict[str, list[float | None]] = {c: [] for c in cols}
+    for c, q in wanted:
+        if not size[c]:
+            out[c].append(None)
+            continue
+        at = q * (size[c] - 1)
+        low = value((c, q), int(at))
+        high = value((c, q), int(at) + 1) if at > int(at) else low
+        out[c].append(low + (high - low) * (at - int(at)))
+    return out
 
 
 def counted_quantiles(df: DataFrame, col: str, qs: list[float]) -> list[float | None]:
-    """quantiles() of one column by order_statistic(), for tables of any size."""
+    """quantiles() of one column by order_statistic() alone, for tables of any size."""
     n, out = df.select(F.count(col)).first()[0], []
     for q in qs if n else []:
         at = q * (n - 1)

@@ -206,6 +206,28 @@ def test_quantiles_by_counting(spark):
     assert ranking.counted_quantiles(df.limit(0), "v", [0.5]) == [None]
 
 
+def test_quantiles_in_brackets(spark, monkeypatch):
+    x, y = np.random.default_rng(4).normal(size=1499) ** 5, np.random.default_rng(5).integers(0, 3, 1499).astype(float)  # outliers; ties
+    df = spark.createDataFrame([(float(a), float(b), None) for a, b in zip(x, y)] + [(None, 1.0, None)], "x double, y double, z double")
+    qs = [0.0, 0.25, 0.5, 0.77, 1.0]
+    expected = {"x": np.quantile(x, qs), "y": np.quantile(np.append(y, 1.0), qs)}
+
+    def same():
+        found = ranking.bracketed_quantiles(df, ["x", "y", "z"], qs)
+        assert found["z"] == [None] * len(qs)
+        assert all(np.allclose(found[c], expected[c], rtol=1e-12) for c in expected)
+
+    same()
+    monkeypatch.setattr(ranking, "SKETCH", 20)  # sketches that miss: brackets are wrong or wide, the result is not
+    same()
+    monkeypatch.setattr(ranking, "BRACKET_ROWS", 10)  # brackets that are too full
+    same()
+    assert all(v == [None] for v in ranking.bracketed_quantiles(df.limit(0), ["x", "y"], [0.5]).values())
+    monkeypatch.setattr(ranking, "QUANTILE_ROWS", 0)
+    assert ranking.quantile_frame(df, "x", 0.5, "m").first().m == pytest.approx(np.quantile(x, 0.5), rel=1e-12)
+    assert ranking.quantiles(df, ["y"], [0.5]) == {"y": [1.0]}
+
+
 def test_metrics_of_identical_scores(spark):
     df = spark.createDataFrame([(k, k % 2, 0.5) for k in range(100)], "id int, y int, p double").withColumn("p2", F.col("p"))
     r = ev.binary_metrics(df).first()
