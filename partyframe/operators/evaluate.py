@@ -6,6 +6,8 @@ buckets (operators.ranking), so no task sees all rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -202,6 +204,78 @@ def paired_differences(df: DataFrame, key: str, p: str, p2: str, replicates: int
     return intervals(both, ["roc_auc", "pr_auc"])
 
 
+#: Replicates that a row draws its weights for from one SHA-256, 32 bits each.
+BLOCK = 8
+
+
+def poisson_limits() -> list[int]:
+    """How many of 2**32 equally likely draws a Poisson variable of mean 1 answers with 0, with 1 or less, and so on."""
+    out, term, total, k = [], math.exp(-1), 0.0, 0
+    while term * 2**32 >= 0.5:
+        total, k = total + term, k + 1
+        out.append(int(total * 2**32))
+        term /= k
+    return out
+
+
+def poisson_metrics(df: DataFrame, key: str, scores: list[str], replicates: int, threshold: float = 0.5, seed: int = 42, y: str = "y", bins: int = 4096) -> DataFrame:
+    """(score, replicate, roc_auc, pr_auc, brier, f1) of each score column over Poisson resamples: every row has a weight of its
+    own in each replicate, of mean 1, by a hash of seed, key and replicate, the same for all scores. Weights are summed in each
+    task by `bins` equal ranges of scores, so nothing of the rows is drawn, shuffled or joined, and what meets are bins times
+    replicates. The AUCs take a bin for a tie (binning_slack() bounds what that moves); brier and f1 are those of the rows. Scores
+    are probabilities; rows without one, or with a label that is neither 0 nor 1, take no part in it."""
+    limits, one, hit = poisson_limits(), F.col("_y") == 1, F.col("_p") >= threshold
+    blocks = df.where(F.col(y).isin(0, 1)).select(F.col(key).alias("_key"), F.col(y).alias("_y"), *scores, F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // BLOCK) - 1))).alias("_block"))
+    hashed = blocks.withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("_key").cast("string"), F.col("_block").cast("string")), 256))
+
+    def weight(j: int) -> Column:
+        u = F.conv(F.substring("_h", 8 * j + 1, 8), 16, 10).cast("bigint")
+        out = F.when(u < limits[0], 0)
+        for k, limit in enumerate(limits[1:], 1):
+            out = out.when(u < limit, k)
+        return out.otherwise(len(limits))
+
+    weighed = hashed.select("_y", "_block", *scores, *(weight(j).alias(f"_w{j}") for j in range(BLOCK)))
+    each = weighed.select("_y", "_block", *(f"_w{j}" for j in range(BLOCK)), F.inline(F.array(*(F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("_p")) for c in scores))))
+    error = F.col("_p") - F.col("_y").cast("double")
+    parts = {"pos": one.cast("int"), "neg": (~one).cast("int"), "error": error * error, "hits": (hit & one).cast("int"), "alarms": (hit & ~one).cast("int")}
+    binned = each.where("_p IS NOT NULL").groupBy("score", "_block", score_bin(F.col("_p"), bins).alias("bin"))
+    sums = binned.agg(*(F.sum(F.col(f"_w{j}") * x).alias(f"_{n}{j}") for j in range(BLOCK) for n, x in parts.items()))
+    rows = F.array(*(F.struct((F.col("_block") * BLOCK + j).alias("replicate"), *(F.col(f"_{n}{j}").alias(n) for n in parts)) for j in range(BLOCK)))
+    long = sums.select("score", "bin", F.inline(rows)).where(F.col("replicate") < replicates)
+    upward = W.partitionBy("score", "replicate").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)  # over `bins` rows at most
+    ranked = ranking_metrics(long.withColumns({"tp": F.sum("pos").over(upward), "fp": F.sum("neg").over(upward)}), "score", "replicate")
+    tp, fp, fn = F.sum("hits").cast("double"), F.sum("alarms").cast("double"), (F.sum("pos") - F.sum("hits")).cast("double")
+    other = long.groupBy("score", "replicate").agg(F.try_divide(F.sum("error"), F.sum(F.col("pos") + F.col("neg"))).alias("brier"), F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1"))
+    return ranked.join(other, ["score", "replicate"])
+
+
+def score_bin(p: Column, bins: int) -> Column:
+    """Which of `bins` equal ranges of [0, 1] a score is in; scores outside are in the nearest."""
+    return F.greatest(F.lit(0), F.least(F.floor(p * bins), F.lit(bins - 1))).cast("int")
+
+
+def binning_slack(df: DataFrame, bins: int = 4096, y: str = "y", p: str = "p") -> DataFrame:
+    """One row (slack): the most that taking bins for ties moves the ROC AUC of the whole, half the share of pairs within bins."""
+    counts = df.where(F.col(p).isNotNull()).groupBy(score_bin(F.col(p), bins).alias("_b")).agg(F.count_if(F.col(y) == 1).cast("double").alias("_pos"), F.count_if(F.col(y) == 0).cast("double").alias("_neg"))
+    return counts.agg(F.try_divide(F.sum(F.col("_pos") * F.col("_neg")) / 2, F.sum("_pos") * F.sum("_neg")).alias("slack"))
+
+
+def poisson_intervals(df: DataFrame, key: str, replicates: int = 1000, threshold: float = 0.5, seed: int = 42, y: str = "y", p: str = "p", bins: int = 4096) -> DataFrame:
+    """bootstrap_intervals() from Poisson resamples, for tables of any size; estimates are exact ones of the whole."""
+    names = ["roc_auc", "pr_auc", "brier", "f1"]
+    whole = binary_metrics(df, threshold, y, p).select(F.lit(0).alias("replicate"), *names).unpivot("replicate", names, "metric", "estimate").select("metric", "estimate")
+    return intervals(poisson_metrics(df, key, [p], replicates, threshold, seed, y, bins), names).join(whole, "metric")
+
+
+def poisson_differences(df: DataFrame, key: str, p: str, p2: str, replicates: int = 1000, seed: int = 42, y: str = "y", bins: int = 4096) -> DataFrame:
+    """paired_differences() from Poisson resamples: a row has the same weights under both scores. Rows need both."""
+    names = ["roc_auc", "pr_auc"]
+    found = poisson_metrics(df.where(F.col(p).isNotNull() & F.col(p2).isNotNull()), key, [p, p2], replicates, 0.5, seed, y, bins)
+    of = lambda c, n: F.max(F.when(F.col("score") == c, F.col(n)))
+    return intervals(found.groupBy("replicate").agg(*((of(p, n) - of(p2, n)).alias(n) for n in names)), names)
+
+
 def case_study(df: DataFrame, threshold: float, least_shift: float = 0.05, key: str = "id", p: str = "p", p2: str = "p2") -> DataFrame:
     """The row whose decision differs between two scores and whose score moved most, by least_shift or more."""
     shift = F.abs(F.col(p2) - F.col(p))

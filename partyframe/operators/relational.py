@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from partyframe.functions.scalar import hash_order, number
-from partyframe.operators.ranking import quantile_frame
+from partyframe.operators.audit import row_digest
+from partyframe.operators.ranking import ordered_place, quantile_frame
 
 MINIMUM_ENTITIES = 100
 
@@ -136,15 +137,11 @@ def require_bound(digests: dict[str, str | None], required: bool = False) -> Non
         raise AlignmentError("the parties' entities differ in number or order")
 
 
-def order_digest(df: DataFrame, key: str, order: str, blocks: int = 1024) -> DataFrame:
-    """One row with `digest`, which changes with the ids or their order: SHA-256 over the digests of blocks of
-    consecutive rows, so that no task holds more than one block's ids (rows / blocks of them)."""
-    part = lambda c: F.concat(F.lpad(F.hex(F.octet_length(c)), 16, "0"), F.hex(F.encode(c, "UTF-8")))
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, ((high or 0) - (low or 0)) // blocks + 1)
-    rows = df.select(F.floor((F.col(order) - F.lit(low or 0)) / width).alias("b"), F.struct(F.col(order).alias("o"), part(F.col(key).cast("string")).alias("p")).alias("x"))
-    block = rows.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"]), ""), 256).alias("d"))
-    return block.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+def order_digest(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row with `digest`, which changes with the ids or their order: the digest of all (place, id), places by `order`, then
+    id. Places come from written ranges of the order and hashes are summed in every task, so no task holds more than its range."""
+    placed = ordered_place(df.select(F.col(order).alias("_order"), F.col(key).cast("string").alias("key")), [F.col("_order"), F.col("key")], "place")
+    return row_digest(placed.select("key", "place")).select("digest")
 
 
 def alignment_report(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -104,6 +104,39 @@ def paired(t: Tables):
     return round_doubles(ev.paired_differences(t.view("scores"), "id", "p", "p2", REPLICATES))
 
 
+BINS = 256
+limits = ev.poisson_limits()
+weight_sql = "CASE " + " ".join(f"WHEN u < {limit} THEN {k}" for k, limit in enumerate(limits)) + f" ELSE {len(limits)} END"
+poisson_sql = f"""hashed AS (SELECT *, sha256(concat_ws(':', '42', id::VARCHAR, block::VARCHAR)) AS h FROM scores, (SELECT unnest(range({-(-REPLICATES // ev.BLOCK)})) AS block)),
+pieces AS (SELECT *, block * {ev.BLOCK} + j AS replicate, ('0x' || substr(h, (8 * j + 1)::BIGINT, 8))::BIGINT AS u FROM hashed, (SELECT unnest(range({ev.BLOCK})) AS j)),
+rs AS (SELECT * FROM (SELECT replicate, {weight_sql} AS times, y, p, p2 FROM pieces WHERE replicate < {REPLICATES}) WHERE times > 0)"""
+binned_sql = lambda p: f"least(floor({p} * {BINS}), {BINS - 1})"
+
+
+@query(
+    "M7_poisson_bootstrap",
+    f"""WITH {poisson_sql}, {ranked_sql(binned_sql('p'), 'm')}, o AS (SELECT replicate, sum(times * (p - y) * (p - y)) / sum(times) AS brier, {f1_drawn} AS f1 FROM rs GROUP BY replicate),
+    long AS (UNPIVOT (SELECT m.*, o.brier, o.f1 FROM m JOIN o USING (replicate)) ON roc_auc, pr_auc, brier, f1 INTO NAME metric VALUE value),
+    {st}, whole AS (SELECT 'roc_auc' AS metric, {AUC} AS e FROM st UNION ALL SELECT 'pr_auc', {AP} FROM st UNION ALL SELECT 'brier', avg((p - y) * (p - y)) FROM scores UNION ALL SELECT 'f1', {at_sql['f1']} FROM ({counts_sql}))
+    SELECT metric, {rounds(estimate='any_value(e)', lower='quantile_cont(value, 0.025)', upper='quantile_cont(value, 0.975)')}, count(value) AS valid_replicates FROM long JOIN whole USING (metric) GROUP BY metric""",
+    "scores",
+)
+def poisson_bootstrap(t: Tables):
+    return round_doubles(ev.poisson_intervals(t.view("scores"), "id", REPLICATES, bins=BINS))
+
+
+@query(
+    "M8_poisson_paired",
+    f"""WITH {poisson_sql}, {ranked_sql(binned_sql('p'), 'a')}, {ranked_sql(binned_sql('p2'), 'b')},
+    d AS (SELECT replicate, a.roc_auc - b.roc_auc AS roc_auc, a.pr_auc - b.pr_auc AS pr_auc FROM a JOIN b USING (replicate)),
+    long AS (UNPIVOT d ON roc_auc, pr_auc INTO NAME metric VALUE value)
+    SELECT metric, {rounds(lower='quantile_cont(value, 0.025)', upper='quantile_cont(value, 0.975)')}, count(value) AS valid_replicates FROM long GROUP BY metric""",
+    "scores",
+)
+def poisson_paired(t: Tables):
+    return round_doubles(ev.poisson_differences(t.view("scores"), "id", "p", "p2", REPLICATES, bins=BINS))
+
+
 @query(
     "O5_select_threshold",
     f"""WITH grid AS (SELECT unnest({ev.linspace(0.0, 1.0, 201)}::DOUBLE[]) AS threshold),

@@ -10,7 +10,7 @@ from partyframe.operators import features as fe
 from partyframe.operators import ranking
 from partyframe.operators import relational as rel
 
-from .registry import Tables, query, r, sql_hash
+from .registry import Tables, digest_sql, query, r, sql_hash
 from .views import BILLS, DELAYS, PAYMENTS
 
 CUTOFF = "1998-04-01 00:00:00"
@@ -329,11 +329,7 @@ def psi(t: Tables):
     return rel.psi_align(frames, "id", "a salt")[0]
 
 
-order_digest_sql = """
-WITH parts AS (SELECT c_custkey // greatest(1, (SELECT (max(c_custkey) - min(c_custkey)) // 1024 + 1 FROM customer)) AS b, c_custkey AS o,
-    lpad(upper(to_hex(strlen(c_name))), 16, '0') || hex(encode(c_name)) AS p FROM customer),
-blocks AS (SELECT b, sha256(string_agg(p, '' ORDER BY o)) AS d FROM parts GROUP BY b)
-SELECT sha256(string_agg(d, '' ORDER BY b)) AS digest FROM blocks"""
+order_digest_sql = f"""SELECT digest FROM ({digest_sql("(SELECT row_number() OVER (ORDER BY c_custkey, c_name) - 1 AS place, c_name AS key FROM customer)", {"place": "place::VARCHAR", "key": "key"})})"""
 
 
 @query("J8_order_digest", order_digest_sql)

@@ -19,8 +19,8 @@ from partyframe.sources import registry as rg
 
 from .feature_queries import round_doubles, rounds
 from .model_queries import EPOCHS, FIXED, OPTIONS, PARTIES, boosted, boosting, fixed_z, learning, owner_sql
-from .registry import Tables, query, r, sql_hash
-from .study_queries import FOUR, digest_sql
+from .registry import Tables, digest_sql, query, r, sql_hash
+from .study_queries import FOUR
 
 SHOWN = ["LIMIT_BAL", "AGE", "PAY_0", "BILL_AMT1", "PAY_AMT6"]
 

@@ -17,7 +17,7 @@ from partyframe.sources import registry as rg
 from .evaluation_queries import AP, AUC, EDGES, at_sql, log_loss
 from .feature_queries import round_doubles, rounds
 from .model_queries import FIXED, PARTIES, fixed_z, learning
-from .registry import Tables, query, r, sql_hash
+from .registry import Tables, digest_sql, query, r, sql_hash
 
 FAST = LogisticOptions(0.5, 3, 0.001)
 #: Queries are to give the same rows each time; real releases draw their own.
@@ -311,15 +311,6 @@ def cumulative(t: Tables):
     return au.communication_log(t.view("audit")).select("seq", "bytes", "cumulative_bytes")
 
 
-def digest_sql(table: str, values: dict[str, str], by: str = "") -> str:
-    """The SQL of audit.row_digest for columns given as SQL texts."""
-    text = " || ".join(f"CASE WHEN {c} IS NULL THEN 'N' ELSE 'V' || length({v}) || ':' || {v} END" for c, v in sorted(values.items()))
-    limbs = ", ".join(f"sum(('0x' || substr(h, {16 * k + 1}, 16))::UBIGINT::HUGEINT)::VARCHAR AS s{k}" for k in range(8))
-    key, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
-    return f"""SELECT {key}n AS rows, sha256(concat_ws(':', n, {', '.join(f's{k}' for k in range(8))})) AS digest FROM (
-    SELECT {key}count(*) AS n, {limbs} FROM (SELECT {key}sha256('0' || row) || sha256('1' || row) AS h FROM (SELECT {key}{text} AS row FROM {table})){group})"""
-
-
 #: lineitem's columns as the text that row_digest makes of them.
 LINEITEM = {c: f"{c}::VARCHAR" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")} | {"l_shipdate": "epoch_us(l_shipdate)::VARCHAR"}
 

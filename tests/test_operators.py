@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -237,6 +238,38 @@ def test_metrics_of_identical_scores(spark):
     assert 0.4 < ev.select_threshold(t, 11).first().threshold <= 0.6
 
 
+def test_poisson_resamples(spark):
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 600)
+    p, p2 = np.clip(rng.normal(0.4 + 0.2 * y, 0.2), 0, 1), np.clip(rng.normal(0.4 + 0.1 * y, 0.2), 0, 1)
+    rows = [(k, int(a), float(b), float(c)) for k, (a, b, c) in enumerate(zip(y, p, p2))]
+    df = spark.createDataFrame([*rows, (600, None, 0.3, 0.3), (601, 1, None, None)], "id int, y int, p double, p2 double")
+    limits = ev.poisson_limits()
+    assert limits[:2] == [int(math.exp(-1) * 2**32), int(2 * math.exp(-1) * 2**32)] and limits == sorted(limits)
+
+    def times(k: int, replicate: int) -> int:
+        h = hashlib.sha256(f"42:{k}:{replicate // ev.BLOCK}".encode()).hexdigest()
+        u = int(h[8 * (replicate % ev.BLOCK) :][:8], 16)
+        return sum(u >= limit for limit in limits)
+
+    found = {(r.score, r.replicate): r for r in ev.poisson_metrics(df, "id", ["p", "p2"], 11, bins=2**20).collect()}
+    assert set(found) == {(c, k) for c in ("p", "p2") for k in range(11)}
+    for c, x in (("p", p), ("p2", p2)):
+        w = np.array([times(k, 9) for k in range(600)])
+        up, down = np.repeat(x[y == 1], w[y == 1]), np.repeat(x[y == 0], w[y == 0])
+        auc = np.mean((up[:, None] > down) + 0.5 * (up[:, None] == down))
+        tp, fp = (up >= 0.5).sum(), (down >= 0.5).sum()
+        r = found[c, 9]
+        assert np.allclose([r.roc_auc, r.brier, r.f1], [auc, np.average((x - y) ** 2, weights=w), 2 * tp / (2 * tp + fp + (up < 0.5).sum())], atol=1e-5)
+    slack = ev.binning_slack(df, 64).first().slack
+    coarse, fine = (ev.poisson_metrics(df, "id", ["p"], 1, bins=b).first().roc_auc for b in (64, 2**20))
+    assert 0 < slack < 0.02 and abs(coarse - fine) < 2 * slack
+    a, b = ({r.metric: r for r in f(df.where("y IS NOT NULL AND p IS NOT NULL"), "id", 200).collect()} for f in (ev.bootstrap_intervals, ev.poisson_intervals))
+    assert all(abs(a[m].lower - b[m].lower) < 0.02 and abs(a[m].upper - b[m].upper) < 0.02 and a[m].estimate == b[m].estimate for m in a)  # two ways to resample agree
+    assert all((r.lower, r.upper) == (0, 0) for r in ev.poisson_differences(df.withColumn("p2", F.col("p")), "id", "p", "p2", 10).collect())
+    assert [r.valid_replicates for r in ev.poisson_differences(df.limit(0), "id", "p", "p2", 10).collect()] == []
+
+
 def test_synthetic_parties_learn(spark):
     df, names = synthetic.vertical_parties(spark, 600)
     assert sorted(df.collect()) == sorted(synthetic.vertical_parties(spark, 600)[0].repartition(9).collect())
@@ -266,6 +299,8 @@ def test_digests(spark):
     assert row_digest(df).first() == row_digest(df.repartition(7)).first() != row_digest(df.where("o > 0")).first()
     other = df.withColumn("o", 49 - F.col("o"))
     assert relational.order_digest(df, "id", "o").first() == relational.order_digest(df.repartition(5), "id", "o").first() != relational.order_digest(other, "id", "o").first()
+    outlier = df.union(spark.createDataFrame([(10**15, "far"), (None, "none")], "o long, id string"))
+    assert relational.order_digest(outlier, "id", "o").first() != relational.order_digest(df, "id", "o").first() != relational.order_digest(df.limit(0), "id", "o").first()
     with pytest.raises(UnsafeLogFieldError):
         safe_log_fields({"rows": [1, 2]})
 
