@@ -154,3 +154,18 @@ def test_what_a_failed_writer_leaves_is_not_a_dataset(spark, things):
         published.read_dataset(spark, folder)
     published.publish_dataset(folder, {"good": things}, {"license": "CC0"})
     assert published.read_dataset(spark, folder)[1]["good"].count() == 500
+
+
+def test_rows_of_a_published_table_are_hashed_again_only_if_its_files_changed(spark, things, monkeypatch):
+    folder, hashed = shared_path(spark, "published"), []
+    published.publish_dataset(folder, {"things": things, "few": things.limit(3)}, {"license": "CC0"})
+    whole = published.row_digest
+    monkeypatch.setattr(published, "row_digest", lambda df, *by: hashed.append(df.columns) or whole(df, *by))
+    assert published.read_dataset(spark, folder)[1]["things"].count() == 500
+    assert hashed == [["table", "file", "bytes", "sha256"]]  # the files, no table
+    few = spark.read.parquet(f"{folder}/few").collect()
+    spark.createDataFrame(few, things.schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/few")
+    assert published.read_dataset(spark, folder)[1]["few"].count() == 3 and hashed[2:] == [things.columns]  # other files, the same rows
+    spark.createDataFrame(few[:2], things.schema).write.mode("overwrite").parquet(f"{folder}/few")
+    with pytest.raises(published.HalfWrittenError, match="few is not"):
+        published.read_dataset(spark, folder)
