@@ -30,8 +30,8 @@ def communication_breakdown(events: DataFrame) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("messages"), F.sum("scalars").cast("long").alias("scalars"), F.sum("bytes").cast("long").alias("bytes")).orderBy(*keys)
 
 
-#: Limbs of a row's two SHA-256 hashes that are summed apart, hexadecimal digits of each.
-LIMBS, LIMB_DIGITS = 8, 16
+#: Limbs of a row's two SHA-256 hashes that are summed apart, hexadecimal digits of a half of each.
+LIMBS, HALF_DIGITS = 8, 8
 
 
 def canonical(df: DataFrame, name: str) -> Column:
@@ -56,11 +56,16 @@ def canonical(df: DataFrame, name: str) -> Column:
 def row_sums(df: DataFrame, *by: str) -> DataFrame:
     """(by, n, s0..s7): the number of rows, and sums of 64-bit pieces of two SHA-256 hashes of each row. Sums do not depend
     on order or partitions, are added up in every task before the shuffle, and those of two tables add to those of their
-    union, so a table of any size is digested in one aggregate."""
+    union, so a table of any size is digested in one pass. A task adds halves of 32 bits as longs, which 2**31 rows do not
+    overflow; only its totals become decimals, which cost several times as much to add."""
     text = F.concat(*(canonical(df, c) for c in sorted(df.columns) if c not in by)) if set(df.columns) - set(by) else F.lit("")
-    hashes = df.select(*by, text.alias("_row")).select(*by, F.concat(F.sha2(F.concat(F.lit("0"), "_row"), 256), F.sha2(F.concat(F.lit("1"), "_row"), 256)).alias("_h"))
-    limb = lambda k: F.conv(F.substring("_h", k * LIMB_DIGITS + 1, LIMB_DIGITS), 16, 10).cast("decimal(28,0)")
-    return hashes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(limb(k)), F.lit(0).cast("decimal(38,0)")).alias(f"s{k}") for k in range(LIMBS)))
+    rows = df.select(*by, text.alias("_row"), F.spark_partition_id().alias("_task"))
+    hashes = rows.select(*by, "_task", *(F.sha2(F.concat(F.lit(str(k)), "_row"), 256).alias(f"_h{k}") for k in range(2)))
+    per_hash = LIMBS // 2
+    half = lambda k, low: F.conv(F.substring(f"_h{k // per_hash}", (2 * (k % per_hash) + low) * HALF_DIGITS + 1, HALF_DIGITS), 16, 10).cast("bigint")
+    tasks = hashes.groupBy(*by, "_task").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(half(k, low)).alias(f"_{k}_{low}") for k in range(LIMBS) for low in range(2)))
+    whole = lambda k: F.col(f"_{k}_0").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(f"_{k}_1").cast("decimal(20,0)")
+    return tasks.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), *(F.coalesce(F.sum(whole(k)), F.lit(0)).cast("decimal(38,0)").alias(f"s{k}") for k in range(LIMBS)))
 
 
 def digest_of(sums: DataFrame, *by: str) -> DataFrame:

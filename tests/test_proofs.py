@@ -169,3 +169,10 @@ def test_rows_of_a_published_table_are_hashed_again_only_if_its_files_changed(sp
     spark.createDataFrame(few[:2], things.schema).write.mode("overwrite").parquet(f"{folder}/few")
     with pytest.raises(published.HalfWrittenError, match="few is not"):
         published.read_dataset(spark, folder)
+
+
+def test_rows_are_digested_without_sums_of_decimals(spark, things):
+    plan = row_sums(things)._jdf.queryExecution().optimizedPlan()
+    of_rows = plan.toString().splitlines()
+    assert sum("Aggregate" in line for line in of_rows) == 2  # rows to tasks' totals of longs, those to decimals
+    assert "decimal" not in next(line for line in reversed(of_rows) if "Aggregate" in line)
