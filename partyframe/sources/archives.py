@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import math
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyarrow import fs
@@ -17,6 +20,8 @@ from partyframe.sources.files import RATING_FILES
 
 #: Lines in a batch that leaves a reader; bytes that are read ahead of a member's stream.
 LINES, AHEAD = 8192, 1 << 20
+#: Rows of all members that an archive gets on average, at most: a task sorts them by member.
+ARCHIVE_ROWS = 1_000_000
 
 
 class MissingMemberError(ValueError):
@@ -105,8 +110,9 @@ def read_rating_archives(spark: SparkSession, uri: str) -> dict[str, DataFrame]:
 
 
 def write_rating_archives(tables: dict[str, DataFrame], folder: str, archives: int = 1) -> list[str]:
-    """Write users, movies and ratings as so many archives below folder, each with all members and a share of the rows; the
-    archives' places. A task writes an archive; one that runs again replaces it."""
+    """Write users, movies and ratings as so many archives below folder, or more where they would hold over ARCHIVE_ROWS rows
+    each; every archive has all members and a share of the rows. The archives' places are returned. A task writes an archive; one
+    that runs again replaces it."""
     if set(tables) != set(RATING_FILES):
         raise ValueError(f"an archive has the members {sorted(RATING_FILES)}")
     lines = None
@@ -125,12 +131,12 @@ def write_rating_archives(tables: dict[str, DataFrame], folder: str, archives: i
         with files.open_output_stream(f"{target}.{attempt}") as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
             member = None
             for batch in batches:
-                for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for name, own in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), itemgetter(0)):
                     while member is None or member.name != f"ratings/{name}":
                         if member is not None:
                             member.close()
                         member = archive.open(f"ratings/{left.pop(0)}", "w", force_zip64=True)
-                    member.write(line.encode("ISO-8859-1", "replace") + b"\n")
+                    member.write("".join(f"{line}\n" for _, line in own).encode("ISO-8859-1", "replace"))
             if member is not None:
                 member.close()
             for name in left:
@@ -138,5 +144,6 @@ def write_rating_archives(tables: dict[str, DataFrame], folder: str, archives: i
         files.move(f"{target}.{attempt}", target)
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/part-{part:05d}.zip"])], ["archive"])
 
+    archives = max(archives, math.ceil(sum(df.count() for df in tables.values()) / ARCHIVE_ROWS))
     dealt = lines.repartition(archives).sortWithinPartitions("member")
     return sorted(r.archive for r in dealt.mapInArrow(write, "archive string").collect())  # a name for each archive

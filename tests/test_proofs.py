@@ -107,6 +107,15 @@ def test_rating_archives_round_trip(spark, count):
         assert found[name].columns == df.columns and sorted(map(tuple, found[name].collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_rating_archives_grow_in_number_and_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(archives, "ARCHIVE_ROWS", 6000)
+    folder = shared_path(spark, "ratings")
+    assert len(archives.write_rating_archives(ratings(spark), folder, 3)) == 4  # of 20,004 rows
+    found = archives.read_rating_archives(spark, folder)
+    for name, df in ratings(spark).items():
+        assert sorted(map(tuple, found[name].collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_archives_that_lack_a_member_are_refused(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("ml/users.dat", "1::F::20::3::0\n\n2::M::x::4\n")
