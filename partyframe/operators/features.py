@@ -6,6 +6,8 @@ unparsable numbers, and returns one row per key. Keys are explicit; no result de
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from partyframe.operators.relational import MINIMUM_ENTITIES, AlignmentError, as
 BILLS = tuple(f"BILL_AMT{k}" for k in range(1, 7))
 PAYMENTS = tuple(f"PAY_AMT{k}" for k in range(1, 7))
 DELAYS = ("PAY_0", *(f"PAY_{k}" for k in range(2, 7)))
+#: Ratings that a task gets on average, at most, when they are dealt by user.
+USER_ROWS = 500_000
 # Fixed genres that have a feature.
 GENRES = ("Action", "Comedy", "Drama", "Romance", "Sci-Fi", "Thriller", "Crime", "Adventure")
 
@@ -190,12 +194,17 @@ def temporal_parties(users: DataFrame, ratings: DataFrame, movies: DataFrame, ge
     """One row per user that has all parts: demographics (active party), aggregates of the early ratings (passive
     party) and the target, whether the mean of the later ratings is at least `like`.
 
-    One lazy plan: the windows and the aggregate share the partitioning by user; movies are joined by broadcast when
-    Spark sees that they are small.
+    Ratings meet movies first, by broadcast when Spark sees that they are small. Then they are counted and dealt by user to so
+    many tasks that each has about USER_ROWS of them; windows and aggregate stay there. A user's distinct movies are the first
+    rows of each in that user's order, found by a sort, so the aggregate keeps one row a user and not one a rating.
     """
-    split = temporal_split(select_required(ratings, ["UserID", "MovieID", "Rating", "Timestamp"]))
+    wanted = select_required(ratings, ["UserID", "MovieID", "Rating", "Timestamp"])
     flags = contains_flags("Genres", list(genres), "genre_")
-    flagged = split.join(assert_unique(select_required(movies, ["MovieID", "Genres"]), "MovieID"), "MovieID", "left").withColumns(flags | {"Rating": number("Rating")})
+    kinds = assert_unique(select_required(movies, ["MovieID", "Genres"]), "MovieID").select("MovieID", *(c.alias(g) for g, c in flags.items()))
+    parts = max(int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(wanted.count() / USER_ROWS))
+    dealt = wanted.join(kinds, "MovieID", "left").fillna(0.0, list(flags)).repartition(parts, "UserID")
+    met = F.row_number().over(W.partitionBy("UserID", "MovieID").orderBy("row_number"))
+    flagged = temporal_split(dealt).withColumn("_first", F.col("MovieID").isNotNull() & (met == 1)).withColumn("Rating", number("Rating"))
     early, rating = F.col("is_early"), F.col("Rating")
     when_early = lambda c: F.when(early, c)
     mean = lambda c: F.coalesce(F.avg(when_early(c)), F.lit(0.0))
@@ -204,7 +213,7 @@ def temporal_parties(users: DataFrame, ratings: DataFrame, movies: DataFrame, ge
         mean(rating).alias("mean_rating"),
         F.coalesce(F.stddev_samp(when_early(rating)), F.lit(0.0)).alias("rating_std"),
         mean((rating >= like).cast("double")).alias("high_rating_fraction"),
-        F.count_distinct(when_early(F.col("MovieID"))).alias("unique_movies"),
+        F.count_if(early & F.col("_first")).alias("unique_movies"),
         *(mean(F.col(g)).alias(f"{g}_fraction") for g in flags),
         F.avg(F.when(~early, rating)).alias("_late"),
     )

@@ -179,6 +179,20 @@ def test_temporal_parties(spark):
         fe.temporal_parties(users.limit(60), spark.createDataFrame(rated, "UserID int, MovieID int, Rating int, Timestamp long"), movies)
 
 
+def test_ratings_are_dealt_by_user_and_distinct_movies_found_in_order(spark, monkeypatch):
+    """Movie 10 is rated early, early and late, movie 11 early, movie 12 and no movie late and early."""
+    monkeypatch.setattr(fe, "USER_ROWS", 100)
+    users = spark.range(200).selectExpr("id AS UserID", "'F' AS Gender", "20 AS Age", "1 AS Occupation", "'12345' AS ZipCode")
+    movies = spark.createDataFrame([(10, "Horror|Drama"), (11, "War")], "MovieID int, Genres string")
+    seen = [(10, 2, 1), (None, 3, 2), (10, 4, 3), (11, 5, 4), (12, 4, 5), (10, 4, 5)]
+    rated = spark.createDataFrame([(u, *x) for u in range(200) for x in seen], "UserID long, MovieID int, Rating int, Timestamp long")
+    linked = fe.temporal_parties(users, rated, movies)
+    assert {(r.rating_count, r.unique_movies, r.mean_rating, r.genre_drama_fraction, r.target) for r in linked.collect()} == {(4, 2, 3.5, 0.5, 1)}
+    plan = linked._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [UserID" in plan and "], 12" in plan  # 1,200 ratings
+    assert not any("Aggregate" in line and "MovieID" in line for line in plan.splitlines())
+
+
 def test_small_features(spark):
     bank = spark.createDataFrame([(7, 300.0, 180.0, 60.0, 0.0, 1, 3, 1200.0), (8, 50.0, 90.0, 5.0, 15.0, -1, 0, 500.0)], "id int, BILL_AMT1 double, BILL_AMT2 double, PAY_AMT1 double, PAY_AMT2 double, PAY_0 int, PAY_2 int, LIMIT_BAL double")
     rows = {r.id: (r.mean_bill_amount, r.credit_utilization_proxy, r.bill_trend, r.repayment_delay_count) for r in fe.bank_features(bank, "id").collect()}
