@@ -288,32 +288,43 @@ def distributed_signal(df: DataFrame, parties: Parties, key: str, noise: Column
     return joined.withColumn("target", (hash_uniform(key, seed=seed) < p).cast("int")).select(*df.columns, "target")
 
 
-def pooled_baseline(df: DataFrame, columns: list[str], key: str, y: str, l2: float = 1e-3, iterations: int = 100, boosting: bool = False, learn: Column | None = None) -> DataFrame:
-    """(key, p) of a pooled, non-federated model of Spark ML: logistic, or boosted trees (one for each iteration). It
-    learns from the rows for which the column `learn` holds, or from all."""
+def pooled_model(df: DataFrame, columns: list[str], kept: list[str], y: str, l2: float, iterations: int, boosting: bool, learn: Column | None) -> tuple:
+    """(rows with the columns to keep, features and whether a row is learnt from; the model) of pooled_baseline()."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    x = VectorAssembler(inputCols=columns, outputCol="_x").transform(df.select(key, F.col(y).cast("double").alias("_y"), (F.lit(True) if learn is None else learn).alias("_learn"), *columns)).persist()
+    x = VectorAssembler(inputCols=columns, outputCol="_x").transform(df.select(*kept, F.col(y).cast("double").alias("_y"), (F.lit(True) if learn is None else learn).alias("_learn"), *(c for c in columns if c not in kept))).persist()
     kind = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=iterations, maxDepth=3, seed=42) if boosting else LogisticRegression(featuresCol="_x", labelCol="_y", regParam=l2, maxIter=iterations, standardization=False)
     model = kind.fit(x.where("_learn"))
     x.unpersist()
+    return x, model
+
+
+def pooled_baseline(df: DataFrame, columns: list[str], key: str, y: str, l2: float = 1e-3, iterations: int = 100, boosting: bool = False, learn: Column | None = None) -> DataFrame:
+    """(key, p) of a pooled, non-federated model of Spark ML: logistic, or boosted trees (one for each iteration). It
+    learns from the rows for which the column `learn` holds, or from all."""
+    from pyspark.ml.functions import vector_to_array
+
+    x, model = pooled_model(df, columns, [key], y, l2, iterations, boosting, learn)
     return model.transform(x).select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
 
 
 def pooled_subsets(train: DataFrame, test: DataFrame, parties: Parties, key: str, y: str = "y", iterations: int = 20) -> DataFrame:
-    """(subset, model, metrics...) of pooled models over every subset that holds the active (first) party."""
+    """(subset, model, metrics...) of pooled models over every subset that holds the active (first) party. Rows are written
+    once for all models, and the test rows' scores of all models once for all metrics, which come from one plan."""
+    from pyspark.ml.functions import vector_to_array
+
     active, *passive = parties
-    rows, both = None, train.withColumn("_train", F.lit(True)).unionByName(test.withColumn("_train", F.lit(False)))
+    wanted = list(dict.fromkeys([key, y, *(c for cs in parties.values() for c in cs)]))
+    rows, both = None, checkpointed(sides(train.select(*wanted), test.select(*wanted)))
     for chosen in subsets(passive):
         columns = [c for p in (active, *chosen) for c in parties[p]]
-        for model in ("logistic", "boosting"):
-            scored = pooled_baseline(both, columns, key, y, iterations=iterations, boosting=model == "boosting", learn=F.col("_train"))
-            held = test.select(key, y).join(scored, key)
-            row = binary_metrics(held, y=y).select(F.lit("+".join((active, *chosen))).alias("subset"), F.lit(model).alias("model"), "*")
-            rows = row if rows is None else rows.unionByName(row)
-    return rows
+        for name in ("logistic", "boosting"):
+            x, model = pooled_model(both, columns, [y], y, 1e-3, iterations, name == "boosting", F.col("_train"))
+            p = F.get(vector_to_array("probability"), F.lit(1)).alias("p")
+            own = model.transform(x.where("NOT _learn")).select(F.lit("+".join((active, *chosen))).alias("subset"), F.lit(name).alias("model"), F.col(y), p)
+            rows = own if rows is None else rows.unionByName(own)
+    return binary_metrics_by(checkpointed(rows), ["subset", "model"], y=y)
 
 
 def drift_summary(df: DataFrame, by: str, delta: str) -> DataFrame:

@@ -276,3 +276,19 @@ def test_contributions_add_up(people):
     assert math.isclose(dropped["gone", "retrained"], single, abs_tol=1e-12) and math.isclose(dropped["none", "inference"], dropped["none", "retrained"])
     whole = fit_logistic(train, PARTIES, options=options)
     assert math.isclose(dropped["gone", "inference"], binary_metrics(score_logistic(test.drop("c"), whole, "zero_contribution")).first().roc_auc, abs_tol=1e-12)
+
+
+def test_pooled_subsets_read_their_rows_once(spark):
+    from partyframe.operators.studies import pooled_subsets
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def met(x):
+        read.add(1)
+        return x
+
+    rows = spark.range(120).select("id", met((F.col("id") % 7).cast("double")).alias("a"), (F.col("id") % 5).cast("double").alias("b"), (F.col("id") % 7 > 3).cast("int").alias("y"))
+    found = pooled_subsets(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), {"one": ["a"], "two": ["b"]}, "id", iterations=2).collect()
+    assert {(r["subset"], r["model"]) for r in found} == {(s, m) for s in ("one", "one+two") for m in ("logistic", "boosting")}
+    assert all(r.roc_auc == 1.0 for r in found if r["model"] == "boosting") and read.value == 120
