@@ -117,8 +117,9 @@ def score_table_by(df: DataFrame, by: list[str], y: str = "y", p: str = "p") ->
     return joined.select(*by, "p", "pos", "neg", (F.col("_pos") + F.sum("pos").over(inside)).alias("tp"), (F.col("_neg") + F.sum("neg").over(inside)).alias("fp"))
 
 
-def binary_metrics_by(df: DataFrame, by: list[str], threshold: float = 0.5, bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
-    """The nine metrics of binary_metrics() for each group of `by`, in one plan whatever the number of groups."""
+def binary_metrics_by(df: DataFrame, by: list[str], threshold: float = 0.5, bins: int = 10, y: str = "y", p: str = "p", ranked: DataFrame | None = None) -> DataFrame:
+    """The nine metrics of binary_metrics() for each group of `by`, in one plan whatever the number of groups; the AUCs are those
+    of `ranked` (by..., roc_auc, pr_auc) where they are known."""
     hit, one, q = F.col(p) >= threshold, F.col(y) == 1, clipped(F.col(p), EPSILON, 1 - EPSILON)
     label = F.col(y).cast("double")
     loss = -(label * F.log(q) + (1 - label) * F.log(1 - q))
@@ -129,7 +130,8 @@ def binary_metrics_by(df: DataFrame, by: list[str], threshold: float = 0.5, bins
     at = counts.select(*by, *(c.alias(n) for n, c in threshold_metrics(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")).items()), "log_loss", "brier")
     curve = df.groupBy(*by, bin_of(F.col(p), bins).alias("_bin")).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg(p).alias("_mean"), F.avg(label).alias("_share"))
     ece = curve.groupBy(*by).agg((F.sum(F.col("_n") * F.abs(F.col("_share") - F.col("_mean"))) / F.sum("_n")).alias("ece"))
-    return ranking_metrics(score_table_by(df, by, y, p), *by).join(at, by).join(ece, by)
+    aucs = ranking_metrics(score_table_by(df, by, y, p), *by) if ranked is None else ranked
+    return aucs.join(at, by).join(ece, by)
 
 
 def select_threshold(df: DataFrame, grid: int = 201, y: str = "y", p: str = "p") -> DataFrame:

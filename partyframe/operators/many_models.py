@@ -13,9 +13,12 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from partyframe.functions.session import checkpointed
 from partyframe.operators.gbdt import GBDTModel, GBDTOptions, Node, limit_leaves
 from partyframe.operators.logistic import LogisticModel, LogisticOptions
 
@@ -23,6 +26,13 @@ from partyframe.operators.logistic import LogisticModel, LogisticOptions
 SKETCH = 10_000
 #: Rows of a batch that meet all cells at a time.
 ROWS = 4096
+#: Rows of the frame that a task holds, about.
+TASK_ROWS = 65_536
+#: Scores of all curves that a task holds and sorts before they are sent, and rows of a curve that meet in one task, about.
+SORTED_SCORES = 3_000_000
+RANGE_ROWS = 500_000
+#: Rows from which each edge between such ranges is drawn.
+EDGE_ROWS = 200
 
 
 @dataclass(frozen=True)
@@ -41,11 +51,12 @@ class Cell:
 
 @dataclass(frozen=True)
 class ManyFrame:
-    """rows: (id, key_hash, y, x array<double>, flags array<boolean>, extra columns); close() when done."""
+    """rows: (id, key_hash, y, x array<double>, flags array<boolean>, extra columns), `size` of them; close() when done."""
 
     rows: DataFrame
     columns: list[str]
     flags: list[str]
+    size: int
 
     def close(self) -> None:
         self.rows.unpersist()
@@ -55,15 +66,16 @@ class ManyFrame:
 
 
 def many_frame(df: DataFrame, columns: list[str], flags: dict[str, Column], y: str = "y", key: str = "id", complete: bool = True) -> ManyFrame:
-    """df in the form that all models share, cached. Labels other than 0 and 1 are refused, missing features too where
-    models need them complete."""
-    bad = df.agg(F.count_if(~F.col(y).isin(0, 1) | F.col(y).isNull()).alias("y"), *(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first()
-    if bad["y"] or (complete and any(bad)):
-        raise ValueError(f"labels other than 0 and 1, or missing features: {bad.asDict()}")
+    """df in the form that all models share, dealt evenly to tasks by a hash of the key, and cached. Labels other than 0 and 1 are
+    refused, missing features too where models need them complete."""
+    size, *bad = df.agg(F.count(F.lit(1)), F.count_if(~F.col(y).isin(0, 1) | F.col(y).isNull()).alias("y"), *(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first()
+    if bad[0] or (complete and any(bad)):
+        raise ValueError(f"labels other than 0 and 1, or missing features: {dict(zip(['y', *columns], bad, strict=True))}")
     x = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns))
     flag = F.array(*(F.coalesce(f, F.lit(False)) for f in flags.values()))
-    rows = df.select(F.col(key).alias("id"), F.xxhash64(F.col(key).cast("string")).alias("key_hash"), F.col(y).cast("double").alias("y"), x.alias("x"), flag.alias("flags")).persist()
-    return ManyFrame(rows, list(columns), list(flags))
+    rows = df.select(F.col(key).alias("id"), F.xxhash64(F.col(key).cast("string")).alias("key_hash"), F.col(y).cast("double").alias("y"), x.alias("x"), flag.alias("flags"))
+    tasks = max(1, -(-size // TASK_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, -(-size // ROWS)))
+    return ManyFrame(rows.repartition(tasks, "key_hash").persist(), list(columns), list(flags), size)
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -76,19 +88,20 @@ def parts_of(batches):
             yield batch.slice(start, ROWS)
 
 
-def summed(frame: ManyFrame, size: int, add) -> np.ndarray:
+def summed(frame: ManyFrame, size: int, add, more: list[Column] | None = None) -> np.ndarray:
     """The sum over all rows of add(total, key_hash, y, x, flags), which adds to an array of `size` numbers; tasks send one
-    row for each number that is not 0."""
-    d, p = len(frame.columns), len(frame.flags)
+    row for each number that is not 0. Numbers of a row in `more` become a last argument, a column each."""
+    d, p, m = len(frame.columns), len(frame.flags), len(more or [])
+    added = [] if not more else [F.array(*(c.cast("double") for c in more)).alias("more")]
 
     def run(batches):
         total = np.zeros(size)
         for b in parts_of(batches):
-            add(total, b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), d), matrix(b.column(3), p))
+            add(total, b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), d), matrix(b.column(3), p), *(matrix(c, m) for c in b.columns[4:]))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "value"])
 
-    sums = frame.rows.select("key_hash", "y", "x", "flags").mapInArrow(run, "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    sums = frame.rows.select("key_hash", "y", "x", "flags", *added).mapInArrow(run, "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
     out = np.zeros(size)
     out[sums["place"].to_numpy()] = sums["value"].to_numpy()
     return out
@@ -219,7 +232,7 @@ def quantile_edges(frame: ManyFrame, bins: dict[int, set[int]]) -> dict[tuple[in
     shares = sorted({k / b for b in wanted for k in range(1, b)})
     if not shares:
         return {}
-    long = frame.rows.select("x", F.posexplode("flags").alias("pattern", "on")).where("on")
+    long = frame.rows.select("x", F.posexplode("flags").alias("pattern", "on")).where(F.col("on") & F.col("pattern").isin(*bins))
     value = lambda k: F.nullif(F.get("x", F.lit(k)), F.lit(float("nan")))
     found = long.groupBy("pattern").agg(*(F.percentile_approx(value(k), F.array(*map(F.lit, shares)), F.lit(SKETCH)).alias(f"q{k}") for k in range(len(frame.columns)))).collect()
     out = {}
@@ -343,38 +356,157 @@ def best_split(hist: np.ndarray, features: list[int], options: GBDTOptions) -> t
     return best
 
 
-def score_many(frame: ManyFrame, models: list[LogisticModel | GBDTModel]) -> DataFrame:
-    """(id, y, flags, p array<double>, met array<bigint>): every model's probability for every row, and how many nodes of
-    passive parties a row meets in its trees (0 for a logistic model)."""
-    d = len(frame.columns)
+def scorer(frame: ManyFrame, models: list[LogisticModel | GBDTModel]):
+    """A function of a matrix of features that gives (rows x models) every model's probabilities, and how many nodes of passive
+    parties a row meets in its trees (0 for a logistic model)."""
     place = {c: k for k, c in enumerate(frame.columns)}
     linear = [k for k, m in enumerate(models) if isinstance(m, LogisticModel)]
-    w = np.zeros((len(linear), d))
-    for row, k in enumerate(linear):
+    w = np.zeros((len(linear), len(frame.columns)))
+    for row, k in zip(w, linear, strict=True):
         for c, value in models[k].weights.items():
-            w[row, place[c]] = value
-    b = np.array([models[k].intercept for k in linear])
+            row[place[c]] = value
+    b, n = np.array([models[k].intercept for k in linear]), len(models)
     forests = {k: (m.base, m.options.learning_rate, FlatTrees(m, place, False)) for k, m in enumerate(models) if isinstance(m, GBDTModel)}
 
-    def score(batches):
+    def score(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p, met = np.zeros((len(x), n)), np.zeros((len(x), n), np.int64)
+        if linear:
+            p[:, linear] = squashed(x @ w.T + b)
+        for k, (base, rate, trees) in forests.items():
+            margin = np.full(len(x), base)
+            for t in range(len(trees.value)):
+                node, seen = trees.route(t, x)
+                margin += rate * trees.value[t, node]
+                met[:, k] += seen
+            p[:, k] = squashed(margin)
+        return p, met
+
+    return score
+
+
+def score_many(frame: ManyFrame, models: list[LogisticModel | GBDTModel]) -> DataFrame:
+    """(id, y, flags, p array<double>, met array<bigint>): every row with what scorer() gives for it."""
+    d, n, score = len(frame.columns), len(models), scorer(frame, models)
+
+    def run(batches):
         for batch in parts_of(batches):
-            x = matrix(batch.column(2), d)
-            p, met = np.zeros((len(x), len(models))), np.zeros((len(x), len(models)), np.int64)
-            if linear:
-                p[:, linear] = squashed(x @ w.T + b)
-            for k, (base, rate, trees) in forests.items():
-                margin = np.full(len(x), base)
-                for t in range(len(trees.value)):
-                    node, seen = trees.route(t, x)
-                    margin += rate * trees.value[t, node]
-                    met[:, k] += seen
-                p[:, k] = squashed(margin)
-            upto = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(models))
-            lists = [pa.ListArray.from_arrays(upto, pa.array(v.ravel())) for v in (p, met)]
+            upto = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n)
+            lists = [pa.ListArray.from_arrays(upto, pa.array(v.ravel())) for v in score(matrix(batch.column(2), d))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *lists], ["id", "y", "flags", "p", "met"])
 
     kind = frame.rows.schema["id"].dataType.simpleString()
-    return frame.rows.select("id", "y", "x", "flags").mapInArrow(score, f"id {kind}, y double, flags array<boolean>, p array<double>, met array<bigint>")
+    return frame.rows.select("id", "y", "x", "flags").mapInArrow(run, f"id {kind}, y double, flags array<boolean>, p array<double>, met array<bigint>")
+
+
+@dataclass(frozen=True)
+class Curve:
+    """Rows in the order of a model's scores: the model's place, the flags of which a row has one at least, the flag that is the
+    rows' label (None: y), and whether they are ordered by how sure the model is, 2 * |p - 0.5|, in place of p."""
+
+    cell: int
+    rows: tuple[str, ...]
+    label: str | None = None
+    sure: bool = False
+
+
+def curve_scores(frame: ManyFrame, curves: list[Curve]):
+    """A function of (y, flags, p) that gives each curve's scores and labels."""
+    places = [(c.cell, [frame.pattern(r) for r in c.rows], None if c.label is None else frame.pattern(c.label), c.sure) for c in curves]
+
+    def scores(y, flags, p):
+        for cell, rows, label, sure in places:
+            inside = flags[:, rows].any(1)
+            s = p[inside, cell]
+            yield np.abs(s - 0.5) * 2.0 if sure else s, y[inside] == 1 if label is None else flags[inside, label]
+
+    return scores
+
+
+def curve_edges(frame: ManyFrame, models: list[LogisticModel | GBDTModel], curves: list[Curve]) -> list[list[float]]:
+    """By curve: scores that cut it into ranges of about RANGE_ROWS rows, from a share of the rows, drawn by their hash. They
+    decide how the work is dealt, never a result."""
+    ranges = -(-frame.size // RANGE_ROWS)
+    if ranges <= 1:
+        return [[] for _ in curves]
+    d, p, score, scores = len(frame.columns), len(frame.flags), scorer(frame, models), curve_scores(frame, curves)
+
+    def run(batches):
+        for b in parts_of(batches):
+            found = [s for s, _ in scores(b.column(0).to_numpy(), matrix(b.column(2), p), score(matrix(b.column(1), d))[0])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(found)), [len(s) for s in found])), pa.array(np.concatenate(found))], ["curve", "p"])
+
+    drawn = frame.rows.where(F.pmod("key_hash", F.lit(max(1, RANGE_ROWS // EDGE_ROWS))) == 0).select("y", "x", "flags").mapInArrow(run, "curve bigint, p double")
+    shares = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
+    out: list[list[float]] = [[] for _ in curves]
+    for row in drawn.where(~F.isnan("p")).groupBy("curve").agg(F.percentile_approx("p", shares, F.lit(10 * ranges)).alias("edges")).collect():
+        out[row["curve"]] = sorted(set(row["edges"]))
+    return out
+
+
+def curve_runs(frame: ManyFrame, models: list[LogisticModel | GBDTModel], curves: list[Curve]) -> DataFrame:
+    """(curve, range, one, rows, p array<double>, n array<bigint>): in each task the distinct scores of a curve within a range
+    of it, and how many of the task's rows of a label (1 or 0) have them."""
+    d, width, score, scores, edges = len(frame.columns), len(frame.flags), scorer(frame, models), curve_scores(frame, curves), curve_edges(frame, models, curves)
+
+    def sent(held):
+        y, flags, p = (np.concatenate(v) for v in zip(*held, strict=True))
+        heads, values, counts = [], [], []
+        for curve, (s, one) in enumerate(scores(y, flags, p)):
+            for label in (True, False):
+                v, n = np.unique(s[one == label], return_counts=True)
+                at = [0, *np.searchsorted(v, edges[curve], side="right"), len(v)]
+                for k, (a, b) in enumerate(zip(at, at[1:])):
+                    if a < b:
+                        heads.append((curve, k, label, int(n[a:b].sum()), b - a))
+                        values.append(v[a:b])
+                        counts.append(n[a:b])
+        if heads:
+            curve, k, label, rows, lengths = zip(*heads, strict=True)
+            upto = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(upto, pa.array(np.concatenate(v))) for v in (values, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(curve, pa.int64()), pa.array(k, pa.int64()), pa.array(label), pa.array(rows, pa.int64()), *lists], ["curve", "range", "one", "rows", "p", "n"])
+
+    def run(batches):
+        held, rows = [], 0
+        for b in parts_of(batches):
+            held.append((b.column(0).to_numpy(), matrix(b.column(2), width), score(matrix(b.column(1), d))[0]))
+            rows += b.num_rows
+            if rows * len(curves) >= SORTED_SCORES:
+                yield from sent(held)
+                held, rows = [], 0
+        if held:
+            yield from sent(held)
+
+    return frame.rows.select("y", "x", "flags").mapInArrow(run, "curve bigint, range bigint, one boolean, rows bigint, p array<double>, n array<bigint>")
+
+
+def curve_parts(table: pa.Table) -> pa.Table:
+    """The sums of one range of a curve, from its runs; before them stand `above1` and `above0` rows of the two labels."""
+    value = lambda name: table[name][0].as_py()
+    pieces = lambda name: table[name].combine_chunks()
+    one = np.repeat(pieces("one").to_numpy(zero_copy_only=False), pc.list_value_length(pieces("p")).to_numpy())
+    scores, at = np.unique(pieces("p").flatten().to_numpy(), return_inverse=True)
+    n = pieces("n").flatten().to_numpy()
+    pos, neg = (np.bincount(at, n * label, len(scores))[::-1] for label in (one, ~one))
+    tp, fp = value("above1") + np.cumsum(pos), value("above0") + np.cumsum(neg)
+    ones, zeros = value("ones"), value("zeros")
+    gap = float((tp / ones - fp / zeros).max()) if ones and zeros else None
+    out = {"curve": [value("curve")], "u": [float((neg * (tp - pos / 2)).sum())], "ap": [float((pos * tp / (tp + fp)).sum())], "gap": [gap], "ones": [float(ones)], "zeros": [float(zeros)]}
+    return pa.table(out, pa.schema([("curve", pa.int64()), *((c, pa.float64()) for c in list(out)[1:])]))
+
+
+def curve_metrics(frame: ManyFrame, models: list[LogisticModel | GBDTModel], curves: list[Curve]) -> DataFrame:
+    """(curve, roc_auc, pr_auc, gap) of every curve that has rows: the AUCs are NULL for a single class, gap is the largest
+    difference of the two rates over all thresholds. Scores are sorted and counted where they are made, and meet by ranges of a
+    curve, a task for each; what is sent is the distinct scores, once."""
+    runs = checkpointed(curve_runs(frame, models, curves))
+    totals = runs.groupBy("curve", "range").agg(*(F.sum(F.when(F.col("one") == label, F.col("rows")).otherwise(0)).alias(f"in{int(label)}") for label in (True, False)))
+    above, whole = W.partitionBy("curve").orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1), W.partitionBy("curve")  # a row for each range
+    before = [F.coalesce(F.sum(f"in{k}").over(above), F.lit(0)).alias(f"above{k}") for k in (1, 0)]
+    ends = totals.select("curve", "range", *before, F.sum("in1").over(whole).alias("ones"), F.sum("in0").over(whole).alias("zeros"))
+    parts = runs.join(F.broadcast(ends), ["curve", "range"]).groupBy("curve", "range").applyInArrow(curve_parts, "curve bigint, u double, ap double, gap double, ones double, zeros double")
+    sums = parts.groupBy("curve").agg(F.sum("u").alias("u"), F.sum("ap").alias("ap"), F.max("gap").alias("gap"), F.max("ones").alias("ones"), F.max("zeros").alias("zeros"))
+    return sums.select("curve", F.try_divide("u", F.col("ones") * F.col("zeros")).alias("roc_auc"), F.when(F.col("zeros") > 0, F.try_divide("ap", "ones")).alias("pr_auc"), "gap")
 
 
 def by_cell(scored: DataFrame, flags: list[int]) -> DataFrame:

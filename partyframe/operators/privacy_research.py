@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partyframe.functions.scalar import clipped, hash_order, hash_uniform, normal_quantile
 from partyframe.functions.session import checkpointed
-from partyframe.operators.evaluate import ranking_metrics, score_table_by
 from partyframe.operators.gbdt import GBDTOptions
 from partyframe.operators.logistic import LogisticOptions
-from partyframe.operators.many_models import Cell, ManyFrame, fit_many_gbdt, fit_many_logistic, many_frame, score_many
+from partyframe.operators.many_models import Cell, Curve, ManyFrame, curve_metrics, fit_many_gbdt, fit_many_logistic, many_frame, scorer, summed
 from partyframe.operators.privacy import interval_summary
 
 MEASURES = ("membership_roc_auc", "membership_advantage", "label_inference_accuracy", "routing_exposure_fraction", "routing_events_per_entity", "holdout_roc_auc")
@@ -101,41 +101,60 @@ def grid_frame(df: DataFrame, columns: list[str], grid: Grid, y: str, key: str)
 
 def attack_measures(frame: ManyFrame, cells: list[Cell], models: list, holds: list[str], noises: list[float], seeds: list[int]) -> DataFrame:
     """(cell, measure, value) of all attacks on all models: membership from confidence, labels from the residuals that passive
-    parties get (noisy where the cell adds noise), routing of entities through passive parties' nodes, and the holdout's AUC."""
-    by = lambda values: F.get(F.array(*(F.lit(v) for v in values)), F.col("cell"))
-    whole = score_many(frame, models).select("id", "y", "flags", F.posexplode(F.arrays_zip("p", "met")).alias("cell", "own"))
-    flag = lambda names: F.get("flags", by([frame.pattern(n) for n in names]))
-    rows = whole.select("cell", "id", "y", "own.p", "own.met", flag([c.learn for c in cells]).alias("learn"), flag(holds).alias("hold"))
-    rows = checkpointed(rows.where("learn OR hold"))
-    logistic = [isinstance(c.options, LogisticOptions) for c in cells]
-
-    sure = F.struct(F.lit("membership").alias("what"), F.col("learn").cast("double").alias("y"), (F.abs(F.col("p") - 0.5) * 2.0).alias("p"))
-    useful = F.when(F.col("hold"), F.struct(F.lit("holdout").alias("what"), F.col("y"), F.col("p")))
-    curves = checkpointed(score_table_by(rows.select("cell", F.explode(F.array_compact(F.array(sure, useful))).alias("e")).select("cell", "e.*"), ["cell", "what"]))
-    aucs = ranking_metrics(curves, "cell", "what").select("cell", F.concat("what", F.lit("_roc_auc")).alias("measure"), F.col("roc_auc").alias("value"))
-    totals = curves.where("what = 'membership'").groupBy("cell").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    gap = F.round(F.try_divide(F.col("tp"), F.col("_p")) - F.try_divide(F.col("fp"), F.col("_n")), 12)
-    advantage = curves.where("what = 'membership'").join(F.broadcast(totals), "cell").groupBy("cell").agg(F.greatest(F.max(gap), F.lit(0.0)).alias("value")).select("cell", F.lit("membership_advantage").alias("measure"), "value")
-
-    drawn = normal_quantile(clipped(hash_uniform("seed", "id", seed="observed residual"), 1e-12, 1 - 1e-12))
-    seen = rows.where("learn").withColumn("seed", by(seeds)).where(by(logistic)).withColumn("v", F.col("p") - F.col("y") + F.when(by(noises) > 0, by(noises) * drawn).otherwise(0.0))
-    label = seen.where(F.abs("v") > 1e-12).groupBy("cell").agg(F.avg(((F.col("v") < 0).cast("double") == F.col("y")).cast("double")).alias("value")).select("cell", F.lit("label_inference_accuracy").alias("measure"), "value")
-    met = rows.where("learn").where(~by(logistic)).groupBy("cell").agg(F.avg((F.col("met") > 0).cast("double")).alias("a"), F.avg("met").alias("b"))
-    pairs = F.array(F.struct(F.lit("routing_exposure_fraction").alias("measure"), F.col("a").alias("value")), F.struct(F.lit("routing_events_per_entity").alias("measure"), F.col("b").alias("value")))
-    routing = met.select("cell", F.explode(pairs).alias("e")).select("cell", "e.*")
-    return aucs.unionByName(advantage).unionByName(label).unionByName(routing)
+    parties get (noisy where the cell adds noise), routing of entities through passive parties' nodes, and the holdout's AUC.
+    Rows are scored where they are; only sorted scores (many_models.curve_metrics) and sums leave a task."""
+    n = len(cells)
+    curves = [Curve(k, (c.learn, hold), c.learn, True) for k, (c, hold) in enumerate(zip(cells, holds, strict=True))] + [Curve(k, (hold,)) for k, hold in enumerate(holds)]
+    found = curve_metrics(frame, models, curves)
+    member, cell = F.col("curve") < n, F.pmod("curve", F.lit(n)).cast("int").alias("cell")
+    aucs = found.select(cell, F.when(member, F.lit("membership_roc_auc")).otherwise(F.lit("holdout_roc_auc")).alias("measure"), F.col("roc_auc").alias("value"))
+    advantage = found.where(member).select(cell, F.lit("membership_advantage").alias("measure"), F.greatest(F.round("gap", 12), F.lit(0.0)).alias("value"))
+    sums = exposure_sums(frame, cells, models, noises, seeds)
+    rows = []
+    for k, (c, (learned, seen, guessed, met, nodes)) in enumerate(zip(cells, sums.tolist(), strict=True)):
+        if isinstance(c.options, LogisticOptions):
+            rows += [(k, "label_inference_accuracy", guessed / seen)] if seen else []
+        elif learned:
+            rows += [(k, "routing_exposure_fraction", met / learned), (k, "routing_events_per_entity", nodes / learned)]
+    sent = frame.rows.sparkSession.createDataFrame(rows, "cell int, measure string, value double")
+    return aucs.unionByName(advantage).unionByName(sent)
+
+
+def exposure_sums(frame: ManyFrame, cells: list[Cell], models: list, noises: list[float], seeds: list[int]) -> np.ndarray:
+    """(cells x 5) over the rows that a cell learns from: their number, those whose residual is seen, those whose label it tells,
+    those that meet a passive party's node, and how many such nodes they meet."""
+    noisy = list(dict.fromkeys(seed for seed, noise in zip(seeds, noises, strict=True) if noise > 0))
+    drawn = [normal_quantile(clipped(hash_uniform(F.lit(seed), "id", seed="observed residual"), 1e-12, 1 - 1e-12)) for seed in noisy]
+    score, n = scorer(frame, models), len(cells)
+    known = [(frame.pattern(c.learn), isinstance(c.options, LogisticOptions), noise, noisy.index(seed) if noise > 0 else 0) for c, noise, seed in zip(cells, noises, seeds, strict=True)]
+
+    def add(total, key_hash, y, x, flags, more=None):
+        total, (p, met) = total.reshape(n, 5), score(x)
+        for k, (learn, logistic, noise, at) in enumerate(known):
+            inside = flags[:, learn]
+            total[k, 0] += inside.sum()
+            if logistic:
+                v = p[inside, k] - y[inside] + (noise * more[inside, at] if noise > 0 else 0.0)
+                seen = np.abs(v) > 1e-12
+                total[k, 1] += seen.sum()
+                total[k, 2] += ((v < 0) == (y[inside] == 1))[seen].sum()
+            else:
+                total[k, 3] += (met[inside, k] > 0).sum()
+                total[k, 4] += met[inside, k].sum()
+
+    return summed(frame, n * 5, add, drawn).reshape(n, 5)
 
 
 def privacy_research(df: DataFrame, parties: dict[str, list[str]], grid: Grid | None = None, y: str = "y", key: str = "id") -> DataFrame:
     """(experiment, model, condition, strength, measure, n, mean, std, ci95_low, ci95_high): every measure at every point of
     every axis, with Student intervals across seeds. Empirical measurements, no guarantee of privacy."""
     grid = grid or Grid()
-    points = settings(grid, df.count())
     names = list(parties)
     if max(grid.party_counts) > len(names):
         raise ValueError(f"the grid asks for {max(grid.party_counts)} parties, {len(names)} are there")
-    distinct = list(dict.fromkeys((s, seed) for *_, s in points for seed in grid.seeds))
     frame = grid_frame(df, [c for cs in parties.values() for c in cs], grid, y, key)
+    points = settings(grid, frame.size)
+    distinct = list(dict.fromkeys((s, seed) for *_, s in points for seed in grid.seeds))
     cells, holds = [], []
     for s, seed in distinct:
         learn, hold = flags_of(s.size, seed)

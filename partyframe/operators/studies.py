@@ -12,7 +12,7 @@ from partyframe.functions.scalar import hash_order, hash_uniform
 from partyframe.functions.session import checkpointed
 from partyframe.operators.evaluate import binary_metrics, binary_metrics_by
 from partyframe.operators.logistic import LogisticModel, LogisticOptions, score_logistic
-from partyframe.operators.many_models import Cell, ManyFrame, by_cell, fit_many_logistic, many_frame, score_many
+from partyframe.operators.many_models import Cell, Curve, ManyFrame, by_cell, curve_metrics, fit_many_logistic, many_frame, score_many
 from partyframe.operators.ranking import exact_share, hash_rank, ordered_sums, quantiles
 
 Parties = dict[str, list[str]]
@@ -30,9 +30,10 @@ def sides(train: DataFrame, test: DataFrame) -> DataFrame:
 def side_by_side(frame: ManyFrame, names: list[tuple], schema: str, models: list[LogisticModel], tests: list[str]) -> DataFrame:
     """(names..., metrics...): each model's metrics over the rows of its test flag, all in one plan; the frame is closed."""
     scored = checkpointed(by_cell(score_many(frame, models), [frame.pattern(t) for t in tests]).select("cell", "y", "p"))
+    ranked = curve_metrics(frame, models, [Curve(k, (t,)) for k, t in enumerate(tests)]).select(F.col("curve").cast("int").alias("cell"), "roc_auc", "pr_auc")
     frame.close()
     labels = scored.sparkSession.createDataFrame([(k, *name) for k, name in enumerate(names)], f"cell int, {schema}")
-    return labels.join(binary_metrics_by(scored, ["cell"]), "cell", "left").drop("cell")
+    return labels.join(binary_metrics_by(scored, ["cell"], ranked=ranked), "cell", "left").drop("cell")
 
 
 def party_subset_scores(train: DataFrame, test: DataFrame, parties: Parties, options: LogisticOptions, y: str = "y", key: str = "id") -> DataFrame:

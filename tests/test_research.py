@@ -112,6 +112,49 @@ def test_score_tables_of_groups(spark, scores):
         assert math.isclose(aucs[g].roc_auc, single["roc_auc"])
 
 
+@pytest.mark.parametrize("range_rows", [500_000, 40])
+def test_curves_of_many_models_are_exact(spark, people, monkeypatch, range_rows):
+    monkeypatch.setattr(mm, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(mm, "SORTED_SCORES", 1200)
+    monkeypatch.setattr(mm, "ROWS", 70)
+    frame = mm.many_frame(people, COLUMNS, {"even": F.col("id") % 2 == 0, "rest": F.col("id") % 4 == 1, "ones": F.col("y") == 1, "none": F.lit(False)})
+    cells = [mm.Cell("even", PARTIES, LogisticOptions(0.5, 3)), mm.Cell("even", PARTIES, gb.GBDTOptions(2, 2, 0.1, 1.0, 8, 10)), mm.Cell("even", PARTIES, LogisticOptions(0.5, 0))]
+    models = [*mm.fit_many_logistic(frame, cells[:1]), *mm.fit_many_gbdt(frame, cells[1:2]), *mm.fit_many_logistic(frame, cells[2:])]  # the last: one score for all
+    curves = [c for k in range(3) for c in (mm.Curve(k, ("even", "rest"), "even", True), mm.Curve(k, ("even",)), mm.Curve(k, ("ones",)), mm.Curve(k, ("none",)))]
+    if range_rows == 40:
+        assert any(len(e) > 3 for e in mm.curve_edges(frame, models, curves))
+    found = {r.curve: r for r in mm.curve_metrics(frame, models, curves).collect()}
+    scored = mm.score_many(frame, models).collect()
+    for at, c in enumerate(curves):
+        rows = [(r.p[c.cell], int(r.y == 1 if c.label is None else r.flags[frame.pattern(c.label)])) for r in scored if any(r.flags[frame.pattern(x)] for x in c.rows)]
+        if not rows:
+            assert at not in found
+            continue
+        s, y = np.array(rows).T
+        s = np.abs(s - 0.5) * 2.0 if c.sure else s
+        ones, zeros = y.sum(), (1 - y).sum()
+        if not zeros:
+            assert found[at].roc_auc is None and found[at].pr_auc is None and found[at].gap is None
+            continue
+        curve = [((y * (s == v)).sum(), ((1 - y) * (s == v)).sum(), (y * (s >= v)).sum(), ((1 - y) * (s >= v)).sum()) for v in np.unique(s)]
+        assert math.isclose(found[at].roc_auc, sum(neg * (tp - pos / 2) for pos, neg, tp, _ in curve) / (ones * zeros), abs_tol=1e-12)
+        assert math.isclose(found[at].pr_auc, sum(pos * tp / (tp + fp) for pos, _, tp, fp in curve) / ones, abs_tol=1e-12)
+        assert found[at].gap == max(tp / ones - fp / zeros for *_, tp, fp in curve)
+    frame.close()
+
+
+def test_rows_of_a_frame_are_dealt_to_tasks_and_scores_leave_them_counted(spark, monkeypatch):
+    monkeypatch.setattr(mm, "TASK_ROWS", 5000)
+    rows = spark.range(30_000).coalesce(1).selectExpr("id", "id % 7 / 7.0D AS a", "id % 5 / 5.0D AS b", "id % 3 / 3.0D AS c", "id % 2 / 2.0D AS d", "cast(id % 11 < 5 AS int) AS y")
+    frame = mm.many_frame(rows, COLUMNS, {"all": F.lit(True)})
+    held = [r["count"] for r in frame.rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert frame.size == sum(held) == 30_000 and len(held) == 6 and max(held) < 6000
+    models = mm.fit_many_gbdt(frame, [mm.Cell("all", PARTIES, gb.GBDTOptions(2, 2, bins=8, min_leaf=5))])
+    sent = mm.curve_runs(frame, models, [mm.Curve(0, ("all",))]).collect()
+    assert sum(r["rows"] for r in sent) == sum(sum(r.n) for r in sent) == 30_000 and max(len(r.p) for r in sent) <= 16
+    frame.close()
+
+
 def jobs_of(spark, group: str, action) -> int:
     spark.sparkContext.setJobGroup(group, group)
     action()
