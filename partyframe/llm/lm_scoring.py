@@ -7,18 +7,18 @@ among its words is counted. Classes, windows and words that are kept all grow wi
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import written
-from .words import WordHashes, split_words
+from .shared import arrow_rows, written
+from .words import HashPlaces, WordHashes, mixed, split_texts, text_runs, word_hashes
 
 #: Classes at least; there are as many as the cube root of the running words, so there can be as many windows as words.
 LEAST_CLASSES = 128
@@ -30,6 +30,8 @@ WIDTH, RATE, ROUNDS, STEPS = 32, 0.03, 6, 12
 PARTS, FEW_CONTEXTS = 4, 1024
 #: Words counted, or windows held, before a task sends what it has.
 HELD = 2_000_000
+#: Windows in a block at most, which is a row of the shuffle and of the written counts, and rows of an Arrow batch with blocks.
+BLOCK, BLOCK_ROWS = 16_384, 128
 #: Networks of all tasks are summed by so many tasks before they reach the driver.
 MERGED = 8
 #: Words scored at a time.
@@ -45,14 +47,14 @@ class WordClasses:
         self.count = self.first + self.hashed
         own = WordHashes().of(list(known))
         order = np.argsort(own)
-        self.own, self.own_class = own[order], np.fromiter(known.values(), np.int64, len(known))[order]
+        self.own, self.own_class = HashPlaces(own[order]), np.fromiter(known.values(), np.int64, len(known))[order]
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         shared = self.first + (hashes % np.uint64(self.hashed)).astype(np.int64)
-        if not len(self.own):
+        if not self.known:
             return shared
-        at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
-        return np.where(self.own[at] == hashes, self.own_class[at], shared)
+        at, own = self.own.find(hashes)
+        return np.where(own, self.own_class.take(at), shared)
 
 
 @dataclass(frozen=True)
@@ -66,18 +68,16 @@ class Vocabulary:
     single: np.ndarray
     single_log_p: np.ndarray
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place among the words kept, and whether it is kept."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return at, self.hashes[at] == hashes
+    @cached_property
+    def places(self) -> HashPlaces:
+        return HashPlaces(self.hashes)
 
     def within(self, hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """log p(word | class) of words."""
-        at, kept = self.find(hashes)
-        out = self.single_log_p[classes]
-        out[kept] = self.log_p[at[kept]]
+        """log p(word | class) of words; a class of one word is that word."""
+        out = np.zeros(len(hashes), np.float32)
+        many = np.flatnonzero(classes >= self.words.first)
+        at, kept = self.places.find(hashes[many])
+        out[many] = np.where(kept, self.log_p.take(at) if len(self.log_p) else 0, self.single_log_p.take(classes[many]))
         return out
 
     @cached_property
@@ -91,7 +91,7 @@ class Vocabulary:
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word's token; words that occur once in a class have equal columns and go by the first of them."""
-        at, kept = self.find(hashes)
+        at, kept = self.places.find(hashes)
         firsts = 1 + len(self.hashes) + np.cumsum(self.single) - self.single
         return np.where(kept, at + 1, firsts[self.words.of(hashes)])
 
@@ -138,7 +138,7 @@ class WindowNetwork:
         return hidden @ self.class_out + self.class_bias - self.log_norm(hidden)[:, None]
 
     def hidden(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return np.tanh(self.left[left] + self.right[right] + self.bias)
+        return np.tanh(self.left.take(left, axis=0) + self.right.take(right, axis=0) + self.bias)
 
     def log_norm(self, hidden: np.ndarray) -> np.ndarray:
         logits = hidden @ self.class_out + self.class_bias
@@ -154,18 +154,22 @@ def class_number(running: int) -> int:
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n): every word of all texts."""
     def count(batches):
-        held: Counter[bytes] = Counter()
+        held: list[pa.Array] = []
+        size = 0
 
         def sent():
-            words, counts = list(held), list(held.values())
+            words, n = pc.value_counts(pa.chunked_array(held, pa.string())).flatten()
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], ["word", "n"])
+            return pa.RecordBatch.from_arrays([words.cast(pa.binary()), n], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(split_words(text.as_py()))
-                if len(held) > HELD // 4:
+            for _, texts in text_runs(batch.column(0)):
+                words, _ = split_texts(texts)
+                held.append(words)
+                size += len(words) + words.nbytes // 16
+                if size > HELD:
                     yield sent()
+                    size = 0
         yield sent()
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -184,10 +188,10 @@ def vocabulary_of(counted: DataFrame, known: dict[bytes, int]) -> Vocabulary:
     """16 bytes reach the driver and 12 the executors for every word kept (names are 64-bit hashes of words)."""
 
     def named(batches):
-        hashes, words = WordHashes(), WordClasses(known)
+        words = WordClasses(known)
         single = np.zeros(words.count, np.int64)
         for batch in batches:
-            name, n = hashes.of(batch.column(0).to_pylist()), batch.column(1).to_numpy()
+            name, n = word_hashes(batch.column(0)), batch.column(1).to_numpy()
             single += np.bincount(words.of(name[n < KEPT_COUNT]), minlength=words.count)
             kept = n >= KEPT_COUNT
             yield pa.RecordBatch.from_arrays([pa.array(name[kept].view(np.int64)), pa.nulls(int(kept.sum()), pa.int32()), pa.array(n[kept])], ["hash", "single", "n"])
@@ -213,7 +217,8 @@ def vocabulary_of(counted: DataFrame, known: dict[bytes, int]) -> Vocabulary:
 
 @dataclass(frozen=True)
 class WindowCounts:
-    """(context, token, n) with context = left * classes + right: every window of all texts; a context is in one part."""
+    """(keys, counts, n): blocks of windows as 64-bit integers, key (left * classes + right) * classes + token and how often, and the
+    sum of the counts. Every window of all texts is there; a context (left, right) is in one part."""
 
     frame: DataFrame
 
@@ -230,39 +235,66 @@ def summed(key: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return key[at], np.add.reduceat(n, at) if len(at) else n
 
 
+def blocks(key: np.ndarray, n: np.ndarray, cuts: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    """Rows (part, keys, counts, n) of BLOCK windows at most: those before each cut, under its name."""
+    found = []
+    for part, start, end in zip(names.tolist(), [0, *cuts.tolist()][:-1], cuts.tolist(), strict=True):
+        for k in range(start, end, BLOCK):
+            some = slice(k, min(k + BLOCK, end))
+            found.append((part, key[some].tobytes(), n[some].tobytes(), int(n[some].sum())))
+    columns = list(zip(*found, strict=True)) or [[]] * 4
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["part", "keys", "counts", "n"])
+
+
 def held(batches):
-    """Key (context * classes + token) and n of windows, HELD at a time, each key once in what is held."""
+    """Key and n of windows, HELD at a time, each key once in what is held; the first columns are those of WindowCounts."""
     key, n, size = [], [], 0
     for batch in batches:
-        key.append(batch.column(0).to_numpy())
-        n.append(batch.column(1).to_numpy())
-        size += len(key[-1])
-        if size > HELD:
-            yield summed(key, n)
-            key, n, size = [], [], 0
+        for keys, counts in zip(batch.column(0), batch.column(1), strict=True):
+            key.append(np.frombuffer(keys.as_buffer(), np.int64))
+            n.append(np.frombuffer(counts.as_buffer(), np.int64))
+            size += len(key[-1])
+            if size > HELD:
+                yield summed(key, n)
+                key, n, size = [], [], 0
     if size:
         yield summed(key, n)
 
 
+def neighbours(token: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token before and after each token of texts of so many, 0 at the edges of a text."""
+    left, right = np.roll(token, 1), np.roll(token, -1)
+    sizes = sizes[sizes > 0]
+    ends = np.cumsum(sizes)
+    left[ends - sizes], right[ends - 1] = 0, 0
+    return left, right
+
+
 def window_counts(docs: DataFrame, known: dict[bytes, int], parts: int = 1) -> WindowCounts:
     """How often each (left, right, token) class occurs in all texts: only those that occur, in so many parts by context."""
     count = WordClasses(known).count
 
     def windows(batches):
-        hashes, words = WordHashes(), WordClasses(known)
+        words = WordClasses(known)
         keys: list[np.ndarray] = []
         size = 0
 
         def sent():
             key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
             keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+            part = (mixed((key // count).view(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+            order = np.argsort(part, kind="stable")
+            names, n_names = np.unique(part[order], return_counts=True)
+            return blocks(key[order], n[order], np.cumsum(n_names), names)
 
         for batch in batches:
-            for text in batch.column(0):
-                c = np.concatenate([[0], words.of(hashes.of(split_words(text.as_py()))), [0]])
-                keys.append((c[:-2] * count + c[2:]) * count + c[1:-1])
-                size += len(c)
+            for _, texts in text_runs(batch.column(0)):
+                found, sizes = split_texts(texts)
+                token = words.of(word_hashes(found))
+                left, right = neighbours(token, sizes)
+                keys.append((left * count + right) * count + token)
+                size += len(token)
                 if size > HELD:
                     yield sent()
                     size = 0
@@ -270,10 +302,12 @@ def window_counts(docs: DataFrame, known: dict[bytes, int], parts: int = 1) -> W
 
     def merged(batches):
         for key, n in held(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+            yield blocks(key, n, np.array([len(key)]), np.zeros(1, np.int32)).select(["keys", "counts", "n"])
 
-    dealt = docs.select("text").mapInArrow(windows, "key long, n long").repartition(parts, F.expr(f"key div {count}"))
-    return WindowCounts(written(dealt.mapInArrow(merged, "key long, n long"), "lm-windows"))
+    sent = docs.select("text").mapInArrow(windows, "part int, keys binary, counts binary, n long")
+    dealt = sent.repartitionById(parts, F.col("part")).select("keys", "counts", "n")
+    with arrow_rows(docs.sparkSession, BLOCK_ROWS):
+        return WindowCounts(written(dealt.mapInArrow(merged, "keys binary, counts binary, n long"), "lm-windows"))
 
 
 def descend(params: dict[str, np.ndarray], key: np.ndarray, n: np.ndarray, rate: float, seed: int) -> dict[str, np.ndarray]:
@@ -295,15 +329,24 @@ def descend(params: dict[str, np.ndarray], key: np.ndarray, n: np.ndarray, rate:
             left, right = pairs[part] // count, pairs[part] % count
             sizes = ends[part] - starts[part]
             rows = np.repeat(starts[part] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            target = np.zeros((len(part), count), np.float32)
-            target[np.repeat(np.arange(len(part)), sizes), token[rows]] = share[rows]
-            hidden = np.tanh(params["left"][left] + params["right"][right] + params["bias"])
-            logits = hidden @ params["class_out"] + params["class_bias"]
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            d_logits = p * (target.sum(axis=1, keepdims=True) / p.sum(axis=1, keepdims=True)) - target
-            d_hidden = (d_logits @ params["class_out"].T) * (1 - hidden * hidden)
+            firsts = np.cumsum(sizes) - sizes
+            hidden = np.tanh(params["left"].take(left, axis=0) + params["right"].take(right, axis=0) + params["bias"])
+            back, class_out, class_bias = np.empty_like(hidden), np.zeros_like(params["class_out"]), np.zeros_like(params["class_bias"])
+            for at in range(0, len(part), FEW_CONTEXTS):
+                some = slice(at, at + FEW_CONTEXTS)
+                of = slice(firsts[at], firsts[at] + sizes[some].sum())
+                d_logits = hidden[some] @ params["class_out"]
+                d_logits += params["class_bias"]
+                d_logits -= d_logits.max(axis=1, keepdims=True)
+                np.exp(d_logits, out=d_logits)
+                d_logits *= (np.add.reduceat(share[rows[of]], firsts[some] - firsts[at]).astype(np.float32) / d_logits.sum(axis=1))[:, None]
+                d_logits[np.repeat(np.arange(len(d_logits)), sizes[some]), token[rows[of]]] -= share[rows[of]]
+                back[some] = d_logits @ params["class_out"].T
+                class_out += hidden[some].T @ d_logits
+                class_bias += d_logits.sum(axis=0)
+            d_hidden = back * (1 - hidden * hidden)
             by = lambda side: np.stack([np.bincount(side, d_hidden[:, w], count) for w in range(d_hidden.shape[1])], axis=1)  # noqa: E731, B023
-            grads = {"left": by(left), "right": by(right), "bias": d_hidden.sum(axis=0), "class_out": hidden.T @ d_logits, "class_bias": d_logits.sum(axis=0)}
+            grads = {"left": by(left), "right": by(right), "bias": d_hidden.sum(axis=0), "class_out": class_out, "class_bias": class_bias}
             for k in PARAMS:
                 first[k] = 0.9 * first[k] + 0.1 * grads[k]
                 second[k] = 0.99 * second[k] + 0.01 * grads[k] ** 2
@@ -338,7 +381,8 @@ def train(network: WindowNetwork, windows: WindowCounts) -> WindowNetwork:
             if seen:
                 yield row(seen, seen * flat(params))
 
-        found = windows.frame.mapInArrow(task, "seen double, sums binary").repartition(MERGED).mapInArrow(merged, "seen double, sums binary").collect()
+        with arrow_rows(windows.frame.sparkSession, BLOCK_ROWS):
+            found = windows.frame.mapInArrow(task, "seen double, sums binary").repartition(MERGED).mapInArrow(merged, "seen double, sums binary").collect()
         if not found:
             return network
         mean = sum(np.frombuffer(r.sums, np.float64) for r in found) / sum(r.seen for r in found)
@@ -366,29 +410,30 @@ class Scorer:
     """Sums of log p for words of whole texts. The norm of a context is worked out once: 4 bytes for each pair of classes."""
 
     def __init__(self, network: WindowNetwork):
-        self.network, self.hashes = network, WordHashes()
+        self.network = network
         self.count = len(network.left)
         self.norm = np.full(self.count**2, np.nan, np.float32)
         self.columns = np.ascontiguousarray(network.class_out.T)
 
-    def sums(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log-likelihood of each text that has words."""
-        net, sizes = self.network, np.array([len(x) for x in texts])
-        names = self.hashes.of([w for x in texts for w in x])
+    def sums(self, words: pa.Array, sizes: np.ndarray) -> np.ndarray:
+        """log-likelihood of each text; sizes says how many of the words are its own."""
+        net, names = self.network, word_hashes(words)
         token = net.vocabulary.words.of(names)
-        starts = np.cumsum(sizes) - sizes
-        left, right = np.roll(token, 1), np.roll(token, -1)
-        left[starts], right[starts + sizes - 1] = 0, 0
+        left, right = neighbours(token, sizes)
         log_p = net.vocabulary.within(names, token).astype(np.float64)
         for k in range(0, len(token), SCORED):
             l, r, t = left[k : k + SCORED], right[k : k + SCORED], token[k : k + SCORED]
             pair = l * self.count + r
-            new = np.unique(pair[np.isnan(self.norm[pair])])
+            new = np.unique(pair[np.isnan(self.norm.take(pair))])
             for at in range(0, len(new), 4096):
                 x = new[at : at + 4096]
                 self.norm[x] = net.log_norm(net.hidden(x // self.count, x % self.count))
-            log_p[k : k + SCORED] += np.einsum("ij,ij->i", net.hidden(l, r), self.columns[t]) + net.class_bias[t] - self.norm[pair]
-        return np.add.reduceat(log_p, starts)
+            log_p[k : k + SCORED] += np.einsum("ij,ij->i", net.hidden(l, r), self.columns.take(t, axis=0)) + net.class_bias.take(t) - self.norm.take(pair)
+        out = np.zeros(len(sizes))
+        full = np.flatnonzero(sizes)
+        if len(full):
+            out[full] = np.add.reduceat(log_p, (np.cumsum(sizes) - sizes)[full])
+        return out
 
 
 _scorers: dict[str, Scorer] = {}
@@ -415,21 +460,12 @@ def lm_score(docs: DataFrame, network: WindowNetwork, id_col: str = "doc_id", te
     def score(batches):
         scorer = scorer_of(name, sent)
         for batch in batches:
-            n, total = [], np.zeros(batch.num_rows)
-            some, at, size = [], [], 0
-            for k, text in enumerate(batch.column(1)):
-                words = split_words(text.as_py())
-                n.append(len(words))
-                if words:
-                    some.append(words)
-                    at.append(k)
-                    size += len(words)
-                if size > 8 * SCORED or some and k == batch.num_rows - 1:
-                    total[at] = scorer.sums(some)
-                    some, at, size = [], [], 0
-            total = total.tolist()
-            mean = pa.array([t / k if k else None for t, k in zip(total, n, strict=True)], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], ["id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for at, texts in text_runs(batch.column(1)):
+                words, sizes = split_texts(texts)
+                n[at : at + len(sizes)], total[at : at + len(sizes)] = sizes, scorer.sums(words, sizes)
+            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), mean], ["id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())])

@@ -200,3 +200,50 @@ def test_draws_follow_the_weights(spark):
     for r in drawn:
         share[r.doc_id % 4 == 0] += 1
     assert share[True] >= 0.9 * len(drawn)
+
+
+def test_words_of_columns_are_those_of_texts():
+    """Splitting and hashing whole columns gives what words one by one give."""
+    import pyarrow as pa
+    from shapes import ROWS
+
+    from partyframe.llm import words
+
+    draw = np.random.default_rng(5)
+    texts = [t for _, t, *_ in ROWS] + [" ".join("xYÄ€\U0001f600\x00z"[k % 7] * int(k) for k in draw.integers(1, 70, 200)), "\x0b\x0ca\x1cb\x85c D \r\n", "e" * 100_000]
+    column = pa.array(["left out", *texts], pa.string()).slice(1)
+    plain, at = words.WordHashes(), 0
+    for first, run in words.text_runs(column):
+        assert first == at and (len(run) == 1 or sum(len((t or "").encode()) for t in run.to_pylist()) <= words.SPLIT_BYTES)
+        found, sizes = words.split_texts(run)
+        wanted = [split_words(t) for t in run.to_pylist()]
+        assert sizes.tolist() == [len(w) for w in wanted] and [w.encode() for w in found.to_pylist()] == [x for w in wanted for x in w]
+        assert np.array_equal(words.word_hashes(found), plain.of([x for w in wanted for x in w]))
+        at += len(run)
+    assert at == len(texts)
+    for n in (0, 1, 2, 3, 1000, 5000):
+        own = np.unique(draw.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        asked = np.concatenate([own, own + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+        place, there = words.HashPlaces(own).find(asked)
+        assert np.array_equal(there, np.isin(asked, own)) and np.array_equal(own[place[there]], asked[there])
+
+
+def test_windows_travel_and_rest_in_blocks(spark, small):
+    """Tasks send blocks of windows, not a row for each; each context is in one part."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("text")
+    known = {w: k for k, w in enumerate(lm_scoring.frequent_words(docs, 95), 1)}
+    classes, wanted = lm_scoring.WordClasses(known), Counter()
+    for r in docs.collect():
+        c = [0, *classes.of(lm_scoring.WordHashes().of(split_words(r.text))).tolist(), 0]
+        wanted.update(zip(c, c[2:], c[1:], strict=False))
+    rows = lm_scoring.window_counts(docs, known, 5).frame.withColumn("file", F.input_file_name()).collect()
+    found, files = Counter(), defaultdict(set)
+    for r in rows:
+        key, n = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.int64)
+        assert len(key) == len(n) <= lm_scoring.BLOCK and n.sum() == r["n"]
+        for k, m in zip(key.tolist(), n.tolist(), strict=True):
+            context = divmod(k // classes.count, classes.count)
+            found[*context, k % classes.count] += m
+            files[context].add(r["file"])
+    assert found == wanted and len(rows) <= 5 + len(wanted) // lm_scoring.BLOCK
+    assert all(len(x) == 1 for x in files.values()) and len({x for y in files.values() for x in y}) == 5
