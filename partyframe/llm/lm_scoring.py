@@ -31,7 +31,7 @@ PARTS, FEW_CONTEXTS = 4, 1024
 #: Words counted, or windows held, before a task sends what it has.
 HELD = 2_000_000
 #: Windows in a block at most, which is a row of the shuffle and of the written counts, and rows of an Arrow batch with blocks.
-BLOCK, BLOCK_ROWS = 16_384, 128
+BLOCK, BLOCK_ROWS = 4096, 128
 #: Networks of all tasks are summed by so many tasks before they reach the driver.
 MERGED = 8
 #: Words scored at a time.
@@ -235,16 +235,17 @@ def summed(key: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return key[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def blocks(key: np.ndarray, n: np.ndarray, cuts: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
-    """Rows (part, keys, counts, n) of BLOCK windows at most: those before each cut, under its name."""
-    found = []
-    for part, start, end in zip(names.tolist(), [0, *cuts.tolist()][:-1], cuts.tolist(), strict=True):
-        for k in range(start, end, BLOCK):
-            some = slice(k, min(k + BLOCK, end))
-            found.append((part, key[some].tobytes(), n[some].tobytes(), int(n[some].sum())))
-    columns = list(zip(*found, strict=True)) or [[]] * 4
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["part", "keys", "counts", "n"])
+def blocks(key: np.ndarray, n: np.ndarray, part: np.ndarray):
+    """Batches of BLOCK_ROWS rows (part, keys, counts, n) of BLOCK windows at most."""
+    order = np.argsort(part, kind="stable")
+    names, sizes = np.unique(part, return_counts=True)
+    ends = np.cumsum(sizes)
+    cuts = [(name, order[k : min(k + BLOCK, end)]) for name, end, size in zip(names.tolist(), ends.tolist(), sizes.tolist(), strict=True) for k in range(end - size, end, BLOCK)]
+    for k in range(0, len(cuts), BLOCK_ROWS):
+        some = cuts[k : k + BLOCK_ROWS]
+        columns = [name for name, _ in some], [key[at].tobytes() for _, at in some], [n[at].tobytes() for _, at in some], [int(n[at].sum()) for _, at in some]
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["part", "keys", "counts", "n"])
 
 
 def held(batches):
@@ -281,12 +282,10 @@ def window_counts(docs: DataFrame, known: dict[bytes, int], parts: int = 1) -> W
         size = 0
 
         def sent():
-            key, n = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
+            key = np.concatenate([*keys, np.empty(0, np.int64)])
             keys.clear()
-            part = (mixed((key // count).view(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
-            order = np.argsort(part, kind="stable")
-            names, n_names = np.unique(part[order], return_counts=True)
-            return blocks(key[order], n[order], np.cumsum(n_names), names)
+            key, n = np.unique(key, return_counts=True)
+            return blocks(key, n, (mixed((key // count).view(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64))
 
         for batch in batches:
             for _, texts in text_runs(batch.column(0)):
@@ -296,13 +295,13 @@ def window_counts(docs: DataFrame, known: dict[bytes, int], parts: int = 1) -> W
                 keys.append((left * count + right) * count + token)
                 size += len(token)
                 if size > HELD:
-                    yield sent()
+                    yield from sent()
                     size = 0
-        yield sent()
+        yield from sent()
 
     def merged(batches):
         for key, n in held(batches):
-            yield blocks(key, n, np.array([len(key)]), np.zeros(1, np.int32)).select(["keys", "counts", "n"])
+            yield from (x.select(["keys", "counts", "n"]) for x in blocks(key, n, np.zeros(len(key), np.uint16)))
 
     sent = docs.select("text").mapInArrow(windows, "part int, keys binary, counts binary, n long")
     dealt = sent.repartitionById(parts, F.col("part")).select("keys", "counts", "n")

@@ -13,6 +13,8 @@ import xxhash
 REMEMBERED = 50_000
 #: Bytes of texts that are split at a time, one text at least.
 SPLIT_BYTES = 1 << 20
+#: Words hashed at a time.
+HASHED = 1 << 17
 
 
 class WordHashes(dict):
@@ -56,14 +58,16 @@ def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def word_hashes(words: pa.Array) -> np.ndarray:
     """What WordHashes has for each word, worked out for all of them at once; only words of 32 bytes or more go one by one."""
+    if len(words) > HASHED:
+        return np.concatenate([word_hashes(words.slice(k, HASHED)) for k in range(0, len(words), HASHED)])
     if not len(words):
         return np.empty(0, np.uint64)
     offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)
-    data = np.concatenate([np.frombuffer(words.buffers()[2], np.uint8, offsets[-1]), np.zeros(8, np.uint8)])
-    load = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).take
+    data = np.concatenate([np.frombuffer(words.buffers()[2], np.uint8, offsets[-1] - offsets[0], offsets[0]), np.zeros(8, np.uint8)])
+    load = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)).__getitem__
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-    at, size = offsets[:-1].astype(np.int64), np.diff(offsets)
+    at, size = offsets[:-1].astype(np.int64) - offsets[0], np.diff(offsets)
     with np.errstate(over="ignore"):
         h = size.astype(np.uint64) + p5
         for k in range(3):
