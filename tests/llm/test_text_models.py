@@ -210,7 +210,7 @@ def test_words_of_columns_are_those_of_texts():
     from partyframe.llm import words
 
     draw = np.random.default_rng(5)
-    texts = [t for _, t, *_ in ROWS] + [" ".join("xYÄ€\U0001f600\x00z"[k % 7] * int(k) for k in draw.integers(1, 70, 200)), "\x0b\x0ca\x1cb\x85c D \r\n", "e" * 100_000]
+    texts = [t for _, t, *_ in ROWS] + [" ".join("xYÄ€\U0001f600\x00z"[k % 7] * int(k) for k in draw.integers(1, 70, 200)), "\x0b\x0ca\x1cb\x85c D \r\n", "e" * 100_000, "Ab c " * 100_000]
     column = pa.array(["left out", *texts], pa.string()).slice(1)
     plain, at = words.WordHashes(), 0
     for first, run in words.text_runs(column):
