@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from itertools import combinations
 from math import factorial
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partyframe.functions.scalar import hash_order, hash_uniform
-from partyframe.functions.session import checkpointed
+from partyframe.functions.session import checkpointed, shared_folder
 from partyframe.operators.evaluate import binary_metrics, binary_metrics_by
 from partyframe.operators.logistic import LogisticModel, LogisticOptions, score_logistic
-from partyframe.operators.many_models import Cell, Curve, ManyFrame, by_cell, curve_metrics, fit_many_logistic, many_frame, score_many
+from partyframe.operators.many_models import TASK_ROWS, Cell, Curve, ManyFrame, by_cell, curve_metrics, fit_many_logistic, many_frame, score_many
 from partyframe.operators.ranking import exact_share, hash_rank, ordered_sums, quantiles
 
 Parties = dict[str, list[str]]
@@ -289,42 +290,64 @@ def distributed_signal(df: DataFrame, parties: Parties, key: str, noise: Column
     return joined.withColumn("target", (hash_uniform(key, seed=seed) < p).cast("int")).select(*df.columns, "target")
 
 
-def pooled_model(df: DataFrame, columns: list[str], kept: list[str], y: str, l2: float, iterations: int, boosting: bool, learn: Column | None) -> tuple:
+#: Pooled models train as long as those of scikit-learn that they stand for: a logistic one until it stands still, at most so many
+#: iterations; a boosted one for so many trees of this depth (32 leaves at most, there 31), with so many bins for a feature.
+POOLED_ITERATIONS, POOLED_TREES, POOLED_DEPTH, POOLED_BINS = 1000, 100, 5, 255
+#: Party subsets whose models are trained at one time.
+SIDE_BY_SIDE = 2
+
+
+def pooled_model(df: DataFrame, columns: list[str], kept: list[str], y: str, l2: float, iterations: int | None, boosting: bool, learn: Column | None) -> tuple:
     """(rows with the columns to keep, features and whether a row is learnt from; the model) of pooled_baseline()."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
+    shared_folder(df.sparkSession)  # where Spark ML cuts the lineage of trees
     x = VectorAssembler(inputCols=columns, outputCol="_x").transform(df.select(*kept, F.col(y).cast("double").alias("_y"), (F.lit(True) if learn is None else learn).alias("_learn"), *(c for c in columns if c not in kept))).persist()
-    kind = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=iterations, maxDepth=3, seed=42) if boosting else LogisticRegression(featuresCol="_x", labelCol="_y", regParam=l2, maxIter=iterations, standardization=False)
+    if iterations is None:
+        iterations = POOLED_TREES if boosting else POOLED_ITERATIONS
+    if boosting:
+        kind = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=iterations, maxDepth=POOLED_DEPTH, maxBins=POOLED_BINS, seed=42)
+    else:
+        kind = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=l2, maxIter=iterations, standardization=False)
     model = kind.fit(x.where("_learn"))
     x.unpersist()
     return x, model
 
 
-def pooled_baseline(df: DataFrame, columns: list[str], key: str, y: str, l2: float = 1e-3, iterations: int = 100, boosting: bool = False, learn: Column | None = None) -> DataFrame:
-    """(key, p) of a pooled, non-federated model of Spark ML: logistic, or boosted trees (one for each iteration). It
-    learns from the rows for which the column `learn` holds, or from all."""
+def pooled_baseline(df: DataFrame, columns: list[str], key: str, y: str, l2: float = 1e-3, iterations: int | None = None, boosting: bool = False, learn: Column | None = None) -> DataFrame:
+    """(key, p) of a pooled, non-federated model of Spark ML: logistic, or boosted trees (one for each iteration); without
+    iterations it trains to its end. It learns from the rows for which the column `learn` holds, or from all."""
     from pyspark.ml.functions import vector_to_array
 
     x, model = pooled_model(df, columns, [key], y, l2, iterations, boosting, learn)
     return model.transform(x).select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
 
 
-def pooled_subsets(train: DataFrame, test: DataFrame, parties: Parties, key: str, y: str = "y", iterations: int = 20) -> DataFrame:
-    """(subset, model, metrics...) of pooled models over every subset that holds the active (first) party. Rows are written
-    once for all models, and the test rows' scores of all models once for all metrics, which come from one plan."""
+def pooled_subsets(train: DataFrame, test: DataFrame, parties: Parties, key: str, y: str = "y", iterations: int | None = None) -> DataFrame:
+    """(subset, model, metrics...) of pooled models over every subset that holds the active (first) party; without iterations
+    they train to their end. Rows are counted, dealt evenly to tasks and written once for all models, some subsets are
+    trained at one time, and the test rows' scores of all models are written once for all metrics, which come from one plan."""
+    from pyspark import inheritable_thread_target
     from pyspark.ml.functions import vector_to_array
 
     active, *passive = parties
     wanted = list(dict.fromkeys([key, y, *(c for cs in parties.values() for c in cs)]))
-    rows, both = None, checkpointed(sides(train.select(*wanted), test.select(*wanted)))
-    for chosen in subsets(passive):
+    rows, given = None, sides(train.select(*wanted), test.select(*wanted)).persist()
+    both = checkpointed(given.repartition(max(1, -(-given.count() // TASK_ROWS))))
+    given.unpersist()
+
+    @inheritable_thread_target(both.sparkSession)
+    def trained(chosen: tuple[str, ...]) -> list[tuple]:
         columns = [c for p in (active, *chosen) for c in parties[p]]
-        for name in ("logistic", "boosting"):
-            x, model = pooled_model(both, columns, [y], y, 1e-3, iterations, name == "boosting", F.col("_train"))
-            p = F.get(vector_to_array("probability"), F.lit(1)).alias("p")
-            own = model.transform(x.where("NOT _learn")).select(F.lit("+".join((active, *chosen))).alias("subset"), F.lit(name).alias("model"), F.col(y), p)
-            rows = own if rows is None else rows.unionByName(own)
+        return [("+".join((active, *chosen)), name, *pooled_model(both, columns, [y], y, 1e-3, iterations, name == "boosting", F.col("_train"))) for name in ("logistic", "boosting")]
+
+    with ThreadPool(SIDE_BY_SIDE) as pool:
+        models = [m for ms in pool.map(trained, subsets(passive), chunksize=1) for m in ms]
+    for subset, name, x, model in models:
+        p = F.get(vector_to_array("probability"), F.lit(1)).alias("p")
+        own = model.transform(x.where("NOT _learn")).select(F.lit(subset).alias("subset"), F.lit(name).alias("model"), F.col(y), p)
+        rows = own if rows is None else rows.unionByName(own)
     return binary_metrics_by(checkpointed(rows), ["subset", "model"], y=y)
 
 

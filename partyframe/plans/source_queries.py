@@ -151,7 +151,7 @@ def tree_checkpoint(t: Tables):
 @query("T7_pooled_subsets")  # iterative solvers of Spark ML: comparable, not equal in coefficients
 def pooled_subsets(t: Tables):
     x = learning(t)
-    return sd.pooled_subsets(x.where("id % 2 = 0"), x.where("id % 2 = 1"), PARTIES, "id", iterations=2)
+    return sd.pooled_subsets(x.where("id % 2 = 0"), x.where("id % 2 = 1"), PARTIES, "id")
 
 
 @query("E6_permutation")

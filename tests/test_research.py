@@ -335,3 +335,22 @@ def test_pooled_subsets_read_their_rows_once(spark):
     found = pooled_subsets(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), {"one": ["a"], "two": ["b"]}, "id", iterations=2).collect()
     assert {(r["subset"], r["model"]) for r in found} == {(s, m) for s in ("one", "one+two") for m in ("logistic", "boosting")}
     assert all(r.roc_auc == 1.0 for r in found if r["model"] == "boosting") and read.value == 120
+
+
+def test_pooled_models_train_to_their_end(spark, small, monkeypatch):
+    from pyspark.ml.base import Estimator
+
+    from partyframe.plans import QUERIES
+
+    models, given, one = [], Estimator.fit, sd.pooled_model
+    monkeypatch.setattr(sd, "pooled_model", lambda *args: models.append(one(*args)) or models[-1])
+    rows = spark.range(640).select("id", (F.col("id") % 64).cast("double").alias("a"), (F.crc32((F.col("id") % 64).cast("string")) % 2).cast("int").alias("y"))
+    found = {r.model: r for r in sd.pooled_subsets(rows.where("id < 320"), rows.where("id >= 320"), {"one": ["a"]}, "id").collect()}
+    assert found["boosting"].roc_auc == 1.0 and found["boosting"].log_loss < 0.1
+    logistic, boosting = (model for _, model in models)
+    assert boosting.getNumTrees == 100 and logistic.summary.totalIterations < logistic.getMaxIter() == 1000
+
+    asked = []
+    monkeypatch.setattr(Estimator, "fit", lambda kind, df: asked.append((type(kind).__name__, kind.getMaxIter())) or given(kind, df, {kind.maxIter: 1}))
+    assert QUERIES["T7_pooled_subsets"](spark, small).count() == 8 and QUERIES["T7_pooled_baseline"](spark, small).count() > 0
+    assert sorted(asked) == [("GBTClassifier", 100)] * 4 + [("LogisticRegression", 1000)] * 5
